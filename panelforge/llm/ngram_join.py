@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.common import materialized
 from panelforge.llm.graph import connected_components
-from panelforge.llm.textnum import Words, chunks, mix
+from panelforge.llm.textnum import Words, chunks, distinct, mix
 
 SHINGLE, PERCENT = 3, 90
 SKETCH_BITS, SKETCH_SLICES = 20, 64
@@ -48,13 +48,11 @@ def shingle_sets(col: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.nd
     row = np.repeat(np.arange(len(words.counts)), words.counts)[at]
     short = np.flatnonzero((words.counts > 0) & (words.counts < width))
     if len(short):
-        base = np.array([int(mix(np.bitwise_xor.reduce(mix(words.hashes[0][words.rows[r] : words.rows[r + 1]] + np.arange(1, words.counts[r] + 1, dtype=np.uint64)), keepdims=True))[0]) for r in short], np.uint64)
-        row, h = np.concatenate([row, short]), np.concatenate([h, base])
-    order = np.lexsort((h, row))
-    row, h = row[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    return h[new], np.bincount(row[new], minlength=len(words.counts))
+        base = [mix(np.bitwise_xor.reduce(mix(words.hashes[0][words.rows[r] : words.rows[r + 1]] + np.arange(1, words.counts[r] + 1, dtype=np.uint64)), keepdims=True))[0] for r in short]
+        row, h = np.concatenate([row, short]), np.concatenate([h, np.array(base, np.uint64)])
+        order = np.argsort(row, kind="stable")
+        row, h = row[order], h[order]
+    return distinct(h, np.cumsum(np.bincount(row, minlength=len(words.counts))))
 
 
 def _sketch(docs: DataFrame, width: int) -> bytes:

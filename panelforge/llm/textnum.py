@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _rng = np.random.default_rng(20240131)
 _WS = np.zeros(256, bool)
@@ -112,3 +112,15 @@ class Words:
         at = np.flatnonzero(left >= width)
         inverse = powers(pow(base, -1, 1 << 64), n)
         return at, mix((total[at + width] - total[at]) * inverse[at])
+
+
+def distinct(h: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct values of each segment in turn, their number); segment k ends before stops[k]."""
+    out, start = [], 0
+    for stop in stops.tolist():
+        part = np.sort(h[start:stop])
+        if len(part) > 1:
+            part = part[np.append(True, part[1:] != part[:-1])]
+        out.append(part)
+        start = stop
+    return (np.concatenate(out) if out else h[:0]), np.array([len(x) for x in out], np.int64)
