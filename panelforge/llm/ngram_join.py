@@ -1,18 +1,22 @@
 """Operator 9: n-gram Jaccard join by grouped prefixes, down to components of linked documents.
 
-1. Every document becomes its set of distinct 3-word shingles (64-bit hashes).
-   A count sketch of fixed size (2 ** 20 counters, one byte each when shared)
-   orders shingles from rare to frequent; it steers speed only, never results.
-2. Equal sets collapse into one class, classes with the same prefix (the first
-   n - ceil(t n) + 1 shingles in that order) and size into one group.
-3. Groups that share a prefix shingle are joined; each is tied to the least
-   group of the shingle, so m groups give m rows, not m squared. Ties merge into
-   families; every linked pair lies inside one family.
-4. Families are expanded to their members and verified on whole sets. A family
-   over ``BLOCK_MEMBERS`` members or ``BLOCK_SHINGLES`` shingles is cut into
-   blocks, and each pair of blocks is verified on its own, so a task stays
-   bounded; a task returns a spanning forest of the links that it found.
-5. Components of the links give the result.
+1. Every document becomes its set of distinct 3-word shingles (64-bit hashes);
+   equal sets collapse into one class.
+2. For a size class the hash order of shingles is cut into K segments, and
+   starting the order at each segment gives K orders. A set's prefix in an order
+   is its shingles of the first segment. Two sets whose similarity reaches the
+   threshold differ in K - 1 shingles at most, so in one order at least their
+   prefixes are identical: sets with identical prefixes and size class form one
+   group. Prefixes meet in hash buckets, whose number follows the input, as packs
+   of a few bytes; each group ties its members to its least one, so m members
+   give m ties, not m squared. (Prefixes of single rare shingles in one order
+   tie documents that share no more than a passage; whole segments do not.)
+3. Ties merge into families, which hold every linked pair. Families are expanded
+   to their members and verified on whole sets. A family over ``BLOCK_MEMBERS``
+   members or ``BLOCK_SHINGLES`` shingles is cut into blocks, and each pair of
+   blocks is verified on its own, so a task stays bounded; a task returns a
+   spanning forest of the links that it found.
+4. Components of the links give the result.
 
 Defined results: null or blank texts have an empty set and link with nothing;
 with one or two words, the whole sequence is the one shingle; a null doc_id
@@ -23,7 +27,6 @@ ignored; empty tables give no rows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import materialized
+from panelforge.llm import blobs
+from panelforge.llm.common import input_buckets, materialized
 from panelforge.llm.graph import connected_components
 from panelforge.llm.textnum import Words, chunks, distinct, mix
 
 SHINGLE, PERCENT = 3, 90
-SKETCH_BITS, SKETCH_SLICES = 20, 64
-BLOCK_MEMBERS, BLOCK_SHINGLES = 1000, 400_000
+BLOCK_MEMBERS, BLOCK_SHINGLES = 1000, 1_000_000
 
 
 def shingle_sets(col: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -55,61 +58,95 @@ def shingle_sets(col: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.nd
     return distinct(h, np.cumsum(np.bincount(row, minlength=len(words.counts))))
 
 
-def _sketch(docs: DataFrame, width: int) -> bytes:
-    """Levels (twice the log of the count) of 2 ** SKETCH_BITS counters over all shingles of all documents."""
-    each = (1 << SKETCH_BITS) // SKETCH_SLICES
+def prefix_length(n: int, percent: int) -> int:
+    return n - -(-percent * n // 100) + 1 if n else 0
+
+
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, n, two halves of the set's signature."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                h, _ = shingle_sets(part.column("text"), width)
-                slot = (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                total += np.bincount(slot, minlength=len(total))
-        if total.any():
-            slices = total.astype("<u8" if total.max() >> 32 else "<u4").reshape(SKETCH_SLICES, each)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_SLICES), pa.int32()), pa.array([x.tobytes() for x in slices], pa.binary())], names=["slice", "counts"])
+                h, n = shingle_sets(part.column(1), width)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), *(pa.array(x.view(np.int64)) for x in signatures(h, n))], names=["doc_id", "n", "s1", "s2"])
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(b, f"<u{len(b) // each}").astype(np.int64) for b in pdf["counts"])
-        levels = np.minimum(255, np.round(2 * np.log2(1 + total))).astype(np.uint8)
-        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "levels": [levels.tobytes()]})
+    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
 
-    parts = docs.select("text").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, levels binary")
-    got = {r["slice"]: bytes(r["levels"]) for r in parts.collect()}  # 2 ** SKETCH_BITS bytes at most
-    return b"".join(got.get(i, bytes(each)) for i in range(SKETCH_SLICES))
 
+def signatures(h: np.ndarray, n: np.ndarray, salts: tuple[int, ...] = (1, 2)) -> list[np.ndarray]:
+    """Order-free 64-bit sums of each set, one for each salt; 0 for empty sets."""
+    first, full, out = np.cumsum(n) - n, n > 0, []
+    for salt in salts:
+        half = np.zeros(len(n), np.uint64)
+        if full.any():
+            half[full] = np.add.reduceat(mix(h + np.uint64(salt << 40 | salt)), first[full])
+        out.append(half)
+    return out
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1 if n else 0
 
+def size_class(n: np.ndarray, percent: int) -> np.ndarray:
+    """Sizes within the threshold's ratio lie in one class or in neighbours."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(100 / percent)).astype(np.int64)
 
-def _sets(docs: DataFrame, width: int, percent: int, sketch) -> DataFrame:
-    """doc_id, n, two signature halves of the set, prefix (rarest shingles; empty if only an equal set can link)."""
+
+def segments(k: np.ndarray, percent: int) -> np.ndarray:
+    """K of a key class k, for sets of the classes k and k + 1: one more than they can differ in."""
+    top = np.power(100 / percent, k + 1) + np.power(100 / percent, k + 2) + 2
+    return np.floor(top * (100 - percent) / (100 + percent)).astype(np.int64) + 1
+
+
+def prefix_keys(h: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of every grouped prefix. Sets so small that only equal ones can link have none."""
+    rows = np.flatnonzero(100 * (n - 1) >= percent * n)
+    own = np.repeat(np.isin(np.arange(len(n)), rows), n)
+    h, size = h[own], n[rows]
+    row, tokens = np.repeat(np.arange(len(rows)), size), mix(h)
+    out_rows, out_keys = [], []
+    for step in (0, 1):
+        k = size_class(size, percent) - step
+        parts = segments(k, percent)
+        base = np.cumsum(parts) - parts
+        place = base[row] + ((h >> np.uint64(11)) % parts[row].astype(np.uint64)).astype(np.int64)
+        total = np.zeros(int(parts.sum()), np.uint64)
+        np.add.at(total, place, tokens)
+        segment = np.arange(len(total)) - np.repeat(base, parts)
+        salt = mix((np.repeat(k, parts) << 32 | segment).astype(np.uint64))
+        out_rows.append(np.repeat(rows, parts))
+        out_keys.append(mix(total ^ salt))
+    return np.concatenate(out_rows), np.concatenate(out_keys)
+
+
+def _ties(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
+    """(a, b): first signature halves of sets in one group, b the least of the group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = np.frombuffer(sketch.value, np.uint8)
         for batch in batches:
-            for part in chunks(batch, "text"):
-                h, n = shingle_sets(part.column(1), width)
-                first = np.cumsum(n) - n
-                row = np.repeat(np.arange(len(n)), n)
-                order = np.lexsort((h, levels[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], row))
-                ranked = h[order].view(np.int64)
-                take = np.array([prefix_length(int(k), percent) if percent * (k - 1) >= 0 and 100 * (k - 1) >= percent * k else 0 for k in n], np.int64)
-                inside = np.arange(len(h)) - np.repeat(first, n) < np.repeat(take, n)
-                full = n > 0
-                halves = []
-                for salt in (1, 2):
-                    half = np.zeros(len(n), np.uint64)
-                    half[full] = np.add.reduceat(mix(h + np.uint64(salt << 40 | salt)), first[full]) if full.any() else 0
-                    halves.append(pa.array(half.view(np.int64)))
-                offsets = pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n.astype(np.int64)), *halves, pa.ListArray.from_arrays(offsets, pa.array(ranked[inside]))], names=["doc_id", "n", "s1", "s2", "prefix"]
-                )
-
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
+            for part in chunks(batch, "text", 8 << 20):
+                h, n = shingle_sets(part.column(0), width)
+                own = signatures(h, n, (1,))[0].view(np.int64)
+                _, once = np.unique(own, return_index=True)  # equal sets of a chunk speak once
+                use = np.isin(np.arange(len(n)), once)
+                h, n, own = h[np.repeat(use, n)], n[use], own[use]
+                row, key = prefix_keys(h, n, percent)
+                order = np.argsort(row, kind="stable")
+                row, key = row[order], key[order]
+                packs = list(blobs.deal(blobs.bucket_of(key, buckets), own, row, np.zeros(len(row), np.int64), [key.astype("<u4"), (key >> np.uint64(32)).astype("<u1")]))
+                if packs:
+                    yield blobs.batch_of(packs)
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [blobs.read(p, ("<u4", "<u1")) for p in pdf["pack"]]
+        own = np.concatenate([np.repeat(d, c) for d, c, _, _ in parts])
+        key = np.concatenate([k[0].astype(np.uint64) << np.uint64(8) | k[1] for *_, k in parts])
+        order = np.argsort(key)
+        key, own = key[order], own[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        least = np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(key))))
+        tied = own != least
+        return pd.DataFrame(np.unique(np.stack([own[tied], least[tied]], axis=1), axis=0), columns=["a", "b"])
+
+    return docs.select("text").mapInArrow(run, blobs.PACKED).groupBy("bucket").applyInPandas(meet, "a long, b long")
 
 
 def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -157,20 +194,10 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 def links(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """docs: doc_id, text. Returns (sets of all rows, classes of equal sets, links between class representatives)."""
-    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, width))
-    sets = materialized(_sets(docs, width, percent, sketch))
-    classes = materialized(
-        sets.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")).withColumn("p", F.xxhash64("prefix"))
-    )
-    able = classes.where(F.size("prefix") > 0)
-    groups = able.groupBy("p", "n").agg(F.min("rep").alias("gid"), F.first("prefix").alias("prefix"))
-    postings = materialized(groups.select("gid", F.explode("prefix").alias("token")))
-    least = materialized(postings.groupBy("token").agg(F.min("gid").alias("least"), F.max("gid").alias("most")).where("least <> most").drop("most"))
-    ties = postings.join(least, "token").where("gid <> least").select("gid", "least")
-    family = connected_components(ties)
-    named = able.join(groups.select("p", "n", "gid"), ["p", "n"]).select("rep", "n", "gid")
-    named = named.join(family, F.col("gid") == F.col("node"), "left").select("rep", "n", F.coalesce("label", "gid").alias("family"))
-    named = materialized(named)
+    sets = materialized(_sets(docs, width))
+    classes = materialized(sets.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")))
+    family = connected_components(_ties(docs.where("doc_id is not null"), width, percent, input_buckets(docs)))
+    named = classes.join(family, F.col("s1") == F.col("node"), "left").select("rep", "n", F.coalesce("label", "s1").alias("family"))
     sizes = named.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).where("members > 1")
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK_MEMBERS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     placed = named.join(sizes.select("family", blocks.alias("blocks")), "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))

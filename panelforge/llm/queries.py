@@ -96,7 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '')"
+_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 #: Substring dedup: a window key is its 50 words; least document by key; words under later windows go.
 OP6_SQL = f"""
@@ -132,10 +132,10 @@ c AS (
     CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     length(t) - length(replace(t, '!', '')) AS n_shouts,
-    len(list_filter(string_split(t, chr(10)), x -> regexp_replace(x, '[\\x20\\x09-\\x0D]', '', 'g') <> '')) AS n_lines,
-    CAST(n_lines - len(list_distinct(list_filter(string_split(t, chr(10)), x -> regexp_replace(x, '[\\x20\\x09-\\x0D]', '', 'g') <> ''))) AS BIGINT) AS n_dup_lines,
-    len(list_filter(w, x -> x IN ({_STOPS}))) AS n_stop_words,
-    len(list_filter(list_zip(w[:-2], w[2:]), x -> x[1] = x[2])) AS n_doubled,
+    len(list_filter(string_split(t, chr(10)), lambda x: regexp_replace(x, '[\\x20\\x09-\\x0D]', '', 'g') <> '')) AS n_lines,
+    CAST(n_lines - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_replace(x, '[\\x20\\x09-\\x0D]', '', 'g') <> ''))) AS BIGINT) AS n_dup_lines,
+    len(list_filter(w, lambda x: x IN ({_STOPS}))) AS n_stop_words,
+    len(list_filter(list_zip(w[:-2], w[2:]), lambda x: x[1] = x[2])) AS n_doubled,
     coalesce(rep.n, 0) AS n_repeat_words
   FROM d LEFT JOIN rep ON d.doc_id = rep.doc_id
 ),
