@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,3 +104,110 @@ def overlapping_intervals(left: DataFrame, right: DataFrame, keys: list[str], wi
     cut = lambda df, p: df.withColumn("_b", F.explode(F.sequence(F.floor(F.col(f"{p}_lo") / width), F.floor(F.col(f"{p}_hi") / width))))
     both = cut(left, "l").join(cut(right, "r"), [*keys, "_b"]).where("l_lo <= r_hi AND r_lo <= l_hi")
     return both.where(F.col("_b") == F.floor(F.greatest("l_lo", "r_lo") / width)).drop("_b")
+
+
+def box_pairs(left: DataFrame, right: DataFrame, keys: list[str], size: float) -> DataFrame:
+    """Pairs of rows whose boxes (struct x0, y0, x1, y1 named ``box``) meet: keys, a, b, abox, bbox.
+
+    A box is listed in every grid cell of edge ``size`` that it covers; a pair counts in the first cell that both cover.
+    """
+
+    def celled(df: DataFrame, id_: str, box: str) -> DataFrame:
+        cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(f"box.{lo}") / size), F.floor(F.col(f"box.{hi}") / size)))
+        return df.select("*", cells("x0", "x1").alias("_cx")).select(*keys, F.col("id").alias(id_), F.col("box").alias(box), "_cx", cells("y0", "y1").alias("_cy"))
+
+    both = celled(left, "a", "abox").join(celled(right, "b", "bbox"), [*keys, "_cx", "_cy"])
+    first = lambda c: F.floor(F.greatest(F.col(f"abox.{c}"), F.col(f"bbox.{c}")) / size)
+    meet = "abox.x0 <= bbox.x1 AND bbox.x0 <= abox.x1 AND abox.y0 <= bbox.y1 AND bbox.y0 <= abox.y1"
+    return both.where(meet).where((F.col("_cx") == first("x0")) & (F.col("_cy") == first("y0"))).drop("_cx", "_cy")
+
+
+def union_area(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, area of the union of the key's boxes (x0, y0, x1, y1): slabs between neighbouring x ends, merged y runs in each."""
+    w = Window.partitionBy(*keys).orderBy("x")
+    ends = boxes.select(*keys, F.explode(F.array("x0", "x1")).alias("x")).distinct().withColumn("nx", F.lead("x").over(w)).where("nx IS NOT NULL")
+    inside = ends.join(boxes, keys).where("x0 <= x AND x1 >= nx")
+    over = Window.partitionBy(*keys, "x").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1)
+    gain = F.greatest(F.lit(0.0), F.col("y1") - F.greatest("y0", F.coalesce(F.max("y1").over(over), F.col("y0"))))
+    return inside.withColumn("_g", gain * (F.col("nx") - F.col("x"))).groupBy(*keys).agg(F.sum("_g").alias("area"))
+
+
+def assign(cost: np.ndarray) -> np.ndarray:
+    """Column of each row in a cheapest one-to-one assignment (rows <= columns), by shortest augmenting paths."""
+    n, m = cost.shape
+    u, v, owner = np.zeros(n), np.zeros(m), np.full(m, -1)
+    for row in range(n):
+        least, back, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+        at, column = row, -1
+        while True:
+            reduced = np.where(done, np.inf, cost[at] - u[at] - v + (0 if column < 0 else least[column]))
+            better = reduced < least
+            least[better], back[better] = reduced[better], column
+            free = np.where(done, np.inf, least)
+            column = int(free.argmin())
+            done[column] = True
+            if owner[column] < 0:
+                break
+            at = owner[column]
+        end = least[column]
+        seen = done & (owner >= 0)
+        u[owner[seen]] += end - least[seen]
+        u[row] += end
+        v[done] -= end - least[done]
+        while column >= 0:
+            before = back[column]
+            owner[column] = owner[before] if before >= 0 else row
+            column = before
+    out = np.full(n, -1)
+    out[owner[owner >= 0]] = np.flatnonzero(owner >= 0)
+    return out
+
+
+def optimal_match(pairs: DataFrame, keys: list[str], unmatched: float, margin: float) -> DataFrame:
+    """Cheapest one-to-one matches of candidate pairs (a, b, distance) of each key, with the margin to the second best.
+
+    A row may stay alone at the cost ``unmatched``; a match is accepted if forbidding it costs ``margin`` more at least.
+    """
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields if f.name in keys)
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, i = np.unique(pdf["a"], return_inverse=True)
+        b, j = np.unique(pdf["b"], return_inverse=True)
+        cost = np.full((len(a), len(b) + len(a)), unmatched * 1e6)
+        cost[i, j] = pdf["distance"]
+        cost[np.arange(len(a)), len(b) + np.arange(len(a))] = unmatched
+        best = assign(cost)
+        total, out = cost[np.arange(len(a)), best].sum(), []
+        for row, column in enumerate(best):
+            if column < len(b):
+                other = cost.copy()
+                other[row, column] = unmatched * 1e6
+                gap = other[np.arange(len(a)), assign(other)].sum() - total
+                if gap >= margin:
+                    out.append((*(pdf[k].iloc[0] for k in keys), a[row], b[column], cost[row, column], gap))
+        return pd.DataFrame(out, columns=[*keys, "a", "b", "distance", "margin"])
+
+    return pairs.groupBy(*keys).applyInPandas(match, f"{kinds}, a long, b long, distance double, margin double")
+
+
+def frame_links(points: DataFrame, keys: list[str], frame: str, radius: float) -> DataFrame:
+    """(keys, a, b) of points (id, x, y) of neighbouring frames that are each other's nearest within the radius."""
+    ahead = points.withColumn(frame, F.col(frame) - 1)
+    pairs = pairs_within(points, ahead, [*keys, frame], radius)
+    return mutual_nearest(pairs, [*keys, frame]).select(*keys, "a", "b")
+
+
+def stitch(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """Joins of track ends (a) to track starts (b): the best candidate by (error, a, b) again and again, each end and start once."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema.fields if f.name in keys)
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        ends, starts, out = set(), set(), []
+        for row in pdf.sort_values(["error", "a", "b"]).itertuples(index=False):
+            if row.a not in ends and row.b not in starts:
+                ends.add(row.a)
+                starts.add(row.b)
+                out.append((*(getattr(row, k) for k in keys), row.a, row.b, row.error))
+        return pd.DataFrame(out, columns=[*keys, "a", "b", "error"])
+
+    return candidates.groupBy(*keys).applyInPandas(join, f"{kinds}, a long, b long, error double")

@@ -9,7 +9,10 @@ from panelforge.operators import panel
 from panelforge.plans.base import BASE, KEYS, c, day_bins, query, readings, table, unranked
 
 WE = "PARTITION BY entity ORDER BY bin"
-W = Window.partitionBy("entity").orderBy("bin")
+
+
+def by_bin():
+    return Window.partitionBy("entity").orderBy("bin")
 
 
 @query("2.1-1", "SELECT user_id AS entity, min(event_id) AS first_id, max(event_id) AS last_id, count(*) AS n, max(value) AS most FROM events GROUP BY 1")
@@ -72,8 +75,8 @@ def linear_gap_fill(s, d):
 
 @query("2.7-12 2.7-15", BASE + f", x AS (SELECT *, abs(v - lag(v) OVER ({WE})) AS step FROM b) SELECT entity, bin, length, round(coalesce(sum(step) OVER ({WE} ROWS UNBOUNDED PRECEDING), 0), 9) AS moved FROM x")
 def running_max_and_movement(s, d):
-    b = day_bins(s, d).withColumn("step", F.abs(c("v") - F.lag("v").over(W)))
-    return b.select("entity", "bin", "length", F.coalesce(F.sum("step").over(W.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)).alias("moved"))
+    b = day_bins(s, d).withColumn("step", F.abs(c("v") - F.lag("v").over(by_bin())))
+    return b.select("entity", "bin", "length", F.coalesce(F.sum("step").over(by_bin().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)).alias("moved"))
 
 
 @query("2.7-8 2.6-3", BASE + f" SELECT entity, bin, round(median(v) OVER ({WE} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 9) AS m FROM b")
@@ -122,8 +125,8 @@ def display_window(s, d):
 SELECT entity, bin, round(coalesce(v0, v1), 9) AS left_knot, round(coalesce(v1, v0), 9) AS right_knot FROM y WHERE v IS NULL""")
 def interpolation_knots(s, d):
     x = dense(s, d)
-    ahead = W.rowsBetween(0, Window.unboundedFollowing)
-    x = x.withColumn("v0", F.last("v", ignorenulls=True).over(W.rowsBetween(Window.unboundedPreceding, 0))).withColumn("v1", F.first("v", ignorenulls=True).over(ahead))
+    ahead = by_bin().rowsBetween(0, Window.unboundedFollowing)
+    x = x.withColumn("v0", F.last("v", ignorenulls=True).over(by_bin().rowsBetween(Window.unboundedPreceding, 0))).withColumn("v1", F.first("v", ignorenulls=True).over(ahead))
     return x.where("v IS NULL").select("entity", "bin", F.coalesce("v0", "v1").alias("left_knot"), F.coalesce("v1", "v0").alias("right_knot"))
 
 

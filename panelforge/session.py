@@ -22,4 +22,6 @@ def ship(spark: SparkSession) -> SparkSession:
                 z.write(p, Path("panelforge") / p.relative_to(root))
         sc.addPyFile(str(path))
         _shipped.add(sc.applicationId)
+    if sc.getCheckpointDir() is None:  # a cluster names a shared folder in spark.checkpoint.dir
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panelforge-"))
     return spark
