@@ -2,12 +2,13 @@
 
 1. Every document becomes its set of distinct 3-word shingles (64-bit hashes);
    equal sets collapse into one class.
-2. For a size class the hash order of shingles is cut into K segments, and
-   starting the order at each segment gives K orders. A set's prefix in an order
-   is its shingles of the first segment. Two sets whose similarity reaches the
-   threshold differ in K - 1 shingles at most, so in one order at least their
-   prefixes are identical: sets with identical prefixes and size class form one
-   group. Prefixes meet in hash buckets, whose number follows the input, as packs
+2. For a size class the hash order of shingles is cut into K + m segments, and
+   starting the order at each segment gives as many orders. A set's prefix in an
+   order is its shingles of the first segment. Two sets whose similarity reaches
+   the threshold differ in K - 1 shingles at most, so in m + 1 orders at least
+   their prefixes are identical: sets with identical prefixes and size class form
+   one group. An empty prefix says nothing and forms a group only for the rare
+   sets with more than m of them, so that linked sets always meet. Prefixes meet in hash buckets, whose number follows the input, as packs
    of a few bytes; each group ties its members to its least one, so m members
    give m ties, not m squared. (Prefixes of single rare shingles in one order
    tie documents that share no more than a passage; whole segments do not.)
@@ -96,9 +97,14 @@ def segments(k: np.ndarray, percent: int) -> np.ndarray:
     return np.floor(top * (100 - percent) / (100 + percent)).astype(np.int64) + 1
 
 
+def spare(parts: np.ndarray) -> np.ndarray:
+    """m for K: segments that may be empty."""
+    return 1 + parts // 64
+
+
 def prefix_keys(h: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of every grouped prefix. Sets so small that only equal ones can link have none."""
-    rows = np.flatnonzero(100 * (n - 1) >= percent * n)
+    rows = np.flatnonzero(100 * n >= percent * (n + 1))
     own = np.repeat(np.isin(np.arange(len(n)), rows), n)
     h, size = h[own], n[rows]
     row, tokens = np.repeat(np.arange(len(rows)), size), mix(h)
@@ -106,14 +112,18 @@ def prefix_keys(h: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray,
     for step in (0, 1):
         k = size_class(size, percent) - step
         parts = segments(k, percent)
+        few = spare(parts)
+        parts = parts + few
         base = np.cumsum(parts) - parts
         place = base[row] + ((h >> np.uint64(11)) % parts[row].astype(np.uint64)).astype(np.int64)
         total = np.zeros(int(parts.sum()), np.uint64)
         np.add.at(total, place, tokens)
+        filled = np.bincount(place, minlength=len(total)) > 0
+        use = filled | np.repeat(parts - np.add.reduceat(filled, base, dtype=np.int64) > few, parts) if len(base) else filled
         segment = np.arange(len(total)) - np.repeat(base, parts)
         salt = mix((np.repeat(k, parts) << 32 | segment).astype(np.uint64))
-        out_rows.append(np.repeat(rows, parts))
-        out_keys.append(mix(total ^ salt))
+        out_rows.append(np.repeat(rows, parts)[use])
+        out_keys.append(mix(total ^ salt)[use])
     return np.concatenate(out_rows), np.concatenate(out_keys)
 
 
