@@ -27,23 +27,27 @@ def _small(values: np.ndarray) -> tuple[int, bytes]:
     return size, values.astype(f"<u{size}").tobytes()
 
 
-def write(docs: np.ndarray, counts: np.ndarray, places: np.ndarray, keys: list[np.ndarray]) -> bytes:
-    """docs: an id per document; counts: its entries; places: ascending within it; keys: arrays of an entry each."""
+def write(docs: np.ndarray, tags: np.ndarray | None, counts: np.ndarray, places: np.ndarray, keys: list[np.ndarray]) -> bytes:
+    """docs: an id per document; tags: 32 bits that tell rows of one id apart; counts: entries; places: ascending within it; keys: arrays of an entry each."""
     steps = places.astype(np.int64).copy()
     first = np.cumsum(counts) - counts
     inner = np.ones(len(steps), bool)
     inner[first[counts > 0]] = False
     steps[1:][inner[1:]] = np.diff(places)[inner[1:]]
-    (a, x), (b, y) = _small(counts), _small(steps)
-    gaps = np.diff(docs, prepend=np.int64(0)).astype("<i8")
-    return b"".join([struct.pack("<IIBB", len(docs), len(places), a, b), gaps.tobytes(), x, y, *(k.tobytes() for k in keys)])
-
-
-def read(pack: bytes, kinds: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    n, m, a, b = struct.unpack_from("<IIBB", pack)
-    at = 10
-    docs = np.cumsum(np.frombuffer(pack, "<i8", n, at))
-    at += 8 * n
+    gaps = np.diff(docs.astype(np.int64), prepend=np.int64(0))
+    (g, w), (a, x), (b, y) = _small(((gaps << 1) ^ (gaps >> 63)).view(np.uint64)), _small(counts), _small(steps)
+    t = b"" if tags is None else tags.astype("<u4").tobytes()
+    return b"".join([struct.pack("<IIBBBB", len(docs), len(places), g, a, b, tags is not None), w, t, x, y, *(k.tobytes() for k in keys)])
+
+
+def read(pack: bytes, kinds: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray, list[np.ndarray]]:
+    n, m, g, a, b, tagged = struct.unpack_from("<IIBBBB", pack)
+    at = 12
+    gaps = np.frombuffer(pack, f"<u{g}", n, at).astype(np.uint64)
+    docs = np.cumsum((gaps >> np.uint64(1)).view(np.int64) ^ -(gaps & np.uint64(1)).view(np.int64))
+    at += g * n
+    tags = np.frombuffer(pack, "<u4", n, at) if tagged else None
+    at += 4 * n * tagged
     counts = np.frombuffer(pack, f"<u{a}", n, at).astype(np.int64)
     at += a * n
     steps = np.frombuffer(pack, f"<u{b}", m, at).astype(np.int64)
@@ -58,10 +62,18 @@ def read(pack: bytes, kinds: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, n
     for kind in kinds:
         keys.append(np.frombuffer(pack, kind, m, at))
         at += keys[-1].nbytes
-    return docs, counts, places, keys
+    return docs, tags, counts, places, keys
+
 
+def entries(packs, kinds: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Document, tag, place and keys of every entry of tagged packs."""
+    parts = [read(p, kinds) for p in packs]
+    doc = np.concatenate([np.repeat(d, c) for d, _, c, _, _ in parts])
+    tag = np.concatenate([np.repeat(t, c) for _, t, c, _, _ in parts])
+    return doc, tag, np.concatenate([p for *_, p, _ in parts]), [np.concatenate([k[i] for *_, k in parts]) for i in range(len(kinds))]
 
-def deal(bucket: np.ndarray, docs: np.ndarray, rows: np.ndarray, places: np.ndarray, keys: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+
+def deal(bucket: np.ndarray, docs: np.ndarray, tags: np.ndarray | None, rows: np.ndarray, places: np.ndarray, keys: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
     """Packs of entries (row of docs, place, keys...) by bucket; entries come in the order of row and place."""
     order = np.argsort(bucket.astype(np.uint16) if bucket.size and bucket.max() < 1 << 16 else bucket, kind="stable")
     sizes = np.bincount(bucket) if len(bucket) else []
@@ -70,7 +82,7 @@ def deal(bucket: np.ndarray, docs: np.ndarray, rows: np.ndarray, places: np.ndar
         at = order[stop[k] - sizes[k] : stop[k]]
         r = rows[at]
         own, counts = np.unique(r, return_counts=True)
-        yield int(k), write(docs[own], counts, places[at], [x[at] for x in keys])
+        yield int(k), write(docs[own], None if tags is None else tags[own], counts, places[at], [x[at] for x in keys])
 
 
 def batch_of(packs: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -82,28 +94,34 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def by_document(packed: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, places) of packs without keys that were dealt by document: places as sorted distinct u4 bytes."""
+def _firsts(*columns: np.ndarray) -> np.ndarray:
+    """Marks of the rows that differ from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return new
+
+
+def by_document(packed: DataFrame) -> DataFrame:
+    """(doc_id, tag, places) of packs without keys that were dealt by document: places as sorted distinct u4 bytes."""
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [read(p, ()) for p in pdf["pack"]]
-        doc = np.concatenate([np.repeat(d, c) for d, c, _, _ in parts])
-        place = np.concatenate([p for _, _, p, _ in parts])
-        order = np.lexsort((place, doc))
-        doc, place = doc[order], place[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
-        doc, place = doc[new], place[new].astype("<u4")
-        ids, first = np.unique(doc, return_index=True)
-        return pd.DataFrame({"doc_id": ids, "places": [p.tobytes() for p in np.split(place, first[1:])]})
-
-    return packed.groupBy("bucket").applyInPandas(gather, "doc_id long, places binary")
-
-
-def deal_documents(docs: np.ndarray, places: np.ndarray, buckets: int) -> pd.DataFrame:
-    """Entries (document, place) as packs dealt by document."""
-    order = np.lexsort((places, docs))
-    docs, places = docs[order], places[order]
-    own, row = np.unique(docs, return_inverse=True)
-    packs = list(deal(bucket_of(mix(docs.astype(np.int64).view(np.uint64)), buckets), own, row, places, [])) if len(docs) else []
+        doc, tag, place, _ = entries(pdf["pack"], ())
+        order = np.lexsort((place, tag, doc))
+        doc, tag, place = doc[order], tag[order], place[order]
+        new = _firsts(doc, tag, place)
+        doc, tag, place = doc[new], tag[new], place[new].astype("<u4")
+        first = np.flatnonzero(_firsts(doc, tag))
+        return pd.DataFrame({"doc_id": doc[first], "tag": tag[first].astype(np.int64), "places": [p.tobytes() for p in np.split(place, first[1:])]})
+
+    return packed.groupBy("bucket").applyInPandas(gather, "doc_id long, tag long, places binary")
+
+
+def deal_documents(docs: np.ndarray, tags: np.ndarray, places: np.ndarray, buckets: int) -> pd.DataFrame:
+    """Entries (document, tag, place) as packs dealt by document."""
+    order = np.lexsort((places, tags, docs))
+    docs, tags, places = docs[order], tags[order], places[order]
+    row = np.cumsum(_firsts(docs, tags)) - 1 if len(docs) else docs
+    first = np.searchsorted(row, np.arange(row[-1] + 1)) if len(docs) else row
+    own = docs[first]
+    packs = list(deal(bucket_of(mix(docs.astype(np.int64).view(np.uint64)), buckets), own, tags[first], row, places, [])) if len(docs) else []
     return pd.DataFrame({"bucket": np.array([k for k, _ in packs], np.int32), "pack": [b for _, b in packs]})

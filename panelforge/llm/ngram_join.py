@@ -141,13 +141,13 @@ def _ties(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
                 row, key = prefix_keys(h, n, percent)
                 order = np.argsort(row, kind="stable")
                 row, key = row[order], key[order]
-                packs = list(blobs.deal(blobs.bucket_of(key, buckets), own, row, np.zeros(len(row), np.int64), [key.astype("<u4"), (key >> np.uint64(32)).astype("<u1")]))
+                packs = list(blobs.deal(blobs.bucket_of(key, buckets), own, None, row, np.zeros(len(row), np.int64), [key.astype("<u4"), (key >> np.uint64(32)).astype("<u1")]))
                 if packs:
                     yield blobs.batch_of(packs)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [blobs.read(p, ("<u4", "<u1")) for p in pdf["pack"]]
-        own = np.concatenate([np.repeat(d, c) for d, c, _, _ in parts])
+        own = np.concatenate([np.repeat(d, c) for d, _, c, _, _ in parts])
         key = np.concatenate([k[0].astype(np.uint64) << np.uint64(8) | k[1] for *_, k in parts])
         order = np.argsort(key)
         key, own = key[order], own[order]

@@ -14,7 +14,8 @@ group of m copies costs m entries.
 Defined results: null text has no words; a null doc_id is neither source nor
 target and keeps its words; rows that repeat a doc_id count as one document
 for order, each row is returned; empty tables give no rows. Other columns go
-through in the struct ``rest`` on request.
+through in the struct ``rest`` on request. (Rows of one doc_id are told apart by
+32 bits of their text, its ``tag``.)
 """
 
 from __future__ import annotations
@@ -38,11 +39,11 @@ def _probes(docs: DataFrame, block: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                ids = part.column(0).to_numpy()
+                ids, tags = part.column(0).to_numpy(), part.column(2).to_numpy()
                 words = Words(part.column(1))
                 at, h = words.rolling(block)
                 row = np.repeat(np.arange(len(ids)), words.counts)[at]
-                packs = list(blobs.deal(blobs.bucket_of(h, buckets), ids, row, at - words.rows[row], [h.astype("<u4")]))
+                packs = list(blobs.deal(blobs.bucket_of(h, buckets), ids, tags, row, at - words.rows[row], [h.astype("<u4")]))
                 if packs:
                     yield blobs.batch_of(packs)
 
@@ -53,19 +54,16 @@ def _anchors(packed: DataFrame, block: int, buckets: int) -> DataFrame:
     """Places whose block hash is an aligned block's and stands in two documents or more."""
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [blobs.read(p, ("<u4",)) for p in pdf["pack"]]
-        doc = np.concatenate([np.repeat(d, c) for d, c, _, _ in parts])
-        place = np.concatenate([p for _, _, p, _ in parts])
-        h = np.concatenate([k[0] for *_, k in parts])
+        doc, tag, place, (h,) = blobs.entries(pdf["pack"], ("<u4",))
         order = np.argsort(h, kind="stable")
         sorted_h, sorted_doc = h[order], doc[order]
         first = np.flatnonzero(np.append(True, sorted_h[1:] != sorted_h[:-1]))
         aligned = np.logical_or.reduceat((place % block == 0)[order], first)
         several = np.minimum.reduceat(sorted_doc, first) != np.maximum.reduceat(sorted_doc, first)
         hit = order[np.repeat(aligned & several, np.diff(np.append(first, len(h))))]
-        return blobs.deal_documents(doc[hit], place[hit], buckets)
+        return blobs.deal_documents(doc[hit], tag[hit], place[hit], buckets)
 
-    return blobs.by_document(packed.groupBy("bucket").applyInPandas(meet, blobs.PACKED), buckets)
+    return blobs.by_document(packed.groupBy("bucket").applyInPandas(meet, blobs.PACKED))
 
 
 def _windows(joined: DataFrame, window: int, block: int, buckets: int) -> DataFrame:
@@ -74,10 +72,10 @@ def _windows(joined: DataFrame, window: int, block: int, buckets: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                ids = part.column(0).to_numpy()
+                ids, tags = part.column(0).to_numpy(), part.column(2).to_numpy()
                 words = Words(part.column(1), hashes=2)
                 anchor = np.zeros(len(words.starts) + 1, np.int64)
-                for row, places in enumerate(part.column(2).to_pylist()):
+                for row, places in enumerate(part.column(3).to_pylist()):
                     anchor[words.rows[row] + np.frombuffer(places, "<u4").astype(np.int64)] = 1
                 before = np.concatenate([[0], np.cumsum(anchor)])
                 at, h = words.rolling(window)
@@ -85,7 +83,7 @@ def _windows(joined: DataFrame, window: int, block: int, buckets: int) -> DataFr
                 near = before[at + window - block + 1] > before[at]
                 at, h, h2 = at[near], h[near], h2[near]
                 row = np.repeat(np.arange(len(ids)), words.counts)[at]
-                packs = list(blobs.deal(blobs.bucket_of(h, buckets), ids, row, at - words.rows[row], [h.astype("<u8"), h2.astype("<u4")]))
+                packs = list(blobs.deal(blobs.bucket_of(h, buckets), ids, tags, row, at - words.rows[row], [h.astype("<u8"), h2.astype("<u4")]))
                 if packs:
                     yield blobs.batch_of(packs)
 
@@ -96,18 +94,15 @@ def _repeated(packed: DataFrame, buckets: int) -> DataFrame:
     """Window starts of each document whose words also start in a document with a smaller id."""
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [blobs.read(p, ("<u8", "<u4")) for p in pdf["pack"]]
-        doc = np.concatenate([np.repeat(d, c) for d, c, _, _ in parts])
-        place = np.concatenate([p for _, _, p, _ in parts])
-        a, b = (np.concatenate([k[i] for *_, k in parts]) for i in (0, 1))
+        doc, tag, place, (a, b) = blobs.entries(pdf["pack"], ("<u8", "<u4"))
         order = np.lexsort((b, a))
-        a, b, doc, place = a[order], b[order], doc[order], place[order]
+        a, b, doc, tag, place = a[order], b[order], doc[order], tag[order], place[order]
         first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
         least = np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(a))))
         later = doc > least
-        return blobs.deal_documents(doc[later], place[later], buckets)
+        return blobs.deal_documents(doc[later], tag[later], place[later], buckets)
 
-    return blobs.by_document(packed.groupBy("bucket").applyInPandas(meet, blobs.PACKED), buckets)
+    return blobs.by_document(packed.groupBy("bucket").applyInPandas(meet, blobs.PACKED))
 
 
 def _removed(joined: DataFrame, window: int, schema: str) -> DataFrame:
@@ -146,14 +141,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = input_buckets(docs)
     cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
     named = docs.select(*cols, *([F.struct(*[F.col(c) for c in rest]).alias("rest")] if rest else []))
-    known = named.where("doc_id is not null")
-    anchors = materialized(_anchors(_probes(known.select("doc_id", "text"), block, buckets), block, buckets))
-    near = known.join(anchors, "doc_id").select("doc_id", "text", "places")
+    known = named.where("doc_id is not null").withColumn("tag", F.crc32(F.col("text").cast("binary")))
+    anchors = materialized(_anchors(_probes(known.where("text is not null").select("doc_id", "text", "tag"), block, buckets), block, buckets))
+    near = known.join(anchors, ["doc_id", "tag"]).select("doc_id", "text", "tag", "places")
     places = _repeated(_windows(near, window, block, buckets), buckets)
     schema = "doc_id long, n_words long, n_removed long, kept_text string"
     if rest:
         schema += f", rest {named.schema['rest'].dataType.simpleString()}"
     more = ["rest"] if rest else []
-    joined = known.join(places, "doc_id", "left").select("doc_id", "text", "places", *more)
+    joined = known.join(places, ["doc_id", "tag"], "left").select("doc_id", "text", "places", *more)
     nameless = named.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("binary").alias("places"), *more)
     return _removed(joined.unionByName(nameless), window, schema)
