@@ -117,5 +117,5 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return at.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "n_lines", "n_shouts", "n_stop_words", "n_doubled",
-        base.alias("base_failed"), (~base & verdict(rules)).alias("kept"),
+        base.alias("base_failed"), F.when(base, F.lit(False)).otherwise(verdict(rules)).alias("kept"),
     )
