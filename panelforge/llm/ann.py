@@ -11,7 +11,7 @@ in one substring at least (the pigeonhole; the first r % m + 1 substrings are
 probed to r // m, the others one less), so the tables return every such code;
 full codes are compared, and the floats rerank what is left. r is learned from
 the sample as the distance that holds ``HOLD`` of true neighbours; a query with
-fewer than k codes inside takes its k closest codes of the block.
+fewer than ``LEAST`` times k codes inside takes so many closest codes of the block.
 
 Defined results: vectors null, zero or with null or non-finite components (or
 another length than the first vector's) take no part; equal scores go by
@@ -28,9 +28,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.llm.common import smallest
+
 BITS, PART_BITS = 256, 16
 SAMPLE, HOLD, ROUNDS, SEED = 4096, 0.985, 20, 5
-INDEX_ROWS, QUERY_ROWS = 8192, 1024
+INDEX_ROWS, QUERY_ROWS, LEAST = 8192, 1024, 5
 
 
 def valid(vectors: DataFrame, id_col: str, vector_col: str, dim: int | None = None) -> DataFrame:
@@ -98,9 +100,9 @@ def search_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarra
             apart += off[place]
         other = ids != q_ids[i]
         found = np.flatnonzero(hit & (apart <= radius) & other)
-        if len(found) < k:
+        if len(found) < LEAST * k:
             left = np.flatnonzero(other)
-            found = left[np.argsort(apart[left], kind="stable")[:k]]
+            found = left[np.argsort(apart[left], kind="stable")[: LEAST * k]]
         score = x[found] @ q[i]
         best = np.lexsort((ids[found], -score))[:k]
         yield i, ids[found][best], score[best]
@@ -119,7 +121,7 @@ def nearest(
     x, q = valid(vectors, id_col, vector_col, first["d"]), valid(queries, id_col, vector_col, first["d"])
     size = x.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b))).alias("most")).first()
     asked = q.count()
-    sample = np.array([r["v"] for r in x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()])
+    sample = np.array([r["v"] for r in smallest(x.select(F.xxhash64("v").alias("h"), "v"), "h", SAMPLE).collect()])
     model = spark.sparkContext.broadcast(learn(sample, size["most"], k, size["n"]))
     blocks, query_blocks = max(1, -(-size["n"] // index_rows)), max(1, -(-asked // query_rows))
 
@@ -132,7 +134,7 @@ def nearest(
 
     def meet(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(asks):
-            return pd.DataFrame({"query_id": [], "found": []})
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "found": pd.Series(dtype="object")})
         got = search_block(np.stack(rows["v"].to_numpy()), rows["vec_id"].to_numpy(), np.stack(asks["v"].to_numpy()), asks["vec_id"].to_numpy(), model.value, k)
         out = [[{"score": float(s), "vec_id": int(n)} for n, s in zip(ids, scores)] for _, ids, scores in got]
         return pd.DataFrame({"query_id": asks["vec_id"].to_numpy(), "found": out})

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,3 +32,16 @@ def materialized(df: DataFrame) -> DataFrame:
 def input_buckets(df: DataFrame, per_partition: int = 2, least: int = 8) -> int:
     """Number of hash buckets in proportion to the input: a fixed number for each input split."""
     return max(least, per_partition * df.rdd.getNumPartitions())
+
+
+def smallest(df: DataFrame, key: str, n: int) -> DataFrame:
+    """A bounded sample: one row for each of the n smallest values of the hash column ``key``.
+
+    A threshold from the number of distinct values leaves some 2 n of them, so what partitions sort and send does not
+    grow with the input; copies of a row have one hash and meet in a partial aggregation.
+    """
+    values = df.agg(F.approx_count_distinct(key)).first()[0]
+    if values > 4 * n:
+        df = df.where(F.col(key) < int(2**65 * n / values) - 2**63)
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.min(F.struct(*rest)).alias("row")).orderBy(key).limit(n).select(key, "row.*")

@@ -7,7 +7,7 @@ window, every byte position of the whole text gets class probabilities, and
 their mean logarithm over all positions gives the document's probabilities.
 
 Training takes a bounded sample (``SAMPLE_ROWS`` slices of ``SLICE_CHARS``
-characters from the rows whose hash is smallest); scoring covers every row and
+characters from the distinct texts whose hash is smallest); scoring covers every row and
 every byte. Weights are some ten KB and travel as a broadcast.
 
 Defined results: a null text or one without letters is ``und`` with score 0;
@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.llm.common import smallest
+
 HIDDEN, WINDOW = 8, 64
 SAMPLE_ROWS, SLICE_CHARS = 3000, 256
 EPOCHS, BATCH, RATE, SEED = 8, 128, 0.02, 7
@@ -158,7 +160,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", row
     t = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(text_col).alias("t"), F.col(lang_col).alias("lang"))
     t = t.withColumn("h", F.xxhash64("t"))
     room = F.greatest(F.lit(1), F.length("t") - chars)
-    sample = t.select("h", "lang", F.substring("t", F.pmod(F.xxhash64("h"), room).cast("int") + 1, F.lit(chars)).alias("t")).orderBy("h", "lang").limit(rows).collect()
+    sample = smallest(t.select("h", "lang", F.substring("t", F.pmod(F.xxhash64("h"), room).cast("int") + 1, F.lit(chars)).alias("t")), "h", rows).collect()
     languages = sorted({r["lang"] for r in sample})
     windows, labels = [], []
     for r in sample:
