@@ -15,6 +15,9 @@ an empty table gives no pieces.
 
 from __future__ import annotations
 
+import functools
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -26,28 +29,64 @@ WINDOW, END_ID, MEMO_WORDS = 2048, 1, 400_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class WordTokens(dict):
-    """Bytes of the ids of each white-space word; forgets all words when it holds ``MEMO_WORDS``.
+#: Words of these characters are cut into the vocabulary's pieces here; all others go through the tokenizer whole.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u017f]+")
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u017f]+|[0-9]|[^a-z0-9\u00c0-\u017f]+")
 
-    The vocabulary drops white space before it splits words, so a text's ids
-    are those of its words in turn.
-    """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+class Memo(dict):
+    """Bytes of the ids of text parts, as ``make`` gives them; the latest ``MEMO_WORDS`` parts are known at least, twice as many at most."""
 
+    def __init__(self, make):
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.make, self.old = make, {}
 
-    def __missing__(self, word: bytes) -> bytes:
+    def __missing__(self, part):
         if len(self) >= MEMO_WORDS:
+            self.old = dict(self)
             self.clear()
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        out = self[word] = np.array(ids, "<u4").tobytes()
+        known = self.old.get(part)
+        out = self[part] = self.make(part) if known is None else known
         return out
 
+
+class WordTokens:
+    """Ids of a text from those of its white-space words in turn.
+
+    The vocabulary lower-cases, drops white space and splits words into runs of
+    letters, digits and other characters before it merges anything, so equal
+    parts have equal ids wherever they stand.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merge, self.as_bytes = self.tokenizer.model.tokenize, ByteLevel(add_prefix_space=False, use_regex=False)
+        self.parts, self.words = Memo(self._part), Memo(self._word)
+
+    def _part(self, part: str) -> bytes:
+        if not part.isascii():
+            part = self.as_bytes.pre_tokenize_str(part)[0][0]
+        ids = [x.id for x in self.merge(part)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            parts = _PIECES.findall(text.lower())
+            return self.parts[parts[0]] if len(parts) == 1 else b"".join([self.parts[x] for x in parts])
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def of(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.words.__getitem__, text.split()))
+
+
+@functools.cache
+def word_tokens(path: str) -> WordTokens:
+    """One for each Python worker, so that its tasks share what they know."""
+    return WordTokens(path)
 
 
 class SumOfSquares:
@@ -114,7 +153,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokens, end = WordTokens(name), np.array([end_id], "<u4").tobytes()
+        tokens, end = word_tokens(name), np.array([end_id], "<u4").tobytes()
         made, rows = TaskContext.get().partitionId() << 33, []
 
         def new_id() -> int:
