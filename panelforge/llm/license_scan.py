@@ -82,22 +82,19 @@ def license_spans(
     hits = grams.join(t, same).select("doc_id", "text_hash", "tid", "label", "is_base", "t_grams", "t_at", (F.col("at") - F.col("t_at")).alias("diagonal"))
     key = ["doc_id", "text_hash", "tid", "label", "is_base", "t_grams"]
     votes = hits.groupBy(*key, "diagonal").agg(F.collect_set("t_at").alias("held"))  # a template's positions at most
-    exact = votes.where(F.col("is_base") & (F.size("held") == F.col("t_grams"))).select(
-        *key, F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("t_grams") + (K - 1)).alias("stop"), F.lit(1.0).alias("cover")
-    )
+    # a phrase must stand whole on one diagonal; runs of near diagonals are one span of a template
+    votes = votes.where(F.when(F.col("is_base"), F.size("held") == F.col("t_grams")).otherwise(F.size("held") >= 2))
     by = Window.partitionBy("doc_id", "text_hash", "tid").orderBy("diagonal")
-    long = votes.where(~F.col("is_base") & (F.size("held") >= 2))
-    long = long.withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(by) > drift).cast("int"))
-    long = long.withColumn("run", F.sum(F.coalesce("new", F.lit(1))).over(by))
-    long = long.groupBy(*key, "run").agg(
+    votes = votes.withColumn("new", (F.col("is_base") | (F.col("diagonal") - F.lag("diagonal").over(by) > drift)).cast("int"))
+    votes = votes.withColumn("run", F.sum(F.coalesce("new", F.lit(1))).over(by))
+    spans = votes.groupBy(*key, "run").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("held")))).alias("n"),
         F.min(F.col("diagonal") + F.array_min("held")).alias("start"),
         F.max(F.col("diagonal") + F.array_max("held") + K).alias("stop"),
     )
-    long = long.withColumn("cover", F.col("n") / F.col("t_grams")).where(
-        (F.col("cover") >= least_cover) & (F.col("stop") - F.col("start") <= 1.25 * (F.col("t_grams") + K - 1))
-    )
-    return exact.unionByName(long.select(*exact.columns)).drop("tid", "t_grams")
+    spans = spans.withColumn("cover", F.col("n") / F.col("t_grams"))
+    whole = (F.col("cover") >= least_cover) & (F.col("stop") - F.col("start") <= 1.25 * (F.col("t_grams") + K - 1))
+    return spans.where(F.col("is_base") | whole).select("doc_id", "text_hash", "label", "is_base", "start", "stop", "cover")
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

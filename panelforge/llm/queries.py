@@ -145,4 +145,51 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_substring_dedup": OP6_SQL, "op8_quality_rules": OP8_SQL}
+_TEMPLATES = ", ".join(
+    f"({i}, '{label}', {str(i < len(license_scan.PHRASES)).lower()}, '{text}')" for i, (text, label) in enumerate([*license_scan.PHRASES, *license_scan.TEMPLATES])
+)
+
+#: License scan: word triples of texts and templates, votes by diagonal, runs of near diagonals, spans that hold.
+OP5_SQL = f"""
+WITH t AS (SELECT tid, label, is_base, string_split(t, ' ') AS w FROM (VALUES {_TEMPLATES}) v(tid, label, is_base, t)),
+tg AS (SELECT tid, label, is_base, len(w) - 2 AS t_grams, p AS t_at, list_slice(w, p + 1, p + 3) AS g FROM (SELECT *, unnest(range(0, len(w) - 2)) AS p FROM t)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}'), '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), lambda x: x <> '') AS w FROM documents),
+dg AS (SELECT rid, p, list_slice(w, p + 1, p + 3) AS g FROM (SELECT rid, w, unnest(range(0, greatest(len(w) - 2, 0))) AS p FROM d)),
+votes AS (SELECT rid, tid, label, is_base, t_grams, p - t_at AS diagonal, list(t_at) AS held FROM dg JOIN tg ON dg.g = tg.g GROUP BY ALL),
+strong AS (SELECT * FROM votes WHERE CASE WHEN is_base THEN len(held) = t_grams ELSE len(held) >= 2 END),
+runs AS (
+  SELECT *, sum(new) OVER (PARTITION BY rid, tid ORDER BY diagonal) AS run
+  FROM (SELECT *, CASE WHEN is_base OR diagonal - lag(diagonal) OVER (PARTITION BY rid, tid ORDER BY diagonal) <= 4 THEN CAST(is_base AS INT) ELSE 1 END AS new FROM strong)
+),
+spans AS (
+  SELECT rid, label, is_base, t_grams, len(list_distinct(flatten(list(held)))) / t_grams AS cover, min(diagonal + list_min(held)) AS start, max(diagonal + list_max(held) + 3) AS stop
+  FROM runs GROUP BY rid, tid, label, is_base, t_grams, run
+),
+found AS (
+  SELECT rid, count(*) FILTER (is_base) AS n_base, min(start) FILTER (is_base) AS first_word, max(start) FILTER (is_base) AS last_word,
+    array_to_string(list_sort(list_distinct(list(label) FILTER (is_base))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(cover) AS score
+  FROM spans WHERE is_base OR (cover >= 0.6 AND stop - start <= 1.25 * (t_grams + 2)) GROUP BY 1
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN found ON d.rid = found.rid
+"""
+
+#: N-gram join: classes of equal sets, exact intersections through shared shingles, components by walking the links.
+OP9_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda p: list_slice(w, p, p + 2)))) END AS sh FROM d
+),
+class AS (SELECT sh, len(sh) AS n, min(doc_id) AS rep FROM s WHERE len(sh) > 0 AND doc_id IS NOT NULL GROUP BY sh),
+one AS (SELECT rep, n, unnest(sh) AS g FROM class),
+pairs AS (SELECT a.rep AS a, b.rep AS b FROM one a JOIN one b ON a.g = b.g AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+walk AS (SELECT rep AS id, rep AS least FROM class UNION SELECT l.b, w.least FROM walk w JOIN links l ON l.a = w.id WHERE w.least < l.b),
+found AS (SELECT id, min(least) AS component FROM walk GROUP BY 1)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(found.component, s.doc_id) AS component_id
+FROM s LEFT JOIN class ON s.sh = class.sh LEFT JOIN found ON found.id = class.rep
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_license_scan": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op8_quality_rules": OP8_SQL, "op9_ngram_jaccard_join": OP9_SQL}
