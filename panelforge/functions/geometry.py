@@ -84,3 +84,61 @@ def inside_polygon(x: Column, y: Column, corners: list[tuple[float, float]]) ->
             crosses = ((F.lit(ay) > y) != (F.lit(by) > y)) & (x < F.lit(bx - ax) * (y - F.lit(ay)) / F.lit(by - ay) + F.lit(ax))
             crossings = crossings + crosses.cast("int")
     return crossings % 2 == 1
+
+
+def arc_points(path: Column) -> Column:
+    """The path with s, the length up to each point: array of structs s, x, y."""
+    step = lambda acc, p: F.concat(acc, F.array(F.struct((F.element_at(acc, -1)["s"] + F.hypot(p["x"] - F.element_at(acc, -1)["x"], p["y"] - F.element_at(acc, -1)["y"])).alias("s"), p["x"].alias("x"), p["y"].alias("y"))))
+    first = F.element_at(path, 1)
+    start = F.array(F.struct(F.lit(0.0).alias("s"), first["x"].alias("x"), first["y"].alias("y")))
+    return F.aggregate(F.slice(path, F.lit(2), F.greatest(F.size(path) - 1, F.lit(0))), start, step)
+
+
+def _between(a: Column, b: Column, s: Column) -> Column:
+    """Point at arc length s on the line from a to b (structs s, x, y)."""
+    t = F.when(b["s"] > a["s"], (s - a["s"]) / (b["s"] - a["s"])).otherwise(F.lit(0.0))
+    return F.struct(s.alias("s"), (a["x"] + (b["x"] - a["x"]) * t).alias("x"), (a["y"] + (b["y"] - a["y"]) * t).alias("y"))
+
+
+def point_at(arcs: Column, s: Column) -> Column:
+    """Point of arc_points() at arc length s, held at the ends."""
+    after = F.coalesce(F.try_element_at(F.filter(arcs, lambda p: p["s"] >= s), F.lit(1)), F.element_at(arcs, -1))
+    before = F.coalesce(F.try_element_at(F.filter(arcs, lambda p: p["s"] < s), F.lit(-1)), F.element_at(arcs, 1))
+    return _between(before, after, F.least(F.greatest(s, F.lit(0.0)), F.element_at(arcs, -1)["s"]))
+
+
+def resampled(arcs: Column, step: float, keep_end: bool) -> Column:
+    """Points every ``step`` of arc length; the last point too, if asked."""
+    total = F.element_at(arcs, -1)["s"]
+    inner = F.transform(F.sequence(F.lit(0), F.ceil(total / step).cast("int") - 1), lambda k: point_at(arcs, k * F.lit(step)))
+    inner = F.when(total > 0, inner).otherwise(F.slice(arcs, 1, 1))
+    return F.concat(inner, F.slice(arcs, F.size(arcs), F.lit(1))) if keep_end else inner
+
+
+def cut_at(arcs: Column, length: Column) -> Column:
+    """The path up to an arc length, its last point interpolated; unchanged if shorter."""
+    kept = F.filter(arcs, lambda p: p["s"] < length)
+    return F.when(F.element_at(arcs, -1)["s"] <= length, arcs).otherwise(F.concat(kept, F.array(point_at(arcs, length))))
+
+
+def cut_at_circle(path: Column, cx: Column, cy: Column, r: Column) -> Column:
+    """The part outside a circle from the first crossing on; all if it starts outside, the last point if it never leaves."""
+    away = lambda p: F.hypot(p["x"] - cx, p["y"] - cy)
+    k = F.aggregate(F.transform(path, away), F.struct(F.lit(0).alias("i"), F.lit(0).alias("hit")), lambda a, d: F.struct((a["i"] + 1).alias("i"), F.when((a["hit"] == 0) & (d >= r), a["i"] + 1).otherwise(a["hit"]).alias("hit")))["hit"]
+    b, a = F.get(path, k - 1), F.get(path, k - 2)
+    t = (r - away(a)) / (away(b) - away(a))
+    edge = F.struct((a["x"] + (b["x"] - a["x"]) * t).alias("x"), (a["y"] + (b["y"] - a["y"]) * t).alias("y"))
+    return F.when(k == 0, F.slice(path, F.size(path), F.lit(1))).when(k == 1, path).otherwise(F.concat(F.array(edge), F.slice(path, k, F.size(path))))
+
+
+def projection(path: Column, px: Column, py: Column) -> Column:
+    """struct(d, s): distance of a point from its nearest place on the path, and the arc length there; first at ties."""
+    arcs = arc_points(path)
+
+    def near(a: Column, b: Column) -> Column:
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        size = dx * dx + dy * dy
+        t = F.when(size > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((px - a["x"]) * dx + (py - a["y"]) * dy) / size))).otherwise(F.lit(0.0))
+        return F.when(b.isNotNull(), F.struct(F.hypot(px - a["x"] - t * dx, py - a["y"] - t * dy).alias("d"), (a["s"] + t * F.sqrt(size)).alias("s")))
+
+    return F.array_min(F.filter(F.zip_with(arcs, F.slice(arcs, F.lit(2), F.size(arcs)), near), lambda x: x.isNotNull()))

@@ -30,7 +30,7 @@ def safe_name(name: Column) -> Column:
 
 def number_text(value: Column, digits: int) -> Column:
     """Fixed decimals, blank for null."""
-    return F.coalesce(F.format_string(f"%.{digits}f", value), F.lit(""))
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", value)).otherwise(F.lit(""))
 
 
 def value_kind(text: Column) -> Column:
