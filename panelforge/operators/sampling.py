@@ -51,7 +51,7 @@ def planned_bins(first: Column, n_bins: Column, early: int = 6, apart: int = 8)
     """Bins to ask about: soon after the first, at 40 % and 70 % of the last full bin, and that bin; close ones merge
     into the last of them."""
     last = n_bins - 2
-    want = F.array(first + early, F.floor(last * 0.4), F.floor(last * 0.7), last)
+    want = F.array(first + early, F.bround(last * F.lit(0.4)).cast("long"), F.bround(last * F.lit(0.7)).cast("long"), last)
     want = F.array_sort(F.array_distinct(F.filter(want, lambda b: (b >= first + early) & (b <= last))))
     fold = F.aggregate(
         want,

@@ -195,7 +195,7 @@ def one_of_each(s, d):
     return sampling.one_of_each(table(s, d, "customer"), "c_nationkey", "c_custkey", 4).select("c_custkey", "c_nationkey")
 
 
-@query("2.8-10", BASE + """, f AS (SELECT entity, min(bin) AS fv, max(bin) + 2 AS nb FROM b GROUP BY 1), w AS (SELECT entity, fv, nb, unnest(list_distinct([fv + 6, floor((nb - 2) * 0.4)::BIGINT, floor((nb - 2) * 0.7)::BIGINT, nb - 2])) AS t FROM f),
+@query("2.8-10", BASE + """, f AS (SELECT entity, min(bin) AS fv, max(bin) + 2 AS nb FROM b GROUP BY 1), w AS (SELECT entity, fv, nb, unnest(list_distinct([fv + 6, round_even((nb - 2)::DOUBLE * 0.4::DOUBLE, 0)::BIGINT, round_even((nb - 2)::DOUBLE * 0.7::DOUBLE, 0)::BIGINT, nb - 2])) AS t FROM f),
 o AS (SELECT entity, list_sort(list(t) FILTER (t >= fv + 6 AND t <= nb - 2)) AS ts, nb FROM w GROUP BY entity, nb) SELECT entity, list_reduce(list_prepend(CAST([] AS BIGINT[]), list_transform(ts, lambda t: [t])), lambda k, t: CASE WHEN len(k) > 0 AND t[1] - k[-1] < 8 THEN CASE WHEN t[1] = nb - 2 THEN list_concat(k[:-2], t) ELSE k END ELSE list_concat(k, t) END) AS bins FROM o WHERE ts IS NOT NULL""")
 def planned_bins(s, d):
     f = day_bins(s, d).groupBy("entity").agg(F.min("bin").alias("fv"), (F.max("bin") + 2).alias("nb"))
