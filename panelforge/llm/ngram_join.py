@@ -8,15 +8,21 @@
    the threshold differ in K - 1 shingles at most, so in m + 1 orders at least
    their prefixes are identical: sets with identical prefixes and size class form
    one group. An empty prefix says nothing and forms a group only for the rare
-   sets with more than m of them, so that linked sets always meet. Prefixes meet in hash buckets, whose number follows the input, as packs
-   of a few bytes; each group ties its members to its least one, so m members
-   give m ties, not m squared. (Prefixes of single rare shingles in one order
-   tie documents that share no more than a passage; whole segments do not.)
+   sets with more than m of them, so that linked sets always meet. A chunk of
+   texts ties its members of a group to their least one and sends only that on;
+   the least ones meet in hash buckets, whose number follows the input, as packs
+   of a few bytes, and are tied to the least of all. So m members give m ties,
+   not m squared, and a group of a third of all rows sends an entry for each
+   chunk. (Prefixes of single rare shingles in one order tie documents that share
+   no more than a passage; whole segments do not.)
 3. Ties merge into families, which hold every linked pair. Families are expanded
    to their members and verified on whole sets. A family over ``BLOCK_MEMBERS``
-   members or ``BLOCK_SHINGLES`` shingles is cut into blocks, and each pair of
-   blocks is verified on its own, so a task stays bounded; a task returns a
-   spanning forest of the links that it found.
+   members or ``BLOCK_SHINGLES`` shingles is cut into blocks: first each block is
+   verified together with the family's least set, its centre; members that no
+   chain of links ties to the centre inside their block are then verified
+   against all blocks. A task stays bounded, and a group of near copies of one
+   text takes one comparison for each member. A task returns a spanning forest of
+   the links that it found.
 4. Components of the links give the result.
 
 Defined results: null or blank texts have an empty set and link with nothing;
@@ -130,6 +136,16 @@ def prefix_keys(h: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray,
 def _ties(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
     """(a, b): first signature halves of sets in one group, b the least of the group."""
 
+    def tied(key: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, least of each, pairs of others with it)."""
+        order = np.argsort(key)
+        key, own = key[order], own[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+        least = np.minimum.reduceat(own, first) if len(key) else own
+        whole = np.repeat(least, np.diff(np.append(first, len(key))))
+        other = own != whole
+        return key[first], least, np.unique(np.stack([own[other], whole[other]], axis=1), axis=0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text", 8 << 20):
@@ -139,31 +155,31 @@ def _ties(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
                 use = np.isin(np.arange(len(n)), once)
                 h, n, own = h[np.repeat(use, n)], n[use], own[use]
                 row, key = prefix_keys(h, n, percent)
+                key, least, pairs = tied(key, own[row])
+                sets, row = np.unique(least, return_inverse=True)
                 order = np.argsort(row, kind="stable")
                 row, key = row[order], key[order]
-                packs = list(blobs.deal(blobs.bucket_of(key, buckets), own, None, row, np.zeros(len(row), np.int64), [key.astype("<u4"), (key >> np.uint64(32)).astype("<u1")]))
+                packs = list(blobs.deal(blobs.bucket_of(key, buckets), sets, None, row, np.zeros(len(row), np.int64), [key.astype("<u4"), (key >> np.uint64(32)).astype("<u1")]))
                 if packs:
-                    yield blobs.batch_of(packs)
+                    rows = [(k, p, None) for k, p in packs] + [(packs[0][0], None, pairs.tobytes())]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "pack", "pairs"])
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [blobs.read(p, ("<u4", "<u1")) for p in pdf["pack"]]
+        parts = [blobs.read(p, ("<u4", "<u1")) for p in pdf["pack"] if p is not None]
         own = np.concatenate([np.repeat(d, c) for d, _, c, _, _ in parts])
         key = np.concatenate([k[0].astype(np.uint64) << np.uint64(8) | k[1] for *_, k in parts])
-        order = np.argsort(key)
-        key, own = key[order], own[order]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        least = np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(key))))
-        tied = own != least
-        return pd.DataFrame(np.unique(np.stack([own[tied], least[tied]], axis=1), axis=0), columns=["a", "b"])
+        near = [np.frombuffer(p, np.int64).reshape(-1, 2) for p in pdf["pairs"] if p is not None]
+        return pd.DataFrame(np.unique(np.concatenate([tied(key, own)[2], *near]), axis=0), columns=["a", "b"])
 
-    return docs.select("text").mapInArrow(run, blobs.PACKED).groupBy("bucket").applyInPandas(meet, "a long, b long")
+    return docs.select("text").mapInArrow(run, f"{blobs.PACKED}, pairs binary").groupBy("bucket").applyInPandas(meet, "a long, b long")
 
 
-def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def linked(sets: list[np.ndarray], percent: int, settled: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs (by number) whose Jaccard similarity is percent or more.
 
     Sets go by size; rare-first prefixes inside the family give candidates, and
-    a pair that is connected already is not compared again.
+    a pair that is connected already (by the forest, or as ``settled`` sets are
+    among themselves) is not compared again.
     """
     if len(sets) < 2:
         return []
@@ -174,6 +190,9 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     rank, stop = rank[code], np.cumsum([len(s) for s in sets])
     ranks = [np.sort(rank[e - len(s) : e]) for s, e in zip(sets, stop)]
     parent = list(range(len(sets)))
+    if settled is not None and settled.any():
+        for x in np.flatnonzero(settled):
+            parent[x] = int(settled.argmax())
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -207,24 +226,53 @@ def links(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> tupl
     sets = materialized(_sets(docs, width))
     classes = materialized(sets.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")))
     family = connected_components(_ties(docs.where("doc_id is not null"), width, percent, input_buckets(docs)))
-    named = classes.join(family, F.col("s1") == F.col("node"), "left").select("rep", "n", F.coalesce("label", "s1").alias("family"))
+    named = classes.join(family, F.col("s1") == F.col("node"), "left").select("rep", "n", F.coalesce("label", "s1").alias("family"), (F.coalesce("label", "s1") == F.col("s1")).alias("centre"))
     sizes = named.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).where("members > 1")
-    blocks = F.ceil(F.greatest(F.col("members") / BLOCK_MEMBERS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    placed = named.join(sizes.select("family", blocks.alias("blocks")), "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    texts = docs.join(placed.select("rep", "family", "blocks", "block"), F.col("doc_id") == F.col("rep"))
-    # with one block there is one task (0, 0); else every pair i < j of blocks, each of which covers i and j themselves
-    other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: (k != F.col("block")) | (F.col("blocks") == 1))
-    tasks = texts.select("rep", "text", "family", "block", F.explode(other).alias("other"))
-    tasks = tasks.select("rep", "text", "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates()
+    blocks = lambda: F.ceil(F.greatest(F.col("members") / BLOCK_MEMBERS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    placed = named.join(sizes.select("family", blocks().alias("blocks")), "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    texts = docs.join(placed, F.col("doc_id") == F.col("rep")).select("rep", "text", "n", "family", "centre", "blocks", "block")
+    # the centre stands in every block of its family
+    every = F.when(F.col("centre"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    tasks = texts.select("rep", "text", "family", "centre", "blocks", F.explode(every).alias("block"))
+
+    def sets_of(pdf: pd.DataFrame) -> list[np.ndarray]:
         h, n = shingle_sets(pa.array(pdf["text"], pa.large_string()), width)
-        ids = pdf["rep"].to_numpy()
-        found = linked(np.split(h, np.cumsum(n)[:-1]), percent)
-        return pd.DataFrame({"a": [ids[x] for x, _ in found], "b": [ids[y] for _, y in found]}, dtype="int64")
+        return np.split(h, np.cumsum(n)[:-1])
 
-    return sets, classes, tasks.groupBy("family", "i", "j").applyInPandas(verify, "a long, b long")
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links of a block; (rep, null) for members of a cut family that are not tied to its centre here."""
+        pdf = pdf.sort_values("centre").drop_duplicates(["rep", "text"], keep="last")
+        ids, found = pdf["rep"].tolist(), linked(sets_of(pdf), percent)
+        rows = [(ids[x], ids[y]) for x, y in found]
+        if pdf["blocks"].iloc[0] > 1:
+            near, more = set(pdf.loc[pdf["centre"], "rep"]), True
+            while more:
+                new = {z for x, y in rows for z in (x, y) if (x in near) != (y in near)} - near
+                near |= new
+                more = bool(new)
+            rows += [(x, None) for x in set(ids) - near]
+        return pd.DataFrame(rows, columns=["a", "b"]).astype("Int64")
+
+    def verify_open(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("open").drop_duplicates(["rep", "text"], keep="last")
+        ids = pdf["rep"].tolist()
+        found = linked(sets_of(pdf), percent, ~pdf["open"].to_numpy(bool))
+        return pd.DataFrame([(ids[x], ids[y]) for x, y in found], columns=["a", "b"], dtype="int64")
+
+    seen = materialized(tasks.groupBy("family", "block").applyInPandas(verify, "a long, b long"))
+    edges, left = seen.where("b IS NOT NULL"), seen.where("b IS NULL").select(F.col("a").alias("rep")).distinct()
+    if left.limit(1).count():
+        left = left.join(placed, "rep")
+        counts = left.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).select("family", blocks().alias("parts"))
+        left = left.join(counts, "family").select("rep", "parts", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"))
+        # the open ones of part i go to every block j, and all members of block j to every part i
+        asks = texts.join(left, "rep").select("family", "rep", "text", F.lit(True).alias("open"), F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+        rest = texts.join(left.select("rep"), "rep", "left_anti").join(counts, "family")
+        both = rest.select("family", "rep", "text", F.lit(False).alias("open"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"))
+        # open ones meet each other too: as members of their block, for every part
+        own = texts.join(left.select("rep"), "rep").join(counts, "family").select("family", "rep", "text", F.lit(True).alias("open"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"))
+        edges = edges.unionByName(asks.unionByName(both).unionByName(own).groupBy("family", "i", "j").applyInPandas(verify_open, "a long, b long"))
+    return sets, classes, edges
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
