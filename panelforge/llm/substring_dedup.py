@@ -1,15 +1,20 @@
 """Operator 6: removal of passages repeated from earlier documents, by fixed-block anchors.
 
 A shared window of 50 words holds a whole block of 25 words that is aligned in
-either document. So the non-overlapping 25-word blocks of every document are
-indexed, and every rolling 25-word window of every document probes them; both
-meet in hash buckets, whose number follows the input, as packs of a few bytes
-an entry. A hash that a block and another document share anchors a repeat.
-Anchors are extended to maximal exact repeats: the windows of 50 words around
-them get 96-bit keys, equal keys meet in buckets again, and each document with
-a smaller one behind an equal key loses the words of that window; runs of such
-windows are the maximal repeats. No pair of documents is ever listed, so a
-group of m copies costs m entries.
+its own document. So the non-overlapping 25-word blocks of every document are
+looked up among the rolling 25-word windows of every document: a block whose
+hash also stands in another document anchors a repeat. Anchors are extended to
+maximal exact repeats: the windows of 50 words around them get 96-bit keys, and
+each document with a smaller one behind an equal key loses the words of that
+window; runs of such windows are the maximal repeats.
+
+Both meetings aggregate before they shuffle. A chunk of texts answers what it
+can itself (a block that two of its documents hold is an anchor, a window that
+an earlier document of the chunk holds is a repeat) and sends on, for each hash,
+its least and largest document and the unanswered places of a single one. These
+meet in hash buckets, whose number follows the input, as packs of a few bytes an
+entry. So a passage of a third of all rows sends some entries for each chunk,
+and no pair of documents is ever listed.
 
 Defined results: null text has no words; a null doc_id is neither source nor
 target and keeps its words; rows that repeat a doc_id count as one document
@@ -32,46 +37,86 @@ from panelforge.llm import blobs
 from panelforge.llm.common import input_buckets, materialized
 from panelforge.llm.textnum import Words, chunks
 
-WINDOW = 50
+WINDOW, CHUNK_BYTES = 50, 8 << 20
+
+
+#: pack: entries for the bucket; found: packs of answered places on their way to the document bucket ``to``.
+SHIPPED = f"{blobs.PACKED}, found binary, to int"
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """First place of each run of equal keys."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(new)
+
+
+def _runs(first: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest value of its run for every place."""
+    size = np.diff(np.append(first, len(values)))
+    return np.repeat(np.minimum.reduceat(values, first), size), np.repeat(np.maximum.reduceat(values, first), size)
+
+
+def _batch(packs: list[tuple[int, bytes]], found: pd.DataFrame) -> pa.RecordBatch:
+    through = packs[0][0] if packs else 0
+    rows = [(k, p, None, None) for k, p in packs] + [(through, None, p, k) for k, p in zip(found["bucket"].tolist(), found["pack"])]
+    columns = zip(*rows) if rows else ([], [], [], [])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.int32()))], names=["bucket", "pack", "found", "to"])
+
+
+def _met(pdf: pd.DataFrame, kinds: tuple[str, ...], answer) -> pd.DataFrame:
+    """What passes through, and the answered places of the packs of one bucket."""
+    own = pdf["found"].notna()
+    through = pd.DataFrame({"bucket": pdf.loc[own, "to"].astype(np.int32), "pack": pdf.loc[own, "found"]})
+    packs = pdf.loc[~own, "pack"]
+    return pd.concat([through, answer(*blobs.entries(packs, kinds))]) if len(packs) else through
 
 
 def _probes(docs: DataFrame, block: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", CHUNK_BYTES):
                 ids, tags = part.column(0).to_numpy(), part.column(2).to_numpy()
                 words = Words(part.column(1))
                 at, h = words.rolling(block)
+                if not len(at):
+                    continue
                 row = np.repeat(np.arange(len(ids)), words.counts)[at]
-                packs = list(blobs.deal(blobs.bucket_of(h, buckets), ids, tags, row, at - words.rows[row], [h.astype("<u4")]))
-                if packs:
-                    yield blobs.batch_of(packs)
-
-    return docs.mapInArrow(run, blobs.PACKED)
-
-
-def _anchors(packed: DataFrame, block: int, buckets: int) -> DataFrame:
-    """Places whose block hash is an aligned block's and stands in two documents or more."""
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, tag, place, (h,) = blobs.entries(pdf["pack"], ("<u4",))
-        order = np.argsort(h, kind="stable")
-        sorted_h, sorted_doc = h[order], doc[order]
-        first = np.flatnonzero(np.append(True, sorted_h[1:] != sorted_h[:-1]))
-        aligned = np.logical_or.reduceat((place % block == 0)[order], first)
-        several = np.minimum.reduceat(sorted_doc, first) != np.maximum.reduceat(sorted_doc, first)
-        hit = order[np.repeat(aligned & several, np.diff(np.append(first, len(h))))]
+                place = at - words.rows[row]
+                order = np.argsort(h, kind="stable")
+                doc, first = ids[row][order], _starts(h[order])
+                least, most = _runs(first, doc)
+                several, aligned = least != most, place[order] % block == 0
+                hit = order[several & aligned]
+                found = blobs.deal_documents(ids[row[hit]], tags[row[hit]], place[hit], buckets)
+                # of one document its blocks, or a place if it has none; of several the first and the last by id
+                send = np.where(several, (doc == least) | (doc == most), aligned)
+                send[first[~np.logical_or.reduceat(send, first)]] = True
+                at = np.sort(order[send])
+                yield _batch(list(blobs.deal(blobs.bucket_of(h[at], buckets), ids, tags, row[at], place[at], [h[at].astype("<u4")])), found)
+
+    return docs.mapInArrow(run, SHIPPED)
+
+
+def _anchors(shipped: DataFrame, block: int, buckets: int) -> DataFrame:
+    """Aligned places whose block also stands in another document."""
+
+    def answer(doc: np.ndarray, tag: np.ndarray, place: np.ndarray, keys: list[np.ndarray]) -> pd.DataFrame:
+        order = np.argsort(keys[0], kind="stable")
+        doc, tag, place = doc[order], tag[order], place[order]
+        least, most = _runs(_starts(keys[0][order]), doc)
+        hit = (least != most) & (place % block == 0)
         return blobs.deal_documents(doc[hit], tag[hit], place[hit], buckets)
 
-    return blobs.by_document(packed.groupBy("bucket").applyInPandas(meet, blobs.PACKED))
+    return blobs.by_document(shipped.groupBy("bucket").applyInPandas(lambda pdf: _met(pdf, ("<u4",), answer), blobs.PACKED))
 
 
 def _windows(joined: DataFrame, window: int, block: int, buckets: int) -> DataFrame:
-    """Packs of the windows that hold an anchor, keyed by 96 bits."""
+    """The windows that hold an anchor, keyed by 96 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", CHUNK_BYTES):
                 ids, tags = part.column(0).to_numpy(), part.column(2).to_numpy()
                 words = Words(part.column(1), hashes=2)
                 anchor = np.zeros(len(words.starts) + 1, np.int64)
@@ -81,28 +126,32 @@ def _windows(joined: DataFrame, window: int, block: int, buckets: int) -> DataFr
                 at, h = words.rolling(window)
                 _, h2 = words.rolling(window, 1)
                 near = before[at + window - block + 1] > before[at]
-                at, h, h2 = at[near], h[near], h2[near]
+                at, h, h2 = at[near], h[near], h2[near].astype("<u4")
+                if not len(at):
+                    continue
                 row = np.repeat(np.arange(len(ids)), words.counts)[at]
-                packs = list(blobs.deal(blobs.bucket_of(h, buckets), ids, tags, row, at - words.rows[row], [h.astype("<u8"), h2.astype("<u4")]))
-                if packs:
-                    yield blobs.batch_of(packs)
+                place = at - words.rows[row]
+                order = np.lexsort((h2, h))
+                doc = ids[row][order]
+                later = doc > _runs(_starts(h[order], h2[order]), doc)[0]
+                hit, at = order[later], np.sort(order[~later])
+                found = blobs.deal_documents(ids[row[hit]], tags[row[hit]], place[hit], buckets)
+                yield _batch(list(blobs.deal(blobs.bucket_of(h[at], buckets), ids, tags, row[at], place[at], [h[at].astype("<u8"), h2[at]])), found)
 
-    return joined.mapInArrow(run, blobs.PACKED)
+    return joined.mapInArrow(run, SHIPPED)
 
 
-def _repeated(packed: DataFrame, buckets: int) -> DataFrame:
+def _repeated(shipped: DataFrame, buckets: int) -> DataFrame:
     """Window starts of each document whose words also start in a document with a smaller id."""
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, tag, place, (a, b) = blobs.entries(pdf["pack"], ("<u8", "<u4"))
+    def answer(doc: np.ndarray, tag: np.ndarray, place: np.ndarray, keys: list[np.ndarray]) -> pd.DataFrame:
+        a, b = keys
         order = np.lexsort((b, a))
-        a, b, doc, tag, place = a[order], b[order], doc[order], tag[order], place[order]
-        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        least = np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(a))))
-        later = doc > least
+        doc, tag, place = doc[order], tag[order], place[order]
+        later = doc > _runs(_starts(a[order], b[order]), doc)[0]
         return blobs.deal_documents(doc[later], tag[later], place[later], buckets)
 
-    return blobs.by_document(packed.groupBy("bucket").applyInPandas(meet, blobs.PACKED))
+    return blobs.by_document(shipped.groupBy("bucket").applyInPandas(lambda pdf: _met(pdf, ("<u8", "<u4"), answer), blobs.PACKED))
 
 
 def _removed(joined: DataFrame, window: int, schema: str) -> DataFrame:

@@ -112,3 +112,16 @@ def test_passage_at_any_offset(spark, at):
     rows = [(1, " ".join([f"a{k}" for k in range(at)] + passage)), (2, " ".join(passage[1:] + ["x"] + passage + ["y"]))]
     got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 0, 2: 50}
+
+
+@pytest.mark.parametrize("chunk", [1, 400, 1 << 20])
+def test_dedup_whatever_the_chunks(spark, monkeypatch, chunk):
+    """Header at one offset in every text, copies, passages at many offsets, a text that repeats itself."""
+    ship(spark)
+    header, passage = " ".join(f"h{k}" for k in range(60)), " ".join(f"p{k}" for k in range(55))
+    rows = [(k, f"lead{k} {header} own{k} " + f"pad{k} " * (k % 26) + passage) for k in range(30)] + [(k, f"same text {header} {passage}") for k in range(30, 36)]
+    rows += [(40, "again and again " * 60), (41, "and again again " * 60)]
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", chunk)
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = got.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_dedup(rows)
