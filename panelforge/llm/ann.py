@@ -32,7 +32,7 @@ from panelforge.llm.common import smallest
 
 BITS, PART_BITS = 256, 16
 SAMPLE, HOLD, ROUNDS, SEED = 4096, 0.985, 20, 5
-INDEX_ROWS, QUERY_ROWS, LEAST = 8192, 1024, 5
+INDEX_ROWS, QUERY_ROWS, LEAST = 32768, 4096, 5
 
 
 def valid(vectors: DataFrame, id_col: str, vector_col: str, dim: int | None = None) -> DataFrame:

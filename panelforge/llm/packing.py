@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-WINDOW, END_ID, MEMO_WORDS = 2048, 1, 400_000
+WINDOW, END_ID, MEMO_WORDS, STRETCH_BYTES = 2048, 1, 400_000, 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -80,7 +80,14 @@ class WordTokens:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def of(self, text: bytes) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.split()))
+        out, a = [], 0
+        while len(text) - a > STRETCH_BYTES:  # long texts by stretches of whole words
+            b = text.find(b" ", a + STRETCH_BYTES)
+            if b < 0:
+                break
+            out.append(b"".join(map(self.words.__getitem__, text[a:b].split())))
+            a = b
+        return b"".join([*out, *map(self.words.__getitem__, text[a:].split())])
 
 
 @functools.cache

@@ -131,18 +131,26 @@ class Lattice:
             alpha[end + 1] = top + np.log(total)
         return share, piece
 
-    def sample(self, texts: list[str], keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all rows in turn, number of ids of each row)."""
-        words, counts = [], []
+    def sample_long(self, text: str, key: int, seed: int, limit: int) -> np.ndarray:
+        """ids of one long text, a stretch of whole words at a time; the same as of the text at once."""
+        out, number = [], 0
+        for stretch in stretches(text, limit):
+            out.append(self.sample([stretch], np.array([key]), seed, number, not out)[0])
+            number += len(WORD.findall(stretch if number else " " + stretch))
+        return np.concatenate(out)
+
+    def sample(self, texts: list[str], keys: np.ndarray, seed: int, number: int = 0, start: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows in turn, number of ids of each row). Words count from ``number``; without ``start`` texts get no dummy space."""
+        words, counts, first_word = [], [], number
         for t in texts:
-            found = WORD.findall(" " + t) if t else []
+            found = WORD.findall(" " + t if start else t) if t else []
             words += found
             counts.append(len(found))
         coded = pa.array(words, pa.string()).dictionary_encode()
         distinct, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
         counts = np.array(counts, np.int64)
         row = np.repeat(np.arange(len(texts)), counts)
-        number = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
+        number = first_word + np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
         noise = mix(mix(keys.astype(np.uint64) ^ mix(np.array([seed], np.int64).view(np.uint64)))[row] + number.astype(np.uint64))
         sizes = np.array([len(w) for w in distinct], np.int64)
         take_word, take_step, take_id = [], [], []
@@ -209,6 +217,19 @@ class Lattice:
         return text[1:] if text[:1] == b" " else text
 
 
+def stretches(text: str, limit: int) -> Iterator[str]:
+    """The text in turn, cut before spaces or line feeds into some ``limit`` characters (more only without any)."""
+    a = 0
+    while len(text) - a > limit:
+        b = max(text.rfind(" ", a + 1, a + limit), text.rfind("\n", a + 1, a + limit))
+        if b < 0:
+            b = min((x for x in (text.find(" ", a + limit), text.find("\n", a + limit)) if x >= 0), default=len(text))
+        yield text[a:b]
+        a = b
+    if a < len(text):
+        yield text[a:]
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, temperature: float = 1.0) -> DataFrame:
     """doc_id, text, ids: a sampled segmentation of each row's whole text, reproducible from (seed, doc_id)."""
 
@@ -217,7 +238,12 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             for part in chunks(batch, "text", CHUNK_BYTES):
                 keys, col = part.column(0), part.column(1)
-                ids, counts = lattice.sample([t or "" for t in col.to_pylist()], keys.fill_null(0).to_numpy(zero_copy_only=False), seed)
+                texts, numbers = [t or "" for t in col.to_pylist()], keys.fill_null(0).to_numpy(zero_copy_only=False)
+                if len(texts) == 1 and len(texts[0]) > CHUNK_BYTES:
+                    ids = lattice.sample_long(texts[0], numbers[0], seed, CHUNK_BYTES)
+                    counts = np.array([len(ids)])
+                else:
+                    ids, counts = lattice.sample(texts, numbers, seed)
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 valid = np.asarray(col.is_valid())
                 lists = pa.ListArray.from_arrays(pa.array(offsets[:-1].tolist() + [int(offsets[-1])], pa.int32(), mask=np.append(~valid, False)), pa.array(ids, pa.int32()))

@@ -70,3 +70,10 @@ def test_sampling_follows_the_lattice(lattice, model):
     for got, w in weight.items():
         p = w / total
         assert abs(seen[got] / n - p) < 5 * np.sqrt(p * (1 - p) / n) + 1e-3
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab \n\u00e9\u2581", min_size=1, max_size=120), st.integers(1, 30))
+def test_long_texts_in_stretches_give_the_same(lattice, text, limit):
+    assert "".join(sps.stretches(text, limit)) == text
+    assert lattice.sample_long(text, 3, 0, limit).tolist() == lattice.sample([text], np.array([3]), 0)[0].tolist()
