@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import smallest
+from panelforge.llm.common import smallest, with_rest
 
 HIDDEN, WINDOW = 8, 64
 SAMPLE_ROWS, SLICE_CHARS = 3000, 256
@@ -191,8 +191,8 @@ def _document_scores(w: dict, texts: list[bytes], classes: int) -> np.ndarray:
     return out / np.maximum(1, sizes)[:, None]
 
 
-def language_id(docs: DataFrame, model: tuple[list[str], dict], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score of each row."""
+def language_id(docs: DataFrame, model: tuple[list[str], dict], id_col: str = "doc_id", text_col: str = "text", rest: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang_pred, score of each row and, if asked, other columns in the struct rest."""
     languages, weights = model
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -222,6 +222,7 @@ def language_id(docs: DataFrame, model: tuple[list[str], dict], id_col: str = "d
                     held = 0
             if group:
                 work()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *batch.columns[2:]], names=["doc_id", "lang_pred", "score", *batch.schema.names[2:]])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    named, schema = with_rest(docs, id_col, text_col, rest)
+    return named.mapInArrow(run, f"doc_id long, lang_pred string, score double{schema}")

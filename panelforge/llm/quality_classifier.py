@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import materialized
+from panelforge.llm.common import materialized, with_rest
 from panelforge.llm.quality_rules import STOP_WORDS
 from panelforge.llm.textnum import Words, chunks, distinct
 
@@ -171,8 +171,31 @@ def score(stats: DataFrame, model: dict) -> DataFrame:
     return stats.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
 
 
+def score_documents(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", rest: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, score of each row and, if asked, other columns in the struct rest: one pass over the texts, no join."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                out = np.full(part.num_rows, 0.5)
+                if m:
+                    x = statistics(part.column(1)).astype(np.float32).astype(float)
+                    out = m["curve"][_bin(fourier(x, m["mean"], m["scale"]) @ m["weights"], BINS)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out), *part.columns[2:]], names=["doc_id", "score", *part.schema.names[2:]])
+
+    named, schema = with_rest(docs, id_col, text_col, rest)
+    return named.mapInArrow(run, f"doc_id long, score double{schema}")
+
+
+def fit_documents(stats: DataFrame, labels: DataFrame, train_rows, id_col: str = "doc_id", label_col: str = "quality") -> dict:
+    """Model from document_statistics() and the labels of rows where ``train_rows`` (a condition on doc_id) holds."""
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isNotNull() & train_rows)
+    return fit(stats.join(known, "doc_id").select("x", "y"))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, train_rows, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """Score every row of docs; labels of rows where ``train_rows`` (a condition on doc_id) holds are learned from."""
     stats = materialized(document_statistics(docs, id_col, text_col))
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isNotNull() & train_rows)
-    return score(stats, fit(stats.join(known, "doc_id").select("x", "y")))
+    return score(stats, fit_documents(stats, labels, train_rows, id_col, label_col))

@@ -30,14 +30,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "ids", F.size("ids").alias("n_ids"), F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"))
 
 
-def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    scored = quality_classifier.quality_scores(docs, labels, remainder(3) != 1)
-    return scored.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
-
-
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder(3) != 1)
+    return scored.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,16 +72,12 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-def languages(docs: DataFrame) -> DataFrame:
-    """Predictions for docs, learned from those of them that are not held out."""
-    return language_id.language_id(docs, language_id.fit(docs.where(remainder(5) != 0))).select(
-        "doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score"
-    )
-
-
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions for all documents, learned from those that are not held out."""
     ship(spark)
-    return languages(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    got = language_id.language_id(docs, language_id.fit(docs.where(remainder(5) != 0)))
+    return got.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
