@@ -12,45 +12,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import ngram_join, packing, queries, substring_dedup
+from panelforge.llm import language_id, ngram_join, packing, quality_classifier, queries, substring_dedup
 from panelforge.llm.common import materialized, table
 from panelforge.session import ship
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id stands in ids."""
-    return docs.join(ids.select(F.col("doc_id").alias("kept_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+def _columns(got: DataFrame, docs: DataFrame, new: dict | None = None) -> DataFrame:
+    """The columns of docs out of doc_id and the struct rest; ``new`` replaces some."""
+    return got.select(*[(new or {}).get(c, F.col(c if c == "doc_id" else f"rest.`{c}`")).alias(c) for c in docs.columns])
 
 
-def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def _others(docs: DataFrame) -> tuple[str, ...]:
+    return tuple(c for c in docs.columns if c != "doc_id")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be of label 1."""
     ship(spark)
-    return _kept(docs, queries.quality(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+    stats = materialized(quality_classifier.document_statistics(docs))
+    model = quality_classifier.fit_documents(stats, table(spark, sf_dir, "labels"), queries.remainder(3) != 1)
+    return _columns(quality_classifier.score_documents(docs, model, rest=_others(docs)).where("score >= 0.5"), docs)
 
 
-def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: neither ``und`` nor a near tie between languages."""
     ship(spark)
-    return _kept(docs, queries.languages(docs).where("lang_pred <> 'und' AND score >= 0.4"))
+    model = language_id.fit(docs.where(queries.remainder(5) != 0))
+    return _columns(language_id.language_id(docs, model, rest=_others(docs)).where("lang_pred <> 'und' AND score >= 0.4"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of linked documents."""
     ship(spark)
-    groups = ngram_join.jaccard_components(docs)
-    return _kept(docs, groups.where("component_id IS NULL OR component_id = doc_id"))
+    groups = ngram_join.jaccard_components(docs).where("component_id IS NULL OR component_id = doc_id")
+    kept = groups.select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 50 words that an earlier document holds; untouched texts keep their white space."""
     ship(spark)
-    rest = tuple(c for c in docs.columns if c != "doc_id")
+    rest = _others(docs)
     got = substring_dedup.substring_dedup(docs, rest=rest)
     changed = F.col("n_removed") > 0
     new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("rest.text"))}
     if "n_chars" in rest:
         new["n_chars"] = F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("rest.n_chars"))
-    return got.select(*[new.get(c, F.col(c if c == "doc_id" else f"rest.`{c}`")).alias(c) for c in docs.columns])
+    return _columns(got, docs, new)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +68,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality_classifier", quality_classifier),
-    ("language_id", language_identification),
+    ("quality_classifier", quality),
+    ("language_id", languages),
     ("ngram_jaccard_join", near_duplicates),
     ("substring_dedup", passages),
     ("packing", pack),
