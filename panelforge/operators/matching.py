@@ -96,6 +96,8 @@ def components(nodes: DataFrame, edges: DataFrame, id_: str = "id", most: int =
         now = hop
         if not changed:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {most} rounds")
     return nodes.join(now.withColumnRenamed("id", id_).withColumnRenamed("c", "component"), id_)
 
 

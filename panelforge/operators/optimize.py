@@ -153,7 +153,7 @@ def suppressed(points: DataFrame, keys: list[str], factor: float) -> DataFrame:
 
 
 def spread(cells: DataFrame, seeds: DataFrame, keys: list[str], most: int = 200) -> DataFrame:
-    """keys, x, y, owner, steps: nearest seed (id; smaller at a tie) of each cell over 8-connected cells, all keys at once.
+    """keys, x, y, owner, steps: nearest seed (id; smaller at a tie) of each cell within ``most`` steps over 8-connected cells.
 
     The frontier advances one step a round by a join with the moved frontier; each round is checkpointed.
     """

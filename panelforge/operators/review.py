@@ -49,7 +49,7 @@ def resolve_redirects(edges: DataFrame, most: int = 20) -> DataFrame:
 
 
 def excluded_closure(records: DataFrame, id_: str, parent: str, excluded: Column, most: int = 30) -> DataFrame:
-    """records with ``out``: excluded themselves or under an excluded parent, transitively."""
+    """records with ``out``: excluded themselves or under an excluded parent, transitively; a round for each level."""
     now = records.withColumn("out", excluded).checkpoint()
     for _ in range(most):
         up = now.where("out").select(F.col(id_).alias("_p"))
@@ -57,7 +57,7 @@ def excluded_closure(records: DataFrame, id_: str, parent: str, excluded: Column
         if new.where("out").count() == now.where("out").count():
             return new
         now = new
-    raise ValueError("parents have a cycle")
+    raise RuntimeError(f"exclusion did not settle in {most} rounds")
 
 
 def review_state(excluded: Column, corrected: Column, checked: Column, planned: Column) -> Column:
