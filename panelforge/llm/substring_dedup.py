@@ -37,7 +37,7 @@ from panelforge.llm import blobs
 from panelforge.llm.common import input_buckets, materialized
 from panelforge.llm.textnum import Words, chunks
 
-WINDOW, CHUNK_BYTES = 50, 8 << 20
+WINDOW, CHUNK_BYTES = 50, 2 << 20
 
 
 #: pack: entries for the bucket; found: packs of answered places on their way to the document bucket ``to``.
