@@ -148,7 +148,7 @@ def _ties(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text", 8 << 20):
+            for part in chunks(batch, "text", 4 << 20):
                 h, n = shingle_sets(part.column(0), width)
                 own = signatures(h, n, (1,))[0].view(np.int64)
                 _, once = np.unique(own, return_index=True)  # equal sets of a chunk speak once
