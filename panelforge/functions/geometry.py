@@ -107,12 +107,18 @@ def point_at(arcs: Column, s: Column) -> Column:
     return _between(before, after, F.least(F.greatest(s, F.lit(0.0)), F.element_at(arcs, -1)["s"]))
 
 
-def resampled(arcs: Column, step: float, keep_end: bool) -> Column:
-    """Points every ``step`` of arc length; the last point too, if asked."""
-    total = F.element_at(arcs, -1)["s"]
-    inner = F.transform(F.sequence(F.lit(0), F.ceil(total / step).cast("int") - 1), lambda k: point_at(arcs, k * F.lit(step)))
-    inner = F.when(total > 0, inner).otherwise(F.slice(arcs, 1, 1))
-    return F.concat(inner, F.slice(arcs, F.size(arcs), F.lit(1))) if keep_end else inner
+def segments(arcs: Column) -> Column:
+    """array of structs i, a, b: neighbouring points of arc_points()."""
+    pairs = F.zip_with(F.slice(arcs, F.lit(1), F.size(arcs) - 1), F.slice(arcs, F.lit(2), F.size(arcs)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.transform(pairs, lambda p, i: F.struct(i.alias("i"), p["a"].alias("a"), p["b"].alias("b")))
+
+
+def marks(segment: Column, step: float) -> Column:
+    """Points of one segment whose arc length is a multiple of ``step`` (its start only on the first segment): structs k, s, x, y."""
+    first = F.when(segment["i"] == 0, F.lit(0)).otherwise(F.floor(segment["a"]["s"] / step) + 1).cast("long")
+    last = F.floor(segment["b"]["s"] / step).cast("long")
+    inside = F.transform(F.sequence(first, last), lambda k: F.struct(k.alias("k"), _between(segment["a"], segment["b"], k * F.lit(step)).alias("p")))
+    return F.when(first <= last, inside).otherwise(F.array().cast("array<struct<k:bigint,p:struct<s:double,x:double,y:double>>>"))
 
 
 def cut_at(arcs: Column, length: Column) -> Column:

@@ -12,10 +12,10 @@ from panelforge.plans.base import BASE, KEYS, c, day_bins, query, readings, tabl
 
 
 def scored_bins(s, d):
-    return day_bins(s, d).where("i < 20").select("entity", "i", (F.round("v") - 80).alias("y"))
+    return day_bins(s, d).select("entity", "i", (F.round("v") - 80).alias("y"))
 
 
-DP = BASE.replace("WITH r", "WITH RECURSIVE r", 1) + """, y AS (SELECT entity, i, round(v) - 80 AS y FROM b WHERE i < 20),
+DP = BASE.replace("WITH r", "WITH RECURSIVE r", 1) + """, y AS (SELECT entity, i, round(v) - 80 AS y FROM b),
 dp AS (SELECT entity, 0::BIGINT AS i, list_transform(range(0, 12), lambda f: 0.0::DOUBLE) AS sc FROM y WHERE i = 0
   UNION ALL SELECT y.entity, dp.i + 1, list_transform(range(0, 12), lambda f: f * y.y + list_max(list_slice(dp.sc, greatest(f - 2, 0) + 1, f + 1))) FROM dp JOIN y ON y.entity = dp.entity AND y.i = dp.i)"""
 

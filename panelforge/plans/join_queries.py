@@ -127,16 +127,17 @@ def frame_to_frame_tracks(s, d):
     return linked.groupBy("movie", c("component").alias("track")).agg(F.count("*").alias("n"))
 
 
-STITCH = BASE + """, e AS (SELECT entity, frame % 40 // 10 AS part, min(frame) AS f0, max(frame) AS f1, arg_min(length2, frame) AS v0, arg_max(length2, frame) AS v1 FROM (SELECT *, sum(value) OVER (PARTITION BY entity ORDER BY frame ROWS UNBOUNDED PRECEDING) AS length2 FROM r WHERE frame < 40 AND frame % 10 < 7) GROUP BY 1, 2),
-fr AS (SELECT *, entity * 10 + part AS id, (v1 - v0) / nullif(f1 - f0, 0) AS speed FROM e),
+STITCH = BASE + """, e AS (SELECT entity, part, min(frame) AS f0, max(frame) AS f1, arg_min(length2, frame) AS v0, arg_max(length2, frame) AS v1 FROM (SELECT *, sum(value) OVER (PARTITION BY entity ORDER BY frame ROWS UNBOUNDED PRECEDING) AS length2, frame - row_number() OVER (PARTITION BY entity ORDER BY frame) AS part FROM r WHERE value <= 100) GROUP BY 1, 2),
+fr AS (SELECT *, entity * 1000 + f0 AS id, (v1 - v0) / nullif(f1 - f0, 0) AS speed FROM e),
 cand AS (SELECT a.entity, a.id AS a, b.id AS b, abs(b.v0 - (a.v1 + a.speed * (b.f0 - a.f1))) AS error FROM fr a JOIN fr b ON a.entity = b.entity AND b.f0 - a.f1 BETWEEN 2 AND 6 WHERE abs(b.v0 - (a.v1 + a.speed * (b.f0 - a.f1))) <= 600)"""
 
 
 def fragments(s, d):
-    r = readings(s, d).where("frame < 40 AND frame % 10 < 7")
-    w = Window.partitionBy("entity").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
-    e = r.withColumn("v", F.sum("value").over(w)).groupBy("entity", F.expr("frame % 40 div 10").alias("part")).agg(F.min("frame").alias("f0"), F.max("frame").alias("f1"), F.min_by("v", "frame").alias("v0"), F.max_by("v", "frame").alias("v1"))
-    e = e.select("*", (c("entity") * 10 + c("part")).alias("id"), ((c("v1") - c("v0")) / F.nullif(c("f1") - c("f0"), F.lit(0))).alias("speed"))
+    """Runs of low readings as track fragments, and joins of their ends to starts that follow a gap."""
+    w = Window.partitionBy("entity").orderBy("frame")
+    r = readings(s, d).where("value <= 100").withColumn("part", c("frame") - F.row_number().over(w))
+    e = r.withColumn("v", F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("entity", "part").agg(F.min("frame").alias("f0"), F.max("frame").alias("f1"), F.min_by("v", "frame").alias("v0"), F.max_by("v", "frame").alias("v1"))
+    e = e.select("*", (c("entity") * 1000 + c("f0")).alias("id"), ((c("v1") - c("v0")) / F.nullif(c("f1") - c("f0"), F.lit(0))).alias("speed"))
     # ends meet starts in the same key by their gap: a bounded range of starts for each end
     ends = e.select("entity", c("id").alias("a"), "f1", "v1", "speed", F.explode(F.sequence(c("f1") + 2, c("f1") + 6)).alias("f0"))
     error = F.abs(c("v0") - (c("v1") + c("speed") * (c("f0") - c("f1"))))
@@ -227,11 +228,11 @@ def covered_length(s, d):
     return t.withColumn("g", F.greatest(F.lit(0), c("lo") + 30 - F.greatest(c("lo"), hi))).groupBy("part").agg(F.sum("g").alias("covered"))
 
 
-@query("2.5-21 2.9-4", BASE + ", a AS (SELECT entity, avg(value) AS v FROM r WHERE frame % 2 = 0 AND event_type <> 'error' GROUP BY 1), z AS (SELECT entity, avg(value) AS v FROM r WHERE frame % 2 = 1 AND entity % 6 <> 0 GROUP BY 1) SELECT a.entity, round(z.v - a.v, 9) AS difference FROM a JOIN z ON a.entity = z.entity")
+@query("2.5-21 2.9-4", BASE + ", a AS (SELECT entity, avg(value) AS v FROM r WHERE frame % 2 = 0 AND event_type <> 'error' GROUP BY 1), z AS (SELECT entity, avg(value) AS v FROM r WHERE frame % 2 = 1 AND value < 100 GROUP BY 1) SELECT a.entity, round(z.v - a.v, 9) AS difference FROM a JOIN z ON a.entity = z.entity")
 def paired_runs(s, d):
     r = readings(s, d)
     a = r.where("frame % 2 = 0 AND event_type <> 'error'").groupBy("entity").agg(F.avg("value").alias("va"))
-    z = r.where("frame % 2 = 1 AND entity % 6 <> 0").groupBy("entity").agg(F.avg("value").alias("vz"))
+    z = r.where("frame % 2 = 1 AND value < 100").groupBy("entity").agg(F.avg("value").alias("vz"))
     return a.join(z, "entity").select("entity", (c("vz") - c("va")).alias("difference"))
 
 
@@ -258,8 +259,8 @@ def validation_cases(s, d):
     return day_bins(s, d).select("entity", "bin", "v").join(seen, ["entity", "bin"]).join(fit, ["entity", "bin"], "left_anti").withColumn("error", c("v") - c("seen"))
 
 
-@query("2.5-25", BASE + ", g AS (SELECT entity, unnest(range(0, 10)) AS bin FROM (SELECT DISTINCT entity FROM r)) SELECT g.entity, count(b.bin) AS posed, count(*) - count(b.bin) AS missing FROM g LEFT JOIN b ON g.entity = b.entity AND g.bin = b.bin GROUP BY 1")
+@query("2.5-25", BASE + ", g AS (SELECT entity, unnest(range(0, 30)) AS bin FROM (SELECT DISTINCT entity FROM r)) SELECT g.entity, count(b.bin) AS posed, count(*) - count(b.bin) AS missing FROM g LEFT JOIN b ON g.entity = b.entity AND g.bin = b.bin GROUP BY 1")
 def pose_completeness(s, d):
-    have = unranked(s, d).where("bin BETWEEN 0 AND 9").select("entity", "bin").distinct().withColumn("ok", F.lit(1))
-    grid = unranked(s, d).select("entity").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))))
+    have = unranked(s, d).select("entity", "bin").distinct().withColumn("ok", F.lit(1))
+    grid = unranked(s, d).select("entity").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long"))))
     return grid.join(have, ["entity", "bin"], "left").groupBy("entity").agg(F.count("ok").alias("posed"), F.count_if(c("ok").isNull()).alias("missing"))

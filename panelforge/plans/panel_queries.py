@@ -26,9 +26,9 @@ def time_to_frame(s, d):
     return r.select("entity", "event_id", "idx", F.coalesce(c("idx") > F.lag("idx").over(Window.partitionBy("entity").orderBy("ts", "event_id")), F.lit(True)).alias("rising"))
 
 
-@query("2.1-3 2.1-5", "SELECT event_id, user_id AS entity, value FROM events WHERE event_id % 12 = 0 AND value BETWEEN 50 AND 200")
+@query("2.1-3 2.1-5", "SELECT event_id, user_id AS entity, value FROM events WHERE event_type = 'signup' AND value BETWEEN 50 AND 200")
 def keyframe_scan(s, d):
-    return table(s, d, "events").where("event_id % 12 = 0 AND value BETWEEN 50 AND 200").select("event_id", c("user_id").alias("entity"), "value")
+    return table(s, d, "events").where("event_type = 'signup' AND value BETWEEN 50 AND 200").select("event_id", c("user_id").alias("entity"), "value")
 
 
 @query("2.1-4", BASE + " SELECT entity, frame, event_id FROM r WHERE frame % 5 = 0")
@@ -136,7 +136,7 @@ def wide_pivot(s, d):
     return p.select("bin", F.round("click_v", 6).alias("click"), F.coalesce("click_n", F.lit(0)).alias("n_click"), F.coalesce("view_n", F.lit(0)).alias("n_view"))
 
 
-@query("2.2-5", BASE + ", g AS (SELECT entity, unnest(range(0, max(bin) + 1)) AS bin FROM b WHERE entity % 9 <> 0 GROUP BY 1) SELECT g.entity, g.bin, b.v, coalesce(b.n >= 3, false) AS checked FROM g LEFT JOIN b ON g.entity = b.entity AND g.bin = b.bin")
+@query("2.2-5", BASE + ", g AS (SELECT entity, unnest(range(0, max(bin) + 1)) AS bin FROM b GROUP BY 1 HAVING max(v) > 200) SELECT g.entity, g.bin, b.v, coalesce(b.n >= 3, false) AS checked FROM g LEFT JOIN b ON g.entity = b.entity AND g.bin = b.bin")
 def growth_long_export(s, d):
-    b = day_bins(s, d).where("entity % 9 <> 0").select("entity", "bin", "v", "n")
+    b = day_bins(s, d).withColumn("top", F.max("v").over(Window.partitionBy("entity"))).where("top > 200").select("entity", "bin", "v", "n")
     return panel.densify(b, KEYS, "bin", F.min(F.lit(0)), F.max("bin")).select("entity", "bin", "v", F.coalesce(c("n") >= 3, F.lit(False)).alias("checked"))

@@ -138,9 +138,9 @@ def angle_wrap(s, d):
     return table(s, d, "events").select("event_id", F.round(geometry.wrap_degrees(c("value") * 7 - 900), 6).alias("angle"))
 
 
-@query("2.10-9", BASE + " SELECT entity, list(CAST(bin AS VARCHAR) || '=' || CAST(n AS VARCHAR) ORDER BY bin) AS entries FROM b WHERE bin < 12 GROUP BY 1")
+@query("2.10-9", BASE + " SELECT entity, list(CAST(bin AS VARCHAR) || '=' || CAST(n AS VARCHAR) ORDER BY bin) AS entries FROM b GROUP BY 1")
 def sorted_map_entries(s, d):
-    m = day_bins(s, d).where("bin < 12").groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct(c("bin").cast("string"), "n"))).alias("m"))
+    m = day_bins(s, d).groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct(c("bin").cast("string"), "n"))).alias("m"))
     by_number = F.transform(F.array_sort(F.transform(F.map_entries("m"), lambda e: F.struct(e["key"].cast("int").alias("i"), e["value"].alias("n")))), lambda e: F.concat_ws("=", e["i"].cast("string"), e["n"].cast("string")))
     return m.select("entity", by_number.alias("entries"))
 
@@ -153,20 +153,20 @@ def axis_ticks(s, d):
     return x.select("entity", "step", (F.floor(c("z") / c("step")) - F.ceil(c("a") / c("step")) + 1).cast("long").alias("ticks"))
 
 
-#: A path of up to 12 points per entity: (frame * 10, value).
-PATH = BASE + ", p AS (SELECT entity, frame AS i, frame * 10.0 AS x, value AS y FROM r WHERE frame < 12), st AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS ds FROM p WINDOW w AS (PARTITION BY entity ORDER BY i)), ar AS (SELECT *, sum(ds) OVER (PARTITION BY entity ORDER BY i ROWS UNBOUNDED PRECEDING) AS s FROM st), sg AS (SELECT entity, i, s AS s0, x AS x0, y AS y0, lead(s) OVER w AS s1, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM ar WINDOW w AS (PARTITION BY entity ORDER BY i))"
+#: A path per entity: (frame * 10, value).
+PATH = BASE + ", p AS (SELECT entity, frame AS i, frame * 10.0 AS x, value AS y FROM r), st AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS ds FROM p WINDOW w AS (PARTITION BY entity ORDER BY i)), ar AS (SELECT *, sum(ds) OVER (PARTITION BY entity ORDER BY i ROWS UNBOUNDED PRECEDING) AS s FROM st), sg AS (SELECT entity, i, s AS s0, x AS x0, y AS y0, lead(s) OVER w AS s1, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM ar WINDOW w AS (PARTITION BY entity ORDER BY i))"
 
 
 def paths(s, d):
-    r = readings(s, d).where("frame < 12")
-    p = r.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct(c("frame").alias("i"), (c("frame") * 10.0).alias("x"), c("value").alias("y")))).alias("p"))
+    p = readings(s, d).groupBy("entity").agg(F.array_sort(F.collect_list(F.struct(c("frame").alias("i"), (c("frame") * 10.0).alias("x"), c("value").alias("y")))).alias("p"))
     return p.select("entity", F.transform("p", lambda a: F.struct(a["x"].alias("x"), a["y"].alias("y"))).alias("path"))
 
 
 @query("2.3-22 2.3-34", PATH + ", tt AS (SELECT entity, max(s) AS total FROM ar GROUP BY 1), g AS (SELECT entity, unnest(range(0, CAST(ceil(total / 50) AS BIGINT))) AS k FROM tt) SELECT g.entity, g.k, round(x0 + (x1 - x0) * (k * 50 - s0) / (s1 - s0), 6) AS x, round(y0 + (y1 - y0) * (k * 50 - s0) / (s1 - s0), 6) AS y FROM g JOIN sg ON g.entity = sg.entity AND ((k * 50 > s0 AND k * 50 <= s1) OR (k = 0 AND i = 0))")
 def path_resample(s, d):
-    p = paths(s, d).withColumn("q", geometry.resampled(geometry.arc_points(c("path")), 50.0, False))
-    return p.select("entity", F.posexplode("q").alias("k", "a")).select("entity", "k", F.round("a.x", 6).alias("x"), F.round("a.y", 6).alias("y"))
+    g = paths(s, d).withColumn("a", geometry.arc_points(c("path"))).select("entity", F.element_at("a", -1)["s"].alias("total"), F.explode(geometry.segments(c("a"))).alias("g"))
+    m = g.select("entity", "total", F.explode(geometry.marks(c("g"), 50.0)).alias("m")).where(c("m.k") * 50.0 < c("total"))
+    return m.select("entity", c("m.k").alias("k"), F.round("m.p.x", 6).alias("x"), F.round("m.p.y", 6).alias("y"))
 
 
 @query("2.3-23", PATH + ", tt AS (SELECT entity, max(s) AS total FROM ar GROUP BY 1) SELECT tt.entity, (SELECT count(*) FROM ar WHERE ar.entity = tt.entity AND s < 400) + CASE WHEN total <= 400 THEN count(*) FILTER (false) + 0 ELSE 1 END AS points, round(CASE WHEN total <= 400 THEN total ELSE 400 END, 6) AS length, round(max(CASE WHEN total > 400 AND s0 < 400 AND s1 >= 400 THEN y0 + (y1 - y0) * (400 - s0) / (s1 - s0) END), 6) AS end_y FROM tt JOIN sg ON tt.entity = sg.entity GROUP BY tt.entity, total")
