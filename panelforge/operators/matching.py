@@ -69,6 +69,15 @@ def greedy_match(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.groupBy(*keys).applyInPandas(match, f"{kinds}, a long, b long, distance double")
 
 
+def match_by_id_or_near(left: DataFrame, right: DataFrame, keys: list[str], radius: float) -> DataFrame:
+    """One-to-one matches (a, b, distance) of points: equal ids first, then the rest greedily within the radius."""
+    near = [F.col(f"r.{x}") - F.col(f"l.{x}") for x in ("x", "y")]
+    same = left.alias("l").join(right.alias("r"), [*keys, "id"]).select(*keys, F.col("id").alias("a"), F.col("id").alias("b"), F.sqrt(near[0] * near[0] + near[1] * near[1]).alias("distance"))
+    named = same.select(*keys, F.col("a").alias("id"))
+    rest = [df.join(named, [*keys, "id"], "left_anti") for df in (left, right)]
+    return same.unionByName(greedy_match(pairs_within(*rest, keys, radius), keys))
+
+
 def mutual_nearest(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs that are each other's nearest (smaller id at a tie)."""
     wa = Window.partitionBy(*keys, "a").orderBy("distance", "b")

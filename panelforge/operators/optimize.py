@@ -32,25 +32,27 @@ def per_entity(rows: DataFrame, keys: list[str], at: str, f: Callable[[pd.DataFr
     return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, {schema}")
 
 
-def front_score(ys: Column, levels: int, most: int) -> Column:
-    """Best total over fronts f that never fall and rise by ``most`` at most per step; a step gains y for each level behind the front.
+def front_score(gains: Column, levels: int, most: int) -> Column:
+    """Best total over fronts that never fall and rise by ``most`` at most per step.
 
-    One array of scores by level is folded over the series: levels * most operations a step.
+    gains: one array for each step, its entry f (0 to ``levels``) the evidence behind a front at f. One array of scores
+    is folded over the steps: levels * most operations each.
     """
-    grid = F.sequence(F.lit(0), F.lit(levels - 1))
+    grid = F.sequence(F.lit(0), F.lit(levels))
     start = F.transform(grid, lambda f: F.lit(0.0))
-    step = lambda score, y: F.transform(grid, lambda f: f * y + F.array_max(F.slice(score, F.greatest(f - most, F.lit(0)) + 1, F.least(f, F.lit(most)) + 1)))
-    return F.array_max(F.aggregate(ys, start, step))
+    step = lambda score, row: F.transform(grid, lambda f: F.get(row, f) + F.array_max(F.slice(score, F.greatest(f - most, F.lit(0)) + 1, F.least(f, F.lit(most)) + 1)))
+    return F.array_max(F.aggregate(gains, start, step))
 
 
-def monotone_front(y: np.ndarray, levels: int, most: int) -> np.ndarray:
-    """The front itself; ties take the lowest predecessor and the lowest last level."""
-    score, back = np.zeros(levels), []
-    for v in y:
-        windows = [score[max(0, f - most) : f + 1] for f in range(levels)]
+def monotone_front(gains: np.ndarray, most: int) -> np.ndarray:
+    """The front itself, from (steps, levels + 1) gains; ties take the lowest predecessor and the lowest last level."""
+    n = gains.shape[1]
+    score, back = np.zeros(n), []
+    for row in gains:
+        windows = [score[max(0, f - most) : f + 1] for f in range(n)]
         best = np.array([max(0, f - most) + int(w.argmax()) for f, w in enumerate(windows)])
         back.append(best)
-        score = np.arange(levels) * v + score[best]
+        score = row + score[best]
     at, out = int(score.argmax()), []
     for best in reversed(back):
         out.append(at)
@@ -105,15 +107,37 @@ def isotonic(y: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(n), s / n) for s, n in blocks]) if blocks else np.zeros(0)
 
 
-def corrected_curve(curve: np.ndarray, anchors: list[tuple[int, float]], window: int) -> np.ndarray:
-    """The curve through checked (place, value) pairs: offsets ramp in over ``window`` before the first, run linearly
-    between, fade out after the last; the result never falls."""
-    if not anchors:
-        return np.maximum.accumulate(curve)
-    at = np.array([a for a, _ in anchors], float)
-    off = np.array([v - curve[int(a)] for a, v in anchors])
-    knots, offsets = np.concatenate([[at[0] - window], at, [at[-1] + window]]), np.concatenate([[0.0], off, [0.0]])
-    return np.maximum.accumulate(np.maximum(curve + np.interp(np.arange(len(curve)), knots, offsets), 0))
+def corrected_curve(curve: np.ndarray, first: int | None, anchors: list[tuple[int, float]], window: int, still: float = 0.5) -> np.ndarray:
+    """The model's curve through checked (place, length) pairs.
+
+    Zero before ``first`` (None: everywhere), never falling. The error at a check ramps in over ``window`` places before
+    it and fades out over as many after it; where the model was short by more than max(2, 10 %) and had not grown by more
+    than ``still`` since an earlier place, the ramp starts there. Between checks the curve stays between their lengths.
+    """
+    n = len(curve)
+    if first is None or first >= n:
+        return np.zeros(n)
+    place, base = np.arange(n), np.maximum.accumulate(np.nan_to_num(np.asarray(curve, float)))
+    base[: max(first, 0)] = 0.0
+    checks = sorted((a, v) for a, v in anchors if first <= a < n)
+    if not checks:
+        return base
+    at = np.array([a for a, _ in checks])
+    value = np.maximum.accumulate([v for _, v in checks])
+    last_of = np.append(at[1:] != at[:-1], True)  # of two checks of a place the larger
+    at, value = at[last_of], value[last_of]
+    error, before = value - base[at], np.append(first - 1, at[:-1])
+    start = np.maximum(at - window, before)
+    stopped = np.maximum(np.searchsorted(base, base[at] - still), np.maximum(before, 0))
+    start = np.where(error > np.maximum(2.0, 0.1 * value), np.minimum(start, stopped), start)
+    k = np.searchsorted(at, place)  # the next check of each place
+    following, has_next = np.minimum(k, len(at) - 1), k < len(at)
+    ramp = np.where(has_next, np.clip((place - start[following]) / np.maximum(at[following] - start[following], 1), 0, 1), 0.0)
+    fade = np.where(k > 0, error[k - 1] * np.clip(1 - (place - at[k - 1]) / window, 0, 1), 0.0)
+    out = base + (1 - ramp) * fade + ramp * np.where(has_next, error[following], 0.0)
+    out = np.clip(out, np.where(k > 0, value[k - 1], 0.0), np.where(has_next, value[following], np.inf))
+    out[at], out[:first] = value, 0.0
+    return np.maximum.accumulate(np.maximum(out, 0.0))
 
 
 def correlation_shift(a: np.ndarray, b: np.ndarray, most: int) -> int:

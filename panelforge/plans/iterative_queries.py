@@ -11,24 +11,33 @@ from panelforge.operators import events as ev
 from panelforge.plans.base import BASE, KEYS, c, day_bins, query, readings, table, unranked
 
 
-def scored_bins(s, d):
-    return day_bins(s, d).select("entity", "i", (F.round("v") - 80).alias("y"))
+LEVELS = 10
 
 
-DP = BASE.replace("WITH r", "WITH RECURSIVE r", 1) + """, y AS (SELECT entity, i, round(v) - 80 AS y FROM b),
-dp AS (SELECT entity, 0::BIGINT AS i, list_transform(range(0, 12), lambda f: 0.0::DOUBLE) AS sc FROM y WHERE i = 0
-  UNION ALL SELECT y.entity, dp.i + 1, list_transform(range(0, 12), lambda f: f * y.y + list_max(list_slice(dp.sc, greatest(f - 2, 0) + 1, f + 1))) FROM dp JOIN y ON y.entity = dp.entity AND y.i = dp.i)"""
+def gains(s, d):
+    """entity, bin, gains: evidence (readings over 100, by level k div 10) behind a front at each of the levels 0 to 10."""
+    e = unranked(s, d).groupBy("entity", "bin", F.expr("k div 10").alias("level")).agg((F.sum(F.round("value")) - 100 * F.count("*")).alias("e"))
+    level = [F.sum(F.when(c("level") == k, c("e")).otherwise(0.0)) for k in range(LEVELS)]
+    rows = [F.lit(0.0)]
+    for x in level:
+        rows.append(rows[-1] + x)
+    return e.groupBy("entity", "bin").agg(F.array(*rows).alias("gains"))
+
+
+DP = BASE.replace("WITH r", "WITH RECURSIVE r", 1) + """, y AS (SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY bin) - 1 AS i, gains FROM (SELECT entity, bin, [""" + ", ".join(f"coalesce(sum(round(value) - 100) FILTER (k < {10 * f}), 0)::DOUBLE" for f in range(11)) + """] AS gains FROM r GROUP BY 1, 2)),
+dp AS (SELECT entity, 0::BIGINT AS i, list_transform(range(0, 11), lambda f: 0.0::DOUBLE) AS sc FROM y WHERE i = 0
+  UNION ALL SELECT y.entity, dp.i + 1, list_transform(range(0, 11), lambda f: y.gains[f + 1] + list_max(list_slice(dp.sc, greatest(f - 2, 0) + 1, f + 1))) FROM dp JOIN y ON y.entity = dp.entity AND y.i = dp.i)"""
 
 
 @query("2.11-1", DP + " SELECT entity, round(list_max(arg_max(sc, i)), 9) AS score FROM dp GROUP BY 1")
 def front_score(s, d):
-    y = optimize.series(scored_bins(s, d), KEYS, "i", "y")
-    return y.select("entity", optimize.front_score(c("ys"), 12, 2).alias("score"))
+    y = optimize.series(gains(s, d), KEYS, "bin", "gains")
+    return y.select("entity", optimize.front_score(c("ys"), LEVELS, 2).alias("score"))
 
 
 @query("2.11-1")
 def monotone_front(s, d):
-    return optimize.per_entity(scored_bins(s, d), KEYS, "i", lambda p: {"i": p["i"].to_numpy(), "front": optimize.monotone_front(p["y"].to_numpy(), 12, 2)}, "i long, front long")
+    return optimize.per_entity(gains(s, d), KEYS, "bin", lambda p: {"bin": p["bin"].to_numpy(), "front": optimize.monotone_front(np.stack(p["gains"].to_numpy()), 2)}, "bin long, front long")
 
 
 @query("2.11-2")
@@ -82,7 +91,8 @@ def corrected_curves(s, d):
 
     def fix(p):
         anchors = [(int(i), float(v)) for i, v, n in zip(p["i"], p["v"], p["n"]) if n >= 4]
-        return {"i": p["i"].to_numpy(), "length": optimize.corrected_curve(p["length"].to_numpy(), anchors[:3], 8)}
+        seen = np.flatnonzero(p["v"].to_numpy() > 40)
+        return {"i": p["i"].to_numpy(), "length": optimize.corrected_curve(p["length"].to_numpy(), int(seen[0]) if len(seen) else None, anchors, 8)}
 
     return optimize.per_entity(b, KEYS, "i", fix, "i long, length double")
 

@@ -35,16 +35,23 @@ def label_prediction_join(s, d):
     return first("purchase", 50, "label").join(first("click", 10, "pred"), "entity", "left").withColumn("missing", c("pred").isNull())
 
 
-@query("2.5-2", PAIRS + """, lab AS (SELECT movie, a, row_number() OVER (PARTITION BY movie ORDER BY a) AS i FROM (SELECT DISTINCT movie, a FROM w)),
+GREEDY = """, lab AS (SELECT movie, a, row_number() OVER (PARTITION BY movie ORDER BY a) AS i FROM (SELECT DISTINCT movie, a FROM w)),
 g AS (SELECT DISTINCT movie, 0::BIGINT AS i, CAST([] AS BIGINT[]) AS used, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::DOUBLE AS distance FROM lab
   UNION ALL SELECT g.movie, g.i + 1, CASE WHEN n.b IS NULL THEN g.used ELSE list_append(g.used, n.b) END, lab.a, n.b, n.distance
   FROM g JOIN lab ON lab.movie = g.movie AND lab.i = g.i + 1
-  CROSS JOIN LATERAL (SELECT arg_min(w.b, struct_pack(d := w.distance, o := -w.b)) AS b, min(w.distance) AS distance FROM w WHERE w.movie = lab.movie AND w.a = lab.a AND NOT list_contains(g.used, w.b)) n)
-SELECT movie, a, b, round(distance, 9) AS distance FROM g WHERE b IS NOT NULL""")
+  CROSS JOIN LATERAL (SELECT arg_min(w.b, struct_pack(d := w.distance, o := -w.b)) AS b, min(w.distance) AS distance FROM w WHERE w.movie = lab.movie AND w.a = lab.a AND NOT list_contains(g.used, w.b)) n)"""
+
+
+@query("2.5-2", PAIRS + GREEDY + " SELECT movie, a, b, round(distance, 9) AS distance FROM g WHERE b IS NOT NULL")
 def greedy_nearest_match(s, d):
     return matching.greedy_match(near(s, d), MOVIE)
 
 
+@query("2.5-1 2.5-2", PAIRS.replace("w AS (SELECT * FROM d WHERE", "same AS (SELECT * FROM d WHERE a = b), w AS (SELECT * FROM d WHERE (movie, a) NOT IN (SELECT (movie, a) FROM same) AND (movie, b) NOT IN (SELECT (movie, b) FROM same) AND") + GREEDY + " SELECT movie, a, b, round(distance, 9) AS distance FROM g WHERE b IS NOT NULL UNION ALL SELECT movie, a, b, round(distance, 9) FROM same")
+def match_by_id_or_near(s, d):
+    return matching.match_by_id_or_near(labels(s, d), predictions(s, d), MOVIE, 250.0)
+
+
 @query("2.5-2", PAIRS + " SELECT movie, a, b, round(distance, 9) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY movie, a ORDER BY distance, b) AS ra, row_number() OVER (PARTITION BY movie, b ORDER BY distance, a) AS rb FROM w) WHERE ra = 1 AND rb = 1")
 def mutual_nearest_match(s, d):
     return matching.mutual_nearest(near(s, d), MOVIE)

@@ -67,14 +67,24 @@ def test_isotonic_is_the_min_max_formula():
 
 def test_monotone_front_is_optimal(spark):
     rng = np.random.default_rng(3)
-    for _ in range(20):
-        y = rng.normal(size=5)
-        front = optimize.monotone_front(y, 4, 2)
+    for _ in range(12):
+        gains = np.concatenate([np.zeros((5, 1)), np.cumsum(rng.normal(size=(5, 3)), axis=1)], axis=1)
+        value = lambda f: sum(gains[t, x] for t, x in enumerate(f))
+        front = optimize.monotone_front(gains, 2)
         assert all(0 <= b - a <= 2 for a, b in zip(front, front[1:]))
-        options = [f for f in itertools.product(range(4), repeat=5) if all(0 <= b - a <= 2 for a, b in zip(f, f[1:]))]
-        best = max(float(np.dot(f, y)) for f in options)
-        assert abs(float(np.dot(front, y)) - best) < 1e-9
-        assert abs(one(spark, optimize.front_score(F.array(*[F.lit(float(v)) for v in y]), 4, 2)) - best) < 1e-9
+        best = max(value(f) for f in itertools.product(range(4), repeat=5) if all(0 <= b - a <= 2 for a, b in zip(f, f[1:])))
+        assert abs(value(front) - best) < 1e-9
+        assert abs(one(spark, optimize.front_score(F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in gains]), 3, 2)) - best) < 1e-9
+
+
+def test_monotone_front_waits_for_what_lasts():
+    """A transient at step 4 is left out; growth of a level a step from step 10 is followed."""
+    e = np.full((30, 20), -1.0)
+    e[4, :6] = 1.0
+    for t in range(10, 30):
+        e[t, : t - 9] = 1.0
+    front = optimize.monotone_front(np.concatenate([np.zeros((30, 1)), np.cumsum(e, axis=1)], axis=1), 2)
+    assert front[4] == front[9] == 0 and front[20] == 11 and front[29] == 20
 
 
 def test_viterbi_is_optimal():
@@ -87,10 +97,17 @@ def test_viterbi_is_optimal():
 
 
 def test_corrected_curve_known_answers():
-    model = np.array([max(0, 2.0 * (b - 5)) for b in range(80)])
-    got = optimize.corrected_curve(model, [(30, 60.0)], 20)
-    assert got[30] == 60 and got[5] == 0 and np.allclose(got[55:], np.maximum(model[55:], got[54])) and (np.diff(got) >= 0).all()
-    assert np.array_equal(optimize.corrected_curve(np.array([1.0, 3, 2]), [], 5), [1, 3, 3])
+    model = np.array([max(0, 2.0 * (b - 4)) for b in range(80)])
+    got = optimize.corrected_curve(model, 5, [(30, 60.0)], 20)
+    assert got[30] == 60 and got[20] == model[20] + 4 and got[40] == model[40] + 4
+    assert np.array_equal(got[:11], model[:11]) and np.array_equal(got[50:], model[50:]) and (np.diff(got) >= 0).all()
+    assert np.array_equal(optimize.corrected_curve(np.array([1.0, 3, 2]), 0, [], 5), [1, 3, 3])
+    assert not optimize.corrected_curve(model, None, [(30, 60.0)], 20).any()
+    flat = np.minimum(model, 20.0)  # stops growing at 14: the missing growth is spread from there
+    late = optimize.corrected_curve(flat, 5, [(60, 100.0)], 20)
+    assert late[14] == 20 and abs(late[37] - 60) < 1e-9 and late[60] == 100 and late[79] == 100
+    two = optimize.corrected_curve(model, 5, [(20, 30.0), (40, 80.0)], 20)
+    assert two[20] == 30 and two[40] == 80 and ((two[20:41] >= 30) & (two[20:41] <= 80)).all()
 
 
 @pytest.mark.parametrize("seed", range(6))
