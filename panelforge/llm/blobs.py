@@ -36,17 +36,17 @@ def write(docs: np.ndarray, tags: np.ndarray | None, counts: np.ndarray, places:
     steps[1:][inner[1:]] = np.diff(places)[inner[1:]]
     gaps = np.diff(docs.astype(np.int64), prepend=np.int64(0))
     (g, w), (a, x), (b, y) = _small(((gaps << 1) ^ (gaps >> 63)).view(np.uint64)), _small(counts), _small(steps)
-    t = b"" if tags is None else tags.astype("<u4").tobytes()
-    return b"".join([struct.pack("<IIBBBB", len(docs), len(places), g, a, b, tags is not None), w, t, x, y, *(k.tobytes() for k in keys)])
+    t = tags.astype("<u4").tobytes() if tags is not None and tags.any() else b""
+    return b"".join([struct.pack("<IIBBBB", len(docs), len(places), g, a, b, bool(t)), w, t, x, y, *(k.tobytes() for k in keys)])
 
 
-def read(pack: bytes, kinds: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray, list[np.ndarray]]:
+def read(pack: bytes, kinds: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     n, m, g, a, b, tagged = struct.unpack_from("<IIBBBB", pack)
     at = 12
     gaps = np.frombuffer(pack, f"<u{g}", n, at).astype(np.uint64)
     docs = np.cumsum((gaps >> np.uint64(1)).view(np.int64) ^ -(gaps & np.uint64(1)).view(np.int64))
     at += g * n
-    tags = np.frombuffer(pack, "<u4", n, at) if tagged else None
+    tags = np.frombuffer(pack, "<u4", n, at) if tagged else np.zeros(n, "<u4")
     at += 4 * n * tagged
     counts = np.frombuffer(pack, f"<u{a}", n, at).astype(np.int64)
     at += a * n

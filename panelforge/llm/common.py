@@ -47,10 +47,12 @@ def smallest(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.groupBy(key).agg(F.min(F.struct(*rest)).alias("row")).orderBy(key).limit(n).select(key, "row.*")
 
 
-def with_rest(docs: DataFrame, id_col: str, text_col: str, rest: tuple[str, ...]) -> tuple[DataFrame, str]:
-    """(doc_id, text and, if asked, the columns of ``rest`` as a struct of that name; the struct as the end of a schema)."""
-    cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
-    if not rest:
-        return docs.select(*cols), ""
-    named = docs.select(*cols, F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"))
-    return named, f", rest {named.schema['rest'].dataType.simpleString()}"
+def with_rest(docs: DataFrame, id_col: str, text_col: str, rest: tuple[str, ...] | None) -> tuple[DataFrame, str]:
+    """(doc_id, text and the columns of ``rest`` as a struct of that name; what follows in the schema of a result).
+
+    With rest (even an empty one) results carry the text and the struct on; without, neither.
+    """
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []))
+    if rest is None:
+        return named, ""
+    return named, ", text string" + (f", rest {named.schema['rest'].dataType.simpleString()}" if rest else "")

@@ -191,10 +191,10 @@ def _document_scores(w: dict, texts: list[bytes], classes: int) -> np.ndarray:
     return out / np.maximum(1, sizes)[:, None]
 
 
-def language_id(docs: DataFrame, model: tuple[list[str], dict], id_col: str = "doc_id", text_col: str = "text", rest: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score of each row and, if asked, other columns in the struct rest."""
+def language_id(docs: DataFrame, model: tuple[list[str], dict], id_col: str = "doc_id", text_col: str = "text", rest: tuple[str, ...] | None = None) -> DataFrame:
+    """doc_id, lang_pred, score of each row and, if asked, its text and other columns in the struct rest."""
     languages, weights = model
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    shared, more = docs.sparkSession.sparkContext.broadcast(weights), 2 if rest is None else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
@@ -222,7 +222,7 @@ def language_id(docs: DataFrame, model: tuple[list[str], dict], id_col: str = "d
                     held = 0
             if group:
                 work()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *batch.columns[2:]], names=["doc_id", "lang_pred", "score", *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *batch.columns[more:]], names=["doc_id", "lang_pred", "score", *batch.schema.names[more:]])
 
     named, schema = with_rest(docs, id_col, text_col, rest)
     return named.mapInArrow(run, f"doc_id long, lang_pred string, score double{schema}")

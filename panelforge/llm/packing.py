@@ -79,6 +79,11 @@ class WordTokens:
             return self.parts[parts[0]] if len(parts) == 1 else b"".join([self.parts[x] for x in parts])
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def forget(self) -> None:
+        for memo in (self.parts, self.words):
+            memo.clear()
+            memo.old = {}
+
     def of(self, text: bytes) -> bytes:
         out, a = [], 0
         while len(text) - a > STRETCH_BYTES:  # long texts by stretches of whole words
@@ -92,7 +97,7 @@ class WordTokens:
 
 @functools.cache
 def word_tokens(path: str) -> WordTokens:
-    """One for each Python worker, so that its tasks share what they know."""
+    """One for each Python worker: the vocabulary is read once."""
     return WordTokens(path)
 
 
@@ -195,6 +200,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                     yield from flush()
         for full in packer.close():
             put(*full)
+        tokens.forget()  # the worker may go on to other work
         yield from flush()
 
     return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, SCHEMA)

@@ -171,9 +171,9 @@ def score(stats: DataFrame, model: dict) -> DataFrame:
     return stats.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
 
 
-def score_documents(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", rest: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score of each row and, if asked, other columns in the struct rest: one pass over the texts, no join."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score_documents(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", rest: tuple[str, ...] | None = None) -> DataFrame:
+    """doc_id, score of each row and, if asked, its text and other columns in the struct rest: one pass, no join."""
+    shared, more = docs.sparkSession.sparkContext.broadcast(model), 2 if rest is None else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -183,7 +183,7 @@ def score_documents(docs: DataFrame, model: dict, id_col: str = "doc_id", text_c
                 if m:
                     x = statistics(part.column(1)).astype(np.float32).astype(float)
                     out = m["curve"][_bin(fourier(x, m["mean"], m["scale"]) @ m["weights"], BINS)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out), *part.columns[2:]], names=["doc_id", "score", *part.schema.names[2:]])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out), *part.columns[more:]], names=["doc_id", "score", *part.schema.names[more:]])
 
     named, schema = with_rest(docs, id_col, text_col, rest)
     return named.mapInArrow(run, f"doc_id long, score double{schema}")

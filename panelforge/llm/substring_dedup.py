@@ -19,8 +19,8 @@ and no pair of documents is ever listed.
 Defined results: null text has no words; a null doc_id is neither source nor
 target and keeps its words; rows that repeat a doc_id count as one document
 for order, each row is returned; empty tables give no rows. Other columns go
-through in the struct ``rest`` on request. (Rows of one doc_id are told apart by
-32 bits of their text, its ``tag``.)
+through in the struct ``rest`` on request. (Where a doc_id has several texts,
+rows are told apart by 32 bits of their text, its ``tag``; else the tag is 0.)
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm import blobs
-from panelforge.llm.common import input_buckets, materialized
+from panelforge.llm.common import input_buckets, materialized, with_rest
 from panelforge.llm.textnum import Words, chunks
 
 WINDOW, CHUNK_BYTES = 50, 2 << 20
@@ -154,7 +154,7 @@ def _repeated(shipped: DataFrame, buckets: int) -> DataFrame:
     return blobs.by_document(shipped.groupBy("bucket").applyInPandas(lambda pdf: _met(pdf, ("<u8", "<u4"), answer), blobs.PACKED))
 
 
-def _removed(joined: DataFrame, window: int, schema: str) -> DataFrame:
+def _removed(joined: DataFrame, window: int, schema: str, carry: bool) -> DataFrame:
     """Kept words of each row; joined has doc_id, text, places (window starts or null), rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,28 +176,29 @@ def _removed(joined: DataFrame, window: int, schema: str) -> DataFrame:
                 n_words.append(len(words))
                 n_removed.append(gone)
                 kept_text.append(b" ".join(kept))
+            more = {batch.schema.names[k]: batch.column(k) for k in ((1, *range(3, batch.num_columns)) if carry else ())}
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept_text, pa.binary()).cast(pa.string()), *batch.columns[3:]],
-                names=["doc_id", "n_words", "n_removed", "kept_text", *batch.schema.names[3:]],
+                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept_text, pa.binary()).cast(pa.string()), *more.values()],
+                names=["doc_id", "n_words", "n_removed", "kept_text", *more],
             )
 
     return joined.mapInArrow(run, schema)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, rest: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text (kept words, one space between) and, if asked, the struct rest."""
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, rest: tuple[str, ...] | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text (kept words, one space between) and, if asked, the text and the struct rest."""
     block = window // 2
     buckets = input_buckets(docs)
-    cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
-    named = docs.select(*cols, *([F.struct(*[F.col(c) for c in rest]).alias("rest")] if rest else []))
-    known = named.where("doc_id is not null").withColumn("tag", F.crc32(F.col("text").cast("binary")))
+    named, more_schema = with_rest(docs, id_col, text_col, rest)
+    known = named.where("doc_id is not null")
+    crc = F.crc32(F.col("text").cast("binary"))
+    several = known.groupBy("doc_id").agg(F.min(crc).alias("a"), F.max(crc).alias("b")).where("a <> b").limit(1).count()
+    known = known.withColumn("tag", F.coalesce(crc, F.lit(0)) if several else F.lit(0).cast("long"))
     anchors = materialized(_anchors(_probes(known.where("text is not null").select("doc_id", "text", "tag"), block, buckets), block, buckets))
     near = known.join(anchors, ["doc_id", "tag"]).select("doc_id", "text", "tag", "places")
     places = _repeated(_windows(near, window, block, buckets), buckets)
-    schema = "doc_id long, n_words long, n_removed long, kept_text string"
-    if rest:
-        schema += f", rest {named.schema['rest'].dataType.simpleString()}"
+    schema = f"doc_id long, n_words long, n_removed long, kept_text string{more_schema}"
     more = ["rest"] if rest else []
     joined = known.join(places, ["doc_id", "tag"], "left").select("doc_id", "text", "places", *more)
     nameless = named.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("binary").alias("places"), *more)
-    return _removed(joined.unionByName(nameless), window, schema)
+    return _removed(joined.unionByName(nameless), window, schema, rest is not None)
