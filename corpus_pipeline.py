@@ -18,12 +18,12 @@ from panelforge.session import ship
 
 
 def _columns(got: DataFrame, docs: DataFrame, new: dict | None = None) -> DataFrame:
-    """The columns of docs out of doc_id and the struct rest; ``new`` replaces some."""
-    return got.select(*[(new or {}).get(c, F.col(c if c == "doc_id" else f"rest.`{c}`")).alias(c) for c in docs.columns])
+    """The columns of docs out of doc_id, text and the struct rest; ``new`` replaces some."""
+    return got.select(*[(new or {}).get(c, F.col(c if c in ("doc_id", "text") else f"rest.`{c}`")).alias(c) for c in docs.columns])
 
 
 def _others(docs: DataFrame) -> tuple[str, ...]:
-    return tuple(c for c in docs.columns if c != "doc_id")
+    return tuple(c for c in docs.columns if c not in ("doc_id", "text"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,11 +52,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 50 words that an earlier document holds; untouched texts keep their white space."""
     ship(spark)
-    rest = _others(docs)
-    got = substring_dedup.substring_dedup(docs, rest=rest)
+    got = substring_dedup.substring_dedup(docs, rest=_others(docs))
     changed = F.col("n_removed") > 0
-    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("rest.text"))}
-    if "n_chars" in rest:
+    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
         new["n_chars"] = F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("rest.n_chars"))
     return _columns(got, docs, new)
 
