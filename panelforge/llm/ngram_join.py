@@ -161,13 +161,13 @@ def _ties(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
                 row, key = row[order], key[order]
                 packs = list(blobs.deal(blobs.bucket_of(key, buckets), sets, None, row, np.zeros(len(row), np.int64), [key.astype("<u4"), (key >> np.uint64(32)).astype("<u1")]))
                 if packs:
-                    rows = [(k, p, None) for k, p in packs] + [(packs[0][0], None, pairs.tobytes())]
+                    rows = [(k, p, None) for k, p in packs] + [(packs[int(key[0]) % len(packs)][0], None, pairs.tobytes())]
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "pack", "pairs"])
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [blobs.read(p, ("<u4", "<u1")) for p in pdf["pack"] if p is not None]
-        own = np.concatenate([np.repeat(d, c) for d, _, c, _, _ in parts])
-        key = np.concatenate([k[0].astype(np.uint64) << np.uint64(8) | k[1] for *_, k in parts])
+        own = np.concatenate([np.empty(0, np.int64), *(np.repeat(d, c) for d, _, c, _, _ in parts)])
+        key = np.concatenate([np.empty(0, np.uint64), *(k[0].astype(np.uint64) << np.uint64(8) | k[1] for *_, k in parts)])
         near = [np.frombuffer(p, np.int64).reshape(-1, 2) for p in pdf["pairs"] if p is not None]
         return pd.DataFrame(np.unique(np.concatenate([tied(key, own)[2], *near]), axis=0), columns=["a", "b"])
 

@@ -58,8 +58,8 @@ def _runs(first: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _batch(packs: list[tuple[int, bytes]], found: pd.DataFrame) -> pa.RecordBatch:
-    through = packs[0][0] if packs else 0
-    rows = [(k, p, None, None) for k, p in packs] + [(through, None, p, k) for k, p in zip(found["bucket"].tolist(), found["pack"])]
+    # answered places travel by their document's bucket, so they spread like documents
+    rows = [(k, p, None, None) for k, p in packs] + [(k, None, p, k) for k, p in zip(found["bucket"].tolist(), found["pack"])]
     columns = zip(*rows) if rows else ([], [], [], [])
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.int32()))], names=["bucket", "pack", "found", "to"])
 
