@@ -21,8 +21,10 @@ PACKED = "bucket int, pack binary"
 
 
 def _small(values: np.ndarray) -> tuple[int, bytes]:
-    """Non-negative values in 1, 2, 4 or 8 bytes each."""
+    """Non-negative values in 1, 2, 4 or 8 bytes each, zeros in none."""
     most = int(values.max()) if len(values) else 0
+    if not most:
+        return 0, b""
     size = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
     return size, values.astype(f"<u{size}").tobytes()
 
@@ -40,17 +42,21 @@ def write(docs: np.ndarray, tags: np.ndarray | None, counts: np.ndarray, places:
     return b"".join([struct.pack("<IIBBBB", len(docs), len(places), g, a, b, bool(t)), w, t, x, y, *(k.tobytes() for k in keys)])
 
 
+def _values(size: int, n: int, pack: bytes, at: int) -> np.ndarray:
+    return np.frombuffer(pack, f"<u{size}", n, at) if size else np.zeros(n, np.uint8)
+
+
 def read(pack: bytes, kinds: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     n, m, g, a, b, tagged = struct.unpack_from("<IIBBBB", pack)
     at = 12
-    gaps = np.frombuffer(pack, f"<u{g}", n, at).astype(np.uint64)
+    gaps = _values(g, n, pack, at).astype(np.uint64)
     docs = np.cumsum((gaps >> np.uint64(1)).view(np.int64) ^ -(gaps & np.uint64(1)).view(np.int64))
     at += g * n
     tags = np.frombuffer(pack, "<u4", n, at) if tagged else np.zeros(n, "<u4")
     at += 4 * n * tagged
-    counts = np.frombuffer(pack, f"<u{a}", n, at).astype(np.int64)
+    counts = _values(a, n, pack, at).astype(np.int64)
     at += a * n
-    steps = np.frombuffer(pack, f"<u{b}", m, at).astype(np.int64)
+    steps = _values(b, m, pack, at).astype(np.int64)
     at += b * m
     total = np.cumsum(steps)
     first = np.cumsum(counts) - counts

@@ -40,7 +40,7 @@ from panelforge.llm.textnum import Words, chunks
 WINDOW, CHUNK_BYTES = 50, 2 << 20
 
 
-#: pack: entries for the bucket; found: packs of answered places on their way to the document bucket ``to``.
+#: pack: entries for the bucket, without places where ``to`` is -1; found: packs of answered places on their way to the document bucket ``to``.
 SHIPPED = f"{blobs.PACKED}, found binary, to int"
 
 
@@ -57,9 +57,9 @@ def _runs(first: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.repeat(np.minimum.reduceat(values, first), size), np.repeat(np.maximum.reduceat(values, first), size)
 
 
-def _batch(packs: list[tuple[int, bytes]], found: pd.DataFrame) -> pa.RecordBatch:
+def _batch(packs: list[tuple[int, bytes]], found: pd.DataFrame, seen: list[tuple[int, bytes]] = ()) -> pa.RecordBatch:
     # answered places travel by their document's bucket, so they spread like documents
-    rows = [(k, p, None, None) for k, p in packs] + [(k, None, p, k) for k, p in zip(found["bucket"].tolist(), found["pack"])]
+    rows = [(k, p, None, None) for k, p in packs] + [(k, p, None, -1) for k, p in seen] + [(k, None, p, k) for k, p in zip(found["bucket"].tolist(), found["pack"])]
     columns = zip(*rows) if rows else ([], [], [], [])
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.int32()))], names=["bucket", "pack", "found", "to"])
 
@@ -68,8 +68,16 @@ def _met(pdf: pd.DataFrame, kinds: tuple[str, ...], answer) -> pd.DataFrame:
     """What passes through, and the answered places of the packs of one bucket."""
     own = pdf["found"].notna()
     through = pd.DataFrame({"bucket": pdf.loc[own, "to"].astype(np.int32), "pack": pdf.loc[own, "found"]})
-    packs = pdf.loc[~own, "pack"]
-    return pd.concat([through, answer(*blobs.entries(packs, kinds))]) if len(packs) else through
+    parts = []
+    for placeless in (False, True):
+        packs = pdf.loc[~own & ((pdf["to"] == -1) == placeless), "pack"]
+        if len(packs):
+            doc, tag, place, keys = blobs.entries(packs, kinds)
+            parts.append((doc, tag, np.full(len(doc), -1) if placeless else place, *keys))
+    if not parts:
+        return through
+    doc, tag, place, *keys = map(np.concatenate, zip(*parts))
+    return pd.concat([through, answer(doc, tag, place, keys)])
 
 
 def _probes(docs: DataFrame, block: int, buckets: int) -> DataFrame:
@@ -93,7 +101,9 @@ def _probes(docs: DataFrame, block: int, buckets: int) -> DataFrame:
                 send = np.where(several, (doc == least) | (doc == most), aligned)
                 send[first[~np.logical_or.reduceat(send, first)]] = True
                 at = np.sort(order[send])
-                yield _batch(list(blobs.deal(blobs.bucket_of(h[at], buckets), ids, tags, row[at], place[at], [h[at].astype("<u4")])), found)
+                block_at, other = at[place[at] % block == 0], at[place[at] % block != 0]
+                deal = lambda at, places: list(blobs.deal(blobs.bucket_of(h[at], buckets), ids, tags, row[at], places, [h[at].astype("<u4")]))  # noqa: B023, E731
+                yield _batch(deal(block_at, place[block_at]), found, deal(other, np.zeros(len(other), np.int64)))
 
     return docs.mapInArrow(run, SHIPPED)
 
@@ -105,7 +115,7 @@ def _anchors(shipped: DataFrame, block: int, buckets: int) -> DataFrame:
         order = np.argsort(keys[0], kind="stable")
         doc, tag, place = doc[order], tag[order], place[order]
         least, most = _runs(_starts(keys[0][order]), doc)
-        hit = (least != most) & (place % block == 0)
+        hit = (least != most) & (place >= 0)
         return blobs.deal_documents(doc[hit], tag[hit], place[hit], buckets)
 
     return blobs.by_document(shipped.groupBy("bucket").applyInPandas(lambda pdf: _met(pdf, ("<u4",), answer), blobs.PACKED))
