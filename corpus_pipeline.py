@@ -17,6 +17,9 @@ from panelforge.llm.common import materialized, table
 from panelforge.session import ship
 
 
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
 def _columns(got: DataFrame, docs: DataFrame, new: dict | None = None) -> DataFrame:
     """The columns of docs out of doc_id, text and the struct rest; ``new`` replaces some."""
     return got.select(*[(new or {}).get(c, F.col(c if c in ("doc_id", "text") else f"rest.`{c}`")).alias(c) for c in docs.columns])
@@ -42,9 +45,9 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked documents."""
+    """The document with the smallest id of each group linked by five words and a similarity of 0.8 or more (operator 9 itself: three and 0.9)."""
     ship(spark)
-    groups = ngram_join.jaccard_components(docs).where("component_id IS NULL OR component_id = doc_id")
+    groups = ngram_join.jaccard_components(docs, width=NEAR_WORDS, percent=NEAR_PERCENT).where("component_id IS NULL OR component_id = doc_id")
     kept = groups.select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 

@@ -8,7 +8,10 @@
    the threshold differ in K - 1 shingles at most, so in m + 1 orders at least
    their prefixes are identical: sets with identical prefixes and size class form
    one group. An empty prefix says nothing and forms a group only for the rare
-   sets with more than m of them, so that linked sets always meet. A chunk of
+   sets with more than m of them, so that linked sets always meet. Below
+   ``PERCENT`` segments are short, and one may hold nothing but a common line: there
+   m is larger, and a prefix of shingles that a bounded sample shows to be common
+   says nothing either. A chunk of
    texts ties its members of a group to their least one and sends only that on;
    the least ones meet in hash buckets, whose number follows the input, as packs
    of a few bytes, and are tied to the least of all. So m members give m ties,
@@ -43,12 +46,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm import blobs
-from panelforge.llm.common import input_buckets, materialized
+from panelforge.llm.common import input_buckets, materialized, smallest
 from panelforge.llm.graph import connected_components
 from panelforge.llm.textnum import Words, chunks, distinct, mix
 
 SHINGLE, PERCENT = 3, 90
 BLOCK_MEMBERS, BLOCK_SHINGLES = 1000, 1_000_000
+SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_SEEN = 2048, 8192, 3
 
 
 def shingle_sets(col: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -103,28 +107,41 @@ def segments(k: np.ndarray, percent: int) -> np.ndarray:
     return np.floor(top * (100 - percent) / (100 + percent)).astype(np.int64) + 1
 
 
-def spare(parts: np.ndarray) -> np.ndarray:
-    """m for K: segments that may be empty."""
-    return 1 + parts // 64
+def spare(parts: np.ndarray, percent: int) -> np.ndarray:
+    """m for K: segments that may say nothing; below PERCENT a segment holds some three shingles and is empty more often."""
+    return 1 + parts // 64 if percent >= PERCENT else 3 + parts // 6
 
 
-def prefix_keys(h: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every grouped prefix. Sets so small that only equal ones can link have none."""
+def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
+    """Sorted hashes of the shingles that several texts of a bounded sample hold. They steer what is compared, never what links."""
+    named = docs.where("text is not null").select(F.xxhash64("text").alias("key"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    texts = [r["text"] for r in smallest(named, "key", SAMPLE_TEXTS).select("text").collect()]
+    values, seen = np.unique(shingle_sets(pa.array(texts, pa.large_string()), width)[0], return_counts=True)
+    return values[seen >= SAMPLE_SEEN]
+
+
+def prefix_keys(h: np.ndarray, n: np.ndarray, percent: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of every grouped prefix. Sets so small that only equal ones can link have none.
+
+    Linked sets have m + 1 identical segments at least. A set with m silent ones (empty, or all of ``common`` shingles)
+    or fewer speaks by the others; one with more speaks by all, so that two such sets meet too.
+    """
     rows = np.flatnonzero(100 * n >= percent * (n + 1))
     own = np.repeat(np.isin(np.arange(len(n)), rows), n)
     h, size = h[own], n[rows]
     row, tokens = np.repeat(np.arange(len(rows)), size), mix(h)
+    rare = np.ones(len(h), bool) if common is None or not len(common) else common[np.minimum(np.searchsorted(common, h), len(common) - 1)] != h
     out_rows, out_keys = [], []
     for step in (0, 1):
         k = size_class(size, percent) - step
         parts = segments(k, percent)
-        few = spare(parts)
+        few = spare(parts, percent)
         parts = parts + few
         base = np.cumsum(parts) - parts
         place = base[row] + ((h >> np.uint64(11)) % parts[row].astype(np.uint64)).astype(np.int64)
         total = np.zeros(int(parts.sum()), np.uint64)
         np.add.at(total, place, tokens)
-        filled = np.bincount(place, minlength=len(total)) > 0
+        filled = np.bincount(place[rare], minlength=len(total)) > 0
         use = filled | np.repeat(parts - np.add.reduceat(filled, base, dtype=np.int64) > few, parts) if len(base) else filled
         segment = np.arange(len(total)) - np.repeat(base, parts)
         salt = mix((np.repeat(k, parts) << 32 | segment).astype(np.uint64))
@@ -135,6 +152,7 @@ def prefix_keys(h: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray,
 
 def _ties(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
     """(a, b): first signature halves of sets in one group, b the least of the group."""
+    common = common_shingles(docs, width) if percent < PERCENT else None
 
     def tied(key: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(keys, least of each, pairs of others with it)."""
@@ -154,7 +172,7 @@ def _ties(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
                 _, once = np.unique(own, return_index=True)  # equal sets of a chunk speak once
                 use = np.isin(np.arange(len(n)), once)
                 h, n, own = h[np.repeat(use, n)], n[use], own[use]
-                row, key = prefix_keys(h, n, percent)
+                row, key = prefix_keys(h, n, percent, common)
                 key, least, pairs = tied(key, own[row])
                 sets, row = np.unique(least, return_inverse=True)
                 order = np.argsort(row, kind="stable")

@@ -67,6 +67,33 @@ def test_linked_sets_share_a_prefix(n):
         assert keys[0] & keys[1]
 
 
+@pytest.mark.parametrize("n", [4, 5, 8, 13, 20, 60, 400])
+def test_linked_sets_share_a_prefix_at_80_percent(n):
+    """Also where most shingles are common."""
+    rng = np.random.default_rng(n)
+    for k in range(300):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        changed = rng.integers(0, n // 5 + 2)
+        b = np.unique(np.concatenate([a[: len(a) - changed], rng.integers(0, 1 << 63, rng.integers(0, n // 5 + 2), dtype=np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if 100 * both < 80 * (len(a) + len(b) - both) or both == len(a) == len(b):
+            continue
+        common = np.sort(rng.permutation(a)[: len(a) * (k % 5) // 4])
+        keys = [set(ngram_join.prefix_keys(x, np.array([len(x)]), 80, common)[1].tolist()) for x in (a, b)]
+        assert keys[0] & keys[1]
+
+
+def test_a_common_line_ties_few_texts_at_80_percent():
+    rng = np.random.default_rng(5)
+    line = rng.integers(0, 1 << 63, 8, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([line, rng.integers(0, 1 << 63, 300, dtype=np.uint64)])) for _ in range(300)]
+    row, key = ngram_join.prefix_keys(np.concatenate(sets), np.array([len(x) for x in sets]), 80, np.sort(line))
+    rows_of = defaultdict(set)
+    for r, k in zip(row.tolist(), key.tolist()):
+        rows_of[k].add(r)
+    assert len(set().union(*[x for x in rows_of.values() if len(x) > 1])) < 10
+
+
 def brute_dedup(rows, window=50):
     first = defaultdict(lambda: float("inf"))
     for i, t in rows:

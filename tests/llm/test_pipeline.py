@@ -68,6 +68,18 @@ def test_stages_keep_columns_and_equal_brute_force(spark, sf):
         assert stages[name](spark, docs.where("false"), sf).count() == 0
 
 
+def test_near_copies_between_the_thresholds_go(spark, tmp_path):
+    """80 % or more by five words goes, less stays."""
+    own = [[f"d{d}w{k}" for k in range(200)] for d in range(6)]
+    longer = [*own[0], *(f"more{k}" for k in range(40))]  # 196 of 236 shingles: 0.83
+    changed = [f"new{k}" if k in (30, 90, 150, 180) else w for k, w in enumerate(own[1])]  # 176 of 216: 0.81; by three words 0.89
+    cut = own[2][:165]  # 161 of 196: 0.82
+    apart = own[3][:150]  # 146 of 196: 0.74
+    docs = [(d, " ".join(w)) for d, w in enumerate(own)] + [(10 + d, " ".join(w)) for d, w in enumerate((longer, changed, cut, apart))]
+    got = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, frame(spark, docs), str(tmp_path))
+    assert sorted(r["doc_id"] for r in got.collect()) == [*range(6), 13]
+
+
 def test_run_ends_in_pieces_of_what_the_stages_kept(spark, sf):
     got = corpus_pipeline.run(spark, sf).collect()
     docs = spark.read.parquet(f"{sf}/documents.parquet")
