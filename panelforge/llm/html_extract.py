@@ -13,8 +13,8 @@ article of invented words); the pages to extract are never trained on. Training
 has a fixed size; weights travel as a broadcast of some hundred KB.
 
 Defined results: null and empty html give an empty text; scripts, styles,
-templates, comments and the head never give blocks; unclosed tags end with
-their parents; repeated rows and null ids are extracted alike; other columns
+templates, comments and the head never give blocks; an unclosed head ends at the
+first tag or text that cannot stand in it; unclosed tags end with their parents; repeated rows and null ids are extracted alike; other columns
 are ignored.
 """
 
@@ -43,9 +43,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is never text of the page.
 HIDDEN_TAGS = ("script", "style", "template", "noscript", "head", "svg", "textarea", "select", "iframe", "object", "title")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|textarea|select|iframe|object|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|</?[a-zA-Z][^>]*>", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*(?<=/)>|<(script|style|template|noscript|svg|textarea|select|iframe|object|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|</?[a-zA-Z][^>]*>", re.S | re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
+#: Tags that may stand in a head, besides hidden ones.
+_IN_HEAD = frozenset("html head base basefont bgsound link meta noframes".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
@@ -78,17 +80,19 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
 
     head, depth = False, 0
     for m in _TOKEN.finditer(page):
-        if m.start() > at and not head:
+        tag = (m[3] or "").lower()
+        between = m.start() > at
+        if head and (between and not page[at : m.start()].isspace() or tag and (tag in ("html", "body", "br") if m[2] else tag not in _IN_HEAD)):
+            head = False
+            stack = [e for e in stack if e.tag != "head"]
+        if between and not head:
             text.append(page[at : m.start()])
             linked += (m.start() - at) * (links > 0)
         at = m.end()
-        tag = (m[3] or "").lower()
         if not tag:
             continue
         if tag == "head":
             head = not m[2]
-        elif tag == "body":
-            head = False
         if tag == "br" or tag in ("img", "wbr"):
             text.append(" ") if tag == "br" else None
             continue
@@ -113,7 +117,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if tag == "a" or len(stack) < depth:
             links = sum(e.tag == "a" for e in stack)
         depth = len(stack)
-    if not head and at < len(page):
+    if at < len(page):
+        stack = [e for e in stack if not head or e.tag != "head"]
         text.append(page[at:])
     end()
     return out

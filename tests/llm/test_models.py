@@ -168,6 +168,22 @@ def test_html_extraction(spark):
     assert html_extract.extract(empty).count() == 0
 
 
+@pytest.mark.parametrize("page", [
+    "<body><p>one<{0}>two</{0}>three</p><p>four</p></body>".format(tag) for tag in ("svg-icon", "title-block", "select-menu", "template-x", "object-list", "style-guide")
+] + [
+    "<body><p>one<svg class='a>b'/>two<svg/>three</p><svg width='1' /><p>four</p><svg><text>not</text></svg></body>",
+    "<html><head><meta charset=utf-8><title>not</title><link rel=x><p>one two three<p>four",
+    "<head><script>not</script></div><body class=a><p>one two three</p>four",
+    "<head><title>not</title>one two three<div>four</div>",
+    "<head><title>not</title><style>not</style></head><p>one two three</p>four",
+    "<head><base href=x><title>not</title>one two three four",
+])
+def test_html_blocks_lose_no_text(page):
+    got = html_extract.blocks(page)
+    assert "".join("".join(text for _, text, _ in got).split()) == "onetwothreefour"
+    assert not any("head" in path for path, _, _ in got)
+
+
 def test_html_labeller_on_new_layouts():
     w, plain = html_extract.train(), random.Random(99)
     right = total = 0
