@@ -200,15 +200,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     block = window // 2
     buckets = input_buckets(docs)
     named, more_schema = with_rest(docs, id_col, text_col, rest)
-    known = named.where("doc_id is not null")
+    known = named.where("doc_id is not null and text is not null")
     crc = F.crc32(F.col("text").cast("binary"))
     several = known.groupBy("doc_id").agg(F.min(crc).alias("a"), F.max(crc).alias("b")).where("a <> b").limit(1).count()
-    known = known.withColumn("tag", F.coalesce(crc, F.lit(0)) if several else F.lit(0).cast("long"))
-    anchors = materialized(_anchors(_probes(known.where("text is not null").select("doc_id", "text", "tag"), block, buckets), block, buckets))
+    known = known.withColumn("tag", crc if several else F.lit(0).cast("long"))
+    anchors = materialized(_anchors(_probes(known.select("doc_id", "text", "tag"), block, buckets), block, buckets))
     near = known.join(anchors, ["doc_id", "tag"]).select("doc_id", "text", "tag", "places")
     places = _repeated(_windows(near, window, block, buckets), buckets)
     schema = f"doc_id long, n_words long, n_removed long, kept_text string{more_schema}"
     more = ["rest"] if rest else []
     joined = known.join(places, ["doc_id", "tag"], "left").select("doc_id", "text", "places", *more)
-    nameless = named.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("binary").alias("places"), *more)
+    # rows without an id or a text have no places, whatever another row of their id has
+    nameless = named.where("doc_id is null or text is null").select("doc_id", "text", F.lit(None).cast("binary").alias("places"), *more)
     return _removed(joined.unionByName(nameless), window, schema, rest is not None)

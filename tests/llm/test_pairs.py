@@ -132,6 +132,15 @@ def test_dedup_of_empty_table_and_rest(spark):
     assert got.select("rest.n").distinct().collect()[0][0] == "9" and got.count() == docs.count()
 
 
+def test_repeated_id_with_a_null_and_a_text(spark):
+    ship(spark)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(1, passage + " a"), (2, None), (2, "b " + passage), (3, "c d"), (4, None), (None, passage)]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = got.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_dedup(rows)
+
+
 @pytest.mark.parametrize("at", [0, 1, 24, 25, 26, 49, 50, 51])
 def test_passage_at_any_offset(spark, at):
     ship(spark)
