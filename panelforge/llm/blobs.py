@@ -29,8 +29,34 @@ def _small(values: np.ndarray) -> tuple[int, bytes]:
     return size, values.astype(f"<u{size}").tobytes()
 
 
+def write_sorted(keys: np.ndarray) -> bytes:
+    """Ascending distinct 32-bit keys by their steps: 3 bytes each where all steps fit, else 4."""
+    steps = np.diff(keys.astype(np.int64), prepend=0)
+    if int(steps.max()) < 1 << 24:
+        return b"".join([struct.pack("<IB", len(keys), 3), (steps & 0xFFFF).astype("<u2").tobytes(), (steps >> 16).astype("<u1").tobytes()])
+    return struct.pack("<IB", len(keys), 4) + steps.astype("<u4").tobytes()
+
+
+def read_sorted(pack: bytes) -> np.ndarray:
+    n, size = struct.unpack_from("<IB", pack)
+    if size == 3:
+        steps = np.frombuffer(pack, "<u2", n, 5).astype(np.uint64) | np.frombuffer(pack, "<u1", n, 5 + 2 * n).astype(np.uint64) << np.uint64(16)
+    else:
+        steps = np.frombuffer(pack, "<u4", n, 5).astype(np.uint64)
+    return np.cumsum(steps).astype("<u4")
+
+
+def deal_sorted(bucket: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Packs of 32-bit keys by bucket, each key once."""
+    both = np.unique(bucket.astype(np.uint64) << np.uint64(32) | keys.astype(np.uint64))
+    own = (both >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(_firsts(own)) if len(own) else own
+    for k, part in zip(own[first].tolist(), np.split((both & np.uint64(0xFFFFFFFF)).astype("<u4"), first[1:])):
+        yield k, write_sorted(part)
+
+
 def write(docs: np.ndarray, tags: np.ndarray | None, counts: np.ndarray, places: np.ndarray, keys: list[np.ndarray]) -> bytes:
-    """docs: an id per document; tags: 32 bits that tell rows of one id apart; counts: entries; places: ascending within it; keys: arrays of an entry each."""
+    """docs: an id per document; tags: 64 bits that tell rows of one id apart; counts: entries; places: ascending within it; keys: arrays of an entry each."""
     steps = places.astype(np.int64).copy()
     first = np.cumsum(counts) - counts
     inner = np.ones(len(steps), bool)
@@ -38,7 +64,7 @@ def write(docs: np.ndarray, tags: np.ndarray | None, counts: np.ndarray, places:
     steps[1:][inner[1:]] = np.diff(places)[inner[1:]]
     gaps = np.diff(docs.astype(np.int64), prepend=np.int64(0))
     (g, w), (a, x), (b, y) = _small(((gaps << 1) ^ (gaps >> 63)).view(np.uint64)), _small(counts), _small(steps)
-    t = tags.astype("<u4").tobytes() if tags is not None and tags.any() else b""
+    t = tags.astype("<i8").tobytes() if tags is not None and tags.any() else b""
     return b"".join([struct.pack("<IIBBBB", len(docs), len(places), g, a, b, bool(t)), w, t, x, y, *(k.tobytes() for k in keys)])
 
 
@@ -52,8 +78,8 @@ def read(pack: bytes, kinds: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, n
     gaps = _values(g, n, pack, at).astype(np.uint64)
     docs = np.cumsum((gaps >> np.uint64(1)).view(np.int64) ^ -(gaps & np.uint64(1)).view(np.int64))
     at += g * n
-    tags = np.frombuffer(pack, "<u4", n, at) if tagged else np.zeros(n, "<u4")
-    at += 4 * n * tagged
+    tags = np.frombuffer(pack, "<i8", n, at) if tagged else np.zeros(n, "<i8")
+    at += 8 * n * tagged
     counts = _values(a, n, pack, at).astype(np.int64)
     at += a * n
     steps = _values(b, m, pack, at).astype(np.int64)

@@ -8,19 +8,22 @@ maximal exact repeats: the windows of 50 words around them get 96-bit keys, and
 each document with a smaller one behind an equal key loses the words of that
 window; runs of such windows are the maximal repeats.
 
-Both meetings aggregate before they shuffle. A chunk of texts answers what it
-can itself (a block that two of its documents hold is an anchor, a window that
-an earlier document of the chunk holds is a repeat) and sends on, for each hash,
-its least and largest document and the unanswered places of a single one. These
-meet in hash buckets, whose number follows the input, as packs of a few bytes an
-entry. So a passage of a third of all rows sends some entries for each chunk,
-and no pair of documents is ever listed.
+Both meetings aggregate before they shuffle. Texts of some megabytes make a unit,
+which answers what it can itself (a block that two of its documents hold is an
+anchor) and sends on each hash of its windows once: with their places the blocks
+of a single one of its documents, which ask, and bare all other hashes, sorted
+and as steps of three or four bytes. They meet in hash buckets, whose number
+follows the input; a block is an anchor where a second unit has its hash. The
+windows near anchors meet likewise by their keys. So a passage of a third of all
+rows sends an entry for each unit, and no pair of documents is ever listed. The
+texts are shuffled once: both joins by document read the same exchange.
 
 Defined results: null text has no words; a null doc_id is neither source nor
 target and keeps its words; rows that repeat a doc_id count as one document
-for order, each row is returned; empty tables give no rows. Other columns go
-through in the struct ``rest`` on request. (Where a doc_id has several texts,
-rows are told apart by 32 bits of their text, its ``tag``; else the tag is 0.)
+for order, each row is returned; very long texts are one row of a unit, like any
+other; empty tables give no rows. Other columns go through in the struct
+``rest`` on request. (Where a doc_id has several rows, they are told apart by a
+64-bit hash of their text, the ``tag``; else the tag is 0.)
 """
 
 from __future__ import annotations
@@ -37,11 +40,11 @@ from panelforge.llm import blobs
 from panelforge.llm.common import input_buckets, materialized, with_rest
 from panelforge.llm.textnum import Words, chunks
 
-WINDOW, CHUNK_BYTES = 50, 2 << 20
+WINDOW, CHUNK_BYTES, UNIT_BYTES = 50, 2 << 20, 8 << 20
 
-
-#: pack: entries for the bucket, without places where ``to`` is -1; found: packs of answered places on their way to the document bucket ``to``.
-SHIPPED = f"{blobs.PACKED}, found binary, to int"
+#: What units send: entries with places, bare keys, or places that are answered already and go by their document's bucket.
+PLACED, BARE, ANSWERED = 0, 1, 2
+SHIPPED = "bucket int, kind int, pack binary"
 
 
 def _starts(*keys: np.ndarray) -> np.ndarray:
@@ -51,59 +54,63 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _runs(first: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least and largest value of its run for every place."""
-    size = np.diff(np.append(first, len(values)))
-    return np.repeat(np.minimum.reduceat(values, first), size), np.repeat(np.maximum.reduceat(values, first), size)
-
-
-def _batch(packs: list[tuple[int, bytes]], found: pd.DataFrame, seen: list[tuple[int, bytes]] = ()) -> pa.RecordBatch:
-    # answered places travel by their document's bucket, so they spread like documents
-    rows = [(k, p, None, None) for k, p in packs] + [(k, p, None, -1) for k, p in seen] + [(k, None, p, k) for k, p in zip(found["bucket"].tolist(), found["pack"])]
-    columns = zip(*rows) if rows else ([], [], [], [])
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.int32()))], names=["bucket", "pack", "found", "to"])
-
-
-def _met(pdf: pd.DataFrame, kinds: tuple[str, ...], answer) -> pd.DataFrame:
-    """What passes through, and the answered places of the packs of one bucket."""
-    own = pdf["found"].notna()
-    through = pd.DataFrame({"bucket": pdf.loc[own, "to"].astype(np.int32), "pack": pdf.loc[own, "found"]})
-    parts = []
-    for placeless in (False, True):
-        packs = pdf.loc[~own & ((pdf["to"] == -1) == placeless), "pack"]
-        if len(packs):
-            doc, tag, place, keys = blobs.entries(packs, kinds)
-            parts.append((doc, tag, np.full(len(doc), -1) if placeless else place, *keys))
-    if not parts:
-        return through
-    doc, tag, place, *keys = map(np.concatenate, zip(*parts))
-    return pd.concat([through, answer(doc, tag, place, keys)])
+def _batch(*kinds: tuple[int, list[tuple[int, bytes]]]) -> pa.RecordBatch:
+    rows = [(bucket, kind, pack) for kind, packs in kinds for bucket, pack in packs]
+    columns = zip(*rows) if rows else ([], [], [])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "kind", "pack"])
+
+
+def _answered(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pdf.loc[pdf["kind"] == ANSWERED, ["bucket", "pack"]]
+
+
+def _hashed(part: pa.RecordBatch, block: int) -> tuple[np.ndarray, ...]:
+    """Ids and tags of the rows; each hash with its least and largest document; row, place and hash of every block."""
+    ids, tags = part.column(0).to_numpy(), part.column(2).to_numpy()
+    words = Words(part.column(1))
+    at, h = words.rolling(block)
+    row = np.repeat(np.arange(len(ids)), words.counts)[at]
+    place = at - words.rows[row]
+    order = np.argsort(h)
+    doc, first = ids[row][order], _starts(h[order]) if len(h) else np.empty(0, np.int64)
+    least, most = (f.reduceat(doc, first) if len(h) else doc for f in (np.minimum, np.maximum))
+    aligned = place % block == 0
+    return ids, tags, h[order][first], least, most, row[aligned], place[aligned], h[aligned]
+
+
+def _unit(parts: list[tuple[np.ndarray, ...]], buckets: int) -> pa.RecordBatch:
+    base = np.cumsum([0, *(len(p[0]) for p in parts)])
+    row = np.concatenate([p[5] + b for p, b in zip(parts, base)])
+    ids, tags, value, least, most, _, place, h = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(value)
+    first = _starts(value[order]) if len(value) else np.empty(0, np.int64)
+    if not len(first):
+        return _batch()
+    several = np.minimum.reduceat(least[order], first) < np.maximum.reduceat(most[order], first)
+    value = value[order][first]
+    at = np.searchsorted(value, h)
+    hit = several[at]
+    found = blobs.deal_documents(ids[row[hit]], tags[row[hit]], place[hit], buckets)
+    bare = np.ones(len(value), bool)
+    bare[at[~hit]] = False
+    row, place, h = row[~hit], place[~hit], h[~hit]
+    asks = blobs.deal(blobs.bucket_of(h, buckets), ids, tags, row, place, [h.astype("<u4")])
+    others = blobs.deal_sorted(blobs.bucket_of(value[bare], buckets), value[bare].astype("<u4"))
+    return _batch((PLACED, list(asks)), (BARE, list(others)), (ANSWERED, list(zip(found["bucket"].tolist(), found["pack"]))))
 
 
 def _probes(docs: DataFrame, block: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for part in chunks(batch, "text", CHUNK_BYTES):
-                ids, tags = part.column(0).to_numpy(), part.column(2).to_numpy()
-                words = Words(part.column(1))
-                at, h = words.rolling(block)
-                if not len(at):
-                    continue
-                row = np.repeat(np.arange(len(ids)), words.counts)[at]
-                place = at - words.rows[row]
-                order = np.argsort(h, kind="stable")
-                doc, first = ids[row][order], _starts(h[order])
-                least, most = _runs(first, doc)
-                several, aligned = least != most, place[order] % block == 0
-                hit = order[several & aligned]
-                found = blobs.deal_documents(ids[row[hit]], tags[row[hit]], place[hit], buckets)
-                # of one document its blocks, or a place if it has none; of several the first and the last by id
-                send = np.where(several, (doc == least) | (doc == most), aligned)
-                send[first[~np.logical_or.reduceat(send, first)]] = True
-                at = np.sort(order[send])
-                block_at, other = at[place[at] % block == 0], at[place[at] % block != 0]
-                deal = lambda at, places: list(blobs.deal(blobs.bucket_of(h[at], buckets), ids, tags, row[at], places, [h[at].astype("<u4")]))  # noqa: B023, E731
-                yield _batch(deal(block_at, place[block_at]), found, deal(other, np.zeros(len(other), np.int64)))
+                held.append(_hashed(part, block))
+                size += part.column(1).nbytes
+                if size >= UNIT_BYTES:
+                    yield _unit(held, buckets)
+                    held, size = [], 0
+        if held:
+            yield _unit(held, buckets)
 
     return docs.mapInArrow(run, SHIPPED)
 
@@ -111,14 +118,21 @@ def _probes(docs: DataFrame, block: int, buckets: int) -> DataFrame:
 def _anchors(shipped: DataFrame, block: int, buckets: int) -> DataFrame:
     """Aligned places whose block also stands in another document."""
 
-    def answer(doc: np.ndarray, tag: np.ndarray, place: np.ndarray, keys: list[np.ndarray]) -> pd.DataFrame:
-        order = np.argsort(keys[0], kind="stable")
-        doc, tag, place = doc[order], tag[order], place[order]
-        least, most = _runs(_starts(keys[0][order]), doc)
-        hit = (least != most) & (place >= 0)
-        return blobs.deal_documents(doc[hit], tag[hit], place[hit], buckets)
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks = [blobs.read(p, ("<u4",)) for p in pdf.loc[pdf["kind"] == PLACED, "pack"]]
+        # a unit's hashes are asks or bare, so a hash that is there twice has two units
+        seen = [*(np.unique(keys[0]) for *_, keys in asks), *(blobs.read_sorted(p) for p in pdf.loc[pdf["kind"] == BARE, "pack"])]
+        out = [_answered(pdf)]
+        if asks:
+            value = np.sort(np.concatenate(seen))
+            shared = np.unique(value[1:][value[1:] == value[:-1]])
+            for ids, tags, counts, place, (key,) in asks:
+                row = np.repeat(np.arange(len(ids)), counts)
+                hit = np.isin(key, shared)
+                out.append(blobs.deal_documents(ids[row[hit]], tags[row[hit]], place[hit], buckets))
+        return pd.concat(out)
 
-    return blobs.by_document(shipped.groupBy("bucket").applyInPandas(lambda pdf: _met(pdf, ("<u4",), answer), blobs.PACKED))
+    return blobs.by_document(shipped.groupBy("bucket").applyInPandas(meet, blobs.PACKED))
 
 
 def _windows(joined: DataFrame, window: int, block: int, buckets: int) -> DataFrame:
@@ -127,10 +141,10 @@ def _windows(joined: DataFrame, window: int, block: int, buckets: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text", CHUNK_BYTES):
-                ids, tags = part.column(0).to_numpy(), part.column(2).to_numpy()
-                words = Words(part.column(1), hashes=2)
+                ids, tags = part.column("doc_id").to_numpy(), part.column("tag").to_numpy()
+                words = Words(part.column("text"), hashes=2)
                 anchor = np.zeros(len(words.starts) + 1, np.int64)
-                for row, places in enumerate(part.column(3).to_pylist()):
+                for row, places in enumerate(part.column("places").to_pylist()):
                     anchor[words.rows[row] + np.frombuffer(places, "<u4").astype(np.int64)] = 1
                 before = np.concatenate([[0], np.cumsum(anchor)])
                 at, h = words.rolling(window)
@@ -143,10 +157,12 @@ def _windows(joined: DataFrame, window: int, block: int, buckets: int) -> DataFr
                 place = at - words.rows[row]
                 order = np.lexsort((h2, h))
                 doc = ids[row][order]
-                later = doc > _runs(_starts(h[order], h2[order]), doc)[0]
+                first = _starts(h[order], h2[order])
+                later = doc > np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(doc))))
                 hit, at = order[later], np.sort(order[~later])
                 found = blobs.deal_documents(ids[row[hit]], tags[row[hit]], place[hit], buckets)
-                yield _batch(list(blobs.deal(blobs.bucket_of(h[at], buckets), ids, tags, row[at], place[at], [h[at].astype("<u8"), h2[at]])), found)
+                packs = blobs.deal(blobs.bucket_of(h[at], buckets), ids, tags, row[at], place[at], [h[at].astype("<u8"), h2[at]])
+                yield _batch((PLACED, list(packs)), (ANSWERED, list(zip(found["bucket"].tolist(), found["pack"]))))
 
     return joined.mapInArrow(run, SHIPPED)
 
@@ -154,62 +170,72 @@ def _windows(joined: DataFrame, window: int, block: int, buckets: int) -> DataFr
 def _repeated(shipped: DataFrame, buckets: int) -> DataFrame:
     """Window starts of each document whose words also start in a document with a smaller id."""
 
-    def answer(doc: np.ndarray, tag: np.ndarray, place: np.ndarray, keys: list[np.ndarray]) -> pd.DataFrame:
-        a, b = keys
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        packs = pdf.loc[pdf["kind"] == PLACED, "pack"]
+        if not len(packs):
+            return _answered(pdf)
+        doc, tag, place, (a, b) = blobs.entries(packs, ("<u8", "<u4"))
         order = np.lexsort((b, a))
-        doc, tag, place = doc[order], tag[order], place[order]
-        later = doc > _runs(_starts(a[order], b[order]), doc)[0]
-        return blobs.deal_documents(doc[later], tag[later], place[later], buckets)
+        doc, tag, place, a, b = doc[order], tag[order], place[order], a[order], b[order]
+        first = _starts(a, b)
+        least = np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(doc))))
+        later = doc > least
+        return pd.concat([_answered(pdf), blobs.deal_documents(doc[later], tag[later], place[later], buckets)])
 
-    return blobs.by_document(shipped.groupBy("bucket").applyInPandas(lambda pdf: _met(pdf, ("<u8", "<u4"), answer), blobs.PACKED))
+    return blobs.by_document(shipped.groupBy("bucket").applyInPandas(meet, blobs.PACKED))
 
 
-def _removed(joined: DataFrame, window: int, schema: str, carry: bool) -> DataFrame:
-    """Kept words of each row; joined has doc_id, text, places (window starts or null), rest."""
+def _removed(joined: DataFrame, window: int, schema: str, more: tuple[str, ...]) -> DataFrame:
+    """Kept words of each row; joined has doc_id, text, places (window starts or null), and the columns ``more`` to carry on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_removed, kept_text = [], [], []
-            for text, places in zip(batch.column(1), batch.column(2)):
-                words = text.as_buffer().to_pybytes().split() if text.is_valid else []
-                gone = 0
+            n_words, n_removed, kept_text, spans = [], [], [], []
+            for text, places in zip(batch.column("text"), batch.column("places")):
+                words, gone = text.as_buffer().to_pybytes().split() if text.is_valid else [], []
                 if places.is_valid:
                     edge = np.zeros(len(words) + 1, np.int64)
                     starts = np.frombuffer(places.as_buffer(), "<u4").astype(np.int64)
                     edge[starts] += 1
                     np.subtract.at(edge, starts + window, 1)
-                    covered = np.cumsum(edge[:-1]) > 0
-                    gone = int(covered.sum())
-                    kept = [w for w, c in zip(words, covered.tolist()) if not c]
-                else:
-                    kept = words
+                    edge = np.flatnonzero(np.diff(np.cumsum(edge) > 0, prepend=False))
+                    gone = np.stack([edge[::2], np.diff(edge)[::2]], axis=1).tolist()
                 n_words.append(len(words))
-                n_removed.append(gone)
-                kept_text.append(b" ".join(kept))
-            more = {batch.schema.names[k]: batch.column(k) for k in ((1, *range(3, batch.num_columns)) if carry else ())}
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept_text, pa.binary()).cast(pa.string()), *more.values()],
-                names=["doc_id", "n_words", "n_removed", "kept_text", *more],
-            )
+                n_removed.append(sum(n for _, n in gone))
+                spans.append([{"start": a, "length": n} for a, n in gone])
+                for a, n in reversed(gone):
+                    del words[a : a + n]
+                kept_text.append(b" ".join(words))
+            named = {
+                "doc_id": batch.column("doc_id"),
+                "n_words": pa.array(n_words, pa.int64()),
+                "n_removed": pa.array(n_removed, pa.int64()),
+                "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))),
+                "kept_text": pa.array(kept_text, pa.binary()).cast(pa.string()),
+                **{c: batch.column(c) for c in more},
+            }
+            yield pa.RecordBatch.from_arrays(list(named.values()), names=list(named))
 
     return joined.mapInArrow(run, schema)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, rest: tuple[str, ...] | None = None) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text (kept words, one space between) and, if asked, the text and the struct rest."""
+    """doc_id, n_words, n_removed, spans, kept_text (kept words, one space between) and, if asked, the text and the struct rest.
+
+    spans: start and length, in words, of each maximal run of removed words.
+    """
     block = window // 2
     buckets = input_buckets(docs)
     named, more_schema = with_rest(docs, id_col, text_col, rest)
-    known = named.where("doc_id is not null and text is not null")
-    crc = F.crc32(F.col("text").cast("binary"))
-    several = known.groupBy("doc_id").agg(F.min(crc).alias("a"), F.max(crc).alias("b")).where("a <> b").limit(1).count()
-    known = known.withColumn("tag", crc if several else F.lit(0).cast("long"))
+    several = named.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    known = named.where("doc_id is not null and text is not null").withColumn("tag", F.xxhash64("text") if several else F.lit(0).cast("long"))
     anchors = materialized(_anchors(_probes(known.select("doc_id", "text", "tag"), block, buckets), block, buckets))
-    near = known.join(anchors, ["doc_id", "tag"]).select("doc_id", "text", "tag", "places")
+    # both joins hash their small side and take the texts from one exchange, so they ask for the same columns of it
+    near = known.join(anchors.hint("shuffle_hash"), ["doc_id", "tag"])
     places = _repeated(_windows(near, window, block, buckets), buckets)
-    schema = f"doc_id long, n_words long, n_removed long, kept_text string{more_schema}"
-    more = ["rest"] if rest else []
-    joined = known.join(places, ["doc_id", "tag"], "left").select("doc_id", "text", "places", *more)
+    schema = f"doc_id long, n_words long, n_removed long, spans array<struct<start:long, length:long>>, kept_text string{more_schema}"
+    joined = known.join(places.hint("shuffle_hash"), ["doc_id", "tag"], "left")
     # rows without an id or a text have no places, whatever another row of their id has
-    nameless = named.where("doc_id is null or text is null").select("doc_id", "text", F.lit(None).cast("binary").alias("places"), *more)
-    return _removed(joined.unionByName(nameless), window, schema, rest is not None)
+    nameless = named.where("doc_id is null or text is null").withColumns({"tag": F.lit(0).cast("long"), "places": F.lit(None).cast("binary")})
+    more = () if rest is None else ("text", "rest") if rest else ("text",)
+    return _removed(joined.unionByName(nameless), window, schema, more)

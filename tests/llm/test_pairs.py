@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.llm import ngram_join, substring_dedup
+from panelforge.llm import blobs, ngram_join, substring_dedup
 from panelforge.session import ship
 from tests.llm.fixtures import frame, lower, split, texts
 
@@ -141,6 +141,31 @@ def test_repeated_id_with_a_null_and_a_text(spark):
     assert sorted((tuple(r) for r in got), key=str) == brute_dedup(rows)
 
 
+def test_dedup_shuffles_texts_once(spark):
+    """Both joins by document read one exchange of the texts."""
+    ship(spark)
+    got = substring_dedup.substring_dedup(frame(spark, texts()))
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
+
+
+def test_spans_are_the_removed_runs(spark):
+    ship(spark)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(1, passage), (2, f"a b {passage} c {passage}")]
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [(2, 60), (63, 60)]}
+
+
+@pytest.mark.parametrize("n", [1, 3, 1000, 300_000])
+def test_sorted_keys_return(n):
+    rng = np.random.default_rng(n)
+    keys, bucket = rng.integers(0, 1 << 32, n, dtype=np.uint32), rng.integers(0, 3, n)
+    got = {k: blobs.read_sorted(p) for k, p in blobs.deal_sorted(bucket, keys)}
+    assert got.keys() == set(bucket.tolist()) and all(np.array_equal(got[k], np.unique(keys[bucket == k])) for k in got)
+
+
 @pytest.mark.parametrize("at", [0, 1, 24, 25, 26, 49, 50, 51])
 def test_passage_at_any_offset(spark, at):
     ship(spark)
@@ -158,6 +183,7 @@ def test_dedup_whatever_the_chunks(spark, monkeypatch, chunk):
     rows = [(k, f"lead{k} {header} own{k} " + f"pad{k} " * (k % 26) + passage) for k in range(30)] + [(k, f"same text {header} {passage}") for k in range(30, 36)]
     rows += [(40, "again and again " * 60), (41, "and again again " * 60)]
     monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(substring_dedup, "UNIT_BYTES", 2 * chunk)
     got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     got = got.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256)).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_dedup(rows)
