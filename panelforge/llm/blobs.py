@@ -47,11 +47,13 @@ def read_sorted(pack: bytes) -> np.ndarray:
 
 
 def deal_sorted(bucket: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Packs of 32-bit keys by bucket, each key once."""
-    both = np.unique(bucket.astype(np.uint64) << np.uint64(32) | keys.astype(np.uint64))
-    own = (both >> np.uint64(32)).astype(np.int64)
-    first = np.flatnonzero(_firsts(own)) if len(own) else own
-    for k, part in zip(own[first].tolist(), np.split((both & np.uint64(0xFFFFFFFF)).astype("<u4"), first[1:])):
+    """Packs of 32-bit keys by bucket, each key once; entries come in the order of bucket and key."""
+    if not len(keys):
+        return
+    new = _firsts(bucket, keys)
+    bucket, keys = bucket[new], keys[new]
+    first = np.flatnonzero(_firsts(bucket))
+    for k, part in zip(bucket[first].tolist(), np.split(keys, first[1:])):
         yield k, write_sorted(part)
 
 
@@ -126,6 +128,13 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
+def bucket_and_key(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each hash and 32 bits more of it; in the order of the hashes both ascend."""
+    room = np.uint64(max(1, n.bit_length()))
+    spread = (h >> room) * np.uint64(n)
+    return (spread >> (np.uint64(64) - room)).astype(np.int64), (spread >> (np.uint64(32) - room)).astype("<u4")
+
+
 def _firsts(*columns: np.ndarray) -> np.ndarray:
     """Marks of the rows that differ from the row before."""
     new = np.ones(len(columns[0]), bool)

@@ -65,38 +65,36 @@ def _answered(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _hashed(part: pa.RecordBatch, block: int) -> tuple[np.ndarray, ...]:
-    """Ids and tags of the rows; each hash with its least and largest document; row, place and hash of every block."""
+    """Ids and tags of the rows; hash, row and place of each rolling window of ``block`` words."""
     ids, tags = part.column(0).to_numpy(), part.column(2).to_numpy()
     words = Words(part.column(1))
     at, h = words.rolling(block)
     row = np.repeat(np.arange(len(ids)), words.counts)[at]
-    place = at - words.rows[row]
-    order = np.argsort(h)
-    doc, first = ids[row][order], _starts(h[order]) if len(h) else np.empty(0, np.int64)
-    least, most = (f.reduceat(doc, first) if len(h) else doc for f in (np.minimum, np.maximum))
-    aligned = place % block == 0
-    return ids, tags, h[order][first], least, most, row[aligned], place[aligned], h[aligned]
+    return ids, tags, h, row, at - words.rows[row]
 
 
-def _unit(parts: list[tuple[np.ndarray, ...]], buckets: int) -> pa.RecordBatch:
+def _unit(parts: list[tuple[np.ndarray, ...]], block: int, buckets: int) -> pa.RecordBatch:
     base = np.cumsum([0, *(len(p[0]) for p in parts)])
-    row = np.concatenate([p[5] + b for p, b in zip(parts, base)])
-    ids, tags, value, least, most, _, place, h = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(value)
-    first = _starts(value[order]) if len(value) else np.empty(0, np.int64)
-    if not len(first):
+    row = np.concatenate([p[3] + b for p, b in zip(parts, base)])
+    ids, tags, h, _, place = (np.concatenate(x) for x in zip(*parts))
+    if not len(h):
         return _batch()
-    several = np.minimum.reduceat(least[order], first) < np.maximum.reduceat(most[order], first)
-    value = value[order][first]
-    at = np.searchsorted(value, h)
-    hit = several[at]
+    order = np.argsort(h)
+    h, doc = h[order], ids[row[order]]
+    first = _starts(h)
+    size = np.diff(np.append(first, len(h)))
+    several = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
+    aligned = place[order] % block == 0
+    asks = aligned & ~np.repeat(several, size)
+    bare = ~np.logical_or.reduceat(asks, first)
+    hit = order[aligned & np.repeat(several, size)]
     found = blobs.deal_documents(ids[row[hit]], tags[row[hit]], place[hit], buckets)
-    bare = np.ones(len(value), bool)
-    bare[at[~hit]] = False
-    row, place, h = row[~hit], place[~hit], h[~hit]
-    asks = blobs.deal(blobs.bucket_of(h, buckets), ids, tags, row, place, [h.astype("<u4")])
-    others = blobs.deal_sorted(blobs.bucket_of(value[bare], buckets), value[bare].astype("<u4"))
-    return _batch((PLACED, list(asks)), (BARE, list(others)), (ANSWERED, list(zip(found["bucket"].tolist(), found["pack"]))))
+    bucket, key = blobs.bucket_and_key(h, buckets)
+    own = np.argsort(order[asks])  # in the order of rows and places again
+    at, own_bucket, own_key = order[asks][own], bucket[asks][own], key[asks][own]
+    placed = blobs.deal(own_bucket, ids, tags, row[at], place[at], [own_key])
+    others = blobs.deal_sorted(bucket[first[bare]], key[first[bare]])
+    return _batch((PLACED, list(placed)), (BARE, list(others)), (ANSWERED, list(zip(found["bucket"].tolist(), found["pack"]))))
 
 
 def _probes(docs: DataFrame, block: int, buckets: int) -> DataFrame:
@@ -107,10 +105,10 @@ def _probes(docs: DataFrame, block: int, buckets: int) -> DataFrame:
                 held.append(_hashed(part, block))
                 size += part.column(1).nbytes
                 if size >= UNIT_BYTES:
-                    yield _unit(held, buckets)
+                    yield _unit(held, block, buckets)
                     held, size = [], 0
         if held:
-            yield _unit(held, buckets)
+            yield _unit(held, block, buckets)
 
     return docs.mapInArrow(run, SHIPPED)
 
@@ -120,17 +118,16 @@ def _anchors(shipped: DataFrame, block: int, buckets: int) -> DataFrame:
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         asks = [blobs.read(p, ("<u4",)) for p in pdf.loc[pdf["kind"] == PLACED, "pack"]]
+        if not asks:
+            return _answered(pdf)
         # a unit's hashes are asks or bare, so a hash that is there twice has two units
         seen = [*(np.unique(keys[0]) for *_, keys in asks), *(blobs.read_sorted(p) for p in pdf.loc[pdf["kind"] == BARE, "pack"])]
-        out = [_answered(pdf)]
-        if asks:
-            value = np.sort(np.concatenate(seen))
-            shared = np.unique(value[1:][value[1:] == value[:-1]])
-            for ids, tags, counts, place, (key,) in asks:
-                row = np.repeat(np.arange(len(ids)), counts)
-                hit = np.isin(key, shared)
-                out.append(blobs.deal_documents(ids[row[hit]], tags[row[hit]], place[hit], buckets))
-        return pd.concat(out)
+        value = np.sort(np.concatenate(seen))
+        shared = np.unique(value[1:][value[1:] == value[:-1]])
+        doc, tag = (np.concatenate([np.repeat(x[k], x[2]) for x in asks]) for k in (0, 1))
+        hit = np.isin(np.concatenate([keys[0] for *_, keys in asks]), shared)
+        place = np.concatenate([x[3] for x in asks])[hit]
+        return pd.concat([_answered(pdf), blobs.deal_documents(doc[hit], tag[hit], place, buckets)])
 
     return blobs.by_document(shipped.groupBy("bucket").applyInPandas(meet, blobs.PACKED))
 
@@ -238,4 +235,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # rows without an id or a text have no places, whatever another row of their id has
     nameless = named.where("doc_id is null or text is null").withColumns({"tag": F.lit(0).cast("long"), "places": F.lit(None).cast("binary")})
     more = () if rest is None else ("text", "rest") if rest else ("text",)
-    return _removed(joined.unionByName(nameless), window, schema, more)
+    return _removed(joined, window, schema, more).union(_removed(nameless.select(joined.columns), window, schema, more))

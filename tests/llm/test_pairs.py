@@ -161,7 +161,7 @@ def test_spans_are_the_removed_runs(spark):
 @pytest.mark.parametrize("n", [1, 3, 1000, 300_000])
 def test_sorted_keys_return(n):
     rng = np.random.default_rng(n)
-    keys, bucket = rng.integers(0, 1 << 32, n, dtype=np.uint32), rng.integers(0, 3, n)
+    bucket, keys = blobs.bucket_and_key(np.sort(rng.integers(0, 1 << 64, n, dtype=np.uint64)), 3)
     got = {k: blobs.read_sorted(p) for k, p in blobs.deal_sorted(bucket, keys)}
     assert got.keys() == set(bucket.tolist()) and all(np.array_equal(got[k], np.unique(keys[bucket == k])) for k in got)
 
