@@ -150,9 +150,8 @@ def prefix_keys(h: np.ndarray, n: np.ndarray, percent: int, common: np.ndarray |
     return np.concatenate(out_rows), np.concatenate(out_keys)
 
 
-def _ties(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
+def _ties(docs: DataFrame, width: int, percent: int, buckets: int, common: np.ndarray | None) -> DataFrame:
     """(a, b): first signature halves of sets in one group, b the least of the group."""
-    common = common_shingles(docs, width) if percent < PERCENT else None
 
     def tied(key: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(keys, least of each, pairs of others with it)."""
@@ -192,6 +191,18 @@ def _ties(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, f"{blobs.PACKED}, pairs binary").groupBy("bucket").applyInPandas(meet, "a long, b long")
 
 
+def _group_keys(members: DataFrame, width: int, percent: int, common: np.ndarray | None) -> DataFrame:
+    """(family, block, rep, key): the groups that a member of a family is in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                row, key = prefix_keys(*shingle_sets(part.column("text"), width), percent, common)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row)) for c in ("family", "block", "rep")), pa.array(key.view(np.int64))], names=["family", "block", "rep", "key"])
+
+    return members.select("family", "block", "rep", "text").mapInArrow(run, "family long, block int, rep long, key long")
+
+
 def linked(sets: list[np.ndarray], percent: int, settled: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs (by number) whose Jaccard similarity is percent or more.
 
@@ -241,13 +252,21 @@ def linked(sets: list[np.ndarray], percent: int, settled: np.ndarray | None = No
 
 def links(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """docs: doc_id, text. Returns (sets of all rows, classes of equal sets, links between class representatives)."""
+    buckets = input_buckets(docs)
+    common = common_shingles(docs, width) if percent < PERCENT else None
     sets = materialized(_sets(docs, width))
     classes = materialized(sets.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")))
-    family = connected_components(_ties(docs.where("doc_id is not null"), width, percent, input_buckets(docs)))
+    family = connected_components(_ties(docs.where("doc_id is not null"), width, percent, buckets, common))
     named = classes.join(family, F.col("s1") == F.col("node"), "left").select("rep", "n", F.coalesce("label", "s1").alias("family"), (F.coalesce("label", "s1") == F.col("s1")).alias("centre"))
-    sizes = named.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).where("members > 1")
     blocks = lambda: F.ceil(F.greatest(F.col("members") / BLOCK_MEMBERS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    placed = named.join(sizes.select("family", blocks().alias("blocks")), "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+
+    def counted(members: DataFrame, name: str) -> DataFrame:
+        """Number of blocks of each family; written out, so that Spark can split a family of very many in the join with it."""
+        sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
+        return materialized(sizes.select("family", "members", blocks().alias(name)))
+
+    sizes = counted(named, "blocks").where("members > 1").drop("members")
+    placed = named.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     texts = docs.join(placed, F.col("doc_id") == F.col("rep")).select("rep", "text", "n", "family", "centre", "blocks", "block")
     # the centre stands in every block of its family
     every = F.when(F.col("centre"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
@@ -277,19 +296,23 @@ def links(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> tupl
         found = linked(sets_of(pdf), percent, ~pdf["open"].to_numpy(bool))
         return pd.DataFrame([(ids[x], ids[y]) for x, y in found], columns=["a", "b"], dtype="int64")
 
-    seen = materialized(tasks.groupBy("family", "block").applyInPandas(verify, "a long, b long"))
+    # the cost of a block is its comparisons, not its bytes: a fixed number of partitions keeps Spark from merging them by bytes
+    seen = materialized(tasks.repartition(2 * buckets, "family", "block").groupBy("family", "block").applyInPandas(verify, "a long, b long"))
     edges, left = seen.where("b IS NOT NULL"), seen.where("b IS NULL").select(F.col("a").alias("rep")).distinct()
     if left.limit(1).count():
-        left = left.join(placed, "rep")
-        counts = left.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).select("family", blocks().alias("parts"))
-        left = left.join(counts, "family").select("rep", "parts", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"))
-        # the open ones of part i go to every block j, and all members of block j to every part i
-        asks = texts.join(left, "rep").select("family", "rep", "text", F.lit(True).alias("open"), F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-        rest = texts.join(left.select("rep"), "rep", "left_anti").join(counts, "family")
-        both = rest.select("family", "rep", "text", F.lit(False).alias("open"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"))
-        # open ones meet each other too: as members of their block, for every part
-        own = texts.join(left.select("rep"), "rep").join(counts, "family").select("family", "rep", "text", F.lit(True).alias("open"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"))
-        edges = edges.unionByName(asks.unionByName(both).unionByName(own).groupBy("family", "i", "j").applyInPandas(verify_open, "a long, b long"))
+        left = materialized(left.join(placed, "rep").select("rep", "family", "n"))
+        counts = counted(left, "parts").drop("members")
+        left = left.join(counts, "family").select("rep", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("i"))
+        members = materialized(texts.join(counts.select("family"), "family", "left_semi"))
+        # Part i of the open ones and block j meet where a group has members in both, and of both only the members of such groups.
+        keys = materialized(_group_keys(members, width, percent, common).distinct())
+        asks = materialized(keys.join(left, "rep").select("family", "key", "rep", "i"))
+        pairs = materialized(asks.select("family", "key", "i").distinct().join(keys.select("family", "key", F.col("block").alias("j")).distinct(), ["family", "key"]))
+        sides = asks.join(pairs, ["family", "key", "i"]).select("family", "rep", "i", "j"), keys.withColumn("j", F.col("block")).join(pairs, ["family", "key", "j"]).select("family", "rep", "i", "j")
+        both = sides[0].union(sides[1]).distinct()
+        both = both.join(left.select("rep", F.lit(True).alias("open")), "rep", "left").join(members.select("rep", "text"), "rep")
+        both = both.select("family", "i", "j", "rep", "text", F.coalesce("open", F.lit(False)).alias("open")).repartition(2 * buckets, "family", "i", "j")
+        edges = edges.unionByName(both.groupBy("family", "i", "j").applyInPandas(verify_open, "a long, b long"))
     return sets, classes, edges
 
 

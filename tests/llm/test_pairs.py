@@ -1,6 +1,7 @@
 """N-gram join and substring dedup against brute force."""
 
 import hashlib
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm import blobs, ngram_join, substring_dedup
 from panelforge.session import ship
-from tests.llm.fixtures import frame, lower, split, texts
+from tests.llm.fixtures import frame, lower, split, texts, words
 
 
 def shingles(text):
@@ -47,6 +48,20 @@ def test_components_equal_brute_force(spark, monkeypatch, blocks):
     assert sorted((tuple(r) for r in got), key=str) == brute_components(rows)
 
 
+def test_one_group_of_near_copies_and_one_long_chain(spark):
+    """5000 copies of one text with a word changed are one component; a chain links from end to end though its ends share nothing."""
+    ship(spark)
+    rng = random.Random(8)
+    base = words(rng, 200, 5000)
+    rows = [(k, " ".join(base[:100] + [f"x{k}"] + base[101:])) for k in range(5000)]
+    step = words(rng, 120, 5000)
+    for k in range(3000):
+        step[(7 * k) % 120] = f"step{k}"
+        rows.append((10_000 + k, " ".join(step)))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(frame(spark, rows)).collect()}
+    assert len(got) == 8000 and all(c == (0 if i < 5000 else 10_000) for i, c in got.items())
+
+
 def test_components_of_empty_table(spark):
     ship(spark)
     assert ngram_join.jaccard_components(frame(spark, texts()).where("false")).count() == 0
