@@ -138,15 +138,53 @@ def test_nearest_of_few_and_none(spark):
     assert ann.nearest(df.where("vec_id = 0"), df.where("vec_id = 0")).count() == 0
 
 
-def test_pigeonhole_probing_finds_every_code_in_the_radius():
+@pytest.mark.parametrize("radius", [0, 5, 63, 64, 100, 200])
+def test_tables_return_every_code_in_the_radius_and_no_other_values(radius):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(500, 16))
+    x[250:] = x[:250] + rng.normal(size=(250, 16)) * 0.05
     model = ann.learn(x, float(np.sqrt((x * x).sum(axis=1).max())), 10, 500)
     own, asked = ann.codes(x, model), ann.codes(x[:20], model, True)
-    parts, radius = own.shape[1], 80
-    off = np.bitwise_count(own[None] ^ asked[:, None]).astype(int)
-    hit = (off <= radius // parts - (np.arange(parts) > radius % parts)).any(axis=2)
-    assert (hit | (off.sum(axis=2) > radius)).all()
+    tables, parts = ann.Tables(own), own.shape[1]
+    for q in asked:
+        off = np.bitwise_count(own ^ q).astype(int)
+        got = tables.probe(q, radius)
+        assert set(np.flatnonzero(off.sum(axis=1) <= radius)) <= set(got)
+        assert np.array_equal(got, np.flatnonzero((off <= radius // parts - (np.arange(parts) > radius % parts)).any(axis=1)))
+        assert np.array_equal(np.union1d(got, tables.probe(q, radius + parts, radius)), tables.probe(q, radius + parts))
+
+
+def test_tables_return_few_rows_of_clustered_vectors():
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(100, 32))
+    x = centre[rng.integers(0, 100, 5000)] + rng.normal(size=(5000, 32)) * 0.15
+    ids, counts = np.arange(5000), []
+    model = ann.learn(x[:2000], float(np.sqrt((x * x).sum(axis=1).max())), 20, 5000)
+    got = {int(ids[20 * i]): found.tolist() for i, found, _ in ann.search_block(x, ids, x[::20], ids[::20], model, 20, counts)}
+    near = x[::20] @ x.T
+    near[np.arange(250), ids[::20]] = -np.inf
+    want = np.argsort(-near, axis=1)[:, :20]
+    assert np.mean([len(set(got[20 * i]) & set(w)) / 20 for i, w in enumerate(want)]) >= 0.9
+    assert np.mean(counts) < 0.1 * len(x)
+
+
+@pytest.mark.parametrize("sf, index_rows, query_rows", [("sf0.01", 10_000, 10_000), ("sf0.1", 10_000, 10_000), ("sf0.1", 500, 40)])
+def test_recall_on_embeddings(spark, sf, index_rows, query_rows):
+    ship(spark)
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    got = queries.op3_nearest_neighbours(spark, f"/root/testdata/{sf}") if sf == "sf0.01" else ann.nearest(df, df.where("vec_id % 20 = 0"), index_rows=index_rows, query_rows=query_rows)
+    by = got.toPandas().sort_values("rank").groupby("query_id")["vec_id"].apply(list).to_dict()
+    want = brute_nearest([(r["vec_id"], r["embedding"]) for r in df.select("vec_id", "embedding").collect()], lambda i: i % 20 == 0, 20)
+    assert set(by) == set(want) and all(len(v) == 20 for v in by.values())
+    assert np.mean([len(set(by[q]) & set(want[q])) / 20 for q in want]) >= 0.92
+
+
+def test_repeated_queries(spark):
+    """Equal rows of a query id are one query; each of its vectors has a list of its own."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.5, 0.4]), (2, [0.3, 0.6])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(df, df.where("vec_id = 0")).collect())
+    assert got == [(0, 1, 1, 0.5), (0, 1, 2, 0.6), (0, 2, 1, 0.4), (0, 2, 2, 0.3)]
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body>
