@@ -14,12 +14,14 @@ has a fixed size; weights travel as a broadcast of some hundred KB.
 
 Defined results: null and empty html give an empty text; scripts, styles,
 templates, comments and the head never give blocks; an unclosed head ends at the
-first tag or text that cannot stand in it; unclosed tags end with their parents; repeated rows and null ids are extracted alike; other columns
-are ignored.
+first tag or text that cannot stand in it; unclosed tags end with their parents; a tag that never ends takes the rest of the page;
+repeated rows and null ids are extracted alike; a block whose score is exactly even is no main text; long and deeply nested pages take
+time in proportion to their length; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import random
 import re
@@ -40,31 +42,138 @@ GROUP_PAGES = 256
 #: HTML elements that stand inside a line.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is never text of the page.
-HIDDEN_TAGS = ("script", "style", "template", "noscript", "head", "svg", "textarea", "select", "iframe", "object", "title")
+#: Elements whose content is never text of the page (the head aside).
+HIDDEN_TAGS = frozenset("script style template noscript svg textarea select iframe object title".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*(?<=/)>|<(script|style|template|noscript|svg|textarea|select|iframe|object|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|</?[a-zA-Z][^>]*>", re.S | re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile("[>\"']")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in HIDDEN_TAGS}
 #: Tags that may stand in a head, besides hidden ones.
 _IN_HEAD = frozenset("html head base basefont bgsound link meta noframes".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(begin, end, tag, whether it closes, attributes) of each piece of markup in page order; comments and hidden elements have no tag.
+
+    One pass: whatever a search passes over is not searched again. A tag ends at the first > outside of quoted values, or,
+    if the page has none, at the first > of all; markup that never ends takes the rest of the page.
+    """
+    at, strict = 0, True
+
+    def tag_end(i: int) -> int:
+        """One past the > of the tag whose attributes begin at i; 0 if there is none."""
+        nonlocal strict
+        while strict:
+            m = _STOP.search(page, i)
+            if not m:
+                strict = False
+            elif m[0] == ">":
+                return m.end()
+            else:
+                k = m.start() - 1
+                while page[k].isspace():
+                    k -= 1
+                # a quote that follows no = is a character like any other
+                i = page.find(m[0], m.end()) + 1 if page[k] == "=" else m.end()
+                strict = i > 0
+        return page.find(">", begin) + 1
+
+    while (begin := page.find("<", at)) >= 0:
+        after = page[begin + 1 : begin + 2]
+        closes = after == "/"
+        m = _NAME.match(page, begin + 1 + closes)
+        if m:
+            tag, end = m[0].lower(), tag_end(m.end()) or len(page)
+            attributes = page[m.end() : end - 1] if page[end - 1] == ">" else page[m.end() : end]
+            if tag in HIDDEN_TAGS and not closes:
+                if tag != "svg" or not attributes.endswith("/"):
+                    stop = _ENDS[tag].search(page, end)
+                    end = (page.find(">", stop.end()) + 1 if stop else 0) or len(page)
+                tag = ""
+            yield begin, end, tag, closes, attributes
+        elif after in ("!", "?", "/") and after:
+            close = page.find("-->", begin + 2) + 3 if page.startswith("!--", begin + 1) else page.find(">", begin) + 1
+            end = close if close > 2 or close > 0 and page[close - 1] == ">" else len(page)
+            yield begin, end, "", False, ""
+        else:
+            at = begin + 1
+            continue
+        at = end
+
+
+_slots: dict[tuple[str, ...], tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _token_vectors(tokens: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """What an element adds to the path vector, and its vector as the innermost one."""
+    got = _slots.get(tokens)
+    if got is None:
+        if len(_slots) > 20_000:
+            _slots.clear()
+        got = _slots[tokens] = np.zeros(PATH, np.float32), np.zeros(INNER, np.float32)
+        for t in tokens:
+            for out, h in zip(got, (zlib.crc32(t.encode()), zlib.crc32(f"|{t}".encode()))):
+                out[h % len(out)] += 1 if h & 1 << 20 else -1
+    return got
+
+
 class Element:
-    """An open element: its tag and the words of its names."""
+    """An open element: its tag, its parent, and the vectors of its path and of the innermost block element."""
 
-    __slots__ = ("tag", "names")
+    __slots__ = ("tag", "parent", "path", "inner")
 
-    def __init__(self, tag: str, attributes: str):
-        self.tag = tag
+    def __init__(self, tag: str, attributes: str, parent: Element | None):
+        self.tag, self.parent = tag, parent
         found = _NAMES.findall(attributes) if "=" in attributes else ()
-        self.names = tuple(w for parts in found for w in _SPLIT.split("".join(parts).lower()) if w)
+        path, inner = _token_vectors((tag, *(f".{w}" for parts in found for w in _SPLIT.split("".join(parts).lower()) if w)))
+        self.path = parent.path + path if parent else path
+        self.inner = parent.inner if tag in INLINE and parent else np.zeros(INNER, np.float32) if tag in INLINE else inner
+
+    def open_tags(self) -> list[str]:
+        out, e = [], self
+        while e:
+            out.append(e.tag)
+            e = e.parent
+        return out
+
+
+class Open:
+    """The open elements; finding the one that an end tag closes takes no walk over the others."""
+
+    def __init__(self):
+        self.stack: list[Element] = []
+        self.of_tag: dict[str, list[int]] = {}
+        self.block: list[int] = []
+
+    def top(self) -> Element | None:
+        return self.stack[-1] if self.stack else None
 
+    def push(self, tag: str, attributes: str) -> None:
+        self.of_tag.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.block.append(len(self.stack))
+        self.stack.append(Element(tag, attributes, self.top()))
+
+    def close(self, tag: str) -> None:
+        """The innermost open element of the tag ends, and all inside of it."""
+        if self.of_tag.get(tag):
+            stop = self.of_tag[tag][-1]
+            while len(self.stack) > stop:
+                gone = self.stack.pop()
+                self.of_tag[gone.tag].pop()
+                if gone.tag not in INLINE:
+                    self.block.pop()
+
+    def innermost_block(self) -> str | None:
+        return self.stack[self.block[-1]].tag if self.block else None
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path tokens, text, characters inside links) of each leaf block in page order; white space is single."""
-    out, stack, text, linked, links, at = [], [], [], 0, 0, 0
+
+def blocks(page: str) -> list[tuple[Element | None, str, int]]:
+    """(innermost open element, text, characters inside links) of each leaf block in page order; white space is single."""
+    out, text, linked, at, head, now = [], [], 0, 0, False, Open()
 
     def end() -> None:
         nonlocal linked
@@ -72,83 +181,56 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             whole = "".join(text)
             whole = " ".join((entities.unescape(whole) if "&" in whole else whole).split())
             if whole:
-                tokens = [x for e in stack for x in (e.tag, *(f".{n}" for n in e.names))]
-                inner = next((e for e in reversed(stack) if e.tag not in INLINE), None)
-                out.append(((f"|{inner.tag}" if inner else "|", *(f"|.{n}" for n in (inner.names if inner else ())), *tokens), whole, linked))
+                out.append((now.top(), whole, linked))
             text.clear()
         linked = 0
 
-    head, depth = False, 0
-    for m in _TOKEN.finditer(page):
-        tag = (m[3] or "").lower()
-        between = m.start() > at
-        if head and (between and not page[at : m.start()].isspace() or tag and (tag in ("html", "body", "br") if m[2] else tag not in _IN_HEAD)):
+    def take(stop: int) -> None:
+        nonlocal linked
+        text.append(page[at:stop])
+        linked += (stop - at) * bool(now.of_tag.get("a"))
+
+    for begin, after, tag, closes, attributes in tags(page):
+        between = begin > at
+        if head and (between and not page[at:begin].isspace() or tag and (tag in ("html", "body", "br") if closes else tag not in _IN_HEAD)):
             head = False
-            stack = [e for e in stack if e.tag != "head"]
+            now.close("head")
         if between and not head:
-            text.append(page[at : m.start()])
-            linked += (m.start() - at) * (links > 0)
-        at = m.end()
-        if not tag:
+            take(begin)
+        at = after
+        if tag == "br":
+            text.append(" ")
+        if not tag or tag in ("br", "img", "wbr"):
             continue
         if tag == "head":
-            head = not m[2]
-        if tag == "br" or tag in ("img", "wbr"):
-            text.append(" ") if tag == "br" else None
-            continue
+            head = not closes
         if tag not in INLINE:
             end()
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-        elif tag not in VOID and not m[4].endswith("/"):
+        if closes:
+            now.close(tag)
+        elif tag not in VOID and not attributes.endswith("/"):
             if tag in _CLOSES_P:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k].tag == "p":
-                        del stack[k:]
-                        break
-                    if stack[k].tag not in INLINE:
-                        break
-            elif tag in ("li", "dt", "dd", "option", "tr", "td", "th") and stack and stack[-1].tag == tag:
-                stack.pop()
-            stack.append(Element(tag, m[4]))
-        if tag == "a" or len(stack) < depth:
-            links = sum(e.tag == "a" for e in stack)
-        depth = len(stack)
+                if now.innermost_block() == "p":
+                    now.close("p")
+            elif tag in ("li", "dt", "dd", "option", "tr", "td", "th") and now.stack and now.stack[-1].tag == tag:
+                now.close(tag)
+            now.push(tag, attributes)
+    if head:
+        now.close("head")
     if at < len(page):
-        stack = [e for e in stack if not head or e.tag != "head"]
-        text.append(page[at:])
+        take(len(page))
     end()
     return out
 
 
-_slots: dict[tuple[str, ...], np.ndarray] = {}
-
-
-def _path_vector(tokens: tuple[str, ...]) -> np.ndarray:
-    got = _slots.get(tokens)
-    if got is None:
-        if len(_slots) > 20_000:
-            _slots.clear()
-        got = _slots[tokens] = np.zeros(PATH + INNER, np.float32)
-        for t in tokens:
-            h = zlib.crc32(t.encode())
-            if t[0] == "|":
-                got[PATH + h % INNER] += 1 if h & 1 << 20 else -1
-            else:
-                got[h % PATH] += 1 if h & 1 << 20 else -1
-        np.clip(got, -3, 3, out=got)
-    return got
-
-
-def vectors(found: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
+def vectors(found: list[tuple[Element | None, str, int]]) -> np.ndarray:
     """A vector for each block."""
     out = np.zeros((len(found), PATH + INNER + WORDS + EXTRA), np.float32)
     if not found:
         return out
-    out[:, : PATH + INNER] = [_path_vector(p) for p, _, _ in found]
+    nothing = np.zeros(PATH, np.float32), np.zeros(INNER, np.float32)
+    for k, part in enumerate((slice(0, PATH), slice(PATH, PATH + INNER))):
+        out[:, part] = np.clip(np.stack([((e.path, e.inner) if e else nothing)[k] for e, _, _ in found]), -3, 3)
     words = Words(pa.array([t for _, t, _ in found]), lower=True)
     row = np.repeat(np.arange(len(found)), words.counts)
     h = words.hashes[0]
@@ -229,6 +311,19 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, sizes
 
 
+def gradients(x: np.ndarray, sizes: np.ndarray, slope, w: dict) -> dict[str, np.ndarray]:
+    """Of a loss whose slope by each logit is slope(logits), 0 beyond the pages' ends."""
+    kept: tuple[list, list] = ([], [])
+    s, hf, hb = logits(x, sizes, w, kept)
+    d, hidden, g = slope(s), hf.shape[2], {}
+    g["c"], g["o"] = np.array([d.sum()]), np.concatenate([np.einsum("tn,tnh->h", d, hf), np.einsum("tn,tnh->h", d, hb)])
+    step, page = np.arange(len(x))[:, None], np.arange(x.shape[1])[None, :]
+    turn = np.where(step < sizes, sizes - 1 - step, step)
+    _back(x, w, "f", kept[0], d[..., None] * w["o"][:hidden], g)
+    _back(x[turn, page], w, "b", kept[1], (d[..., None] * w["o"][hidden:])[turn, page], g)
+    return g
+
+
 #: Usual names of page parts, by part.
 MAIN_NAMES = "content post entry article story main body text post-content entry-content article-body page single".split()
 OTHER_NAMES = {
@@ -251,9 +346,10 @@ OTHER_WORDS = (
 def compose(rng: random.Random) -> tuple[str, list[bool]]:
     """A random page and, for each of its blocks in order, whether it is main text."""
     syllables = [rng.choice("bcdfghjklmnprstvw") + rng.choice("aeiouéäó") for _ in range(30)]
+    known = ["".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(150)]
 
     def word() -> str:
-        return "".join(rng.choices(syllables, k=rng.randint(1, 4)))
+        return known[int(150 * rng.random())]
 
     def sentence(n: int) -> str:
         return (" ".join(word() for _ in range(n)) + rng.choice([".", ".", ".", ",", "!", ""])).capitalize()
@@ -287,6 +383,10 @@ def compose(rng: random.Random) -> tuple[str, list[bool]]:
         tags = {"menu": ["nav", "div", "ul", "nav"], "header": ["header", "div"], "footer": ["footer", "div", "footer"], "side": ["aside", "div", "section"]}.get(part, ["div", "section", "aside", "div"])
         a, b = named(part, tags)
         out.append(a)
+        if part in ("side", "comments", "notice", "share", "advert") and rng.random() < 0.35:
+            tag = rng.choice(["h2", "h3", "h4", "h5", "p", "div", "strong"])
+            out.append(f"<{tag}>{short().capitalize()}</{tag}>" + ("<hr>" if tag == "strong" else ""))
+            flags.append(False)
         if part in ("menu", "side", "share") and rng.random() < 0.8:
             n = rng.randrange(2, 9)
             tag = "ul" if not a.startswith("<ul") else ""
@@ -299,7 +399,9 @@ def compose(rng: random.Random) -> tuple[str, list[bool]]:
                 out.append(f"<{tag}>{prose() if rng.random() < 0.7 else short()}</{tag}>")
                 flags.append(False)
         else:
-            out.append(f"&copy; {short()} &middot; {sentence(5)}" if part == "footer" else sentence(rng.randrange(2, 12)) if rng.random() < 0.6 else short())
+            whole = f"&copy; {rng.choice(['', f'{rng.randrange(1995, 2030)} '])}{short()}{rng.choice([' &middot; ', '. '])}{sentence(5)}" if part == "footer" else sentence(rng.randrange(2, 12)) if rng.random() < 0.6 else short()
+            tag = rng.choice(["p", "div", "small", "span", "p"])
+            out.append(f"<{tag}>{whole}</{tag}>" if rng.random() < 0.4 else whole)
             flags.append(False)
         out.append(b)
 
@@ -353,6 +455,7 @@ def compose(rng: random.Random) -> tuple[str, list[bool]]:
     return page, flags
 
 
+@functools.cache
 def train(pages: int = PAGES, epochs: int = EPOCHS, seed: int = SEED) -> dict[str, np.ndarray]:
     rng, plain = np.random.default_rng(seed), random.Random(seed)
     samples = []
@@ -365,22 +468,15 @@ def train(pages: int = PAGES, epochs: int = EPOCHS, seed: int = SEED) -> dict[st
     first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
     steps, total = 0, epochs * -(-pages // BATCH)
     for _ in range(epochs):
-        order = rng.permutation(pages)
-        for a in range(0, pages, BATCH):
+        # pages of like length share a batch, so little of it is padding
+        order = np.argsort(np.array([len(f) for _, f in samples]) * rng.uniform(0.8, 1.2, pages))
+        for a in rng.permutation(range(0, pages, BATCH)):
             part = [samples[k] for k in order[a : a + BATCH]]
             x, sizes = _padded([v for v, _ in part])
             y, inside = np.zeros(x.shape[:2], np.float32), np.arange(len(x))[:, None] < sizes
             for k, (_, f) in enumerate(part):
                 y[: len(f), k] = f
-            kept: tuple[list, list] = ([], [])
-            s, hf, hb = logits(x, sizes, w, kept)
-            d = ((1 / (1 + np.exp(-s)) - y) * inside / inside.sum()).astype(np.float32)
-            hidden, g = hf.shape[2], {}
-            g["c"], g["o"] = np.array([d.sum()]), np.concatenate([np.einsum("tn,tnh->h", d, hf), np.einsum("tn,tnh->h", d, hb)])
-            step, page = np.arange(len(x))[:, None], np.arange(x.shape[1])[None, :]
-            turn = np.where(step < sizes, sizes - 1 - step, step)
-            _back(x, w, "f", kept[0], d[..., None] * w["o"][:hidden], g)
-            _back(x[turn, page], w, "b", kept[1], (d[..., None] * w["o"][hidden:])[turn, page], g)
+            g = gradients(x, sizes, lambda s: ((1 / (1 + np.exp(-s)) - y) * inside / inside.sum()).astype(np.float32), w)  # noqa: B023
             steps += 1
             rate = RATE * (1 - steps / (total + 1))
             norm = float(np.sqrt(sum((v * v).sum() for v in g.values())))
