@@ -3,10 +3,13 @@
 Each input split runs its own packer over its rows in order. Documents are
 tokenised, whole windows are cut off those longer than a window, and the rest
 goes to the fill level h (0 opens a window) that makes the sum of squares of
-N(level), the number of open windows at each level, smallest; N is one array
-of window + 1 counts, so memory does not grow with the input. When a split
-ends, its few open windows are merged by cutting pieces, and the last one is
-cut at powers of two, which need no padding.
+N(level), the number of open windows at each level, smallest. N is one small
+array: a level is a thirty-second of the window wide, and a document may overshoot a window's end by
+less than a level, or follow into one that lacks less than that; it is cut there and its rest placed
+anew, so full windows have no padding. The rule keeps some windows a level
+open, whatever the input. When a split ends, these (the only ones not closed by
+placement: a handful) are laid end to end and cut at window ends, and the
+last at powers of two, which need no padding.
 
 Defined results: a null text counts as empty and gives the end id alone; a row
 that stands twice is packed twice; null ids stay; extra columns are ignored;
@@ -16,6 +19,7 @@ an empty table gives no pieces.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import struct
 import zlib
@@ -25,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-WINDOW, END_ID, MEMO_WORDS, STRETCH_BYTES = 2048, 1, 400_000, 1 << 20
+WINDOW, END_ID, LEVELS, MEMO_WORDS, STRETCH_BYTES = 2048, 1, 32, 400_000, 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -34,6 +38,19 @@ _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u017f]+"
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u017f]+|[0-9]|[^a-z0-9\u00c0-\u017f]+")
 
 
+#: The rules of a vocabulary under which the ids of a text are those of its words in turn; others take texts whole.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class Memo(dict):
     """Bytes of the ids of text parts, as ``make`` gives them; the latest ``MEMO_WORDS`` parts are known at least, twice as many at most."""
 
@@ -63,6 +80,8 @@ class WordTokens:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        made = json.loads(self.tokenizer.to_str())
+        self.by_words = {k: made[k] for k in RULES} == RULES and all(t["content"].startswith("<|") for t in made["added_tokens"])
         self.merge, self.as_bytes = self.tokenizer.model.tokenize, ByteLevel(add_prefix_space=False, use_regex=False)
         self.parts, self.words = Memo(self._part), Memo(self._word)
 
@@ -85,6 +104,8 @@ class WordTokens:
             memo.old = {}
 
     def of(self, text: bytes) -> bytes:
+        if not self.by_words:
+            return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
         out, a = [], 0
         while len(text) - a > STRETCH_BYTES:  # long texts by stretches of whole words
             b = text.find(b" ", a + STRETCH_BYTES)
@@ -102,41 +123,59 @@ def word_tokens(path: str) -> WordTokens:
 
 
 class SumOfSquares:
-    """Open windows by level. Pieces of a window: (doc_id, start, length, crc, doc_tokens, ids or None)."""
+    """Open windows by level: level h > 0 has those of more than (h - 1) grain tokens and of h grain at most.
+
+    Pieces of a window: (doc_id, start, length, doc_tokens, ids or None).
+    """
 
-    def __init__(self, window: int, new_id):
-        self.window, self.new_id = window, new_id
-        self.count = np.zeros(window + 1, np.int64)
-        self.open: dict[int, list] = {}
+    def __init__(self, window: int, new_id, grain: int | None = None):
+        self.window, self.new_id, self.grain = window, new_id, (grain := grain or max(1, window // LEVELS))
+        levels = -(-window // grain) + 1
+        self.count = np.zeros(levels, np.int64)
+        #: tokens in the window of each level that is next to be filled; 0 stands for a new one, ``window`` for none
+        self.fill = np.full(levels, window, np.int64)
+        self.fill[0] = 0
+        self.open: list[list[tuple[int, list]]] = [[] for _ in range(levels)]
 
     def place(self, piece: tuple) -> Iterator[tuple]:
         """Put a piece shorter than the window; yields (window id, pieces) when one is full."""
-        size = piece[2]
-        # moving a window from h to h + size changes the sum by 2 (N(h + size) - N(h)) + 2; a new or full one has no term
-        gain = 2 * np.append(self.count[size:-1], 0)
-        gain -= 2 * self.count[: len(gain)]
-        gain += 2
-        gain[0] = 2 * self.count[size] + 1 if size < self.window else 0
-        gain[-1] = 1 - 2 * self.count[self.window - size] if size < self.window else 0
-        usable = self.count[: len(gain)] > 0
-        usable[0] = True
-        level = int(np.where(usable, gain, np.iinfo(np.int64).max)[::-1].argmin())
-        level = len(gain) - 1 - level  # ties: the fuller window
-        if level:
-            pieces = self.open[level].pop()
-            self.count[level] -= 1
-        else:
-            pieces = []
-        pieces.append(piece)
-        if level + size == self.window:
-            yield self.new_id(), pieces
-        else:
-            self.open.setdefault(level + size, []).append(pieces)
-            self.count[level + size] += 1
+        while piece[2]:
+            size, full = piece[2], self.fill + piece[2]
+            to = -(-full // self.grain)
+            closes = full >= self.window
+            to[closes] = 0
+            # Moving a window from h to h' changes the sum of squares by 2 (N(h') - N(h)) + 2; a new one or a full one has one term only.
+            gain = np.where(closes, 0, 2 * self.count[to] + 1) - np.where(np.arange(len(to)) > 0, 2 * self.count - 1, 0)
+            gain[~closes & (to == np.arange(len(to)))] = 0
+            # A full window cuts less than a grain off the piece; only one that lacks less than a grain takes the head of any.
+            usable = (self.fill < self.window) & (full < self.window + self.grain)
+            usable[-1] = self.count[-1] > 0
+            level = len(gain) - 1 - int(np.where(usable, gain, np.iinfo(np.int64).max)[::-1].argmin())  # ties: the fuller window
+            fill, pieces = self._take(level)
+            head, piece = cut(piece, self.window - fill)
+            pieces.append(head)
+            if fill + head[2] == self.window:
+                yield self.new_id(), pieces
+            else:
+                self._put(fill + head[2], pieces)
+
+    def _take(self, level: int) -> tuple[int, list]:
+        if not level:
+            return 0, []
+        out = self.open[level].pop()
+        self.count[level] -= 1
+        self.fill[level] = self.open[level][-1][0] if self.open[level] else self.window
+        return out
+
+    def _put(self, fill: int, pieces: list) -> None:
+        level = -(-fill // self.grain)
+        self.open[level].append((fill, pieces))
+        self.count[level] += 1
+        self.fill[level] = fill
 
     def close(self) -> Iterator[tuple]:
         """Merge what is open: lay all pieces end to end, cut at window ends; the rest at powers of two."""
-        pieces = [p for level in sorted(self.open, reverse=True) for window in self.open[level] for p in window]
+        pieces = [p for level in reversed(self.open) for _, window in level for p in window]
         left, room, out = sum(p[2] for p in pieces), 0, []
         for p in pieces:
             while p[2]:
@@ -149,7 +188,7 @@ class SumOfSquares:
                 room -= head[2]
                 if not room:
                     yield self.new_id(), out
-        self.open, self.count[:] = {}, 0
+        self.__init__(self.window, self.new_id, self.grain)
 
 
 def cut(piece: tuple, at: int) -> tuple[tuple, tuple]:

@@ -1,5 +1,6 @@
 """Quality rules, license scan and packing against plain Python."""
 
+import json
 import re
 import zlib
 from collections import Counter
@@ -143,6 +144,35 @@ def test_sum_of_squares_choice_is_the_best():
         assert int((packer.count[1:20] ** 2).sum()) == min(options)
 
 
+def test_placement_closes_nearly_all_windows():
+    """Full windows have no padding, few are left open whatever the input, and the least sum of squares is chosen among what a cut of less than a level allows."""
+    rng = np.random.default_rng(6)
+    packer, placed, at = packing.SumOfSquares(2048, iter(range(10**6)).__next__), 0, Counter()
+    for k, size in enumerate(np.minimum(2047, rng.lognormal(5.5, 1.2, 5000).astype(int) + 1).tolist()):
+        for _, pieces in packer.place((k, 0, size, size, b"\0" * 4 * size)):
+            placed += 1
+            assert sum(p[2] for p in pieces) == 2048
+            at.update({(p[0], p[1]): p[2] for p in pieces})
+    still = [p for level in packer.open for _, pieces in level for p in pieces]
+    at.update({(p[0], p[1]): p[2] for p in still})
+    ends = {}
+    for (k, start), n in sorted(at.items()):
+        assert ends.get(k, 0) == start
+        ends[k] = start + n
+    assert len(ends) == 5000 and packer.count.sum() <= 3 * packing.LEVELS
+    closed = list(packer.close())
+    assert placed >= 0.95 * (placed + len(closed)) and not packer.count.any()
+
+
+def test_other_vocabularies_take_texts_whole(tokenizer, tmp_path):
+    made = json.loads(tokenizer.tokenizer.to_str())
+    made["normalizer"]["normalizers"].pop()
+    (tmp_path / "other.json").write_text(json.dumps(made))
+    other, text = packing.WordTokens(str(tmp_path / "other.json")), "Some Words, IN capitals"
+    assert tokenizer.by_words and not other.by_words
+    assert np.frombuffer(other.of(text.encode()), "<u4").tolist() == other.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_tables_of_the_queries_match_sql(spark):
     from tests.oracle import DATA, run_sql, same_kind
 
