@@ -2,17 +2,23 @@
 
 The network (numpy, trained by backpropagation through time with Adam) reads a
 text's letters: A-Z lower-cased, other ASCII characters as single spaces. A
-text is cut into windows of ``WINDOW`` bytes, both directions run over every
-window, every byte position of the whole text gets class probabilities, and
-their mean logarithm over all positions gives the document's probabilities.
-
-Training takes a bounded sample (``SAMPLE_ROWS`` slices of ``SLICE_CHARS``
-characters from the distinct texts whose hash is smallest); scoring covers every row and
-every byte. Weights are some ten KB and travel as a broadcast.
+text is cut into windows of whole words, ``WINDOW`` bytes at most (longer words
+are cut between characters), both directions run over every window, every letter
+of the whole text gets class probabilities, and their mean logarithm over all
+positions gives the document's probabilities.
+
+Training takes a bounded sample: the same number of labelled rows of each language,
+``SAMPLE_ROWS`` in all, those of distinct texts whose hash is smallest, and of
+each ``SLICES`` windows at even steps from its beginning to its end. The
+languages are those of all labelled rows, however rare, and short texts give short
+windows. Scoring covers every row and every letter. Weights are some ten KB and
+travel as a broadcast.
 
 Defined results: a null text or one without letters is ``und`` with score 0;
-without any labelled row every text is ``und``; repeated rows and null ids are
-scored like any other; other columns are ignored.
+without any labelled row every text is ``und``; with one language all others are
+it; very long texts are many windows; equal probabilities go to the language that
+is first by name; a text labelled with several languages is an example of each; repeated rows and null ids
+are scored like any other; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,14 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import smallest, with_rest
+from panelforge.llm.common import with_rest
 
 HIDDEN, WINDOW = 8, 64
-SAMPLE_ROWS, SLICE_CHARS = 3000, 256
-EPOCHS, BATCH, RATE, SEED = 8, 128, 0.02, 7
+SAMPLE_ROWS, SLICES, SLICE_CHARS = 3000, 4, 96
+EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 8, 300, 128, 0.02, 7
 GROUP_BYTES = 1 << 20
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -117,13 +123,15 @@ def _back(x: np.ndarray, w: dict, d: str, kept: list, dh_all: np.ndarray, g: dic
         carry = dh * (1 - z) + back * r + dz @ w[f"uz{d}"].T + dr @ w[f"ur{d}"].T
 
 
-def train(windows: np.ndarray, labels: np.ndarray, classes: int, epochs: int = EPOCHS, seed: int = SEED) -> dict[str, np.ndarray]:
-    """Fit to windows (bytes: windows, steps) with a class each; classes weigh the same."""
+def train(windows: np.ndarray, filled: np.ndarray, labels: np.ndarray, classes: int, epochs: int = EPOCHS, seed: int = SEED) -> dict[str, np.ndarray]:
+    """Fit to windows (bytes: windows, steps; the first ``filled`` of each count) with a class each; classes weigh the same."""
     w, rng = new_weights(classes, seed=seed), np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in w.items()}
     second = {k: np.zeros_like(v) for k, v in w.items()}
     weight = len(labels) / (classes * np.maximum(1, np.bincount(labels, minlength=classes)))
-    steps, total = 0, epochs * -(-len(windows) // BATCH)
+    batches = -(-len(windows) // BATCH)
+    epochs = max(epochs, -(-LEAST_STEPS // batches))
+    steps, total = 0, epochs * batches
     for _ in range(epochs):
         order = rng.permutation(len(windows))
         for a in range(0, len(order), BATCH):
@@ -133,7 +141,8 @@ def train(windows: np.ndarray, labels: np.ndarray, classes: int, epochs: int = E
             hf, hb = run_direction(x, w, "f", kf), run_direction(x[::-1], w, "b", kb)
             p = np.exp(log_probabilities(w, hf, hb[::-1]))
             p[y, :, np.arange(len(y))] -= 1
-            p = np.moveaxis(p * (weight[y] / (len(y) * len(x))).astype(np.float32), 0, 2)
+            p *= np.arange(len(x))[:, None] < filled[at]
+            p = np.moveaxis(p * (weight[y] / (len(y) * filled[at])).astype(np.float32), 0, 2)
             hidden = hf.shape[2]
             dh = p @ w["o"].T
             g["c"], flat = p.sum(axis=(0, 1)), p.reshape(-1, classes)
@@ -152,43 +161,67 @@ def train(windows: np.ndarray, labels: np.ndarray, classes: int, epochs: int = E
 
 
 def cut(text: bytes, window: int = WINDOW) -> list[bytes]:
-    return [text[a : a + window] for a in range(0, len(text), window)]
+    """Windows of whole words of a normalised text; what is longer than a window is cut between characters."""
+    out, a, n = [], 0, len(text)
+    while n - a > window:
+        b = text.rfind(b" ", a + 1, a + window + 1)
+        if b < 0:
+            b = a + window
+            while b > a + 1 and text[b] & 0xC0 == 0x80:
+                b -= 1
+            out.append(text[a:b])
+            a = b
+        else:
+            out.append(text[a:b])
+            a = b + 1
+    if a < n:
+        out.append(text[a:])
+    return out
+
+
+def padded(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes: windows, steps, with spaces behind; bytes that count in each)."""
+    joined = b"".join([x.ljust(WINDOW) for x in windows])
+    return np.frombuffer(joined, np.uint8).reshape(-1, WINDOW), np.array([len(x) for x in windows], np.int64)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SLICE_CHARS) -> tuple[list[str], dict]:
-    """(languages, weights) from a bounded sample of labelled rows: ``rows`` slices of ``chars`` characters."""
-    t = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(text_col).alias("t"), F.col(lang_col).alias("lang"))
+def sample(labelled: DataFrame, text_col: str, lang_col: str, rows: int) -> DataFrame:
+    """lang and slices (``SLICES`` of ``SLICE_CHARS`` characters at even steps over the whole text) of some rows // languages texts of each language."""
+    t = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).alias("lang")).where(F.col("t").rlike(r"\p{L}"))
     t = t.withColumn("h", F.xxhash64("t"))
-    room = F.greatest(F.lit(1), F.length("t") - chars)
-    sample = smallest(t.select("h", "lang", F.substring("t", F.pmod(F.xxhash64("h"), room).cast("int") + 1, F.lit(chars)).alias("t")), "h", rows).collect()
-    languages = sorted({r["lang"] for r in sample})
-    windows, labels = [], []
-    for r in sample:
-        for piece in cut(normal(r["t"].encode())):
-            if len(piece) == WINDOW:
-                windows.append(np.frombuffer(piece, np.uint8))
-                labels.append(languages.index(r["lang"]))
-    if not windows:
+    values = {r["lang"]: r["n"] for r in t.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    each = max(1, rows // max(1, len(values)))
+    # a threshold for each language leaves some two times the rows wanted, whatever the size of the table
+    limits = [(lang, int(2**65 * each / n) - 2**63 if n > 4 * each else 2**63 - 1) for lang, n in values.items()]
+    few = t.join(t.sparkSession.createDataFrame(limits, "lang string, most long"), "lang").where("h <= most")
+    step = (F.greatest(F.lit(0), F.length("t") - SLICE_CHARS) / F.lit(max(1, SLICES - 1))).alias("step")
+    few = few.withColumn("step", step)
+    slices = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda k: F.substring("t", F.floor(k * F.col("step")).cast("int") + 1, F.lit(SLICE_CHARS))))
+    once = few.select("lang", "h", slices.alias("slices")).groupBy("lang", "h").agg(F.min("slices").alias("slices"))
+    return once.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= each).select("lang", "slices", "h")
+
+
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> tuple[list[str], dict]:
+    """(languages, weights) from a bounded sample of ``rows`` labelled rows."""
+    found = [(r["lang"], piece) for r in sorted(sample(labelled, text_col, lang_col, rows).collect(), key=lambda r: (r["lang"], r["h"])) for x in r["slices"] for piece in cut(normal(x.encode()))[:1]]
+    if not found:
         return [], {}
-    return languages, train(np.stack(windows), np.array(labels), len(languages))
+    languages = sorted({lang for lang, _ in found})
+    windows, filled = padded([piece for _, piece in found])
+    return languages, train(windows, filled, np.array([languages.index(lang) for lang, _ in found]), len(languages))
 
 
 def _document_scores(w: dict, texts: list[bytes], classes: int) -> np.ndarray:
     """Mean log probabilities over all positions of each normalised text."""
     out = np.zeros((len(texts), classes))
-    joined = b"".join(t + b" " * (-len(t) % WINDOW) for t in texts)
-    sizes = np.array([len(t) for t in texts])
-    count = -(-sizes // WINDOW)
-    owner = np.repeat(np.arange(len(texts)), count)
-    x = np.frombuffer(joined, np.uint8).reshape(-1, WINDOW)
-    filled = np.full(len(x), WINDOW)
-    last = np.cumsum(count)[count > 0] - 1
-    filled[last] = (sizes - (count - 1) * WINDOW)[count > 0]
+    pieces = [cut(t) for t in texts]
+    owner = np.repeat(np.arange(len(texts)), [len(p) for p in pieces])
+    x, filled = padded([p for own in pieces for p in own])
     for a in range(0, len(x), 1024):
         part = scored(w, np.ascontiguousarray(x[a : a + 1024].T))
         part *= np.arange(WINDOW)[:, None] < filled[a : a + 1024]
         np.add.at(out, owner[a : a + 1024], part.sum(axis=1, dtype=np.float64).T)
-    return out / np.maximum(1, sizes)[:, None]
+    return out / np.maximum(1, np.bincount(owner, weights=filled, minlength=len(texts)))[:, None]
 
 
 def language_id(docs: DataFrame, model: tuple[list[str], dict], id_col: str = "doc_id", text_col: str = "text", rest: tuple[str, ...] | None = None) -> DataFrame:

@@ -9,7 +9,8 @@ counted in ``BINS`` bins, and pool-adjacent-violators turns the bins into a
 monotone probability. What reaches the driver has a fixed size.
 
 Defined results: null and blank texts are scored from zero statistics;
-without labelled rows every score is 0.5; repeated rows are scored alike; null
+without labelled rows every score is 0.5; repeated rows are scored alike, very long texts
+whole; a label that is given twice for a doc_id counts once, two different ones count each; null
 ids stay; only the text is an input of a score; other columns are ignored.
 """
 
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ STATISTICS = (
     "log_words", "word_bytes", "symbols", "shouts", "pipes", "upper", "digits", "stop_words",
     "types", "trigrams", "doubled", "stops", "lines", "other_bytes",
 )
-FEATURES, WIDTH, RIDGE, BINS, SEED = 192, 3.0, 1.0, 1024, 11
+FEATURES, WIDTH, RIDGE, BINS, SEED, SPREAD = 192, 3.0, 1.0, 1024, 11, 64
 
 #: Byte classes that are counted.
 _KINDS = {"symbols": b"#*$%&<>", "pipes": b"|", "shouts": b"!", "upper": bytes(range(65, 91)), "digits": bytes(range(48, 58)), "stops": b".,;:?", "lines": b"\n", "other": bytes(range(128, 256)), "lower": bytes(range(97, 123))}
@@ -130,12 +132,15 @@ def fit(labelled: DataFrame, ridge: float = RIDGE) -> dict:
                 z = fourier(_matrix(batch.column(0)), mean, scale)
                 total += z.T @ np.concatenate([z, batch.column(1).to_numpy()[:, None]], axis=1)
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(FEATURES + 1), pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], names=["i", "line"])
+            part = [TaskContext.get().partitionId() % SPREAD] * (FEATURES + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(FEATURES + 1), pa.int32()), pa.array(part, pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], names=["i", "part", "line"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": pdf["i"].iloc[:1], "line": [sum(np.frombuffer(b) for b in pdf["line"]).tobytes()]})
+        return pd.DataFrame({"i": pdf["i"].to_list()[:1], "part": pdf["part"].to_list()[:1], "line": [sum(np.frombuffer(b) for b in pdf["line"]).tobytes()]})
 
-    lines = labelled.select("x", F.col("y").cast("double").alias("y")).mapInArrow(sums, "i int, line binary").groupBy("i").applyInPandas(add, "i int, line binary")
+    lines = labelled.select("x", F.col("y").cast("double").alias("y")).mapInArrow(sums, "i int, part int, line binary")
+    for keys in (["i", "part"], ["i"]):  # by a share of the partitions first, so no group has a line of each
+        lines = lines.groupBy(*keys).applyInPandas(add, "i int, part int, line binary")
     whole = np.stack([np.frombuffer(bytes(r["line"])) for r in sorted(lines.collect(), key=lambda r: r["i"])])  # FEATURES + 1 lines
     weights = np.linalg.solve(whole[:, :-1] + ridge * np.eye(FEATURES + 1), whole[:, -1])
 
@@ -191,7 +196,7 @@ def score_documents(docs: DataFrame, model: dict, id_col: str = "doc_id", text_c
 
 def fit_documents(stats: DataFrame, labels: DataFrame, train_rows, id_col: str = "doc_id", label_col: str = "quality") -> dict:
     """Model from document_statistics() and the labels of rows where ``train_rows`` (a condition on doc_id) holds."""
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isNotNull() & train_rows)
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isNotNull() & train_rows).distinct()
     return fit(stats.join(known, "doc_id").select("x", "y"))
 
 

@@ -39,6 +39,28 @@ def test_quality_of_odd_tables(spark):
     assert all(r["score"] > 0.9 for r in one_class)
 
 
+def test_partition_sums_equal_one_ridge_solve(spark):
+    """The fitted weights are those of a least-squares solve over all rows at once, with the ridge as rows of its own."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, len(quality_classifier.STATISTICS))).astype(np.float32).astype(float)
+    y = (x[:, 0] + rng.normal(size=600) * 0.3 > 0).astype(float)
+    df = spark.createDataFrame([(r.tolist(), int(v)) for r, v in zip(x, y)], "x array<float>, y int").repartition(9)
+    model = quality_classifier.fit(df)
+    assert np.allclose(model["mean"], x.mean(axis=0)) and np.allclose(model["scale"], x.std(axis=0) + 1e-3)
+    z = quality_classifier.fourier(x, model["mean"], model["scale"])
+    ridge = np.sqrt(quality_classifier.RIDGE) * np.eye(z.shape[1])
+    want = np.linalg.lstsq(np.concatenate([z, ridge]), np.concatenate([y, np.zeros(len(ridge))]), rcond=None)[0]
+    assert np.allclose(model["weights"], want, atol=1e-8)
+
+
+def test_a_label_given_twice_counts_once(spark):
+    docs = frame(spark, texts())
+    labels = docs.where("doc_id < 30").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    stats = quality_classifier.document_statistics(docs.where("doc_id < 30").dropDuplicates(["doc_id"]))
+    one, two = (quality_classifier.fit_documents(stats, t, F.lit(True)) for t in (labels, labels.union(labels)))
+    assert np.allclose(one["weights"], two["weights"])
+
+
 def test_isotonic_equals_min_max_formula():
     rng = np.random.default_rng(2)
     total, ones = rng.integers(1, 9, 60), None
@@ -72,6 +94,54 @@ def test_language_of_odd_tables(spark):
     assert language_id.language_id(docs.where("false"), model).count() == 0
 
 
+def test_languages_of_short_and_rare_texts(spark):
+    """Texts of three words, a language of two texts among many, and a table of one language."""
+    rng = random.Random(12)
+    said = {"aa": "bana lomu kari sote mipa duro".split(), "bb": "schtock kwirz pfang zwolt grutsch brunft".split()}
+    rows = [(k, " ".join(rng.choices(said[lang], k=3)), lang) for k, lang in enumerate(["aa", "bb"] * 60)]
+    rows += [(200, "ñandú ñoño ñusta", "rare"), (201, "ñoño ñandú ñame", "rare"), (202, "123", "digits"), (203, None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert model[0] == ["aa", "bb", "rare"]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.language_id(docs, model).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows[:122]]) > 0.95 and got[202] == got[203] == "und"
+    few = language_id.fit(docs, rows=9)
+    assert few[0] == ["aa", "bb", "rare"]
+    one = language_id.fit(docs.where("lang = 'aa'"))
+    assert {r["lang_pred"] for r in language_id.language_id(docs.where("doc_id < 10"), one).collect()} == {"aa"}
+
+
+def test_language_sample_is_bounded_and_even(spark):
+    rows = [(f"{lang} text {k} " + " ".join(f"q{j}" for j in range(150)) + f" end{k}", lang) for lang, n in (("a", 3000), ("b", 40)) for k in range(n)]
+    got = language_id.sample(spark.createDataFrame(rows, "text string, lang string").repartition(5), "text", "lang", 60).collect()
+    assert sum(r["lang"] == "a" for r in got) == sum(r["lang"] == "b" for r in got) == 30
+    assert all(len(r["slices"]) == language_id.SLICES and "text" in r["slices"][0] and "end" in r["slices"][-1] for r in got)
+
+
+@pytest.mark.parametrize("text", ["", "a", "ab cd " * 40, "x" * 200, "é" * 100 + " ok", ("ñ" * 31 + " ") * 9, " ".join("w" * k for k in range(1, 90))])
+def test_windows_hold_whole_words_and_characters(text):
+    raw = language_id.normal(text.encode())
+    got = language_id.cut(raw)
+    assert b"".join(got).replace(b" ", b"") == raw.replace(b" ", b"") and all(0 < len(x) <= language_id.WINDOW for x in got)
+    assert all(x.decode() for x in got)
+    assert all(set(x.split()) <= set(raw.split()) for x in got if max(map(len, raw.split())) <= language_id.WINDOW)
+
+
+def test_document_scores_equal_a_loop():
+    """Each text alone, each of its windows alone and without padding behind: means over all letters' positions."""
+    rng = random.Random(3)
+    w = language_id.new_weights(3, seed=5)
+    raw = [language_id.normal(" ".join("".join(rng.choices("abcdeé", k=rng.randrange(1, 12))) for _ in range(n)).encode()) for n in (0, 1, 2, 9, 40, 300)]
+    got = language_id._document_scores(w, raw, 3)
+    for text, mine in zip(raw, got):
+        total, size = np.zeros(3), 0
+        for piece in language_id.cut(text):
+            x = np.frombuffer(piece.ljust(language_id.WINDOW), np.uint8)[:, None]
+            part = language_id.scored(w, x)[:, : len(piece), 0]
+            total, size = total + part.sum(axis=1, dtype=float), size + len(piece)
+        assert np.allclose(mine, total / max(1, size), atol=1e-5)
+
+
 def test_gru_gradients_equal_differences():
     rng = np.random.default_rng(5)
     w = {k: v.astype(np.float64) for k, v in language_id.new_weights(3, hidden=4).items()}
