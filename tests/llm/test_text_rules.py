@@ -164,12 +164,12 @@ def test_placement_closes_nearly_all_windows():
     assert placed >= 0.95 * (placed + len(closed)) and not packer.count.any()
 
 
-def test_other_vocabularies_take_texts_whole(tokenizer, tmp_path):
-    made = json.loads(tokenizer.tokenizer.to_str())
+def test_other_vocabularies_take_texts_whole(tokenizer, word_tokens, tmp_path):
+    made = json.loads(tokenizer.to_str())
     made["normalizer"]["normalizers"].pop()
     (tmp_path / "other.json").write_text(json.dumps(made))
     other, text = packing.WordTokens(str(tmp_path / "other.json")), "Some Words, IN capitals"
-    assert tokenizer.by_words and not other.by_words
+    assert word_tokens.by_words and not other.by_words
     assert np.frombuffer(other.of(text.encode()), "<u4").tolist() == other.tokenizer.encode(text, add_special_tokens=False).ids
 
 
