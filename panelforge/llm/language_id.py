@@ -193,7 +193,8 @@ def sample(labelled: DataFrame, text_col: str, lang_col: str, rows: int) -> Data
     each = max(1, rows // max(1, len(values)))
     # a threshold for each language leaves some two times the rows wanted, whatever the size of the table
     limits = [(lang, int(2**65 * each / n) - 2**63 if n > 4 * each else 2**63 - 1) for lang, n in values.items()]
-    few = t.join(t.sparkSession.createDataFrame(limits, "lang string, most long"), "lang").where("h <= most")
+    most = F.create_map(*[F.lit(x) for pair in limits for x in pair]) if limits else F.lit(None).cast("map<string,long>")
+    few = t.where(F.col("h") <= most[F.col("lang")])
     step = (F.greatest(F.lit(0), F.length("t") - SLICE_CHARS) / F.lit(max(1, SLICES - 1))).alias("step")
     few = few.withColumn("step", step)
     slices = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda k: F.substring("t", F.floor(k * F.col("step")).cast("int") + 1, F.lit(SLICE_CHARS))))
