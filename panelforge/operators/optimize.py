@@ -107,39 +107,6 @@ def isotonic(y: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(n), s / n) for s, n in blocks]) if blocks else np.zeros(0)
 
 
-def corrected_curve(curve: np.ndarray, first: int | None, anchors: list[tuple[int, float]], window: int, still: float = 0.5) -> np.ndarray:
-    """The model's curve through checked (place, length) pairs.
-
-    Zero before ``first`` (None: everywhere), never falling. The error at a check ramps in over ``window`` places before
-    it and fades out over as many after it; where the model was short by more than max(2, 10 %) and had not grown by more
-    than ``still`` since an earlier place, the ramp starts there. Between checks the curve stays between their lengths.
-    """
-    n = len(curve)
-    if first is None or first >= n:
-        return np.zeros(n)
-    place, base = np.arange(n), np.maximum.accumulate(np.nan_to_num(np.asarray(curve, float)))
-    base[: max(first, 0)] = 0.0
-    checks = sorted((a, v) for a, v in anchors if first <= a < n)
-    if not checks:
-        return base
-    at = np.array([a for a, _ in checks])
-    value = np.maximum.accumulate([v for _, v in checks])
-    last_of = np.append(at[1:] != at[:-1], True)  # of two checks of a place the larger
-    at, value = at[last_of], value[last_of]
-    error, before = value - base[at], np.append(first - 1, at[:-1])
-    start = np.maximum(at - window, before)
-    stopped = np.maximum(np.searchsorted(base, base[at] - still), np.maximum(before, 0))
-    start = np.where(error > np.maximum(2.0, 0.1 * value), np.minimum(start, stopped), start)
-    k = np.searchsorted(at, place)  # the next check of each place
-    following, has_next = np.minimum(k, len(at) - 1), k < len(at)
-    ramp = np.where(has_next, np.clip((place - start[following]) / np.maximum(at[following] - start[following], 1), 0, 1), 0.0)
-    fade = np.where(k > 0, error[k - 1] * np.clip(1 - (place - at[k - 1]) / window, 0, 1), 0.0)
-    out = base + (1 - ramp) * fade + ramp * np.where(has_next, error[following], 0.0)
-    out = np.clip(out, np.where(k > 0, value[k - 1], 0.0), np.where(has_next, value[following], np.inf))
-    out[at], out[:first] = value, 0.0
-    return np.maximum.accumulate(np.maximum(out, 0.0))
-
-
 def correlation_shift(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Lag of b against a (within ``most``) with the largest correlation of the overlap."""
     best, out = -np.inf, 0

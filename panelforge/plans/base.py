@@ -63,10 +63,11 @@ def query(survey: str, sql: str | None = None, name: str | None = None):
 
 def readings(spark: SparkSession, d: str) -> DataFrame:
     """entity, event_id, ts, event_type, value, bin (day), frame (rank in time), k."""
-    e = table(spark, d, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    # named before it is ranked, so that rows lie by entity for all that follows
+    e = table(spark, d, "events").withColumnRenamed("user_id", "entity")
+    w = Window.partitionBy("entity").orderBy("ts", "event_id")
     return e.select(
-        F.col("user_id").alias("entity"), "event_id", "ts", "event_type", "value", F.datediff("ts", F.lit(START)).cast("long").alias("bin"),
+        "entity", "event_id", "ts", "event_type", "value", F.datediff("ts", F.lit(START)).cast("long").alias("bin"),
         (F.row_number().over(w) - 1).cast("long").alias("frame"), F.get_json_object("props", "$.k").cast("long").alias("k"),
     )
 

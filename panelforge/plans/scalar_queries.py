@@ -25,15 +25,23 @@ def unit_conversion(s, d):
     )
 
 
-@query("2.3-2 2.12-2", "SELECT o_orderkey, round(CASE WHEN o_custkey % 50 > 0 AND o_totalprice > 0 THEN o_totalprice / (o_custkey % 50) END, 9) AS cadence, CASE WHEN o_custkey % 5 <> 0 OR o_custkey % 7 <> 0 THEN coalesce(nullif(o_custkey % 5, 0) * 3600, 0) + coalesce(nullif(o_custkey % 7, 0) * 60, 0) + 0.0 END AS seconds FROM orders")
+@query("2.3-2 2.12-2", """SELECT o_orderkey, round(CASE WHEN o_custkey % 50 > 0 AND o_totalprice > 0 THEN o_totalprice / (o_custkey % 50) END, 9) AS cadence,
+  nullif((o_custkey % 5) * 3600 + coalesce(nullif(o_custkey % 7, 3), 0) * 60 + 0.0, 0) AS seconds FROM orders""")
 def cadence(s, d):
-    part = lambda n: F.nullif(c("o_custkey") % n, F.lit(0)).cast("double")
-    return table(s, d, "orders").select("o_orderkey", units.seconds_per_frame(c("o_totalprice"), c("o_custkey") % 50).alias("cadence"), units.duration_seconds(part(5), part(7), F.lit(None).cast("double")).alias("seconds"))
+    key = c("o_custkey")
+    seconds = units.duration_seconds(key % 5, F.nullif(key % 7, F.lit(3)), F.lit(None).cast("double"))
+    return table(s, d, "orders").select("o_orderkey", units.seconds_per_frame(c("o_totalprice"), key % 50).alias("cadence"), seconds.alias("seconds"))
 
 
-@query("2.3-3", "WITH x AS (SELECT event_id, CAST(round(value) AS BIGINT) AS m FROM events) SELECT event_id, CASE WHEN m >= 60 THEN m || ' min (' || (m // 60) || ' h ' || (m % 60) || ' min)' ELSE m || ' min' END AS words FROM x")
+@query("2.3-3", """WITH x AS (SELECT event_id, CASE WHEN event_id % 9 > 0 THEN CAST(value AS DECIMAL(18,2)) - 100 END AS v FROM events),
+y AS (SELECT event_id, v, CAST(round_even(v, 0) AS BIGINT) AS m, CAST(round_even(greatest(v, 0) * 30, 0) AS BIGINT) AS t FROM x)
+SELECT event_id, CASE WHEN v IS NULL THEN '-' WHEN abs(v) < 10 THEN printf('%.1f min', CAST(round_even(v, 1) AS DOUBLE)) WHEN abs(v) < 60 THEN m || ' min'
+    ELSE printf('%d min (%d h %02d min)', m, CAST(floor(m / 60) AS BIGINT), m - 60 * CAST(floor(m / 60) AS BIGINT)) END AS words,
+  CASE WHEN v IS NULL OR v <= 0 THEN '-' WHEN t >= 3600 THEN printf('%d h %02d min', t // 3600, t % 3600 // 60)
+    WHEN t >= 60 THEN printf('%d min', t // 60) || CASE WHEN t % 60 > 0 THEN printf(' %d s', t % 60) ELSE '' END ELSE printf('%d s', t) END AS span FROM y""")
 def duration_words(s, d):
-    return table(s, d, "events").select("event_id", units.format_minutes(c("value")).alias("words"))
+    v = F.when(c("event_id") % 9 > 0, c("value").cast("decimal(18,2)") - 100)
+    return table(s, d, "events").select("event_id", units.format_minutes(v).alias("words"), units.format_duration(F.when(v.isNotNull(), F.greatest(v, F.lit(0)) * 30)).alias("span"))
 
 
 @query("2.3-4", BASE + ", m AS (SELECT entity, frame, epoch_us(ts) / 1000000.0 AS t FROM r WHERE k < 70) SELECT r.event_id, round(CASE WHEN r.entity % 2 = 0 THEN m.t ELSE CASE WHEN r.entity % 3 > 0 THEN r.frame * 2.5 END END, 6) AS t FROM r LEFT JOIN m ON r.entity = m.entity AND r.frame = m.frame")
@@ -102,28 +110,34 @@ def box_distances(s, d):
     return x.select("event_id", geometry.iou_distance(c("a"), c("b")).alias("iou_distance"), F.round(geometry.centre_distance_squared(c("a"), c("b")), 6).alias("centre2"), F.hypot((c("a.x0") - c("b.x0")) * 0.5, (c("a.y0") - c("b.y0")) * 2).alias("scaled"))
 
 
-PHRASES = {"view": "looked at", "error": "went wrong"}
+PHRASES = {"view": "looked at {}", "error": "went wrong", "rotates": "turns {}"}
 
 
-@query("2.3-18 2.10-1", "WITH x AS (SELECT event_id, event_type || ':' || (props->>'$.k') AS f FROM events) SELECT event_id, split_part(f, ':', 2) AS argument, CASE split_part(f, ':', 1) WHEN 'view' THEN 'looked at' WHEN 'error' THEN 'went wrong' ELSE replace(split_part(f, ':', 1), '_', ' ') END AS phrase FROM x")
+@query("2.3-18 2.10-1", """WITH x AS (SELECT event_id, props->>'$.k' AS k, CASE event_id % 5 WHEN 0 THEN 'path_coverage:0.' || (props->>'$.k') WHEN 1 THEN 'rotates:' || (props->>'$.k') || 'deg' WHEN 2 THEN 'first_seen:a_b' ELSE event_type || ':' || (props->>'$.k') END AS f FROM events)
+SELECT event_id, split_part(f, ':', 2) AS argument, CASE WHEN event_id % 5 = 0 THEN printf('growth off the tube (%d%% on it)', CAST(round_even(100 * CAST('0.' || k AS DOUBLE), 0) AS BIGINT))
+  WHEN event_id % 5 = 1 THEN 'turns ' || k || '°' WHEN event_id % 5 = 2 THEN 'first seen:a b' WHEN f LIKE 'view:%' THEN 'looked at ' || k WHEN f LIKE 'error:%' THEN 'went wrong' ELSE replace(f, '_', ' ') END AS phrase FROM x""")
 def flag_phrases(s, d):
-    f = F.concat(c("event_type"), F.lit(":"), F.get_json_object("props", "$.k"))
+    k, n = F.get_json_object("props", "$.k"), c("event_id") % 5
+    f = F.when(n == 0, F.concat(F.lit("path_coverage:0."), k)).when(n == 1, F.concat(F.lit("rotates:"), k, F.lit("deg"))).when(n == 2, "first_seen:a_b").otherwise(F.concat(c("event_type"), F.lit(":"), k))
     return table(s, d, "events").select("event_id", text.flag_argument(f).alias("argument"), text.flag_phrase(f, PHRASES).alias("phrase"))
 
 
-@query("2.3-19", "SELECT p_partkey, trim(regexp_replace('_' || p_name || ' / ' || p_brand || '!', '[^A-Za-z0-9._-]+', '_', 'g'), '_') AS name FROM part")
+@query("2.3-19", "SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'movie' ELSE trim(regexp_replace('._' || p_name || ' / ' || p_brand || '!.', '[^A-Za-z0-9._-]+', '_', 'g'), '_.') END AS name FROM part")
 def safe_names(s, d):
-    return table(s, d, "part").select("p_partkey", text.safe_name(F.concat(F.lit("_"), c("p_name"), F.lit(" / "), c("p_brand"), F.lit("!"))).alias("name"))
+    raw = F.when(c("p_partkey") % 7 == 0, "_. !").otherwise(F.concat(F.lit("._"), c("p_name"), F.lit(" / "), c("p_brand"), F.lit("!.")))
+    return table(s, d, "part").select("p_partkey", text.safe_name(raw).alias("name"))
 
 
-@query("2.10-2", "SELECT event_id, CASE WHEN value > 250 THEN '' ELSE printf('%.3f', value) END AS shown FROM events")
+@query("2.10-2", "SELECT event_id, CASE WHEN value > 250 THEN '' WHEN abs(value) < 10 THEN printf('%.3f', value) ELSE printf('%.1f', CAST(round_even(CAST(value AS DECIMAL(18,2)), 1) AS DOUBLE)) END AS shown FROM events")
 def number_text(s, d):
-    return table(s, d, "events").select("event_id", text.number_text(F.when(c("value") <= 250, c("value")), 3).alias("shown"))
+    return table(s, d, "events").select("event_id", text.number_text(F.when(c("value") <= 250, c("value"))).alias("shown"))
 
 
-@query("2.10-3", "WITH x AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) WHEN 2 THEN 'True' ELSE event_type END AS t FROM events) SELECT event_id, CASE WHEN try_cast(t AS BIGINT) IS NOT NULL AND t NOT LIKE '%.%' THEN 'int' WHEN try_cast(t AS DOUBLE) IS NOT NULL THEN 'float' WHEN lower(t) IN ('true', 'false') THEN 'bool' ELSE 'text' END AS kind FROM x")
+@query("2.10-3", """WITH x AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) WHEN 2 THEN 'True' WHEN 3 THEN '(' || event_id || ',1)' ELSE event_type END AS t FROM events)
+SELECT event_id, CASE WHEN t LIKE '%,%' OR t LIKE '(%' THEN 'tuple' WHEN try_cast(t AS BIGINT) IS NOT NULL AND t NOT LIKE '%.%' THEN 'int' WHEN try_cast(t AS DOUBLE) IS NOT NULL THEN 'float' WHEN lower(t) IN ('true', 'false') THEN 'bool' ELSE 'text' END AS kind FROM x""")
 def value_kinds(s, d):
-    t = F.when(c("event_id") % 4 == 0, c("event_id").cast("string")).when(c("event_id") % 4 == 1, c("value").cast("decimal(18,2)").cast("string")).when(c("event_id") % 4 == 2, "True").otherwise(c("event_type"))
+    n, number = c("event_id") % 5, c("value").cast("decimal(18,2)").cast("string")
+    t = F.when(n == 0, c("event_id").cast("string")).when(n == 1, number).when(n == 2, "True").when(n == 3, F.concat(F.lit("("), c("event_id").cast("string"), F.lit(",1)"))).otherwise(c("event_type"))
     return table(s, d, "events").select("event_id", text.value_kind(t).alias("kind"))
 
 

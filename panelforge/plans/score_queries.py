@@ -23,10 +23,11 @@ def robust_sigma(s, d):
     return scoring.robust_sigma(day_bins(s, d), KEYS, "v", 0.5)
 
 
-@query("2.6-6", BASE + """, a AS (SELECT entity, length - lag(length, 3) OVER (PARTITION BY entity ORDER BY bin) AS adv FROM b),
+@query("2.6-6", BASE + """, a AS (SELECT entity, (length - lag(length, 3) OVER (PARTITION BY entity ORDER BY bin)) / 3 AS adv FROM b),
 p AS (SELECT entity, quantile_cont(adv, 0.9) AS p90 FROM a WHERE adv > 0.05 GROUP BY 1 HAVING count(*) >= 5) SELECT count(*) AS n, CASE WHEN count(*) >= 3 THEN round(median(p90), 9) END AS scale FROM p""")
 def growth_scale(s, d):
-    adv = day_bins(s, d).withColumn("adv", c("length") - F.lag("length", 3).over(Window.partitionBy("entity").orderBy("bin"))).where("adv > 0.05")
+    step = (c("length") - F.lag("length", 3).over(Window.partitionBy("entity").orderBy("bin"))) / 3  # by bin
+    adv = day_bins(s, d).withColumn("adv", step).where("adv > 0.05")
     p = adv.groupBy("entity").agg(F.percentile("adv", F.lit(0.9)).alias("p90"), F.count("*").alias("n")).where("n >= 5")
     return p.agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, F.percentile("p90", F.lit(0.5))).alias("scale"))
 

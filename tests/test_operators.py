@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.functions import geometry, text, units
-from panelforge.operators import matching, optimize, review, sampling, survival
+from panelforge.operators import curves, matching, optimize, review, sampling, survival
 from panelforge.session import ship
 from panelforge.sources import readers, writers
 
@@ -96,18 +96,24 @@ def test_viterbi_is_optimal():
         assert abs(value(optimize.viterbi(s, 0.3, 2, 1)) - max(map(value, ok))) < 1e-9
 
 
-def test_corrected_curve_known_answers():
+def test_curve_through_checks_known_answers(spark):
+    def drawn(curve, first, checks, reach):
+        rows = [("a", k, float(v), dict(checks).get(k), first) for k, v in enumerate(curve)]
+        df = spark.createDataFrame(rows, "entity string, i long, length double, seen double, first long")
+        return np.array([r["length"] for r in curves.through_checks(df, ["entity"], "i", "length", "seen", "first", reach).orderBy("i").collect()])
+
     model = np.array([max(0, 2.0 * (b - 4)) for b in range(80)])
-    got = optimize.corrected_curve(model, 5, [(30, 60.0)], 20)
+    got = drawn(model, 5, [(30, 60.0)], 20)
     assert got[30] == 60 and got[20] == model[20] + 4 and got[40] == model[40] + 4
     assert np.array_equal(got[:11], model[:11]) and np.array_equal(got[50:], model[50:]) and (np.diff(got) >= 0).all()
-    assert np.array_equal(optimize.corrected_curve(np.array([1.0, 3, 2]), 0, [], 5), [1, 3, 3])
-    assert not optimize.corrected_curve(model, None, [(30, 60.0)], 20).any()
+    assert np.array_equal(drawn([1.0, 3, 2, float("nan")], 0, [], 5), [1, 3, 3, 3])
+    assert not drawn(model, None, [(30, 60.0)], 20).any() and not drawn(model, 90, [(30, 60.0)], 20).any()
     flat = np.minimum(model, 20.0)  # stops growing at 14: the missing growth is spread from there
-    late = optimize.corrected_curve(flat, 5, [(60, 100.0)], 20)
+    late = drawn(flat, 5, [(60, 100.0)], 20)
     assert late[14] == 20 and abs(late[37] - 60) < 1e-9 and late[60] == 100 and late[79] == 100
-    two = optimize.corrected_curve(model, 5, [(20, 30.0), (40, 80.0)], 20)
+    two = drawn(model, 5, [(20, 30.0), (40, 80.0)], 20)
     assert two[20] == 30 and two[40] == 80 and ((two[20:41] >= 30) & (two[20:41] <= 80)).all()
+    assert drawn(model, 5, [(20, 50.0), (40, 30.0)], 20)[40] == 50  # a later check is no shorter than an earlier one
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -170,9 +176,20 @@ def test_units_and_text(spark):
     f = lambda v: F.lit(v).cast("double")
     assert one(spark, units.minutes(f(120), f(None))) is None and one(spark, units.time_or_frames(f(120), f(None))) == 120
     assert one(spark, units.duration_seconds(f(None), f(None), f(None))) is None and one(spark, units.duration_seconds(f(1), f(None), f(30))) == 3630
-    assert one(spark, units.format_minutes(f(143))) == "143 min (2 h 23 min)" and one(spark, units.format_minutes(f(59.4))) == "59 min"
-    assert one(spark, text.value_kind(F.lit("3"))) == "int" and one(spark, text.value_kind(F.lit("True"))) == "bool" and one(spark, text.value_kind(F.lit("a,b"))) == "text"
-    assert one(spark, text.number_text(f(None), 2)) == "" and one(spark, text.safe_name(F.lit("_a b/c_"))) == "a_b_c"
+    assert one(spark, units.duration_seconds(f(0), f(0), f(None))) is None
+    with pytest.raises(Exception, match="negative"):
+        one(spark, units.duration_seconds(f(1), f(-1), f(0)))
+    for minutes, words in ((143, "143 min (2 h 23 min)"), (123, "123 min (2 h 03 min)"), (59.4, "59 min"), (59.7, "60 min"), (9.96, "10.0 min"), (3.14, "3.1 min"), (None, "-")):
+        assert one(spark, units.format_minutes(f(minutes))) == words
+    for seconds, words in ((26_280, "7 h 18 min"), (2700, "45 min"), (2720, "45 min 20 s"), (50, "50 s"), (0, "-"), (None, "-")):
+        assert one(spark, units.format_duration(f(seconds))) == words
+    for raw, kind in (("3", "int"), ("3.5", "float"), ("True", "bool"), ("a", "text"), ("a,b", "tuple"), ("(1)", "tuple")):
+        assert one(spark, text.value_kind(F.lit(raw))) == kind
+    assert [one(spark, text.number_text(f(v))) for v in (None, 3.14159, 12.34, -10)] == ["", "3.142", "12.3", "-10.0"]
+    assert [one(spark, text.safe_name(F.lit(v))) for v in ("_a b/c_", "..x.y..", "_.!")] == ["a_b_c", "x.y", "movie"]
+    phrases = {"touches": "touches {}", "rotates": "turns {}"}
+    for flag, words in (("touches:7", "touches 7"), ("rotates:5deg", "turns 5°"), ("path_coverage:0.42", "growth off the tube (42% on it)"), ("no_tube:a_b", "no tube:a b")):
+        assert one(spark, text.flag_phrase(F.lit(flag), phrases)) == words
 
 
 def test_geometry_known_answers(spark):

@@ -24,7 +24,7 @@ def test_scan_is_pruned_and_filtered(spark):
 
 
 def test_binning_is_one_exchange(spark):
-    assert plan(QUERIES["bin_average"](spark, DATA)).count("Exchange hashpartitioning") == 2  # rank in time, then bins
+    assert plan(QUERIES["bin_average"](spark, DATA)).count("Exchange hashpartitioning") == 1
     assert plan(QUERIES["source_probe"](spark, DATA)).count("Exchange hashpartitioning") == 1
 
 
