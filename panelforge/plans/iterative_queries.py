@@ -95,19 +95,19 @@ CORRECTED = BASE + """, f AS (
 ), c AS (SELECT entity, i, goal, goal - base AS error, base, level_from, first, lag(i) OVER w AS before FROM g WHERE goal IS NOT NULL WINDOW w AS (PARTITION BY entity ORDER BY i)
 ), k AS (
   SELECT entity, i, goal, error, CASE WHEN error > greatest(2, goal / 10)
-    THEN least(greatest(i - 8, coalesce(before, first - 1)), greatest(level_from, coalesce(before, first - 1), 0)) ELSE greatest(i - 8, coalesce(before, first - 1)) END AS begin FROM c
+    THEN least(greatest(i - 10, coalesce(before, first - 1)), greatest(level_from, coalesce(before, first - 1), 0)) ELSE greatest(i - 10, coalesce(before, first - 1)) END AS begin FROM c
 ), p AS (SELECT g.*, k.i AS l_at, k.goal AS l_goal, k.error AS l_error FROM g ASOF LEFT JOIN k ON g.entity = k.entity AND g.i > k.i
 ), q AS (SELECT p.*, k.i AS n_at, k.goal AS n_goal, k.error AS n_error, k.begin AS n_begin FROM p ASOF LEFT JOIN k ON p.entity = k.entity AND p.i <= k.i
 ), y AS (
-  SELECT *, CASE WHEN n_at IS NULL THEN 0 ELSE greatest(0, least(1, (i - n_begin) / greatest(n_at - n_begin, 1))) END AS grown, coalesce(l_error * greatest(0, least(1, 1 - (i - l_at) / 8)), 0) AS rest FROM q
+  SELECT *, CASE WHEN n_at IS NULL THEN 0 ELSE greatest(0, least(1, (i - n_begin) / greatest(n_at - n_begin, 1))) END AS grown, coalesce(l_error * greatest(0, least(1, 1 - (i - l_at) / 10)), 0) AS rest FROM q
 ), z AS (SELECT entity, i, CASE WHEN live THEN coalesce(goal, greatest(coalesce(l_goal, 0), least(base + (1 - grown) * rest + grown * coalesce(n_error, 0), n_goal))) ELSE 0 END AS x FROM y)
-SELECT entity, i, round(max(x) OVER (PARTITION BY entity ORDER BY i), 6) AS length FROM z"""
+SELECT entity, i, round(max(x) OVER (PARTITION BY entity ORDER BY i), 9) AS length FROM z"""
 
 
 @query("2.11-8 2.2-9", CORRECTED)
 def corrected_curves(s, d):
     b = day_bins(s, d).select("entity", "i", "length", F.when(c("n") >= 4, c("v")).alias("seen"), F.min(F.when(c("v") > 40, c("i"))).over(Window.partitionBy("entity")).alias("first"))
-    return curves.through_checks(b, KEYS, "i", "length", "seen", "first", 8).withColumn("length", F.round("length", 6))
+    return curves.through_checks(b, KEYS, "i", "length", "seen", "first", 10)
 
 
 @query("2.11-9 2.12-4", BASE + ", g AS (SELECT entity, bin, v, CASE WHEN bin - lag(bin) OVER (PARTITION BY entity ORDER BY bin) > 2 THEN 1 ELSE 0 END AS cut FROM b WHERE v > 40), q AS (SELECT *, sum(cut) OVER (PARTITION BY entity ORDER BY bin ROWS UNBOUNDED PRECEDING) AS spell FROM g) SELECT entity, CAST(spell AS BIGINT) AS spell, min(bin) AS first, max(bin) AS last, count(*) AS n, round(sum(v), 6) AS grown FROM q GROUP BY 1, 2")
