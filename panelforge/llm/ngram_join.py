@@ -24,8 +24,8 @@
    verified together with the family's least set, its centre; members that no
    chain of links ties to the centre inside their block are then verified
    against all blocks. A task stays bounded, and a group of near copies of one
-   text takes one comparison for each member. A task returns a spanning forest of
-   the links that it found.
+   text takes one comparison for each member. A task returns the links that it
+   found merged into stars round the least document of each component.
 4. Components of the links give the result.
 
 Defined results: null or blank texts have an empty set and link with nothing;
@@ -69,10 +69,6 @@ def shingle_sets(col: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.nd
     return distinct(h, np.cumsum(np.bincount(row, minlength=len(words.counts))))
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1 if n else 0
-
-
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n, two halves of the set's signature."""
 
@@ -186,7 +182,8 @@ def _ties(docs: DataFrame, width: int, percent: int, buckets: int, common: np.nd
         own = np.concatenate([np.empty(0, np.int64), *(np.repeat(d, c) for d, _, c, _, _ in parts)])
         key = np.concatenate([np.empty(0, np.uint64), *(k[0].astype(np.uint64) << np.uint64(8) | k[1] for *_, k in parts)])
         near = [np.frombuffer(p, np.int64).reshape(-1, 2) for p in pdf["pairs"] if p is not None]
-        return pd.DataFrame(np.unique(np.concatenate([tied(key, own)[2], *near]), axis=0), columns=["a", "b"])
+        pairs = np.concatenate([tied(key, own)[2], *near])
+        return pd.DataFrame(dict(zip("ab", stars(pairs[:, 0], pairs[:, 1]))))
 
     return docs.select("text").mapInArrow(run, f"{blobs.PACKED}, pairs binary").groupBy("bucket").applyInPandas(meet, "a long, b long")
 
@@ -206,50 +203,72 @@ def _group_keys(members: DataFrame, width: int, percent: int, common: np.ndarray
 def linked(sets: list[np.ndarray], percent: int, settled: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs (by number) whose Jaccard similarity is percent or more.
 
-    Sets go by size; rare-first prefixes inside the family give candidates, and
-    a pair that is connected already (by the forest, or as ``settled`` sets are
-    among themselves) is not compared again.
+    Trees grow from one set after another (the ``settled`` sets are one tree already): a set is compared with all sets
+    that no tree holds yet and that share a shingle of its rare-first prefix, in array operations. A set that a tree
+    holds is never compared from the other side again, so near copies of one text cost one comparison each.
     """
     if len(sets) < 2:
         return []
-    flat = np.concatenate(sets)
-    values, code, count = np.unique(flat, return_inverse=True, return_counts=True)
-    rank = np.empty(len(values), np.int64)
-    rank[np.lexsort((values, count))] = np.arange(len(values))
-    rank, stop = rank[code], np.cumsum([len(s) for s in sets])
-    ranks = [np.sort(rank[e - len(s) : e]) for s, e in zip(sets, stop)]
-    parent = list(range(len(sets)))
-    if settled is not None and settled.any():
-        for x in np.flatnonzero(settled):
-            parent[x] = int(settled.argmax())
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    post: dict[int, list[int]] = {}
-    forest = []
-    common = count[np.lexsort((values, count))] > 1
-    for x in sorted(range(len(sets)), key=lambda i: len(sets[i])):
-        own = ranks[x]
-        n, tried = len(own), set()
-        for token in own[: prefix_length(n, percent)].tolist():
-            if not common[token]:
-                continue
-            for y in post.get(token, ()):
-                if y in tried or 100 * len(ranks[y]) < percent * n or root(x) == root(y):
-                    continue
-                tried.add(y)
-                both = len(np.intersect1d(own, ranks[y], assume_unique=True))
-                if 100 * both >= percent * (n + len(ranks[y]) - both):
-                    parent[root(y)] = root(x)
-                    forest.append((x, y))
-            post.setdefault(token, []).append(x)
+    n = np.array([len(s) for s in sets])
+    stop = np.cumsum(n)
+    first, of = stop - n, np.repeat(np.arange(len(n)), n)
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    own = np.sort(of << 32 | rank[code]) & 0xFFFFFFFF
+    once = np.sort(count) < 2
+    use = (np.arange(len(own)) - first[of] < (n + 1 + (-percent * n) // 100)[of]) & ~once[own]
+    head, whose = own[use], of[use]
+    starts = np.searchsorted(whose, np.arange(len(n) + 1))
+    all_heads, mark, free = head, np.zeros(len(count), bool), np.ones(len(n), bool)
+    todo = np.flatnonzero(settled).tolist() if settled is not None else []
+    free[todo] = False
+    head, whose = head[free[whose]], whose[free[whose]]
+    forest, fresh = [], 0
+    while len(head):
+        if todo:
+            x = todo.pop()
+        else:
+            while not free[fresh]:
+                fresh += 1
+            x = fresh
+            free[x] = False
+        part = all_heads[starts[x] : starts[x + 1]]
+        mark[part] = True
+        near = np.unique(whose[mark[head]])
+        mark[part] = False
+        near = near[free[near]]
+        near = near[percent * np.maximum(n[near], n[x]) <= 100 * np.minimum(n[near], n[x])]
+        if len(near):
+            mark[own[first[x] : stop[x]]] = True
+            base = np.cumsum(n[near]) - n[near]
+            both = np.add.reduceat(mark[own[np.repeat(first[near] - base, n[near]) + np.arange(n[near].sum())]], base, dtype=np.int64)
+            mark[own[first[x] : stop[x]]] = False
+            near = near[100 * both >= percent * (n[x] + n[near] - both)]
+            free[near] = False
+            forest += [(x, y) for y in near.tolist()]
+            todo += near.tolist()
+        if len(near) or not todo:
+            kept = free[whose]
+            head, whose = head[kept], whose[kept]
     return forest
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its component) of the edges a - b, for all nodes but the least ones."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while len(x) and (label[x] != label[y]).any():
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], low)
+        np.minimum.at(label, label[y], low)
+        while (label[label] != label).any():
+            label = label[label]
+    other = label != np.arange(len(nodes))
+    return nodes[other], nodes[label[other]]
+
+
 def links(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """docs: doc_id, text. Returns (sets of all rows, classes of equal sets, links between class representatives)."""
     buckets = input_buckets(docs)
@@ -278,23 +297,21 @@ def links(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> tupl
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         """Links of a block; (rep, null) for members of a cut family that are not tied to its centre here."""
-        pdf = pdf.sort_values("centre").drop_duplicates(["rep", "text"], keep="last")
-        ids, found = pdf["rep"].tolist(), linked(sets_of(pdf), percent)
-        rows = [(ids[x], ids[y]) for x, y in found]
+        pdf = pdf.sort_values("centre", ascending=False).drop_duplicates(["rep", "text"])
+        ids, found = pdf["rep"].to_numpy(np.int64), np.array(linked(sets_of(pdf), percent), np.int64).reshape(-1, 2)
+        a, b = stars(ids[found[:, 0]], ids[found[:, 1]])
+        rows = list(zip(a.tolist(), b.tolist()))
         if pdf["blocks"].iloc[0] > 1:
-            near, more = set(pdf.loc[pdf["centre"], "rep"]), True
-            while more:
-                new = {z for x, y in rows for z in (x, y) if (x in near) != (y in near)} - near
-                near |= new
-                more = bool(new)
-            rows += [(x, None) for x in set(ids) - near]
+            least, centre = dict(rows), pdf.loc[pdf["centre"], "rep"]
+            near = {least.get(x, x) for x in centre.tolist()}
+            rows += [(x, None) for x in set(ids.tolist()) if least.get(x, x) not in near]
         return pd.DataFrame(rows, columns=["a", "b"]).astype("Int64")
 
     def verify_open(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("open").drop_duplicates(["rep", "text"], keep="last")
-        ids = pdf["rep"].tolist()
-        found = linked(sets_of(pdf), percent, ~pdf["open"].to_numpy(bool))
-        return pd.DataFrame([(ids[x], ids[y]) for x, y in found], columns=["a", "b"], dtype="int64")
+        ids = pdf["rep"].to_numpy(np.int64)
+        found = np.array(linked(sets_of(pdf), percent, ~pdf["open"].to_numpy(bool)), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": ids[found[:, 0]], "b": ids[found[:, 1]]})
 
     # the cost of a block is its comparisons, not its bytes: a fixed number of partitions keeps Spark from merging them by bytes
     seen = materialized(tasks.repartition(2 * buckets, "family", "block").groupBy("family", "block").applyInPandas(verify, "a long, b long"))

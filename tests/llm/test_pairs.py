@@ -202,3 +202,32 @@ def test_dedup_whatever_the_chunks(spark, monkeypatch, chunk):
     got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     got = got.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256)).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_dedup(rows)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_verification_ties_what_all_pairs_tie(percent):
+    rng = np.random.default_rng(percent)
+
+    def labels(n, edges):
+        label = list(range(n))
+        for _ in range(n):
+            for x, y in edges:
+                label[x] = label[y] = min(label[x], label[y])
+        return label
+
+    for trial in range(60):
+        base = [rng.choice(400, rng.integers(1, 60), replace=False).tolist() for _ in range(3)]
+        sets = []
+        for _ in range(rng.integers(2, 25)):
+            own = set(base[rng.integers(3)])
+            own ^= set(rng.choice(sorted(own), min(len(own) - 1, rng.integers(0, 5)), replace=False).tolist()) | set(rng.integers(400, 500, rng.integers(0, 4)).tolist())
+            sets.append(np.array(sorted(own), np.uint64))
+        pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))]
+        settled = rng.random(len(sets)) < 0.3 if trial % 2 else None
+        tied = [(int(np.flatnonzero(settled)[0]), int(x)) for x in np.flatnonzero(settled)] if settled is not None and settled.any() else []
+        got = ngram_join.linked(sets, percent, settled)
+        assert {(max(e), min(e)) for e in got} <= set(pairs)
+        assert labels(len(sets), got + tied) == labels(len(sets), pairs + tied)
+        if pairs:
+            node, least = ngram_join.stars(*np.array(pairs).T)
+            assert dict(zip(node.tolist(), least.tolist())) == {x: y for x, y in enumerate(labels(len(sets), pairs)) if x != y}
