@@ -26,6 +26,23 @@ def sustained_onset(rows: DataFrame, keys: list[str], at: str, above: Column, sp
     return out.drop("_tail")
 
 
+def _middle(values: Column) -> Column:
+    """Median of an array."""
+    ordered, n = F.array_sort(values), F.size(values)
+    return (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
+
+
+def above_noise(rows: DataFrame, keys: list[str], at: str, value: str, base: int, floor: float, times: float, least: float) -> DataFrame:
+    """rows with ``threshold``: the median of an entity's first ``base`` values, and above it ``floor`` or ``times`` their
+    scaled median deviation (``least`` at the least), whichever is more."""
+    whole = Window.partitionBy(*keys)
+    place = F.row_number().over(running(keys, [at]))
+    rows = rows.withColumn("_p", place).withColumn("_f", F.collect_list(F.when(F.col("_p") <= base, F.col(value))).over(whole))
+    rows = rows.withColumn("_m", _middle(F.col("_f")))
+    spread = F.greatest(1.4826 * _middle(F.transform("_f", lambda x: F.abs(x - F.col("_m")))), F.lit(float(least)))
+    return rows.withColumn("threshold", F.col("_m") + F.greatest(F.lit(float(floor)), times * spread)).drop("_p", "_f", "_m")
+
+
 def held_onset(rows: DataFrame, keys: list[str], at: str, above: Column, hold: int) -> DataFrame:
     """(keys, onset): first of ``hold`` rows in succession that are all above; a cut tail never counts."""
     w = running(keys, [at]).rowsBetween(0, hold - 1)

@@ -52,21 +52,38 @@ def pairs_within(left: DataFrame, right: DataFrame, keys: list[str], radius: flo
     return a.join(b, [*keys, "_cx", "_cy"]).withColumn("distance", d).where(F.col("distance") <= radius).select(*keys, "a", "b", "distance")
 
 
-def greedy_match(pairs: DataFrame, keys: list[str]) -> DataFrame:
+#: So many candidate pairs, some megabytes, may meet in one task.
+PAIRS_A_TASK = 200_000
+
+
+def in_parts(pairs: DataFrame, keys: list[str], most: int = PAIRS_A_TASK) -> DataFrame:
+    """Candidate pairs (a, b, distance) with ``_part``: beyond ``most`` pairs, connected ones share a part and the others
+    spread over parts, so that no task holds a whole key; matches of different parts never compete."""
+    pairs = pairs.checkpoint()
+    parts = 1 + pairs.count() // most
+    if parts == 1:
+        return pairs.withColumn("_part", F.lit(0).cast("long"))
+    named = pairs.withColumn("_a", F.xxhash64(*keys, F.lit("a"), "a")).withColumn("_b", F.xxhash64(*keys, F.lit("b"), "b"))
+    edges = named.select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    nodes = edges.select(F.col("a").alias("_a")).union(edges.select("b")).distinct()
+    return named.join(components(nodes, edges, "_a"), "_a").withColumn("_part", F.pmod(F.xxhash64("component"), F.lit(parts))).drop("_a", "_b", "component")
+
+
+def greedy_match(pairs: DataFrame, keys: list[str], most: int = PAIRS_A_TASK) -> DataFrame:
     """One-to-one matches of candidate pairs (a, b, distance), taken in the order of a: nearest unused b, last one at a tie."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields if f.name in keys)
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for a, part in pdf.sort_values(["a", "distance", "b"], ascending=[True, True, False]).groupby("a", sort=True):
-            for row in part.itertuples(index=False):
-                if row.b not in used:
-                    used.add(row.b)
-                    out.append((*(pdf[k].iloc[0] for k in keys), a, row.b, row.distance))
-                    break
-        return pd.DataFrame(out, columns=[*keys, "a", "b", "distance"])
+        pdf = pdf.sort_values(["a", "distance", "b"], ascending=[True, True, False])
+        used, last, picked = set(), None, []
+        for i, (a, b) in enumerate(zip(pdf["a"].tolist(), pdf["b"].tolist())):
+            if a != last and b not in used:
+                used.add(b)
+                last = a
+                picked.append(i)
+        return pdf.iloc[picked][[*keys, "a", "b", "distance"]]
 
-    return pairs.groupBy(*keys).applyInPandas(match, f"{kinds}, a long, b long, distance double")
+    return in_parts(pairs, keys, most).groupBy(*keys, "_part").applyInPandas(match, f"{kinds}, a long, b long, distance double")
 
 
 def match_by_id_or_near(left: DataFrame, right: DataFrame, keys: list[str], radius: float) -> DataFrame:
@@ -97,10 +114,10 @@ def components(nodes: DataFrame, edges: DataFrame, id_: str = "id", most: int =
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
     now = nodes.select(F.col(id_).alias("id"), F.col(id_).alias("c"))
     for _ in range(most):
-        seen = both.join(now, both["b"] == now["id"]).select(F.col("a").alias("id"), "c")
+        seen = both.join(now, F.col("b") == F.col("id")).select(F.col("a").alias("id"), "c")
         new = now.unionByName(seen).groupBy("id").agg(F.min("c").alias("c"))
-        hop = new.alias("n").join(new.alias("m"), F.col("n.c") == F.col("m.id")).select(F.col("n.id").alias("id"), F.col("m.c").alias("c"))
-        hop = hop.checkpoint()
+        above = new.select(F.col("id").alias("_m"), F.col("c").alias("_c"))
+        hop = new.join(above, F.col("c") == F.col("_m")).select("id", F.col("_c").alias("c")).checkpoint()
         changed = hop.join(now.withColumnRenamed("c", "o"), "id").where("c <> o").limit(1).count()
         now = hop
         if not changed:
@@ -174,14 +191,27 @@ def assign(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def optimal_match(pairs: DataFrame, keys: list[str], unmatched: float, margin: float) -> DataFrame:
+def _connected(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """A label for each edge (row i, column j), the same for all edges of a component."""
+    j = j + i.max() + 1
+    label = np.arange(j.max() + 1)
+    while (label[i] != label[j]).any():
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        label = label[label]
+    return label[i]
+
+
+def optimal_match(pairs: DataFrame, keys: list[str], unmatched: float, margin: float, most: int = PAIRS_A_TASK) -> DataFrame:
     """Cheapest one-to-one matches of candidate pairs (a, b, distance) of each key, with the margin to the second best.
 
     A row may stay alone at the cost ``unmatched``; a match is accepted if forbidding it costs ``margin`` more at least.
+    Each component of the candidates is an assignment of its own.
     """
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields if f.name in keys)
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+    def solved(pdf: pd.DataFrame) -> list[tuple]:
         a, i = np.unique(pdf["a"], return_inverse=True)
         b, j = np.unique(pdf["b"], return_inverse=True)
         cost = np.full((len(a), len(b) + len(a)), unmatched * 1e6)
@@ -191,14 +221,19 @@ def optimal_match(pairs: DataFrame, keys: list[str], unmatched: float, margin: f
         total, out = cost[np.arange(len(a)), best].sum(), []
         for row, column in enumerate(best):
             if column < len(b):
-                other = cost.copy()
-                other[row, column] = unmatched * 1e6
-                gap = other[np.arange(len(a)), assign(other)].sum() - total
+                was, cost[row, column] = cost[row, column], unmatched * 1e6
+                gap = cost[np.arange(len(a)), assign(cost)].sum() - total
+                cost[row, column] = was
                 if gap >= margin:
-                    out.append((*(pdf[k].iloc[0] for k in keys), a[row], b[column], cost[row, column], gap))
-        return pd.DataFrame(out, columns=[*keys, "a", "b", "distance", "margin"])
+                    out.append((*(pdf[k].iloc[0] for k in keys), a[row], b[column], was, gap))
+        return out
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = _connected(*(np.unique(pdf[x], return_inverse=True)[1] for x in ("a", "b")))
+        rows = [row for _, part in pdf.groupby(own) for row in solved(part)]
+        return pd.DataFrame(rows, columns=[*keys, "a", "b", "distance", "margin"])
 
-    return pairs.groupBy(*keys).applyInPandas(match, f"{kinds}, a long, b long, distance double, margin double")
+    return in_parts(pairs, keys, most).groupBy(*keys, "_part").applyInPandas(match, f"{kinds}, a long, b long, distance double, margin double")
 
 
 def frame_links(points: DataFrame, keys: list[str], frame: str, radius: float) -> DataFrame:

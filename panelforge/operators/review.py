@@ -48,22 +48,57 @@ def resolve_redirects(edges: DataFrame, most: int = 20) -> DataFrame:
     raise ValueError("redirects have a cycle")
 
 
-def excluded_closure(records: DataFrame, id_: str, parent: str, excluded: Column, most: int = 30) -> DataFrame:
-    """records with ``out``: excluded themselves or under an excluded parent, transitively; a round for each level."""
-    now = records.withColumn("out", excluded).checkpoint()
+def save(entities: DataFrame, revisions: DataFrame, writes: DataFrame, key: str, expected: str | None = None, create_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(entities, revisions) after one atomic save: all writes or none.
+
+    A key is written once; with ``expected`` (null: no entity yet) it must be the entity's revision; create_only refuses
+    keys that exist. The new revision is one more than the largest of either table, so revisions are never used again.
+    """
+    if writes.groupBy(key).count().where("count > 1").limit(1).count():
+        raise ValueError("one write for each key")
+    found = writes.join(entities.select(key, F.col("revision").alias("_now")), key, "left")
+    if expected and found.where(~F.col(expected).eqNullSafe(F.col("_now"))).limit(1).count():
+        raise ValueError("an entity changed before the save")
+    if create_only and found.where("_now IS NOT NULL").limit(1).count():
+        raise ValueError("an entity exists")
+    last = entities.select(key, "revision").unionByName(revisions.select(key, "revision")).groupBy(key).agg(F.max("revision").alias("_last"))
+    fresh = writes.join(last, key, "left").withColumn("revision", F.greatest(F.coalesce("_last", F.lit(0)), F.lit(0)) + 1)
+    kept = entities.join(writes.select(key), key, "left_anti")
+    return kept.unionByName(fresh.select(*entities.columns)), revisions.unionByName(fresh.select(*revisions.columns))
+
+
+def delete(entities: DataFrame, revisions: DataFrame, doomed: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(entities, revisions) after deletes of keys (with their kind): a revision -1 keeps what the entity was, null if there was none."""
+    prior = [c for c in revisions.columns if c not in (key, "kind", "revision")]
+    dead = doomed.join(entities.select(key, *prior), key, "left").withColumn("revision", F.lit(-1))
+    return entities.join(doomed.select(key), key, "left_anti"), revisions.unionByName(dead.select(*revisions.columns))
+
+
+def excluded_closure(records: DataFrame, id_: str, parent: str, excluded: Column, most: int = 40) -> DataFrame:
+    """records with ``out``: excluded themselves or under an excluded parent, transitively.
+
+    Ancestors are reached by doubling, so rounds grow as the logarithm of the depth; parents in a circle take all of
+    ``most`` rounds, which reach 2 ** most levels.
+    """
+    now = records.select(F.col(id_).alias("_id"), F.coalesce(excluded, F.lit(False)).alias("out"), F.when(F.col(parent) != F.col(id_), F.col(parent)).alias("_up")).checkpoint()
     for _ in range(most):
-        up = now.where("out").select(F.col(id_).alias("_p"))
-        new = now.join(up, now[parent] == up["_p"], "left").withColumn("out", F.col("out") | F.col("_p").isNotNull()).drop("_p").checkpoint()
-        if new.where("out").count() == now.where("out").count():
-            return new
-        now = new
-    raise RuntimeError(f"exclusion did not settle in {most} rounds")
+        if not now.where("_up IS NOT NULL").limit(1).count():
+            break
+        above = now.select(F.col("_id").alias("_p"), F.col("out").alias("_o"), F.col("_up").alias("_next"))
+        both = now.join(above, F.col("_up") == F.col("_p"), "left")
+        now = both.select("_id", (F.col("out") | F.coalesce("_o", F.lit(False))).alias("out"), F.col("_next").alias("_up")).checkpoint()
+    return records.join(now.select(F.col("_id").alias(id_), "out"), id_)
 
 
-def review_state(excluded: Column, corrected: Column, checked: Column, planned: Column) -> Column:
-    """excluded, then corrected, then checked, then partly, then model."""
+def review_state(excluded: Column, onset: Column, changed: Column, checked: Column, still_open: Column) -> Column:
+    """State of a reviewed entity out of its onset (``model``, ``checked`` or ``changed``) and its numbers of traces that
+    a person changed, saw at all, or left open."""
     return (
-        F.when(excluded, "excluded").when(corrected > 0, "corrected").when((planned > 0) & (checked >= planned), "checked").when(checked > 0, "partly").otherwise("model")
+        F.when(excluded, "excluded")
+        .when((onset == "changed") | (changed > 0), "corrected")
+        .when((onset == "checked") & (still_open == 0), "checked")
+        .when((onset != "model") | (checked > 0), "partly checked")
+        .otherwise("model")
     )
 
 

@@ -16,17 +16,17 @@ def within_tolerance(error: Column, truth: Column, absolute: float, relative: fl
 
 
 def score_report(rows: DataFrame, keys: list[str], truth: str, guess: str, absolute: float, relative: float) -> DataFrame:
-    """Hits, counts, median and mean absolute error, bias, early and late counts by key."""
-    e = F.col(guess) - F.col(truth)
-    rows = rows.withColumn("_e", e)
+    """Hits, counts, median and mean absolute error, bias by key; early and late count errors beyond the tolerance."""
+    rows = rows.withColumn("_e", F.col(guess) - F.col(truth))
+    hit = within_tolerance(F.col("_e"), F.col(truth), absolute, relative)
     return rows.groupBy(*keys).agg(
         F.count("_e").alias("n"),
-        F.count_if(within_tolerance(F.col("_e"), F.col(truth), absolute, relative)).alias("hits"),
+        F.count_if(hit).alias("hits"),
         F.percentile(F.abs("_e"), F.lit(0.5)).alias("median_error"),
         F.avg(F.abs("_e")).alias("mean_error"),
         F.avg("_e").alias("bias"),
-        F.count_if(F.col("_e") < 0).alias("early"),
-        F.count_if(F.col("_e") > 0).alias("late"),
+        F.count_if(~hit & (F.col("_e") < 0)).alias("early"),
+        F.count_if(~hit & (F.col("_e") > 0)).alias("late"),
     )
 
 

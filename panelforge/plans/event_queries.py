@@ -25,6 +25,21 @@ def sustained_onset(s, d):
     return onsets(s, d)
 
 
+@query(
+    "2.7-1",
+    BASE
+    + f""", m AS (SELECT entity, median(v) AS mu FROM b WHERE i < 8 GROUP BY 1),
+t AS (SELECT b.entity, mu + greatest(10, 0.5 * greatest(1.4826 * median(abs(v - mu)), 0.25)) AS thr FROM b JOIN m ON b.entity = m.entity WHERE i < 8 GROUP BY b.entity, mu),
+u AS (SELECT b.entity, bin, CASE WHEN v > thr THEN 1.0 ELSE 0 END AS up FROM b JOIN t ON b.entity = t.entity),
+x AS (SELECT *, avg(up) OVER ({WE} ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS hold, avg(up) OVER ({WE} ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS persist,
+  row_number() OVER (PARTITION BY entity ORDER BY bin DESC) AS behind FROM u)
+SELECT entity, CASE WHEN avg(up) FILTER (behind <= 10) >= 0.5 THEN min(CASE WHEN up = 1 AND hold >= 0.8 AND persist >= 0.7 THEN bin END) END AS onset FROM x GROUP BY 1""",
+)
+def calibrated_onset(s, d):
+    rows = ev.above_noise(day_bins(s, d), KEYS, "bin", "v", 8, 10.0, 0.5, 0.25)
+    return ev.sustained_onset(rows, KEYS, "bin", c("v") > c("threshold"), [(2, 0.8), (6, 0.7)], tail=10)
+
+
 @query("2.7-2", BASE + f", a AS (SELECT *, min(CASE WHEN v >= 80 THEN 1 ELSE 0 END) OVER w AS m, count(*) OVER w AS k FROM b WINDOW w AS ({WE} ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) SELECT entity, min(CASE WHEN m = 1 AND k = 3 THEN bin END) AS onset FROM a GROUP BY 1")
 def held_onset(s, d):
     return ev.held_onset(day_bins(s, d), KEYS, "bin", c("v") >= 80, 3)

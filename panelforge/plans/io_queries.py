@@ -10,6 +10,10 @@ from panelforge.sources import readers, writers
 from panelforge.streaming import streams
 
 
+#: A document holds so many entities, whatever the size of the table.
+PER_DOCUMENT = 64
+
+
 def entity_series(s, d):
     b = day_bins(s, d)
     onset = F.min(F.when(c("v") > 150, c("bin")))
@@ -20,7 +24,7 @@ def entity_series(s, d):
 @query("2.2-2 2.1-7", BASE + ", o AS (SELECT entity, min(CASE WHEN v > 150 THEN bin END) AS onset FROM b GROUP BY 1) SELECT CAST(b.entity AS VARCHAR) AS id, CASE WHEN onset IS NULL THEN 'never' ELSE 'within' END AS status, onset, bin AS frame, round(length, 9) AS length FROM b JOIN o ON b.entity = o.entity")
 def prediction_documents(s, d):
     path = writers.scratch(s)
-    writers.prediction_documents(entity_series(s, d), path, "windows", 1, c("id").cast("long") % 4)
+    writers.prediction_documents(entity_series(s, d), path, "windows", 1, F.floor(c("id").cast("long") / PER_DOCUMENT))
     return readers.prediction_series(readers.documents(s, path, readers.PREDICTIONS, "pred.v1")).select("id", "status", "onset", "frame", "length")
 
 
@@ -31,7 +35,7 @@ def label_documents(s, d):
     trace = F.struct(c("bin").cast("string").alias("bin"), F.struct(F.when(c("n") >= 3, "full").otherwise("partial").alias("state"), "length").alias("t"))
     per = b.groupBy("entity").agg(F.map_from_entries(F.collect_list(trace)).alias("traces")).join(o, "entity")
     answer = F.struct(F.when(c("fv").isNull(), "no_event").otherwise("within").alias("verdict"), F.when(c("fv") > 0, c("fv") - 1).alias("last_absent"), c("fv").alias("first_visible"), "traces")
-    docs = per.groupBy((c("entity") % 4).alias("part")).agg(F.map_from_entries(F.collect_list(F.struct(c("entity").cast("string"), answer))).alias("labels"))
+    docs = per.groupBy(F.floor(c("entity") / PER_DOCUMENT).alias("part")).agg(F.map_from_entries(F.collect_list(F.struct(c("entity").cast("string"), answer))).alias("labels"))
     path = writers.scratch(s)
     docs.select(F.lit("bench.v1").alias("schema"), "labels").write.option("maxRecordsPerFile", 1).json(path)
     return readers.label_rows(readers.documents(s, path, readers.LABELS, "bench.v1")).drop("file")

@@ -48,6 +48,25 @@ def revision_conflicts(s, d):
     return review.revision_conflicts(writes, current(s, d), "uuid", "expected", "revision")
 
 
+@query(
+    "2.2-16 2.2-17 2.2-18",
+    REV
+    + """, e AS (SELECT uuid, revision, kind, size FROM cur WHERE NOT dead), h AS (SELECT uuid, revision, kind, size FROM v),
+w AS (SELECT uuid, revision + 1 AS revision, kind, size + 1 AS size FROM e WHERE uuid % 3 = 0), e2 AS (SELECT * FROM e WHERE uuid % 3 <> 0 UNION ALL SELECT * FROM w),
+t AS (SELECT cur.uuid, -1 AS revision, cur.kind, e2.size FROM cur LEFT JOIN e2 ON cur.uuid = e2.uuid WHERE cur.uuid % 7 = 0)
+SELECT 'entity' AS part, * FROM e2 WHERE uuid % 7 <> 0 UNION ALL SELECT 'revision', * FROM (SELECT * FROM h UNION ALL SELECT * FROM w UNION ALL SELECT * FROM t)""",
+)
+def saved_and_deleted(s, d):
+    """Both tables after one conditional save and some deletes; the history only grows."""
+    cols = ["uuid", "revision", "kind", "size"]
+    now, history = current(s, d), revisions(s, d).select(*cols)
+    entities = now.where("NOT dead").select(*cols)
+    writes = entities.where("uuid % 3 = 0").select("uuid", c("revision").alias("expected"), "kind", (c("size") + 1).alias("size"))
+    entities, history = review.save(entities, history, writes, "uuid", "expected")
+    entities, history = review.delete(entities, history, now.where("uuid % 7 = 0").select("uuid", "kind"), "uuid")
+    return entities.select(F.lit("entity").alias("part"), *cols).unionByName(history.select(F.lit("revision").alias("part"), *cols))
+
+
 @query("2.2-18 2.9-3", REV + " SELECT uuid, -1 AS revision, kind, revision AS prior FROM cur WHERE dead")
 def tombstones(s, d):
     return current(s, d).where("dead").select("uuid", F.lit(-1).alias("revision"), "kind", c("revision").alias("prior"))
@@ -202,10 +221,23 @@ def planned_bins(s, d):
     return f.select("entity", sampling.planned_bins(c("fv"), c("nb")).alias("bins")).where(F.size("bins") > 0)
 
 
-@query("2.11-28", BASE + ", x AS (SELECT entity, max(k) > 97 AS excluded, count(*) FILTER (event_type = 'error' AND k < 5) AS corrected, count(*) FILTER (event_type = 'click' AND k < 30) AS checked FROM r GROUP BY 1) SELECT entity, CASE WHEN excluded THEN 'excluded' WHEN corrected > 0 THEN 'corrected' WHEN checked >= 6 THEN 'checked' WHEN checked > 0 THEN 'partly' ELSE 'model' END AS state FROM x")
+@query(
+    "2.11-28",
+    BASE
+    + """, x AS (SELECT entity, max(k) > 97 AS excluded, min(bin) AS model_onset, min(bin) FILTER (event_type = 'click' AND k < 40) AS onset,
+  count(*) FILTER (event_type = 'click' AND k < 10) AS human, count(*) FILTER (event_type = 'click' AND k < 10 AND value > 180) AS changed,
+  count(*) FILTER (event_type = 'view' AND k < 3) AS left_open FROM r GROUP BY 1)
+SELECT entity, CASE WHEN excluded THEN 'excluded' WHEN onset > model_onset + 3 OR changed > 0 THEN 'corrected' WHEN onset IS NOT NULL AND left_open = 0 THEN 'checked'
+  WHEN onset IS NOT NULL OR human > 0 THEN 'partly checked' ELSE 'model' END AS state FROM x""",
+)
 def review_states(s, d):
-    x = unranked(s, d).groupBy("entity").agg((F.max("k") > 97).alias("excluded"), F.count_if(F.expr("event_type = 'error' AND k < 5")).alias("corrected"), F.count_if(F.expr("event_type = 'click' AND k < 30")).alias("checked"))
-    return x.select("entity", review.review_state(c("excluded"), c("corrected"), c("checked"), F.lit(6)).alias("state"))
+    count = lambda rule: F.count_if(F.expr(rule))
+    x = unranked(s, d).groupBy("entity").agg(
+        (F.max("k") > 97).alias("excluded"), F.min("bin").alias("model_onset"), F.min(F.when(F.expr("event_type = 'click' AND k < 40"), c("bin"))).alias("seen"),
+        count("event_type = 'click' AND k < 10").alias("human"), count("event_type = 'click' AND k < 10 AND value > 180").alias("changed"), count("event_type = 'view' AND k < 3").alias("open"),
+    )
+    onset = F.when(c("seen").isNull(), "model").when(c("seen") > c("model_onset") + 3, "changed").otherwise("checked")
+    return x.select("entity", review.review_state(c("excluded"), onset, c("changed"), c("human"), c("open")).alias("state"))
 
 
 @query("2.11-28 2.11-32", BASE + ", x AS (SELECT entity, bin, min(value) AS a, max(value) AS z FROM r GROUP BY 1, 2) SELECT entity, bin, abs(z - a) > greatest(2, 0.1 * abs(a)) AS changed FROM x")

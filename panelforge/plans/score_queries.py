@@ -49,7 +49,7 @@ def ordinal_rank_correlation(s, d):
     return t.withColumn("rx", rank("truth")).withColumn("ry", rank("guess")).groupBy("grp").agg(F.corr("rx", "ry").alias("ordinal"))
 
 
-@query("2.6-9 2.13-6", TWO + ", e AS (SELECT *, guess - truth AS e FROM tw) SELECT grp, count(e) AS n, count(*) FILTER (abs(e) <= greatest(20, abs(truth) * 0.1)) AS hits, round(median(abs(e)), 9) AS median_error, round(avg(abs(e)), 9) AS mean_error, round(avg(e), 9) AS bias, count(*) FILTER (e < 0) AS early, count(*) FILTER (e > 0) AS late FROM e GROUP BY 1")
+@query("2.6-9 2.13-6", TWO + ", e AS (SELECT *, guess - truth AS e FROM tw) SELECT grp, count(e) AS n, count(*) FILTER (abs(e) <= greatest(20, abs(truth) * 0.1)) AS hits, round(median(abs(e)), 9) AS median_error, round(avg(abs(e)), 9) AS mean_error, round(avg(e), 9) AS bias, count(*) FILTER (e < -greatest(20, abs(truth) * 0.1)) AS early, count(*) FILTER (e > greatest(20, abs(truth) * 0.1)) AS late FROM e GROUP BY 1")
 def score_report(s, d):
     return scoring.score_report(two(s, d), ["grp"], "truth", "guess", 20.0, 0.1)
 

@@ -212,3 +212,63 @@ def test_documents_refuse_another_schema_tag(spark, tmp_path):
 
 def test_scratch_paths_are_new(spark):
     assert writers.scratch(spark) != writers.scratch(spark)
+
+
+@pytest.mark.parametrize("most", [5, 10**6])
+def test_matches_are_alike_in_parts(spark, most):
+    rng = np.random.default_rng(4)
+    rows = sorted({(int(k), int(a), int(b)): float(round(rng.random() * 9, 3)) for k, a, b in zip(rng.integers(0, 2, 60), rng.integers(0, 15, 60), rng.integers(0, 15, 60))}.items())
+    pairs = spark.createDataFrame([(*key, x) for key, x in rows], "k long, a long, b long, distance double")
+    greedy = set()
+    for k in (0, 1):
+        used = set()
+        for a in range(15):
+            near = [(x, -b) for (kk, aa, b), x in rows if kk == k and aa == a and b not in used]
+            if near:
+                used.add(-min(near)[1])
+                greedy.add((k, a, -min(near)[1]))
+    assert {(r["k"], r["a"], r["b"]) for r in matching.greedy_match(pairs, ["k"], most).collect()} == greedy
+    got = {(r["k"], r["a"], r["b"], round(r["margin"], 6)) for r in matching.optimal_match(pairs, ["k"], 5.0, 0.0, most).collect()}
+    for k in (0, 1):
+        cost = np.full((15, 30), 5e6)
+        cost[np.arange(15), 15 + np.arange(15)] = 5.0
+        for (kk, a, b), x in rows:
+            if kk == k:
+                cost[a, b] = x
+        best = matching.assign(cost)
+        assert {(k, a, int(b)) for a, b in enumerate(best) if b < 15} == {r[:3] for r in got if r[0] == k}
+
+
+def test_saves_are_atomic_and_history_grows(spark):
+    from panelforge.operators import review
+
+    table = lambda rows: spark.createDataFrame(rows, "uuid long, revision long, kind string, size long")
+    old, history = table([(1, 2, "x", 5), (2, 1, "x", 6)]), table([(1, 1, "x", 4), (1, 2, "x", 5), (2, 1, "x", 6), (3, 1, "x", 9), (3, -1, "x", 9)])
+    write = lambda rows: spark.createDataFrame(rows, "uuid long, expected long, kind string, size long")
+    now, more = review.save(old, history, write([(1, 2, "x", 7), (3, None, "x", 8)]), "uuid", "expected")
+    assert {tuple(r) for r in now.collect()} == {(1, 3, "x", 7), (2, 1, "x", 6), (3, 2, "x", 8)} and more.count() == 7
+    for bad, options in (([(1, 1, "x", 7), (2, 1, "x", 7)], {}), ([(3, 1, "x", 7)], {}), ([(1, 2, "x", 7), (1, 2, "x", 8)], {}), ([(1, 2, "x", 7)], {"create_only": True})):
+        with pytest.raises(ValueError):
+            review.save(old, history, write(bad), "uuid", "expected", **options)
+    dead = review.delete(now, more, spark.createDataFrame([(1, "x"), (9, "x")], "uuid long, kind string"), "uuid")
+    assert {r["uuid"] for r in dead[0].collect()} == {2, 3}
+    assert {tuple(r) for r in dead[1].where("revision = -1 AND uuid <> 3").collect()} == {(1, -1, "x", 7), (9, -1, "x", None)}
+
+
+def test_exclusion_reaches_all_levels_and_circles_end(spark):
+    from panelforge.operators import review
+
+    rows = spark.createDataFrame([(i, i - 1 if i else None) for i in range(100)] + [(200, 201), (201, 200), (300, 300)], "id long, parent long")
+    got = {r["id"]: r["out"] for r in review.excluded_closure(rows, "id", "parent", F.col("id").isin(37, 201), most=9).collect()}
+    assert {i for i, out in got.items() if out} == {*range(37, 100), 200, 201} and len(got) == 103
+
+
+def test_onset_needs_the_tail_above(spark):
+    from panelforge.operators import events
+
+    series = {1: [1, 2, 1, 2] + [9] * 12, 2: [1, 2, 1, 2] + [9] * 4 + [1] * 9}
+    rows = spark.createDataFrame([(e, i, float(v)) for e, vs in series.items() for i, v in enumerate(vs)], "entity long, bin long, v double")
+    rows = events.above_noise(rows, ["entity"], "bin", "v", 4, 1.0, 3.0, 0.25)
+    assert {round(r["threshold"], 4) for r in rows.collect()} == {round(1.5 + 3 * 1.4826 * 0.5, 4)}
+    got = events.sustained_onset(rows, ["entity"], "bin", F.col("v") > F.col("threshold"), [(2, 0.8), (4, 0.7)], tail=10)
+    assert {r["entity"]: r["onset"] for r in got.collect()} == {1: 4, 2: None}
