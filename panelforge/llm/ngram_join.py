@@ -189,15 +189,15 @@ def _ties(docs: DataFrame, width: int, percent: int, buckets: int, common: np.nd
 
 
 def _group_keys(members: DataFrame, width: int, percent: int, common: np.ndarray | None) -> DataFrame:
-    """(family, block, rep, key): the groups that a member of a family is in."""
+    """(rep, key): the groups that a member of a family is in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 row, key = prefix_keys(*shingle_sets(part.column("text"), width), percent, common)
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row)) for c in ("family", "block", "rep")), pa.array(key.view(np.int64))], names=["family", "block", "rep", "key"])
+                yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(row)), pa.array(key.view(np.int64))], names=["rep", "key"])
 
-    return members.select("family", "block", "rep", "text").mapInArrow(run, "family long, block int, rep long, key long")
+    return members.select("rep", "text").mapInArrow(run, "rep long, key long")
 
 
 def linked(sets: list[np.ndarray], percent: int, settled: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -322,7 +322,11 @@ def links(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> tupl
         left = left.join(counts, "family").select("rep", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("i"))
         members = materialized(texts.join(counts.select("family"), "family", "left_semi"))
         # Part i of the open ones and block j meet where a group has members in both, and of both only the members of such groups.
-        keys = materialized(_group_keys(members, width, percent, common).distinct())
+        # Most groups have one member and ask nothing: they go before anything wider than a key moves.
+        alone = materialized(_group_keys(members, width, percent, common))
+        shared = alone.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("key")
+        keys = alone.join(shared, "key", "left_semi").distinct().join(members.select("rep", "family", "block").distinct(), "rep")
+        keys = materialized(keys.select("family", "block", "rep", "key"))
         asks = materialized(keys.join(left, "rep").select("family", "key", "rep", "i"))
         pairs = materialized(asks.select("family", "key", "i").distinct().join(keys.select("family", "key", F.col("block").alias("j")).distinct(), ["family", "key"]))
         sides = asks.join(pairs, ["family", "key", "i"]).select("family", "rep", "i", "j"), keys.withColumn("j", F.col("block")).join(pairs, ["family", "key", "j"]).select("family", "rep", "i", "j")
