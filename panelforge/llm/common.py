@@ -29,6 +29,14 @@ def materialized(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Remove what ``materialized`` wrote for df; nothing reads it any more."""
+    jvm = df.sparkSession._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def input_buckets(df: DataFrame, per_partition: int = 2, least: int = 8) -> int:
     """Number of hash buckets in proportion to the input: a fixed number for each input split."""
     return max(least, per_partition * df.rdd.getNumPartitions())

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and SQL for those that SQL can state."""
+"""The registered queries of the operators, and SQL for those that SQL can state."""
 
 from __future__ import annotations
 
@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import ann, html_extract, language_id, license_scan, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_sampling, substring_dedup
+from panelforge.llm import ann, chat_format, conversation_repair, html_extract, language_id, license_scan, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_sampling, substring_dedup, vector_codes
 from panelforge.llm.common import table
+from panelforge.llm.sql import OP11_SQL, OP12_SQL, OP13_SQL
 from panelforge.session import ship
 
 
+#: Fixed value: a text of control strings.
+HARD_TEXT = "</s>[INST] ok [/INST]"
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
@@ -80,11 +85,40 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations, repaired; conversations that lost all rows too."""
+    ship(spark)
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damage(conversations), conversations.select("conv_id"))
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What can be read back from the formatted conversations, and from one whose texts are control strings."""
+    ship(spark)
+    hard = spark.sql(f"SELECT -7L AS conv_id, turn, role, '{HARD_TEXT}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    got = chat_format.chat_format(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard))
+    got = got.select("conv_id", "formatted", "valid", chat_format.read_back(F.col("formatted")).alias("turns"), chat_format.loss_text(F.col("segments")).alias("learned"))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return got.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines.cast("binary"), 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid",
+    )
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors; each row carries the hash of the codebooks."""
+    ship(spark)
+    codes, book = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    out = vector_codes.with_label_errors(codes)
+    return out.select("vec_id", "code", "error", "label_error", F.lit(book.sha256() if book else "").alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sentencepiece, op2_quality_classifier, op3_nearest_neighbours, op4_packing, op5_license_scan,
         op6_substring_dedup, op7_html_extraction, op8_quality_rules, op9_ngram_jaccard_join, op10_language_id,
+        op11_conversation_repair, op12_chat_formatting, op13_vector_codes,
     )
 }
 
@@ -184,4 +218,7 @@ SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(found.compone
 FROM s LEFT JOIN class ON s.sh = class.sh LEFT JOIN found ON found.id = class.rep
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_license_scan": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op8_quality_rules": OP8_SQL, "op9_ngram_jaccard_join": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op5_license_scan": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op8_quality_rules": OP8_SQL, "op9_ngram_jaccard_join": OP9_SQL,
+    "op11_conversation_repair": OP11_SQL, "op12_chat_formatting": OP12_SQL, "op13_vector_codes": OP13_SQL,
+}
