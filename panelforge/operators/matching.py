@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.operators import assignment
+
 
 def nearest_in_time(asks: DataFrame, series: DataFrame, keys: list[str], at: str, t: str, value: str) -> DataFrame:
     """asks with the value of the series row nearest in time (earlier one at a tie).
@@ -160,78 +162,19 @@ def union_area(boxes: DataFrame, keys: list[str]) -> DataFrame:
     return inside.withColumn("_g", gain * (F.col("nx") - F.col("x"))).groupBy(*keys).agg(F.sum("_g").alias("area"))
 
 
-def assign(cost: np.ndarray) -> np.ndarray:
-    """Column of each row in a cheapest one-to-one assignment (rows <= columns), by shortest augmenting paths."""
-    n, m = cost.shape
-    u, v, owner = np.zeros(n), np.zeros(m), np.full(m, -1)
-    for row in range(n):
-        least, back, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
-        at, column = row, -1
-        while True:
-            reduced = np.where(done, np.inf, cost[at] - u[at] - v + (0 if column < 0 else least[column]))
-            better = reduced < least
-            least[better], back[better] = reduced[better], column
-            free = np.where(done, np.inf, least)
-            column = int(free.argmin())
-            done[column] = True
-            if owner[column] < 0:
-                break
-            at = owner[column]
-        end = least[column]
-        seen = done & (owner >= 0)
-        u[owner[seen]] += end - least[seen]
-        u[row] += end
-        v[done] -= end - least[done]
-        while column >= 0:
-            before = back[column]
-            owner[column] = owner[before] if before >= 0 else row
-            column = before
-    out = np.full(n, -1)
-    out[owner[owner >= 0]] = np.flatnonzero(owner >= 0)
-    return out
-
-
-def _connected(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """A label for each edge (row i, column j), the same for all edges of a component."""
-    j = j + i.max() + 1
-    label = np.arange(j.max() + 1)
-    while (label[i] != label[j]).any():
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = label[label]
-    return label[i]
-
-
 def optimal_match(pairs: DataFrame, keys: list[str], unmatched: float, margin: float, most: int = PAIRS_A_TASK) -> DataFrame:
     """Cheapest one-to-one matches of candidate pairs (a, b, distance) of each key, with the margin to the second best.
 
     A row may stay alone at the cost ``unmatched``; a match is accepted if forbidding it costs ``margin`` more at least.
-    Each component of the candidates is an assignment of its own.
+    Each component of the candidates is an assignment of its own, solved over its listed pairs alone; margins come from
+    the potentials of that one solution.
     """
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields if f.name in keys)
 
-    def solved(pdf: pd.DataFrame) -> list[tuple]:
-        a, i = np.unique(pdf["a"], return_inverse=True)
-        b, j = np.unique(pdf["b"], return_inverse=True)
-        cost = np.full((len(a), len(b) + len(a)), unmatched * 1e6)
-        cost[i, j] = pdf["distance"]
-        cost[np.arange(len(a)), len(b) + np.arange(len(a))] = unmatched
-        best = assign(cost)
-        total, out = cost[np.arange(len(a)), best].sum(), []
-        for row, column in enumerate(best):
-            if column < len(b):
-                was, cost[row, column] = cost[row, column], unmatched * 1e6
-                gap = cost[np.arange(len(a)), assign(cost)].sum() - total
-                cost[row, column] = was
-                if gap >= margin:
-                    out.append((*(pdf[k].iloc[0] for k in keys), a[row], b[column], was, gap))
-        return out
-
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = _connected(*(np.unique(pdf[x], return_inverse=True)[1] for x in ("a", "b")))
-        rows = [row for _, part in pdf.groupby(own) for row in solved(part)]
-        return pd.DataFrame(rows, columns=[*keys, "a", "b", "distance", "margin"])
+        pdf = pdf.sort_values(["a", "b"])
+        taken, gaps = assignment.matched(pdf, np.full(len(pdf), unmatched), margins=True)
+        return pdf.iloc[taken][[*keys, "a", "b", "distance"]].assign(margin=gaps)[gaps >= margin]
 
     return in_parts(pairs, keys, most).groupBy(*keys, "_part").applyInPandas(match, f"{kinds}, a long, b long, distance double, margin double")
 

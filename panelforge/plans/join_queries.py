@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import geometry
-from panelforge.operators import matching, review
+from panelforge.operators import matching, review, tracking
 from panelforge.plans.base import BASE, KEYS, c, day_bins, query, readings, table, unranked
 
 #: Points p (labels) and q (predictions) by movie.
@@ -134,6 +134,64 @@ def frame_to_frame_tracks(s, d):
     return linked.groupBy("movie", c("component").alias("track")).agg(F.count("*").alias("n"))
 
 
+TIP = 40.0
+
+
+def tips(s, d) -> DataFrame:
+    """Detections as boxes round their points, whose size depends on the reading."""
+    half = (4 + c("id") % 5).cast("double")
+    box = F.struct((c("x") - half).alias("x0"), (c("y") - half).alias("y0"), (c("x") + half).alias("x1"), (c("y") + half).alias("y1")).alias("box")
+    return detections(s, d).select("movie", "frame", "id", box)
+
+
+def single(pairs: DataFrame) -> DataFrame:
+    """Candidate pairs whose two ends have no other candidate, with the number of candidates of their frame."""
+    over = lambda *by: F.count("*").over(Window.partitionBy("movie", "frame", *by))
+    return pairs.withColumn("na", over("a")).withColumn("nb", over("b")).where("na = 1 AND nb = 1").select("movie", "frame", "a", "b")
+
+
+TIPS = BASE + """, pt AS (SELECT entity % 10 AS movie, bin AS frame, event_id AS id, value AS x, CAST(k AS DOUBLE) AS y, (4 + event_id % 5)::DOUBLE AS h FROM r WHERE event_type = 'view'),
+met AS (SELECT p.movie, p.frame, p.id AS a, q.id AS b, (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) AS far,
+  greatest(least(p.x + p.h, q.x + q.h) - greatest(p.x - p.h, q.x - q.h), 0) * greatest(least(p.y + p.h, q.y + q.h) - greatest(p.y - p.h, q.y - q.h), 0) AS both_area,
+  4 * p.h * p.h + 4 * q.h * q.h AS areas
+  FROM pt p JOIN pt q ON p.movie = q.movie AND q.frame = p.frame + 1),
+cand AS (SELECT movie, frame, a, b, {cost} AS cost FROM met WHERE {cost} <= {cutoff}),
+n AS (SELECT *, count(*) OVER (PARTITION BY movie, frame) AS n, row_number() OVER (PARTITION BY movie, frame ORDER BY cost) AS rank, min(cost) OVER (PARTITION BY movie, frame) AS least,
+  count(*) OVER (PARTITION BY movie, frame, a) AS na, count(*) OVER (PARTITION BY movie, frame, b) AS nb FROM cand),
+price AS (SELECT movie, frame, 1.05 * min(cost) AS alone FROM n WHERE rank = 1 + floor((n - 1) * 0.9) GROUP BY 1, 2)
+SELECT n.movie, n.frame, a, b, round(cost, 9) AS distance FROM n JOIN price USING (movie, frame) WHERE na = 1 AND nb = 1 AND cost + least < 2 * alone"""
+
+
+def single_links(s, d, metric) -> DataFrame:
+    points, at = tips(s, d), ["movie", "frame"]
+    pairs = tracking.candidates(points, points.withColumn("frame", c("frame") - 1), at, metric, 60.0)
+    return tracking.frame_links(points, MOVIE, "frame", metric, 60.0).join(single(pairs), [*at, "a", "b"], "left_semi")
+
+
+@query("2.5-8", TIPS.format(cost="far", cutoff=TIP * TIP))
+def assigned_links(s, d):
+    """Links of the assignment where neither end has a second candidate."""
+    return single_links(s, d, tracking.squared_distance(TIP))
+
+
+@query("2.5-8 2.13-2", TIPS.format(cost="(1 - both_area / (areas - both_area))", cutoff=0.7))
+def assigned_overlap_links(s, d):
+    """The same, with the overlap of boxes as the metric."""
+    return single_links(s, d, tracking.box_overlap(0.3))
+
+
+@query("2.5-8")
+def gap_closed_tracks(s, d):
+    """Detections with their track: one or two missing frames end no track."""
+    return tracking.track(tips(s, d), MOVIE, "frame", tracking.squared_distance(TIP), 2, TIP).select("movie", "frame", "id", "track")
+
+
+@query("2.5-8")
+def filled_tracks(s, d):
+    """Tracks without gaps: what was detected and what lies between."""
+    return tracking.filled(tracking.track(tips(s, d), MOVIE, "frame", tracking.squared_distance(TIP), 2, TIP), MOVIE, "frame")
+
+
 STITCH = BASE + """, e AS (SELECT entity, part, min(frame) AS f0, max(frame) AS f1, arg_min(length2, frame) AS v0, arg_max(length2, frame) AS v1 FROM (SELECT *, sum(value) OVER (PARTITION BY entity ORDER BY frame ROWS UNBOUNDED PRECEDING) AS length2, frame - row_number() OVER (PARTITION BY entity ORDER BY frame) AS part FROM r WHERE value <= 100) GROUP BY 1, 2),
 fr AS (SELECT *, entity * 1000 + f0 AS id, (v1 - v0) / nullif(f1 - f0, 0) AS speed FROM e),
 cand AS (SELECT a.entity, a.id AS a, b.id AS b, abs(b.v0 - (a.v1 + a.speed * (b.f0 - a.f1))) AS error FROM fr a JOIN fr b ON a.entity = b.entity AND b.f0 - a.f1 BETWEEN 2 AND 6 WHERE abs(b.v0 - (a.v1 + a.speed * (b.f0 - a.f1))) <= 600)"""
