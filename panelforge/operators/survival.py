@@ -31,42 +31,52 @@ def innermost_intervals(rows: DataFrame, keys: list[str], lo: str = "lo", hi: st
     )
 
 
-def turnbull_mass(lo: np.ndarray, hi: np.ndarray, weight: np.ndarray, tol: float = 1e-9, most: int = 5000) -> list[tuple[float, float, float]]:
-    """Self-consistent masses on the innermost intervals of weighted intervals (infinite ends allowed)."""
-    ends = sorted({(x, 1) for x in lo} | {(x, 0) for x in hi})
-    inner = [(a, b) for (a, s), (b, t) in zip(ends, ends[1:]) if s == 1 and t == 0]
-    if not inner:
-        return []
-    q, p = np.array([a for a, _ in inner]), np.array([b for _, b in inner])
-    holds = (lo[:, None] <= q) & (p <= hi[:, None])
-    mass = np.full(len(inner), 1 / len(inner))
+def self_consistent(first: np.ndarray, last: np.ndarray, weight: np.ndarray, n: int, tol: float = 1e-9, most: int = 100_000) -> np.ndarray:
+    """Masses of n cells under weighted observations, each known to lie in the cells first..last: the fixpoint at which a
+    cell's mass is its expected share of the observations.
+
+    An observation's share of a cell is the cell's mass over the mass of its own range, so a round needs running sums
+    alone: of the masses, to weigh ranges, and of what ranges that begin and end at each cell hand out.
+    """
+    mass = np.full(n, 1 / n)
     for _ in range(most):
-        share = holds * mass
-        new = (weight[:, None] * share / share.sum(axis=1, keepdims=True)).sum(axis=0) / weight.sum()
-        done = np.abs(new - mass).max() < tol
+        upto = np.concatenate([[0.0], np.cumsum(mass)])
+        given = weight / (upto[last + 1] - upto[first])
+        edges = np.bincount(first, given, n + 1) - np.bincount(last + 1, given, n + 1)
+        new = mass * np.cumsum(edges)[:n] / weight.sum()
+        new = np.maximum(new, 0.0) / np.maximum(new, 0.0).sum()
+        if np.abs(new - mass).max() < tol:
+            return new
         mass = new
-        if done:
-            break
-    return list(zip(q, p, mass))
+    raise RuntimeError(f"masses did not settle in {most} rounds")
+
+
+def cell_ranges(rows: DataFrame, inner: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """keys, first, last, w: how many rows cover which innermost intervals (numbered by ``i``), equal ranges counted together."""
+    counted = rows.groupBy(*keys, F.coalesce(F.col(lo).cast("double"), F.lit(-1e300)).alias("_lo"), F.coalesce(F.col(hi).cast("double"), F.lit(1e300)).alias("_hi")).agg(F.count(F.lit(1)).alias("w"))
+    for end, column, before in (("q", "_lo", 1), ("p", "_hi", 0)):  # at equal places a row stands before q and after p
+        cells = inner.select(*keys, F.coalesce(end, F.lit(-1e300 if end == "q" else 1e300)).alias("_x"), F.lit(before).alias("_side"), F.lit(1).alias("_one"))
+        both = counted.withColumn("_x", F.col(column)).withColumn("_side", F.lit(1 - before)).unionByName(cells, allowMissingColumns=True)
+        w = Window.partitionBy(*keys).orderBy("_x", "_side").rowsBetween(Window.unboundedPreceding, 0)
+        counted = both.withColumn(f"_n{end}", F.coalesce(F.sum("_one").over(w), F.lit(0))).where("_one IS NULL").drop("_x", "_side", "_one")
+    return counted.groupBy(*keys, F.col("_nq").alias("first"), (F.col("_np") - 1).alias("last")).agg(F.sum("w").alias("w"))
 
 
 def turnbull(rows: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
-    """keys, q, p, mass, cum. Equal intervals are counted before they meet, so a group holds distinct intervals only."""
-    counted = rows.groupBy(*keys, F.col(lo).cast("double").alias("lo"), F.col(hi).cast("double").alias("hi")).agg(F.count(F.lit(1)).alias("w"))
-    kinds = ", ".join(f"`{k}` {counted.schema[k].dataType.simpleString()}" for k in keys)
+    """keys, q, p, mass, cum of the innermost intervals. A group holds the distinct ranges of them that rows cover, and is
+    solved in time that grows with their number."""
+    order = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("p"))
+    inner = innermost_intervals(rows, keys, lo, hi).withColumn("i", F.row_number().over(order) - 1)
+    ranges = cell_ranges(rows, inner, keys, lo, hi).join(inner.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys)
+    kinds = ", ".join(f"`{k}` {ranges.schema[k].dataType.simpleString()}" for k in keys)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = turnbull_mass(pdf["lo"].fillna(-np.inf).to_numpy(), pdf["hi"].fillna(np.inf).to_numpy(), pdf["w"].to_numpy(float))
-        out = pd.DataFrame(got, columns=["q", "p", "mass"]).replace([np.inf, -np.inf], np.nan)
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out.astype({"q": float, "p": float, "mass": float})
-
-    out = counted.groupBy(*keys).applyInPandas(solve, f"{kinds}, q double, p double, mass double")
-    for c in ("q", "p"):
-        out = out.withColumn(c, F.when(~F.isnan(c), F.col(c)))
-    w = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("p")).rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn("cum", F.sum("mass").over(w))
+        mass = self_consistent(pdf["first"].to_numpy(np.int64), pdf["last"].to_numpy(np.int64), pdf["w"].to_numpy(float), int(pdf["n"].iloc[0]))
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "i": np.arange(len(mass)), "mass": mass})
+
+    masses = ranges.groupBy(*keys).applyInPandas(solve, f"{kinds}, i int, mass double")
+    upto = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    return inner.join(masses, [*keys, "i"]).withColumn("cum", F.sum("mass").over(upto)).select(*keys, "q", "p", "mass", "cum")
 
 
 def kaplan_meier(rows: DataFrame, keys: list[str], at: str, event: str) -> DataFrame:

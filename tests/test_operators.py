@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import geometry, text, units
@@ -44,12 +45,12 @@ def test_turnbull_known_answers(spark, rows, want):
     assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-6 for k, v in want.items())
 
 
-def test_turnbull_likelihood_is_a_maximum():
+def test_turnbull_likelihood_is_a_maximum(spark):
     rng = np.random.default_rng(1)
     lo = rng.integers(0, 10, 30).astype(float)
     hi = lo + rng.integers(1, 6, 30)
-    got = survival.turnbull_mass(lo, hi, np.ones(30))
-    q, p, mass = (np.array(x) for x in zip(*got))
+    got = survival.turnbull(spark.createDataFrame([("g", a, b) for a, b in zip(lo.tolist(), hi.tolist())], "k string, lo double, hi double"), ["k"]).collect()
+    q, p, mass = (np.array(x) for x in zip(*((r["q"], r["p"], r["mass"]) for r in got)))
     holds = (lo[:, None] <= q) & (p <= hi[:, None])
     best = np.log(holds @ mass).sum()
     for _ in range(200):
@@ -57,6 +58,30 @@ def test_turnbull_likelihood_is_a_maximum():
         assert np.log(holds @ (other / other.sum())).sum() <= best + 1e-6
 
 
+def test_masses_that_do_not_settle_are_an_error():
+    first, last = np.array([0, 1, 0]), np.array([1, 2, 2])
+    assert abs(survival.self_consistent(first, last, np.ones(3), 3).sum() - 1) < 1e-9
+    with pytest.raises(RuntimeError, match="settle"):
+        survival.self_consistent(first, last, np.array([1.0, 2.0, 3.0]), 3, most=2)
+
+
+def test_masses_of_very_many_intervals(spark):
+    """Distinct intervals by the ten thousand under one key: no intervals x cells matrix."""
+    rng = np.random.default_rng(3)
+    lo = rng.random(20_000) * 1000
+    rows = spark.createDataFrame([(0, a, a + b) for a, b in zip(lo.tolist(), (0.5 + rng.random(20_000) * 400).tolist())], "k long, lo double, hi double")
+    inner = survival.innermost_intervals(rows, ["k"]).withColumn("i", F.row_number().over(Window.orderBy("p")) - 1)
+    ranges = survival.cell_ranges(rows, inner, ["k"]).collect()
+    cells = inner.orderBy("i").collect()
+    q, p = (np.array([r[x] for r in cells]) for x in "qp")
+    for r in rng.choice(len(ranges), 50):
+        r = ranges[int(r)]
+        assert 0 <= r["first"] <= r["last"] < len(q)
+    assert sum(r["w"] for r in ranges) == 20_000
+    mass = survival.self_consistent(*(np.array([r[x] for r in ranges]) for x in ("first", "last")), np.array([r["w"] for r in ranges], float), len(q), tol=1e-6)
+    assert abs(mass.sum() - 1) < 1e-9
+
+
 def test_isotonic_is_the_min_max_formula():
     rng = np.random.default_rng(2)
     for n in (1, 2, 17):
