@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelforge.operators import curves, matching, optimize
+from panelforge.operators import curves, lattice, matching, optimize
 from panelforge.operators import events as ev
 from panelforge.plans.base import BASE, KEYS, c, day_bins, query, readings, table, unranked
 
@@ -35,7 +35,20 @@ def front_score(s, d):
     return y.select("entity", optimize.front_score(c("ys"), LEVELS, 2).alias("score"))
 
 
-@query("2.11-1")
+FRONT = (
+    DP.replace("AS sc FROM y WHERE i = 0", "AS sc, CAST([] AS BIGINT[][]) AS back FROM y WHERE i = 0").replace(
+        " FROM dp JOIN y",
+        ", list_append(dp.back, list_transform(range(0, 11), lambda f: greatest(f - 2, 0) + list_position(list_slice(dp.sc, greatest(f - 2, 0) + 1, f + 1), "
+        "list_max(list_slice(dp.sc, greatest(f - 2, 0) + 1, f + 1))) - 1)) FROM dp JOIN y",
+    )
+    + """, fin AS (SELECT entity, max(i) AS n, arg_max(back, i) AS back, arg_max(sc, i) AS sc FROM dp GROUP BY 1),
+tr AS (SELECT entity, n - 1 AS i, list_position(sc, list_max(sc)) - 1 AS front FROM fin UNION ALL SELECT t.entity, t.i - 1, f.back[t.i + 1][t.front + 1] FROM tr t JOIN fin f ON f.entity = t.entity WHERE t.i > 0),
+pos AS (SELECT entity, bin, row_number() OVER (PARTITION BY entity ORDER BY bin) - 1 AS i FROM (SELECT DISTINCT entity, bin FROM r))
+SELECT tr.entity, pos.bin, CAST(tr.front AS BIGINT) AS front FROM tr JOIN pos ON pos.entity = tr.entity AND pos.i = tr.i"""
+)
+
+
+@query("2.11-1", FRONT)
 def monotone_front(s, d):
     return optimize.per_entity(gains(s, d), KEYS, "bin", lambda p: {"bin": p["bin"].to_numpy(), "front": optimize.monotone_front(np.stack(p["gains"].to_numpy()), 2)}, "bin long, front long")
 
@@ -51,7 +64,92 @@ def angle_track(s, d):
     return optimize.per_entity(b, KEYS, "bin", track, "bin long, angle long")
 
 
-@query("2.11-3 2.11-12")
+#: Evidence of 24 directions in each bin, the first and the last bin pinned to the direction of their own value.
+ANGLES = (
+    BASE.replace("WITH r", "WITH RECURSIVE r", 1)
+    + """, a AS (SELECT entity, i, v, max(i) OVER (PARTITION BY entity) AS last FROM b),
+e AS (SELECT entity, i, last, CASE WHEN i IN (0, last) THEN list_transform(range(0, 24), lambda s: CASE WHEN s = CAST(floor(v / 15) AS BIGINT) % 24 THEN 1 - abs(v - 15 * s) / 360 ELSE '-infinity'::DOUBLE END)
+  ELSE list_transform(range(0, 24), lambda s: 1 - abs(v - 15 * s) / 360) END AS sc FROM a),
+dp AS (SELECT entity, i, sc AS tot, CAST([] AS BIGINT[][]) AS back FROM e WHERE i = 0
+  UNION ALL SELECT entity, i, list_transform(opt, lambda o, s: list_max(o) + sc[s]), list_append(back, list_transform(opt, lambda o: list_position(o, list_max(o)) - 1)) FROM (
+    SELECT e.entity, e.i, e.sc, dp.back, list_transform(range(0, 24), lambda s: list_transform(dp.tot, lambda t, p: CASE WHEN abs(p - 1 - s) <= 3 THEN t - 0.125 * abs(p - 1 - s) ELSE '-infinity'::DOUBLE END)) AS opt
+    FROM dp JOIN e ON e.entity = dp.entity AND e.i = dp.i + 1)),
+fin AS (SELECT entity, max(i) AS n, arg_max(back, i) AS back, arg_max(tot, i) AS tot FROM dp GROUP BY 1),
+tr AS (SELECT entity, n AS i, list_position(tot, list_max(tot)) - 1 AS s FROM fin UNION ALL SELECT t.entity, t.i - 1, f.back[t.i][t.s + 1] FROM tr t JOIN fin f ON f.entity = t.entity WHERE t.i > 0)
+SELECT tr.entity, b.bin, CAST(15 * s AS BIGINT) AS angle FROM tr JOIN b ON b.entity = tr.entity AND b.i = tr.i"""
+)
+
+
+@query("2.11-2", ANGLES)
+def anchored_angles(s, d):
+    b = day_bins(s, d).select("entity", "bin", "v")
+
+    def track(p):
+        v = p["v"].to_numpy()
+        score = 1 - np.abs(v[:, None] - np.arange(0, 360, 15)) / 360
+        pins = {t: int(v[t] // 15) % 24 for t in (0, len(v) - 1)}
+        return {"bin": p["bin"].to_numpy(), "angle": lattice.anchored(score, 0.125, 3, pins) * 15}
+
+    return optimize.per_entity(b, KEYS, "bin", track, "bin long, angle long")
+
+
+TRAJECTORY = lattice.Trajectory(start=2.0, reach=60.0)
+#: Totals of all candidates in turn, each over all earlier ones; then the path back from the cheapest end.
+TRAJECTORIES = (
+    BASE.replace("WITH r", "WITH RECURSIVE r", 1)
+    + """, c AS (SELECT entity, bin, event_id AS id, round(value / 10) AS l, k AS x, (k % 7 - 4) / 4.0::DOUBLE AS u, row_number() OVER (PARTITION BY entity ORDER BY bin, event_id) AS j FROM r WHERE event_type IN ('view', 'click')),
+a AS (SELECT entity, list(bin ORDER BY j) AS bs, list(l ORDER BY j) AS ls, list(x ORDER BY j) AS xs, list(u ORDER BY j) AS us, list(id ORDER BY j) AS ids, count(*) AS n, min(bin) AS first, max(bin) AS last FROM c GROUP BY 1),
+dp AS (SELECT entity, 0::BIGINT AS j, CAST([] AS DOUBLE[]) AS tot, CAST([] AS BIGINT[]) AS back FROM a
+  UNION ALL SELECT entity, j + 1, list_append(tot, list_min(opt) + u), list_append(back, list_position(opt, list_min(opt)) - 1) FROM (
+    SELECT d.*, a.us[d.j + 1] AS u, list_prepend({start} + {far} * greatest(0.0, a.ls[d.j + 1] - {first}), list_transform(range(1, d.j + 1), lambda q: CASE
+      WHEN a.bs[q] < a.bs[d.j + 1] AND a.ls[d.j + 1] - a.ls[q] >= -{shrink} AND a.ls[d.j + 1] - a.ls[q] <= {speed} * (a.bs[d.j + 1] - a.bs[q]) AND abs(a.xs[d.j + 1] - a.xs[q]) <= {reach}
+      THEN d.tot[q] + {hold} * (a.bs[d.j + 1] - a.bs[q] - 1) + CASE WHEN a.bs[d.j + 1] - a.bs[q] > 1 THEN {again} ELSE 0 END + {slope} * greatest(0.0, a.ls[q] - a.ls[d.j + 1])
+        + {pull} * greatest(0.0, abs(a.xs[d.j + 1] - a.xs[q]) - {free})
+      ELSE 'infinity'::DOUBLE END)) AS opt
+    FROM dp d JOIN a ON a.entity = d.entity AND d.j < a.n)),
+fin AS (SELECT a.entity, back, list_prepend(0.0, list_transform(range(1, n + 1), lambda q: tot[q] + {hold} * (last - bs[q]))) AS ends FROM dp JOIN a ON a.entity = dp.entity AND dp.j = a.n),
+tr AS (SELECT entity, list_position(ends, list_min(ends)) - 1 AS j FROM fin UNION ALL SELECT t.entity, f.back[t.j] FROM tr t JOIN fin f ON f.entity = t.entity WHERE t.j > 0),
+rd AS (SELECT t.entity, a.bs[t.j] AS bin, a.ids[t.j] AS id, a.ls[t.j] AS length FROM tr t JOIN a ON a.entity = t.entity WHERE t.j > 0),
+g AS (SELECT entity, unnest(range(first, last + 1)) AS bin FROM a),
+h AS (SELECT g.entity, g.bin, rd.id, last_value(rd.length IGNORE NULLS) OVER (PARTITION BY g.entity ORDER BY g.bin) AS length FROM g LEFT JOIN rd ON rd.entity = g.entity AND rd.bin = g.bin)
+SELECT h.entity, h.bin, CASE WHEN id IS NOT NULL THEN 'read' WHEN length IS NOT NULL THEN 'held' ELSE 'none' END AS state, id, length, list_min(ends) AS total FROM h JOIN fin ON fin.entity = h.entity""".format(**vars(TRAJECTORY))
+)
+
+
+@query("2.11-3", TRAJECTORIES)
+def candidate_trajectories(s, d):
+    e = unranked(s, d).where("event_type IN ('view', 'click')")
+    e = e.select("entity", "bin", c("event_id").alias("id"), F.round(c("value") / 10).alias("length"), c("k").cast("double").alias("x"), F.lit(0.0).alias("y"), ((c("k") % 7 - 4) / 4.0).alias("cost"))
+    return lattice.trajectories(e, KEYS, TRAJECTORY)
+
+
+@query("2.11-12")
+def joint_cap_states(s, d):
+    """Two neighbouring owners at a time, some caps of one being in reach of the other too."""
+    e = unranked(s, d).where("event_type IN ('view', 'click')").select("entity", c("bin").alias("frame"), c("event_id").alias("cap"), (c("value") / 10).alias("x"), c("k").cast("double").alias("y"))
+    pair = F.floor(c("entity") / 2) * 2
+    own = e.select(c("entity").alias("owner"), "frame", "cap", "x", "y", (c("y") / 64).alias("score"))
+    other = e.where("cap % 3 = 0").select((2 * pair + 1 - c("entity")).alias("owner"), "frame", "cap", "x", "y", (c("y") / 96).alias("score"))
+    both = own.unionByName(other)
+    frames = both.select((F.floor(c("owner") / 2) * 2).alias("pair"), "frame").distinct()
+    none = frames.select(F.explode(F.array("pair", c("pair") + 1)).alias("owner"), "frame", F.lit(None).cast("long").alias("cap"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("score"))
+    return lattice.joint(both.unionByName(none), lattice.Joint(beam=1024))
+
+
+STATES = (
+    BASE.replace("WITH r", "WITH RECURSIVE r", 1)
+    + """, dp AS (SELECT entity, 0::BIGINT AS j, [0.0, -1e18, -1e18] AS tot, CAST([] AS BIGINT[][]) AS back, 0.0::DOUBLE AS last FROM b WHERE i = 0
+  UNION ALL SELECT entity, j + 1, list_transform(opt, lambda o, s: list_max(o) + gain[s]), list_append(back, list_transform(opt, lambda o: list_position(o, list_max(o)) - 1)), keep FROM (
+    SELECT d.entity, d.j, d.back, [[d.tot[1], -1e18, -1e18], d.tot, [-1e18, d.tot[2], d.tot[3]]] AS opt, CASE WHEN n >= 2 THEN length WHEN d.j = 0 THEN length ELSE d.last END AS keep,
+      [CASE WHEN n >= 2 THEN -0.6 ELSE -0.0 END, CASE WHEN n >= 2 THEN 1.0 - CASE WHEN d.j = 0 THEN 0 ELSE greatest(0.0, abs(length - d.last) - 60.0) END ELSE -1e18 END, -0.4]::DOUBLE[] AS gain
+    FROM dp d JOIN b ON b.entity = d.entity AND b.i = d.j)),
+fin AS (SELECT entity, max(j) AS n, arg_max(back, j) AS back, arg_max(tot, j) AS tot FROM dp GROUP BY 1),
+tr AS (SELECT entity, n - 1 AS i, list_position(tot, list_max(tot)) - 1 AS s FROM fin UNION ALL SELECT t.entity, t.i - 1, f.back[t.i + 1][t.s + 1] FROM tr t JOIN fin f ON f.entity = t.entity WHERE t.i > 0)
+SELECT tr.entity, b.bin, CAST(s AS BIGINT) AS state FROM tr JOIN b ON b.entity = tr.entity AND b.i = tr.i"""
+)
+
+
+@query("2.11-3", STATES)
 def candidate_states(s, d):
     b = day_bins(s, d).select("entity", "bin", "length", "n")
     return optimize.per_entity(b, KEYS, "bin", lambda p: {"bin": p["bin"].to_numpy(), "state": optimize.candidate_path(p["length"].to_numpy(), (p["n"] >= 2).to_numpy().astype(float), 60.0, 0.4, 0.6)}, "bin long, state long")
