@@ -127,22 +127,6 @@ def matched_filter(vector: Column, template: list[float]) -> Column:
     return F.aggregate(F.zip_with(vector, weights, lambda x, w: x.cast("double") * w), F.lit(0.0), lambda a, x: a + x)
 
 
-def suppressed(points: DataFrame, keys: list[str], factor: float) -> DataFrame:
-    """Greedy non-max suppression by score: a point stays if ``factor`` times the smaller radius from all kept ones."""
-    kinds = ", ".join(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True])
-        kept: list[int] = []
-        x, y, r = (pdf[c].to_numpy() for c in ("x", "y", "r"))
-        for k in range(len(pdf)):
-            if all(np.hypot(x[k] - x[j], y[k] - y[j]) >= factor * min(r[k], r[j]) for j in kept):
-                kept.append(k)
-        return pdf.iloc[kept][[*keys, "id"]]
-
-    return points.select(*keys, "id", "x", "y", "r", "score").groupBy(*keys).applyInPandas(run, f"{kinds}, id long")
-
-
 def spread(cells: DataFrame, seeds: DataFrame, keys: list[str], most: int = 200) -> DataFrame:
     """keys, x, y, owner, steps: nearest seed (id; smaller at a tie) of each cell within ``most`` steps over 8-connected cells.
 
@@ -160,32 +144,3 @@ def spread(cells: DataFrame, seeds: DataFrame, keys: list[str], most: int = 200)
             break
         done = done.unionByName(front)
     return done
-
-
-def cheapest_costs(cells: DataFrame, seeds: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, x, y, cost of the cheapest 8-connected path from the key's seed, one bounded window of cells a group."""
-    kinds = ", ".join(f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import heapq
-
-        price = {(x, y): c for x, y, c in zip(pdf["x"], pdf["y"], pdf["price"])}
-        heap = [(0.0, x, y) for x, y, s in zip(pdf["x"], pdf["y"], pdf["seed"]) if s]
-        best: dict[tuple, float] = {}
-        while heap:
-            cost, x, y = heapq.heappop(heap)
-            if (x, y) in best:
-                continue
-            best[x, y] = cost
-            for i in (-1, 0, 1):
-                for j in (-1, 0, 1):
-                    to = (x + i, y + j)
-                    if (i or j) and to in price and to not in best:
-                        heapq.heappush(heap, (cost + price[to] * float(np.hypot(i, j)), *to))
-        out = pd.DataFrame([(x, y, c) for (x, y), c in best.items()], columns=["x", "y", "cost"])
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    marked = cells.join(seeds.select(*keys, "x", "y", F.lit(True).alias("seed")), [*keys, "x", "y"], "left").fillna(False, ["seed"])
-    return marked.groupBy(*keys).applyInPandas(run, f"{kinds}, x long, y long, cost double")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelforge.operators import curves, lattice, matching, optimize
+from panelforge.operators import curves, lattice, matching, optimize, routes, suppression
 from panelforge.operators import events as ev
 from panelforge.plans.base import BASE, KEYS, c, day_bins, query, readings, table, unranked
 
@@ -176,11 +176,50 @@ def nearest_seed_cells(s, d):
     return optimize.spread(cells, cells.where("(x * 3 + y) % 7 = 0").withColumn("id", c("x") * 10 + c("y")), ["movie"], 12)
 
 
-@query("2.11-7 2.11-33")
-def cheapest_path_costs(s, d):
+def priced_grid(s, d):
+    """Cells with a price, and the first cell of each movie as its seed."""
     cells = grid(s, d).withColumn("price", 1.0 + (c("x") * 7 + c("y") * 3) % 5)
-    seeds = cells.groupBy("movie").agg(F.min(F.struct("x", "y")).alias("p")).select("movie", "p.x", "p.y")
-    return optimize.cheapest_costs(cells, seeds, ["movie"])
+    return cells, cells.groupBy("movie").agg(F.min(F.struct("x", "y")).alias("p")).select("movie", "p.x", "p.y")
+
+
+ROUTES = (
+    GRID
+    + """, pr AS (SELECT *, 1.0::DOUBLE + (x * 7 + y * 3) % 5 AS price FROM cl), sd AS (SELECT movie, min({'x': x, 'y': y}) AS p FROM cl GROUP BY 1),
+bf AS (SELECT pr.movie, x, y, price, CASE WHEN p.x = x AND p.y = y THEN 0.0::DOUBLE ELSE 'infinity'::DOUBLE END AS cost, 0 AS n FROM pr JOIN sd ON sd.movie = pr.movie
+  UNION ALL SELECT c.movie, c.x, c.y, c.price, min(b.cost + CASE WHEN c.x = b.x AND c.y = b.y THEN 0 ELSE c.price * sqrt((c.x - b.x) * (c.x - b.x) + (c.y - b.y) * (c.y - b.y)) END), b.n + 1
+  FROM bf b JOIN pr c ON c.movie = b.movie AND abs(c.x - b.x) <= 1 AND abs(c.y - b.y) <= 1 WHERE b.n < 60 GROUP BY c.movie, c.x, c.y, c.price, b.n),
+best AS (SELECT movie, x, y, price, cost FROM bf WHERE n = 60 AND cost < 'infinity'::DOUBLE),
+pred AS (SELECT c.movie, c.x, c.y, min({'cost': o.cost + c.price * sqrt((c.x - o.x) * (c.x - o.x) + (c.y - o.y) * (c.y - o.y)), 'x': o.x, 'y': o.y}) AS w
+  FROM best c JOIN best o ON c.movie = o.movie AND abs(c.x - o.x) <= 1 AND abs(c.y - o.y) <= 1 AND (c.x <> o.x OR c.y <> o.y) WHERE c.cost > 0 GROUP BY 1, 2, 3),
+tr AS (SELECT movie, x * 10 + y AS id, x, y, 0::BIGINT AS back FROM best WHERE (x + y) % 5 = 0 UNION ALL SELECT t.movie, t.id, p.w.x, p.w.y, t.back + 1 FROM tr t JOIN pred p ON p.movie = t.movie AND p.x = t.x AND p.y = t.y),
+rt AS (SELECT t.movie, t.id, max(back) OVER (PARTITION BY t.movie, t.id) - back AS step, t.x, t.y, b.cost FROM tr t JOIN best b ON b.movie = t.movie AND b.x = t.x AND b.y = t.y)"""
+)
+
+
+@query("2.11-7", ROUTES + " SELECT movie, x, y, round(cost, 9) AS cost FROM best")
+def cheapest_path_costs(s, d):
+    return routes.cheapest_costs(*priced_grid(s, d), ["movie"], tile=4).drop("price")
+
+
+def routed(s, d):
+    cells, seeds = priced_grid(s, d)
+    before = routes.predecessors(routes.cheapest_costs(cells, seeds, ["movie"], tile=4), seeds, ["movie"]).checkpoint()
+    return routes.routes(before, cells.where("(x + y) % 5 = 0").withColumn("id", c("x") * 10 + c("y")), ["movie"])
+
+
+@query("2.11-7 2.11-33", ROUTES + " SELECT movie, id, step, x, y, round(cost, 9) AS cost FROM rt")
+def cheapest_routes(s, d):
+    """Cells of the cheapest route from each movie's seed to each target."""
+    return routed(s, d)
+
+
+@query("2.11-33 2.3-34", ROUTES + """, g AS (SELECT *, (x + 2 * y) % 3 <> 0 AS seen, lag(x) OVER w AS px, lag(y) OVER w AS py, count(*) FILTER ((x + 2 * y) % 3 <> 0) OVER w AS run FROM rt WINDOW w AS (PARTITION BY movie, id ORDER BY step)),
+q AS (SELECT movie, id, max(k) AS longest_gap FROM (SELECT movie, id, run, count(*) AS k FROM g WHERE NOT seen GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT g.movie, g.id, count(*) AS cells, round(coalesce(sum(sqrt((x - px) * (x - px) + (y - py) * (y - py))), 0), 9) AS length, round(max(cost), 9) AS cost,
+  round(count(*) FILTER (seen) / count(*), 9) AS covered, coalesce(any_value(longest_gap), 0) AS longest_gap FROM g LEFT JOIN q ON q.movie = g.movie AND q.id = g.id GROUP BY 1, 2""")
+def route_diagnostics(s, d):
+    """Length, cost, evidence and longest gap of each route."""
+    return routes.measures(routed(s, d), grid(s, d).where("(x + 2 * y) % 3 <> 0"), ["movie"])
 
 
 CORRECTED = BASE + """, f AS (
@@ -311,10 +350,15 @@ def motion_between_anchors(s, d):
     return g.select("entity", c("t").alias("bin"), F.round(c("v") + (c("nv") - c("v")) * (c("t") - c("bin")) / span, 6).alias("pose"), (F.abs(c("nv") - c("v")) / span <= 80).alias("accepted"))
 
 
-@query("2.8-2")
+@query("2.8-2", """WITH RECURSIVE p AS (SELECT c_nationkey AS movie, c_custkey AS id, c_acctbal / 10 AS x, CAST(c_custkey * 37 % 1000 AS DOUBLE) AS y,
+  row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey * 7919 % 1009 DESC, c_custkey) AS i FROM customer),
+k AS (SELECT DISTINCT movie, 0::BIGINT AS i, CAST([] AS STRUCT(id BIGINT, x DOUBLE, y DOUBLE)[]) AS kept FROM p
+  UNION ALL SELECT p.movie, p.i, CASE WHEN len(list_filter(k.kept, lambda q: sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)) < 72)) = 0 THEN list_append(k.kept, {'id': p.id, 'x': p.x, 'y': p.y}) ELSE k.kept END
+  FROM k JOIN p ON p.movie = k.movie AND p.i = k.i + 1)
+SELECT movie, unnest(list_transform(arg_max(kept, i), lambda q: q.id)) AS id FROM k GROUP BY 1""")
 def non_max_suppression(s, d):
     p = table(s, d, "customer").select(c("c_nationkey").alias("movie"), c("c_custkey").alias("id"), (c("c_acctbal") / 10).alias("x"), (c("c_custkey") * 37 % 1000).cast("double").alias("y"), F.lit(60.0).alias("r"), (c("c_custkey") * 7919 % 1009).alias("score"))
-    return optimize.suppressed(p, ["movie"], 1.2)
+    return suppression.suppressed(p, ["movie"], 1.2)
 
 
 @query("2.12-6", BASE + ", g AS (SELECT entity, frame, epoch_us(ts) AS u, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY entity ORDER BY frame) AS gap FROM r), e AS (SELECT entity, frame, avg(gap) OVER w AS m, count(gap) OVER w AS k, max(frame) OVER (PARTITION BY entity) AS last FROM g WINDOW w AS (PARTITION BY entity ORDER BY frame ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) SELECT entity, frame, CASE WHEN k >= 3 THEN round(m / 1000000.0 * (last - frame), 3) END AS eta FROM e")

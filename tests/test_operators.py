@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import geometry, text, units
-from panelforge.operators import curves, matching, optimize, review, sampling, survival
+from panelforge.operators import curves, matching, optimize, review, routes, sampling, suppression, survival
 from panelforge.session import ship
 from panelforge.sources import readers, writers
 
@@ -190,10 +190,10 @@ def test_redirects_and_cycles(spark):
 
 def test_suppression_and_costs(spark):
     p = spark.createDataFrame([(0, 1, 0.0, 0.0, 10.0, 5), (0, 2, 5.0, 0.0, 10.0, 9), (0, 3, 20.0, 0.0, 10.0, 1), (0, 4, 40.0, 0.0, 10.0, 0)], "m long, id long, x double, y double, r double, score long")
-    assert sorted(r["id"] for r in optimize.suppressed(p, ["m"], 1.2).collect()) == [2, 3, 4]
+    assert sorted(r["id"] for r in suppression.suppressed(p, ["m"], 1.2).collect()) == [2, 3, 4]
     cells = spark.createDataFrame([(0, x, y, 1.0 + (x == 1 and y < 2) * 50) for x in range(3) for y in range(3)], "m long, x long, y long, price double")
     seeds = spark.createDataFrame([(0, 0, 0)], "m long, x long, y long")
-    got = {(r["x"], r["y"]): r["cost"] for r in optimize.cheapest_costs(cells, seeds, ["m"]).collect()}
+    got = {(r["x"], r["y"]): r["cost"] for r in routes.cheapest_costs(cells, seeds, ["m"]).collect()}
     assert abs(got[2, 0] - (1 + 2 * np.sqrt(2) + 1)) < 1e-9 and got[0, 0] == 0
 
 
