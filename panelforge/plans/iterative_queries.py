@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelforge.operators import curves, lattice, matching, optimize, routes, suppression
+from panelforge.operators import curves, flood, lattice, matching, optimize, registration, routes, suppression
 from panelforge.operators import events as ev
 from panelforge.plans.base import BASE, KEYS, c, day_bins, query, readings, table, unranked
 
@@ -255,6 +255,16 @@ def idle_reset_spells(s, d):
     return q.groupBy("entity", "spell").agg(F.min("bin").alias("first"), F.max("bin").alias("last"), F.count("*").alias("n"), F.round(F.sum("v"), 6).alias("grown"))
 
 
+RULES = flood.Rules(halo=0.0, band=1.5, arc=120.0, old_far=3.0, old_bins=3, bridge=1.5, recent=6, give_up=8, least=1.0)
+
+
+@query("2.11-9")
+def arrival_flood(s, d):
+    """Growth round each entity's centre through cells that arrive with its first reading there."""
+    e = unranked(s, d).where("value < 360").groupBy("entity", (F.floor(c("value") / 40) - 4).alias("x"), (F.expr("k div 12") - 4).alias("y")).agg(F.min("bin").alias("arrival"))
+    return flood.flood(e.withColumn("radius", F.lit(1.0)), KEYS, 30, RULES)
+
+
 @query("2.11-10 2.12-3", BASE + ", g AS (SELECT entity, i, v < 60 AS miss, i - row_number() OVER (PARTITION BY entity, v < 60 ORDER BY i) AS g FROM b), q AS (SELECT entity, g, min(i) AS s, count(*) AS k FROM g WHERE miss GROUP BY 1, 2) SELECT b.entity, count(*) AS n, (SELECT min(s) FROM q WHERE q.entity = b.entity AND k > 3) AS lost_from FROM b GROUP BY 1")
 def lost_after_misses(s, d):
     b = day_bins(s, d)
@@ -286,6 +296,22 @@ def registration_lag(s, d):
     return optimize.per_entity(b, KEYS, "bin", lambda p: {"lag": [optimize.correlation_shift(p["v"].to_numpy(), p["n"].to_numpy(float), 4)]}, "lag long")
 
 
+@query("2.11-14", "SELECT vec_id, a.n AS \"at\", CAST(CASE WHEN a.n = 0 THEN 0 WHEN vec_id * 3 % 8 > 4 THEN vec_id * 3 % 8 - 8 ELSE vec_id * 3 % 8 END AS DOUBLE) AS dx, CAST(CASE WHEN a.n = 0 THEN 0 WHEN vec_id * 5 % 8 > 4 THEN vec_id * 5 % 8 - 8 ELSE vec_id * 5 % 8 END AS DOUBLE) AS dy FROM embeddings, range(2) a(n)")
+def registered_patches(s, d):
+    """Each vector as a patch of 8 x 8 cells, rolled by a known shift, against itself."""
+    v = table(s, d, "embeddings").select("vec_id", c("embedding").cast("array<double>").alias("v"), F.explode(F.array(F.lit(0), F.lit(1))).alias("at"))
+    dx, dy = c("vec_id") * 3 % 8 * c("at"), c("vec_id") * 5 % 8 * c("at")
+    rolled = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: F.element_at("v", (F.pmod(F.floor(p / 8) - dy, F.lit(8)) * 8 + F.pmod(p % 8 - dx, F.lit(8)) + 1).cast("int")))
+    return registration.shifts(v.select("vec_id", "at", rolled.alias("patch")), ["vec_id"], "at", 8, 8, reference=1)
+
+
+@query("2.11-14 2.7-9")
+def corrected_shifts(s, d):
+    """Shifts of each label's patches against its first three, outliers replaced by the running median."""
+    v = table(s, d, "embeddings").select("label", "vec_id", c("embedding").cast("array<double>").alias("patch"))
+    return registration.corrected(registration.shifts(v, ["label"], "vec_id", 8, 8), ["label"], "vec_id", 2.5)
+
+
 TEMPLATE = [float((k * 13) % 17) for k in range(64)]
 UNIT = (np.array(TEMPLATE) - np.mean(TEMPLATE)) / np.linalg.norm(np.array(TEMPLATE) - np.mean(TEMPLATE))
 

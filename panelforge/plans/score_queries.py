@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import geometry
-from panelforge.operators import scoring
+from panelforge.operators import report, scoring
 from panelforge.plans.base import BASE, KEYS, c, day_bins, query, readings, table, unranked
 
 #: Truth (even readings) and guess (odd readings) by entity and bin.
@@ -54,6 +54,58 @@ def score_report(s, d):
     return scoring.score_report(two(s, d), ["grp"], "truth", "guess", 20.0, 0.1)
 
 
+TOLERANCE = report.Tolerance(onset=6.0)
+WHOLE = BASE + """, g AS (SELECT DISTINCT entity, entity % 5 AS movie FROM r WHERE entity % 11 <> 0 AND entity % 4 <> 0),
+fv AS (SELECT entity, min(CASE WHEN k >= 50 THEN frame END) AS hi FROM r WHERE event_type = 'purchase' GROUP BY 1),
+pr AS (SELECT entity, min(CASE WHEN k >= 50 THEN frame END) AS onset FROM r WHERE event_type = 'click' AND entity % 13 <> 0 GROUP BY 1),
+kn AS (SELECT g.entity, g.movie, pr.onset, pr.entity IS NOT NULL AS matched FROM g LEFT JOIN pr ON pr.entity = g.entity),
+em AS (SELECT kn.*, hi, CASE WHEN kn.entity % 9 <> 0 THEN hi - 3 END AS lo FROM kn JOIN fv ON fv.entity = kn.entity WHERE hi > 2),
+tr AS (SELECT kn.entity, kn.movie, kn.matched, r.event_id, r.frame, r.event_id % 9 = 0 AS contact, round(r.value / 10) AS h, CAST(r.k AS DOUBLE) AS x, round(r.value) AS y,
+  CASE WHEN k < 10 THEN 'burst' WHEN k < 15 THEN 'unsure' WHEN k < 20 THEN 'centre' WHEN k < 40 THEN 'no_tube' WHEN k < 80 THEN 'full' ELSE 'partial' END AS state
+  FROM r JOIN kn ON kn.entity = r.entity WHERE event_type = 'view'),
+sr AS (SELECT entity, frame, CASE WHEN value < 60 THEN 0 ELSE round(value / 10) END AS len, CAST(k AS DOUBLE) AS x, round(value) AS y FROM r WHERE event_type = 'click' AND entity % 13 <> 0),
+met AS (SELECT t.movie, t.event_id, t.state, t.h, t.x, t.y, arg_min(s, struct_pack(g := abs(s.frame - t.frame), f := s.frame)) AS s
+  FROM tr t JOIN sr s ON s.entity = t.entity WHERE t.matched AND NOT t.contact AND t.state NOT IN ('burst', 'unsure', 'centre') GROUP BY ALL),
+er AS (SELECT *, s.len - h AS e, abs(s.len - h) <= greatest(2, 0.1 * h) AS good, sqrt((s.x - x) * (s.x - x) + (s.y - y) * (s.y - y)) AS far FROM met),
+fact AS (
+  SELECT movie, 'grain' AS kind, NULL::DOUBLE AS error, matched AS ok, NULL::BOOLEAN AS "both" FROM kn
+  UNION ALL SELECT movie, 'emerged', NULL, NULL, NULL FROM em
+  UNION ALL SELECT movie, 'onset', e, abs(e) <= 6, NULL FROM (SELECT movie, CASE WHEN onset <= lo THEN onset - lo WHEN onset > hi THEN onset - hi ELSE 0 END AS e FROM em WHERE matched AND onset IS NOT NULL)
+  UNION ALL SELECT movie, 'burst', NULL, NULL, NULL FROM tr WHERE state = 'burst'
+  UNION ALL SELECT movie, 'contact', NULL, NULL, NULL FROM tr WHERE matched AND contact AND state NOT IN ('burst', 'unsure', 'centre')
+  UNION ALL SELECT movie, 'full', e, good, NULL FROM er WHERE state = 'full'
+  UNION ALL SELECT movie, 'partial', NULL, s.len >= h - 2, NULL FROM er WHERE state = 'partial'
+  UNION ALL SELECT movie, 'absence', NULL, s.len < 2, NULL FROM er WHERE state = 'no_tube'
+  UNION ALL SELECT movie, 'tip', far, far <= greatest(5, 0.1 * h), good AND far <= greatest(5, 0.1 * h) FROM er WHERE state = 'full' AND s.len > 0)
+SELECT movie, count(*) FILTER (kind = 'grain') AS grains_scored, count(*) FILTER (kind = 'grain' AND ok) AS grains_matched, count(*) FILTER (kind = 'onset') AS onsets_timed,
+  count(*) FILTER (kind = 'emerged') AS onsets_emerged, count(*) FILTER (kind = 'onset' AND ok) AS onset_hits, round(avg(error) FILTER (kind = 'onset'), 9) AS onset_mean_error,
+  count(*) FILTER (kind = 'onset' AND error < -6) AS onsets_early, count(*) FILTER (kind = 'onset' AND error > 6) AS onsets_late, count(*) FILTER (kind = 'full') AS lengths,
+  count(*) FILTER (kind = 'full' AND ok) AS lengths_within, round(avg(abs(error)) FILTER (kind = 'full'), 9) AS length_mean_error, round(avg(error) FILTER (kind = 'full'), 9) AS length_bias,
+  count(*) FILTER (kind = 'partial') AS partials, count(*) FILTER (kind = 'partial' AND ok) AS partials_consistent, count(*) FILTER (kind = 'absence') AS absences,
+  count(*) FILTER (kind = 'absence' AND ok) AS absences_correct, count(*) FILTER (kind = 'tip') AS tips, count(*) FILTER (kind = 'tip' AND ok) AS tips_within,
+  count(*) FILTER (kind = 'tip' AND "both") AS lengths_and_tips, count(*) FILTER (kind = 'contact') AS contact_skipped, count(*) FILTER (kind = 'burst') AS burst_skipped,
+  round(median(abs(error)) FILTER (kind = 'onset'), 9) AS onset_median_error, round(median(abs(error)) FILTER (kind = 'full'), 9) AS length_median_error, round(median(error) FILTER (kind = 'tip'), 9) AS tip_median
+FROM fact GROUP BY movie"""
+
+
+@query("2.6-9 2.2-11", WHOLE)
+def whole_score_report(s, d):
+    r, movie, key = readings(s, d), (c("entity") % 5).alias("movie"), c("entity").alias("id")
+    grains = r.select(movie, key).distinct().select("movie", "id", (c("id") % 11 == 0).alias("excluded"), (c("id") % 4 != 0).alias("isolated"))
+    first = lambda kind: r.where(c("event_type") == kind).groupBy(movie, key).agg(F.min(F.when(c("k") >= 50, c("frame"))).alias("at"))
+    verdict = F.when(c("at").isNull(), "no_emergence_by_end").when(c("at") <= 2, "emerged_at_start").otherwise("emerged_within")
+    onsets = first("purchase").select("movie", "id", verdict.alias("verdict"), F.when(c("id") % 9 != 0, c("at") - 3).alias("last_absent"), c("at").alias("first_visible"))
+    status = F.when(c("at").isNull(), "no_emergence_by_end").otherwise("emerged_within")
+    predictions = first("click").where("id % 13 <> 0").select("movie", "id", status.alias("status"), c("at").alias("onset"))
+    state = F.lit("partial")
+    for below, name in ((80, "full"), (40, "no_tube"), (20, "centre"), (15, "unsure"), (10, "burst")):
+        state = F.when(c("k") < below, name).otherwise(state)
+    place = [c("k").cast("double").alias("x"), F.round("value").alias("y")]
+    traces = r.where("event_type = 'view'").select(movie, key, "frame", state.alias("state"), F.round(c("value") / 10).alias("length"), (c("event_id") % 9 == 0).alias("contact"), *place)
+    curve = r.where("event_type = 'click' AND entity % 13 <> 0").select(movie, key, "frame", F.when(c("value") < 60, 0.0).otherwise(F.round(c("value") / 10)).alias("length"), *place)
+    return report.report(report.facts(grains, onsets, predictions, traces, curve, "movie", "isolated", TOLERANCE), "movie", TOLERANCE)
+
+
 @query("2.6-10 2.4-2", "SELECT CAST(d.lang AS VARCHAR) AS human, coalesce(CAST(l.quality AS VARCHAR), 'missing') AS model, count(*) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1, 2")
 def confusion_matrix(s, d):
     docs, labels = table(s, d, "documents").select("doc_id", "lang"), table(s, d, "labels").select("doc_id", "quality")
