@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelforge.plans.base import BASE, c, day_bins, query, readings, table, unranked
-from panelforge.sources import readers, writers
-from panelforge.streaming import streams
+from panelforge.sources import backup, readers, writers
+from panelforge.streaming import bank, live, streams
 
 
 #: A document holds so many entities, whatever the size of the table.
@@ -126,3 +126,48 @@ def stream_latest(s, d):
 @query("2.12-3 2.11-10", "WITH r AS (SELECT user_id AS entity, event_id, value < 100 AS miss, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), g AS (SELECT *, i - row_number() OVER (PARTITION BY entity, miss ORDER BY i) AS g FROM r), q AS (SELECT entity, g, arg_min(event_id, i) AS e, min(i) AS i FROM g WHERE miss GROUP BY 1, 2 HAVING count(*) > 3), l AS (SELECT entity, arg_min(e, i) AS lost FROM q GROUP BY 1) SELECT r.entity, count(*) AS seen, coalesce(max(lost), -1) AS lost_at FROM r LEFT JOIN l ON r.entity = l.entity GROUP BY 1")
 def stream_follow(s, d):
     return streams.caught_up(streams.follow(streams.events(s, d), 100.0, 3), writers.scratch(s), ["entity"])
+
+
+LIVE = """WITH e AS (SELECT user_id AS entity, event_id, ts, value, event_type <> 'error' AND value >= 5 AS ok FROM events),
+o AS (SELECT *, coalesce(ts < max(CASE WHEN ok THEN ts END) OVER (PARTITION BY entity ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stale FROM e)
+"""
+
+
+def live_path(s, d):
+    path = writers.scratch(s)
+    stream = streams.events(s, d)
+    live.run(stream, path, "entity", "ts", "event_id", (c("event_type") != "error") & (c("value") >= 5))
+    return path
+
+
+@query("2.12-8 2.2-16", LIVE + "SELECT entity, arg_max(event_id, struct_pack(t := ts, e := event_id)) AS event_id, arg_max(value, struct_pack(t := ts, e := event_id)) AS value FROM o WHERE ok AND NOT stale GROUP BY 1")
+def live_answers(s, d):
+    """Updates taken in by a stream, and the live table replayed from its journal."""
+    got = live.replayed(live.journal(s, live_path(s, d)), "entity", "ts", "event_id")
+    return got.select("entity", "event_id", "value")
+
+
+@query("2.12-8", LIVE + "SELECT CASE WHEN ok THEN 'stale' ELSE 'invalid' END AS reason, count(*) AS n FROM o WHERE stale OR NOT ok GROUP BY 1")
+def rejected_answers(s, d):
+    return s.read.parquet(f"{live_path(s, d)}/rejected").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("2.2-21", "SELECT o_orderpriority, count(*) AS source_n, count(*) AS copy_n, true AS same FROM orders GROUP BY 1")
+def verified_backup(s, d):
+    """A copy by priority, each part compared by its digest."""
+    return backup.verified(table(s, d, "orders"), writers.scratch(s), ["o_orderpriority"]).select("o_orderpriority", "source_n", "copy_n", "same")
+
+
+BANK = bank.Rules(least=-0.1, again=0.0, low=0.0, high=0.6, every=4, size=3, most=4)
+
+
+@query("2.11-10")
+def bank_followed(s, d):
+    """Each label's vectors as looks in order of their ids."""
+    return bank.batch(table(s, d, "embeddings").where("embedding IS NOT NULL").select(c("label").cast("long").alias("label"), "vec_id", "embedding"), "label", "vec_id", "embedding", BANK)
+
+
+@query("2.11-10 2.12-3")
+def stream_bank(s, d):
+    looks = streams.source(s, d, "embeddings", "vec_id long, embedding array<float>, label int").where("embedding IS NOT NULL").select(c("label").cast("long").alias("label"), "vec_id", "embedding")
+    return streams.caught_up(bank.stream(looks, "label", "vec_id", "embedding", BANK), writers.scratch(s), ["label"])

@@ -15,9 +15,18 @@ from pyspark.sql import functions as F
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def events(spark: SparkSession, folder: str, delay: str = "1 day", per_batch: int = 1) -> DataFrame:
+def source(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    """The table ``name`` of a folder as a stream: one file, or a folder of part files. All files that are there make one
+    batch, so none is late behind another."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    read = spark.readStream.schema(schema)
+    return read.parquet(f"{folder}/{name}.parquet") if whole else read.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+def events(spark: SparkSession, folder: str, delay: str = "1 day") -> DataFrame:
     """Event rows as a stream with event time and a watermark."""
-    s = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", per_batch).parquet(folder)
+    s = source(spark, folder, "events", EVENTS)
     return s.select(F.col("user_id").alias("entity"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value").withWatermark("ts", delay)
 
 
