@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import geometry, text
-from panelforge.operators import review, sampling
+from panelforge.operators import corrections, review, sampling
 from panelforge.plans.base import BASE, KEYS, c, day_bins, query, readings, table, unranked
 
 #: Revisions of records: conversations as (uuid, revision), with a tombstone where the text is short.
@@ -259,3 +259,79 @@ def reviewed_counters(s, d):
     h = unranked(s, d).where("event_type = 'signup' AND k < 40").groupBy("entity").agg(F.min("bin").alias("human"))
     x = m.join(h, "entity", "full")
     return x.agg(F.count_if(c("human").isNotNull()).alias("checked"), F.count_if(F.abs(c("human") - c("model")) > 2).alias("changed"), F.count_if(c("human").isNull()).alias("open"), F.count_if(c("model").isNull()).alias("stale"))
+
+
+#: Commands of people: an action by k, numbered by event; a session is ten users.
+COMMANDS = BASE + """, cm AS (SELECT entity // 10 AS who, event_id AS n, entity AS e, bin, round(value / 10) AS value, CASE WHEN event_id % 2 = 0 THEN 'debris' ELSE 'not_a_grain' END AS reason,
+  CASE WHEN k < 15 THEN 'undo' WHEN k < 18 THEN 'revert' WHEN k < 40 THEN 'confirm' WHEN k < 50 THEN 'onset' WHEN k < 55 THEN 'no_onset' WHEN k < 75 THEN 'length' WHEN k < 80 THEN 'no_tube'
+    WHEN k < 85 THEN 'burst' WHEN k < 92 THEN 'exclude' ELSE 'include' END AS action FROM r),
+st AS (SELECT who, list_reduce(list({'n': n, 'undo': action = 'undo'} ORDER BY n), lambda a, c: CASE WHEN c.undo THEN {'gone': a.gone, 'stack': a.stack[:-2]}
+  WHEN len(a.stack) >= 50 THEN {'gone': list_append(a.gone, a.stack[1]), 'stack': list_append(a.stack[2:], c.n)} ELSE {'gone': a.gone, 'stack': list_append(a.stack, c.n)} END,
+  {'gone': CAST([] AS BIGINT[]), 'stack': CAST([] AS BIGINT[])}) AS f FROM cm GROUP BY 1),
+ef AS (SELECT cm.* FROM cm JOIN (SELECT who, unnest(list_concat(f.gone, f.stack)) AS n FROM st) s ON s.who = cm.who AND s.n = cm.n),
+sd AS (SELECT ef.* FROM ef LEFT JOIN (SELECT e, max(n) AS last FROM ef WHERE action = 'revert' GROUP BY 1) v ON v.e = ef.e WHERE action <> 'revert' AND (last IS NULL OR n > last)),
+md AS (SELECT entity AS e, min(CASE WHEN length > 150 THEN bin END) AS visible FROM b GROUP BY 1),
+ow AS (SELECT e, arg_max({'a': action, 'b': bin}, n) FILTER (action IN ('onset', 'no_onset')) AS o, arg_max({'a': action, 'r': reason}, n) FILTER (action IN ('exclude', 'include')) AS x, bool_or(action = 'confirm') AS checked FROM sd GROUP BY 1),
+an AS (SELECT md.e, CASE WHEN o IS NULL THEN CASE WHEN visible IS NULL THEN 'no_emergence_by_end' ELSE 'emerged_within' END WHEN o.a = 'no_onset' THEN 'no_emergence_by_end' WHEN o.b <= 0 THEN 'emerged_at_start' ELSE 'emerged_within' END AS verdict,
+  CASE WHEN o IS NULL THEN visible WHEN o.a = 'onset' AND o.b > 0 THEN o.b END AS visible, CASE WHEN o IS NULL THEN 'model' ELSE 'human' END AS origin, coalesce(x.a = 'exclude', false) AS excluded,
+  CASE WHEN x.a = 'exclude' THEN x.r END AS reason, coalesce(checked, false) AS checked FROM md LEFT JOIN ow ON ow.e = md.e)"""
+
+
+def said(s, d):
+    e, k = unranked(s, d), c("k")
+    action = F.lit("include")
+    for below, name in ((92, "exclude"), (85, "burst"), (80, "no_tube"), (75, "length"), (55, "no_onset"), (50, "onset"), (40, "confirm"), (18, "revert"), (15, "undo")):
+        action = F.when(k < below, name).otherwise(action)
+    reason = F.when(c("event_id") % 2 == 0, "debris").otherwise("not_a_grain")
+    rows = e.select(F.floor(c("entity") / 10).alias("who"), c("event_id").alias("n"), c("entity").alias("e"), "bin", F.round(c("value") / 10).alias("value"), reason.alias("reason"), action.alias("action"))
+    return corrections.since_revert(corrections.effective(rows, "who", "n"), "e", "n")
+
+
+def model_onsets(s, d):
+    m = day_bins(s, d).groupBy(c("entity").alias("e")).agg(F.min(F.when(c("length") > 150, c("bin"))).alias("visible"))
+    return m.withColumn("verdict", F.when(c("visible").isNull(), "no_emergence_by_end").otherwise("emerged_within"))
+
+
+@query("2.11-32", COMMANDS + " SELECT * FROM an")
+def corrected_onsets(s, d):
+    """Onsets and exclusions after all commands, undone and reverted ones aside."""
+    return corrections.onset_answers(said(s, d), model_onsets(s, d), "e", "n")
+
+
+@query("2.11-32", COMMANDS + """, hu AS (SELECT e, bin, arg_max({'a': action, 'v': value}, n) AS t FROM sd WHERE action IN ('length', 'no_tube', 'burst') GROUP BY 1, 2)
+SELECT e, bin, CASE WHEN t.a = 'burst' THEN 'burst' WHEN t.a = 'length' AND t.v >= 2 THEN 'full' ELSE 'no_tube' END AS state, CASE WHEN t.a = 'length' AND t.v >= 2 THEN t.v ELSE 0 END::DOUBLE AS length, 'human' AS origin FROM hu
+UNION ALL SELECT b.entity, b.bin, CASE WHEN length >= 2 THEN 'full' ELSE 'no_tube' END, CASE WHEN length >= 2 THEN round(length, 9) ELSE 0 END, 'confirmed' FROM b JOIN an ON an.e = b.entity LEFT JOIN hu ON hu.e = b.entity AND hu.bin = b.bin
+WHERE b.bin % 4 = 0 AND checked AND verdict IN ('emerged_within', 'emerged_at_start') AND hu.e IS NULL""")
+def corrected_traces(s, d):
+    """Lengths that people gave or confirmed."""
+    b = day_bins(s, d).select(c("entity").alias("e"), "bin", "length")
+    told = said(s, d)
+    return corrections.trace_answers(told, corrections.onset_answers(told, model_onsets(s, d), "e", "n"), b.where("bin % 4 = 0").select("e", "bin"), b, "e", "n")
+
+
+@query("2.11-26", BASE + """, md AS (SELECT entity FROM b WHERE length > 150 GROUP BY 1), g AS (SELECT *, length - lag(length) OVER w > 0.25 AS up FROM b WINDOW w AS (PARTITION BY entity ORDER BY bin)),
+h AS (SELECT *, i - coalesce(max(CASE WHEN up THEN i END) OVER (PARTITION BY entity ORDER BY bin), 0) AS still FROM g)
+SELECT entity, bin, CASE WHEN length >= 2 THEN 'full' ELSE 'no_tube' END AS state, CASE WHEN length >= 2 THEN round(length, 9) ELSE 0 END AS length,
+  round(1 / (1 + exp(0.41 + 0.63 * ln(1 + still) - 0.5 * ln(1 + greatest(length, 0)))), 9) AS confidence FROM h WHERE bin % 4 = 0 AND entity IN (SELECT entity FROM md)""")
+def prefilled_answers(s, d):
+    b = day_bins(s, d).select("entity", "bin", "length")
+    onsets = model_onsets(s, d).withColumnRenamed("e", "entity")
+    return corrections.prefilled(b, onsets, b.where("bin % 4 = 0").select("entity", "bin"), "entity")
+
+
+@query("2.11-24", BASE + """, ch AS (SELECT entity, min(CASE WHEN length > 250 THEN bin END) AS onset, stddev_samp(v) AS threshold, bool_or(n >= 6) AS crowded, bool_or(n >= 5) AS split FROM b GROUP BY 1),
+fl AS (SELECT entity, min(CASE WHEN v > 150 THEN bin END) AS onset, round(arg_max(v, bin), 9) AS final, max(bin) AS last FROM b WHERE entity % 7 <> 0 GROUP BY 1),
+m AS (SELECT ch.entity, ch.onset AS co, fl.onset AS fo, final, ch.crowded, fl.entity IS NOT NULL AND (ch.crowded OR threshold > 60) AS flood, ch.onset IS NULL AND fl.onset IS NOT NULL AND coalesce(final >= 20, false) AS missed FROM ch LEFT JOIN fl ON fl.entity = ch.entity),
+k AS (SELECT *, flood AND NOT crowded AND NOT missed AS keeps FROM m)
+SELECT entity, CASE WHEN flood THEN 'flood' ELSE 'change' END AS reader, CASE WHEN flood AND NOT keeps THEN CASE WHEN fo IS NULL THEN 'no_emergence_by_end' ELSE 'emerged_within' END ELSE CASE WHEN co IS NULL THEN 'no_emergence_by_end' ELSE 'emerged_within' END END AS status,
+  CASE WHEN flood AND NOT keeps THEN fo ELSE co END AS onset, CASE WHEN keeps THEN 'reader:flood;onset:change' WHEN flood AND missed THEN 'reader:flood;onset:flood_over_change' WHEN flood THEN 'reader:flood' WHEN crowded THEN 'touches:6' ELSE '' END AS flags,
+  CASE WHEN keeps AND (co IS NULL OR (SELECT last FROM fl WHERE fl.entity = k.entity) < co) THEN 0 WHEN flood THEN final ELSE (SELECT round(arg_max(length, bin), 9) FROM b WHERE b.entity = k.entity) END AS final FROM k""")
+def dispatched_readers(s, d):
+    """Which of two readers reads each entity, and the length it ends with."""
+    b = day_bins(s, d)
+    series = lambda v: F.array_sort(F.collect_list(F.struct("bin", c(v).alias("length")))).alias("lengths")
+    status = F.when(c("onset").isNull(), "no_emergence_by_end").otherwise("emerged_within").alias("status")
+    change = b.groupBy("entity").agg(F.min(F.when(c("length") > 250, c("bin"))).alias("onset"), F.stddev("v").alias("threshold"), F.when(F.bool_or(c("n") >= 6), F.array(F.lit("touches:6"))).otherwise(F.array().cast("array<string>")).alias("flags"), series("length"))
+    flood = b.where("entity % 7 <> 0").groupBy("entity").agg(F.min(F.when(c("v") > 150, c("bin"))).alias("onset"), F.array(F.lit("reader:flood")).alias("flags"), series("v"))
+    got = corrections.dispatched(change.select("*", status), flood.select("*", status), "entity", 60.0, 20.0)
+    return got.select("entity", "reader", "status", "onset", F.array_join("flags", ";").alias("flags"), F.element_at("lengths", -1)["length"].alias("final"))
