@@ -152,14 +152,57 @@ def box_pairs(left: DataFrame, right: DataFrame, keys: list[str], size: float) -
     return both.where(meet).where((F.col("_cx") == first("x0")) & (F.col("_cy") == first("y0"))).drop("_cx", "_cy")
 
 
-def union_area(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, area of the union of the key's boxes (x0, y0, x1, y1): slabs between neighbouring x ends, merged y runs in each."""
-    w = Window.partitionBy(*keys).orderBy("x")
-    ends = boxes.select(*keys, F.explode(F.array("x0", "x1")).alias("x")).distinct().withColumn("nx", F.lead("x").over(w)).where("nx IS NOT NULL")
-    inside = ends.join(boxes, keys).where("x0 <= x AND x1 >= nx")
-    over = Window.partitionBy(*keys, "x").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1)
-    gain = F.greatest(F.lit(0.0), F.col("y1") - F.greatest("y0", F.coalesce(F.max("y1").over(over), F.col("y0"))))
-    return inside.withColumn("_g", gain * (F.col("nx") - F.col("x"))).groupBy(*keys).agg(F.sum("_g").alias("area"))
+def swept_area(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> float:
+    """Area of a union of boxes: a line sweeps over x, a tree over the y intervals knows the covered length. n boxes take
+    n log n steps."""
+    ys = np.unique(np.concatenate([y0, y1]))
+    n = max(1, len(ys) - 1)
+    lo, hi = np.searchsorted(ys, y0).tolist(), np.searchsorted(ys, y1).tolist()
+    ends = ys.tolist()
+    held, length = [0] * (4 * n), [0.0] * (4 * n)
+
+    def put(node: int, left: int, right: int, a: int, b: int, by: int) -> None:
+        if a <= left and right <= b:
+            held[node] += by
+        else:
+            mid = (left + right) // 2
+            if a < mid:
+                put(2 * node, left, mid, a, b, by)
+            if b > mid:
+                put(2 * node + 1, mid, right, a, b, by)
+        length[node] = ends[right] - ends[left] if held[node] else length[2 * node] + length[2 * node + 1] if right - left > 1 else 0.0
+
+    turns = sorted([(x, k, 1) for k, x in enumerate(x0.tolist())] + [(x, k, -1) for k, x in enumerate(x1.tolist())])
+    area, at = 0.0, turns[0][0] if turns else 0.0
+    for x, k, by in turns:
+        area += length[1] * (x - at) if n > 1 or len(ys) > 1 else 0.0
+        at = x
+        if lo[k] < hi[k]:
+            put(1, 0, n, lo[k], hi[k], by)
+    return area
+
+
+def union_area(boxes: DataFrame, keys: list[str], size: float | None = None) -> DataFrame:
+    """keys, area of the union of the key's boxes (x0, y0, x1, y1).
+
+    Boxes are cut at the edges of grid cells (``size`` wide; four mean boxes if none is given), each cell's parts are swept
+    in a task of their own, and cells add up: a key with many boxes spreads over its cells, and no two boxes are paired.
+    """
+    boxes = boxes.select(*keys, *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    if size is None:
+        size = 4 * (boxes.agg(F.avg(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0] or 1.0) or 1.0
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)))
+    cut = boxes.select(*keys, "x0", "y0", "x1", "y1", cells("x0", "x1").alias("_cx")).select("*", cells("y0", "y1").alias("_cy"))
+    edge = lambda c, cell: [F.greatest(F.col(f"{c}0"), F.col(cell) * size).alias(f"{c}0"), F.least(F.col(f"{c}1"), (F.col(cell) + 1) * size).alias(f"{c}1")]
+    parts = cut.select(*keys, "_cx", "_cy", *edge("x", "_cx"), *edge("y", "_cy")).distinct()
+    kinds = ", ".join(f"`{k}` {boxes.schema[k].dataType.simpleString()}" for k in keys)
+
+    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
+        area = swept_area(*(pdf[c].to_numpy(float) for c in ("x0", "y0", "x1", "y1")))
+        return pd.DataFrame({**{k: pdf[k].iloc[:1].to_numpy() for k in keys}, "area": [area]})
+
+    swept = parts.groupBy(*keys, "_cx", "_cy").applyInPandas(sweep, f"{kinds}, area double")
+    return swept.groupBy(*keys).agg(F.sum("area").alias("area"))
 
 
 def optimal_match(pairs: DataFrame, keys: list[str], unmatched: float, margin: float, most: int = PAIRS_A_TASK) -> DataFrame:

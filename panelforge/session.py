@@ -22,6 +22,17 @@ def ship(spark: SparkSession) -> SparkSession:
                 z.write(p, Path("panelforge") / p.relative_to(root))
         sc.addPyFile(str(path))
         _shipped.add(sc.applicationId)
-    if sc.getCheckpointDir() is None:  # a cluster names a shared folder in spark.checkpoint.dir
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panelforge-"))
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(spark))
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that a cluster names in spark.checkpoint.dir; without one, a local session (tests) gets its own, and a
+    cluster is refused, for a folder of one machine would lose what others write."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="panelforge-")

@@ -145,3 +145,35 @@ def test_ranks_are_exact(spark):
         assert got[k]["n"] == len(v) and got[k]["least"] == v[0]
         assert all(got[k][n] == v[int((len(v) - 1) * q)] for n, q in shares.items()), k
     assert {r["k"]: r["median"] for r in ranks.median(df, ["k"], "v").collect()} == {k: np.median(v) for k, v in values.items()}
+
+
+@pytest.mark.parametrize("size", [None, 3.0, 1000.0])
+def test_union_area_equals_counted_cells(spark, size):
+    from panelforge.operators import matching
+
+    ship(spark)
+    rng = np.random.default_rng(5)
+    boxes, want = [], {}
+    for m in range(3):
+        grid = np.zeros((60, 60), bool)
+        for _ in range(40):
+            x, y, w, h = (int(v) for v in (*rng.integers(-20, 20, 2), *rng.integers(0, 15, 2)))
+            boxes.append((m, float(x), float(y), float(x + w), float(y + h)))
+            grid[x + 20 : x + w + 20, y + 20 : y + h + 20] = True
+        want[m] = float(grid.sum())
+    df = spark.createDataFrame(boxes + boxes[:10], "m long, x0 double, y0 double, x1 double, y1 double")
+    got = {r["m"]: r["area"] for r in matching.union_area(df, ["m"], size).collect()}
+    assert got.keys() == want.keys() and all(abs(got[m] - want[m]) < 1e-6 for m in want)
+
+
+def test_union_area_of_many_boxes_of_one_key(spark):
+    """A hundred thousand boxes that all overlap others: slabs by boxes would be some ten thousand million rows."""
+    import time
+
+    from panelforge.operators import matching
+
+    ship(spark)
+    df = spark.range(100_000).selectExpr("0L m", "id * 0.01 x0", "id * 7919 % 1000 * 0.1 y0", "id * 0.01 + 5 x1", "id * 7919 % 1000 * 0.1 + 5 y1")
+    start = time.time()
+    area = matching.union_area(df, ["m"]).first()["area"]
+    assert 0.98 * 1005 * 105 < area <= 1005 * 105 and time.time() - start < 90
