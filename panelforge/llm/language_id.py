@@ -7,11 +7,12 @@ are cut between characters), both directions run over every window, every letter
 of the whole text gets class probabilities, and their mean logarithm over all
 positions gives the document's probabilities.
 
-Training takes a bounded sample: the same number of labelled rows of each language,
-``SAMPLE_ROWS`` in all, those of distinct texts whose hash is smallest, and of
-each ``SLICES`` windows at even steps from its beginning to its end. The
-languages are those of all labelled rows, however rare, and short texts give short
-windows. Scoring covers every row and every letter. Weights are some ten KB and
+Training takes a bounded sample of the windows of all labelled texts, each text from
+its beginning to its end: the same number of distinct windows with a letter for each
+language, ``SAMPLE_WINDOWS`` in all, those whose hash is smallest. The languages are
+those of all labelled rows with a letter, however rare, and short texts give short
+windows. Scoring covers every row and every letter; a letter is what Unicode counts
+as one (category L) for training and scoring alike. Weights are some ten KB and
 travel as a broadcast.
 
 Defined results: a null text or one without letters is ``und`` with score 0;
@@ -24,24 +25,31 @@ are scored like any other; other columns are ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.llm.common import with_rest
 
 HIDDEN, WINDOW = 8, 64
-SAMPLE_ROWS, SLICES, SLICE_CHARS = 3000, 4, 96
+SAMPLE_WINDOWS = 12_000
 EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 8, 300, 128, 0.02, 7
 GROUP_BYTES = 1 << 20
 
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+def lettered(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def normal(text: bytes) -> bytes:
     return b" ".join(text.translate(_TABLE).split())
 
@@ -185,31 +193,54 @@ def padded(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(joined, np.uint8).reshape(-1, WINDOW), np.array([len(x) for x in windows], np.int64)
 
 
-def sample(labelled: DataFrame, text_col: str, lang_col: str, rows: int) -> DataFrame:
-    """lang and slices (``SLICES`` of ``SLICE_CHARS`` characters at even steps over the whole text) of some rows // languages texts of each language."""
-    t = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).alias("lang")).where(F.col("t").rlike(r"\p{L}"))
-    t = t.withColumn("h", F.xxhash64("t"))
-    values = {r["lang"]: r["n"] for r in t.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
-    each = max(1, rows // max(1, len(values)))
-    # a threshold for each language leaves some two times the rows wanted, whatever the size of the table
-    limits = [(lang, int(2**65 * each / n) - 2**63 if n > 4 * each else 2**63 - 1) for lang, n in values.items()]
-    most = F.create_map(*[F.lit(x) for pair in limits for x in pair]) if limits else F.lit(None).cast("map<string,long>")
-    few = t.where(F.col("h") <= most[F.col("lang")])
-    step = (F.greatest(F.lit(0), F.length("t") - SLICE_CHARS) / F.lit(max(1, SLICES - 1))).alias("step")
-    few = few.withColumn("step", step)
-    slices = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda k: F.substring("t", F.floor(k * F.col("step")).cast("int") + 1, F.lit(SLICE_CHARS))))
-    once = few.select("lang", "h", slices.alias("slices")).groupBy("lang", "h").agg(F.min("slices").alias("slices"))
-    return once.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= each).select("lang", "slices", "h")
-
-
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> tuple[list[str], dict]:
-    """(languages, weights) from a bounded sample of ``rows`` labelled rows."""
-    found = [(r["lang"], piece) for r in sorted(sample(labelled, text_col, lang_col, rows).collect(), key=lambda r: (r["lang"], r["h"])) for x in r["slices"] for piece in cut(normal(x.encode()))[:1]]
+def sample(labelled: DataFrame, text_col: str, lang_col: str, windows: int) -> list[tuple[str, bytes]]:
+    """(lang, window) of some windows // languages windows of each language, in order of language and hash."""
+    t = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).alias("lang")).where(lettered(F.col("t")))
+    sizes = t.groupBy("lang", F.xxhash64("t").alias("h")).agg((F.max(F.octet_length("t")) / WINDOW + 1).alias("n"))
+    values = {r["lang"]: r["n"] for r in sizes.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    each = max(1, windows // max(1, len(values)))
+
+    def least(some: DataFrame, limits: dict[str, int]) -> list:
+        """The windows of the ``each`` least hashes of every language, of those below its limit."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = {}
+                for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    limit = limits[lang]
+                    for piece in cut(normal(text.encode())):
+                        h = xxhash.xxh64_intdigest(piece) - (1 << 63)
+                        if h <= limit and has_letter(piece.decode()):
+                            out[lang, h] = piece
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.string()), pa.array([k[1] for k in out], pa.int64()), pa.array(list(out.values()), pa.binary())], names=["lang", "h", "piece"])
+
+        found = some.mapInArrow(run, "lang string, h long, piece binary").groupBy("lang", "h").agg(F.min("piece").alias("piece"))
+        return found.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= each).select("lang", "h", "piece").collect()
+
+    # a threshold for each language leaves some two times the windows wanted, whatever the size of the table; where most of
+    # a language's windows repeat or hold no letter it leaves too few, and a pass over that language raises it
+    shares, rows = {lang: 2 * each / n if n > 4 * each else 1.0 for lang, n in values.items()}, []
+    while shares:
+        found = least(t if len(shares) == len(values) else t.where(F.col("lang").isin(*shares)), {lang: min(int(2**64 * share), 2**64 - 1) - 2**63 for lang, share in shares.items()})
+        count = Counter(r["lang"] for r in found)
+        again = {lang for lang, share in shares.items() if share < 1 and count[lang] < each}
+        rows += [r for r in found if r["lang"] not in again]
+        shares = {lang: min(1.0, 16 * shares[lang]) for lang in again}
+    return [(r["lang"], bytes(r["piece"])) for r in sorted(rows, key=lambda r: (r["lang"], r["h"]))]
+
+
+def has_letter(text: str) -> bool:
+    return any(unicodedata.category(m[0])[0] == "L" for m in _MAYBE_LETTER.finditer(text))
+
+
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", windows: int = SAMPLE_WINDOWS) -> tuple[list[str], dict]:
+    """(languages, weights) from a bounded sample of ``windows`` windows of the labelled rows' whole texts."""
+    found = sample(labelled, text_col, lang_col, windows)
     if not found:
         return [], {}
     languages = sorted({lang for lang, _ in found})
-    windows, filled = padded([piece for _, piece in found])
-    return languages, train(windows, filled, np.array([languages.index(lang) for lang, _ in found]), len(languages))
+    x, filled = padded([piece for _, piece in found])
+    return languages, train(x, filled, np.array([languages.index(lang) for lang, _ in found]), len(languages))
 
 
 def _document_scores(w: dict, texts: list[bytes], classes: int) -> np.ndarray:
@@ -246,9 +277,9 @@ def language_id(docs: DataFrame, model: tuple[list[str], dict], id_col: str = "d
                     langs[row], scores[row] = languages[best], most
                 group.clear()
 
-            held = 0
+            held, letters = 0, batch.column(batch.num_columns - 1)
             for row, text in enumerate(batch.column(1).to_pylist()):
-                if languages and text and _LETTER.search(text):
+                if languages and text and letters[row].as_py():
                     group.append((row, normal(text.encode())))
                     held += len(group[-1][1])
                 if held >= GROUP_BYTES:
@@ -256,7 +287,7 @@ def language_id(docs: DataFrame, model: tuple[list[str], dict], id_col: str = "d
                     held = 0
             if group:
                 work()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *batch.columns[more:]], names=["doc_id", "lang_pred", "score", *batch.schema.names[more:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *batch.columns[more:-1]], names=["doc_id", "lang_pred", "score", *batch.schema.names[more:-1]])
 
     named, schema = with_rest(docs, id_col, text_col, rest)
-    return named.mapInArrow(run, f"doc_id long, lang_pred string, score double{schema}")
+    return named.withColumn("has a letter", lettered(F.col("text"))).mapInArrow(run, f"doc_id long, lang_pred string, score double{schema}")
