@@ -42,26 +42,45 @@ GROUP_PAGES = 256
 #: HTML elements that stand inside a line.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is never text of the page (the head aside).
-HIDDEN_TAGS = frozenset("script style template noscript svg textarea select iframe object title".split())
+#: Elements whose content is raw, up to their end tag or the end of the page, and never text of the page.
+RAW_TAGS = frozenset("script style textarea iframe title".split())
+#: Elements whose content is markup that is never shown as text of the page.
+HIDDEN_TAGS = frozenset("template svg select".split())
+#: Tags that cannot stand in an svg and end it.
+_ENDS_SVG = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup "
+    "table tt u ul var".split()
+)
+#: Tags that can stand in a select; others end one that no end tag of its own ends.
+_IN_SELECT = frozenset("option optgroup hr button legend selectedcontent".split())
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _STOP = re.compile("[>\"']")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
-_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in HIDDEN_TAGS}
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW_TAGS | HIDDEN_TAGS}
+_STARTS = {tag: re.compile(rf"<{tag}(?=[\s/>])", re.I) for tag in HIDDEN_TAGS}
 #: Tags that may stand in a head, besides hidden ones.
-_IN_HEAD = frozenset("html head base basefont bgsound link meta noframes".split())
+_IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript template".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
 def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
-    """(begin, end, tag, whether it closes, attributes) of each piece of markup in page order; comments and hidden elements have no tag.
+    """(begin, end, tag, whether it closes, attributes) of each piece of markup in page order; comments and whole raw or hidden
+    elements have no tag. A hidden element is whole if its end tag comes before another start tag of its kind; others are
+    opened like any element, and ``blocks`` decides where they end.
 
     One pass: whatever a search passes over is not searched again. A tag ends at the first > outside of quoted values, or,
     if the page has none, at the first > of all; markup that never ends takes the rest of the page.
     """
     at, strict = 0, True
+    ahead: dict[str, re.Match | None] = {}
+
+    def end_tag(tag: str, i: int) -> re.Match | None:
+        """The tag's next end tag from i on."""
+        if tag not in ahead or ahead[tag] and ahead[tag].start() < i:
+            ahead[tag] = _ENDS[tag].search(page, i)
+        return ahead[tag]
 
     def tag_end(i: int) -> int:
         """One past the > of the tag whose attributes begin at i; 0 if there is none."""
@@ -88,11 +107,13 @@ def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
         if m:
             tag, end = m[0].lower(), tag_end(m.end()) or len(page)
             attributes = page[m.end() : end - 1] if page[end - 1] == ">" else page[m.end() : end]
-            if tag in HIDDEN_TAGS and not closes:
-                if tag != "svg" or not attributes.endswith("/"):
-                    stop = _ENDS[tag].search(page, end)
-                    end = (page.find(">", stop.end()) + 1 if stop else 0) or len(page)
-                tag = ""
+            if not closes and (tag in RAW_TAGS or tag in HIDDEN_TAGS):
+                if tag == "svg" and attributes.endswith("/"):
+                    tag = ""
+                else:
+                    stop = end_tag(tag, end)
+                    if tag in RAW_TAGS or stop and not _STARTS[tag].search(page, end, stop.start()):
+                        end, tag = (page.find(">", stop.end()) + 1 if stop else 0) or len(page), ""
             yield begin, end, tag, closes, attributes
         elif after in ("!", "?", "/") and after:
             close = page.find("-->", begin + 2) + 3 if page.startswith("!--", begin + 1) else page.find(">", begin) + 1
@@ -187,6 +208,8 @@ def blocks(page: str) -> list[tuple[Element | None, str, int]]:
 
     def take(stop: int) -> None:
         nonlocal linked
+        if any(now.of_tag.get(hidden) for hidden in HIDDEN_TAGS):
+            return
         text.append(page[at:stop])
         linked += (stop - at) * bool(now.of_tag.get("a"))
 
@@ -204,11 +227,16 @@ def blocks(page: str) -> list[tuple[Element | None, str, int]]:
             continue
         if tag == "head":
             head = not closes
+        if not closes:
+            while tag in _ENDS_SVG and now.of_tag.get("svg"):
+                now.close("svg")
+            while tag not in _IN_SELECT and tag not in INLINE and now.of_tag.get("select"):
+                now.close("select")
         if tag not in INLINE:
             end()
         if closes:
             now.close(tag)
-        elif tag not in VOID and not attributes.endswith("/"):
+        elif tag not in VOID and not (attributes.endswith("/") and now.of_tag.get("svg")):
             if tag in _CLOSES_P:
                 if now.innermost_block() == "p":
                     now.close("p")

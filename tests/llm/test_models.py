@@ -105,17 +105,32 @@ def test_languages_of_short_and_rare_texts(spark):
     assert model[0] == ["aa", "bb", "rare"]
     got = {r["doc_id"]: r["lang_pred"] for r in language_id.language_id(docs, model).collect()}
     assert np.mean([got[i] == lang for i, _, lang in rows[:122]]) > 0.95 and got[202] == got[203] == "und"
-    few = language_id.fit(docs, rows=9)
+    few = language_id.fit(docs, windows=9)
     assert few[0] == ["aa", "bb", "rare"]
     one = language_id.fit(docs.where("lang = 'aa'"))
     assert {r["lang_pred"] for r in language_id.language_id(docs.where("doc_id < 10"), one).collect()} == {"aa"}
 
 
 def test_language_sample_is_bounded_and_even(spark):
-    rows = [(f"{lang} text {k} " + " ".join(f"q{j}" for j in range(150)) + f" end{k}", lang) for lang, n in (("a", 3000), ("b", 40)) for k in range(n)]
-    got = language_id.sample(spark.createDataFrame(rows, "text string, lang string").repartition(5), "text", "lang", 60).collect()
-    assert sum(r["lang"] == "a" for r in got) == sum(r["lang"] == "b" for r in got) == 30
-    assert all(len(r["slices"]) == language_id.SLICES and "text" in r["slices"][0] and "end" in r["slices"][-1] for r in got)
+    """As many windows of each language, from anywhere in the texts; a copy counts once."""
+    rows = [(f"{lang} text {k} " + " ".join(f"{'xy'[k % 2]}{'qrstuv'[j // 25]}w{chr(97 + j % 26)}{chr(97 + k % 26)}" for j in range(150)) + f" end{k}", lang) for lang, n in (("a", 3000), ("b", 40)) for k in range(n)]
+    got = language_id.sample(spark.createDataFrame(rows + rows[:500], "text string, lang string").repartition(5), "text", "lang", 600)
+    assert sum(lang == "a" for lang, _ in got) == sum(lang == "b" for lang, _ in got) == 300 and len(set(got)) == 600
+    for lang in "ab":
+        whole = b" ".join(piece for own, piece in got if own == lang)
+        assert all(bytes([120 + k, ord(part)]) in whole for k in (0, 1) for part in "qrstuv") and b" end" in whole
+
+
+def test_languages_whose_letters_come_late_or_rarely(spark):
+    """A language of one letter behind 5000 signs, and letters of one definition: superscripts, fractions and circled digits are none."""
+    signs = "\u00b2 \u00bd \u2460 123 ?! " * 200
+    rows = [(k, "bana lomu kari sote mipa duro " * 30, "aa") for k in range(40)] + [(100, signs + "\u00f1", "late"), (101, signs, "none"), (102, "\u00b2\u00bd\u2460", None), (103, "\u2160 \u16ee", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert model[0] == ["aa", "late"]
+    assert language_id.fit(docs, windows=2)[0] == ["aa", "late"]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.language_id(docs, model).collect()}
+    assert got[101] == got[102] == got[103] == ("und", 0.0) and got[0][0] == "aa" and got[100][0] in model[0]
 
 
 @pytest.mark.parametrize("text", ["", "a", "ab cd " * 40, "x" * 200, "é" * 100 + " ok", ("ñ" * 31 + " ") * 9, " ".join("w" * k for k in range(1, 90))])
@@ -306,7 +321,34 @@ def test_html_labeller_on_new_layouts():
     assert total > 1000 and right / total > 0.97
 
 
-@pytest.mark.parametrize("page", ["<div " * 20_000, "<div>x" * 20_000, "<div>" * 20_000 + "</span>" * 20_000, "<b>" * 20_000 + "<div></div>" * 20_000, '<div ">" ' * 20_000, '<div a=">" ' * 20_000, "<!--" * 20_000, "<script>" * 20_000, "<" * 100_000])
+@pytest.mark.parametrize("page, want", [
+    ("<object data=x><p>Article</object><p>after", ["Article", "after"]),
+    ("<noscript>hi<p>Article", ["hi", "Article"]),
+    ("<select><option>a<p>Article", ["Article"]),
+    ("<div><select><option>a</div><p>Article", ["Article"]),
+    ("<select><option>a<option>b</select><p>Article", ["Article"]),
+    ("<select><option>a<p>Article<select><option>b</select><p>more", ["Article", "more"]),
+    ("<svg><text>a<p>Article", ["Article"]),
+    ("<svg><svg><text>a</text></svg><text>b</text></svg><p>Article", ["Article"]),
+    ("<svg><path d=x /><title>t</title><text>a</svg>Article", ["Article"]),
+    ("<div><template><p>a</div><p>Article", ["Article"]),
+    ("<template>a<template>b</template>c</template><p>Article", ["Article"]),
+    ("<head><noscript><link href=x></noscript><title>t</title></head><p>Article", ["Article"]),
+    ("<div/><p/>Article<my-icon/> more<p>after", ["Article", "more", "after"]),
+    ("<p>Article<iframe>a<p>b</iframe><textarea>c</textarea> more", ["Article more"]),
+])
+def test_html_hidden_elements_end_where_they_must(page, want):
+    assert [text for _, text, _ in html_extract.blocks(page)] == want
+
+
+def test_html_batches_equal_single_pages():
+    """Pages of unequal lengths in one batch have the labels that each has alone."""
+    w, plain = html_extract.train(), random.Random(5)
+    pages = [html_extract.compose(plain)[0] for _ in range(40)] + ["", "<p>one", "plain"] + [page for page, _ in PAGES]
+    assert html_extract.labelled(pages, w) == [html_extract.labelled([p], w)[0] for p in pages]
+
+
+@pytest.mark.parametrize("page", ["<svg>" * 20_000 + "</svg>", "<select><option>" * 20_000, "<template>x</template>" * 10_000 + "<template>" * 10_000, "<div " * 20_000, "<div>x" * 20_000, "<div>" * 20_000 + "</span>" * 20_000, "<b>" * 20_000 + "<div></div>" * 20_000, '<div ">" ' * 20_000, '<div a=">" ' * 20_000, "<!--" * 20_000, "<script>" * 20_000, "<" * 100_000])
 def test_html_takes_time_in_proportion_to_the_page(page):
     now = time.process_time()
     found = html_extract.blocks(page)
