@@ -103,3 +103,16 @@ def recent_growth(rows: DataFrame, keys: list[str], order: list[str], value: str
     """Mean of the last k rows minus the mean of the k before."""
     w = running(keys, order)
     return rows.withColumn(out, F.avg(value).over(w.rowsBetween(1 - k, 0)) - F.avg(value).over(w.rowsBetween(1 - 2 * k, -k)))
+
+
+def flat_field(rows: DataFrame, keys: list[str], at: str, value: str, out: str, sigma: float = 2.0) -> DataFrame:
+    """rows with ``out``: the value over its slow background (a Gaussian mean over rows ``at``, three sigmas wide, 1 at
+    least), times the key's median, so that the level stays. ``at`` counts rows without gaps."""
+    reach = int(3 * sigma)
+    offset = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
+    near = rows.select(*keys, F.col(at).alias("_at"), F.col(value).alias("_v"), offset.alias("_d"))
+    near = near.select(*keys, (F.col("_at") + F.col("_d")).alias(at), "_v", F.exp(-(F.col("_d") * F.col("_d")) / (2.0 * sigma * sigma)).alias("_w"))
+    ground = near.groupBy(*keys, at).agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("_ground"))
+    level = rows.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("_level"))
+    met = rows.join(ground, [*keys, at]).join(level, keys)
+    return met.withColumn(out, F.col(value) / F.greatest(F.col("_ground"), F.lit(1.0)) * F.col("_level")).drop("_ground", "_level")

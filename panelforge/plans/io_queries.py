@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from panelforge.functions import parameters
 from panelforge.plans.base import BASE, c, day_bins, query, readings, table, unranked
-from panelforge.sources import backup, readers, writers
+from panelforge.sources import backup, exports, readers, writers
 from panelforge.streaming import bank, live, streams
 
 
+@dataclass(frozen=True)
+class Limits:
+    click: int = 3
+    view: float = 0.5
+    error: str = "none"
+
+
 #: A document holds so many entities, whatever the size of the table.
 PER_DOCUMENT = 64
 
@@ -171,3 +181,24 @@ def bank_followed(s, d):
 def stream_bank(s, d):
     looks = streams.source(s, d, "embeddings", "vec_id long, embedding array<float>, label int").where("embedding IS NOT NULL").select(c("label").cast("long").alias("label"), "vec_id", "embedding")
     return streams.caught_up(bank.stream(looks, "label", "vec_id", "embedding", BANK), writers.scratch(s), ["label"])
+
+
+@query("2.2-6", BASE + """, g AS (SELECT entity % 10 AS movie, 'entities' AS name, count(DISTINCT entity) AS n FROM b GROUP BY 1)
+SELECT movie, name, n, CAST(NULL AS VARCHAR) AS error FROM g UNION ALL SELECT entity % 10, 'growth', count(*), NULL FROM b GROUP BY 1""")
+def movie_bundle(s, d):
+    """All tables of each movie under one folder, and what was written of each."""
+    b = day_bins(s, d).withColumn("movie", c("entity") % 10)
+    tables = {"entities": lambda: b.groupBy("movie", "entity").agg(F.max("length").alias("final")), "growth": lambda: b.select("movie", "entity", "bin", "length")}
+    return exports.bundle(s, tables, writers.scratch(s), "movie")
+
+
+@query("2.13-1", """WITH e AS (SELECT DISTINCT event_type || '=' || CASE WHEN event_id % 3 = 0 THEN CAST(props->>'$.k' AS VARCHAR) WHEN event_id % 3 = 1 THEN 'yes' ELSE '0.5' END AS line FROM events),
+k AS (SELECT line, split_part(line, '=', 1) AS name, split_part(line, '=', 2) AS value FROM e)
+SELECT line, name, value, CASE WHEN value = 'yes' THEN 'text' WHEN value = '0.5' THEN 'float' ELSE 'int' END AS kind,
+  CASE WHEN name NOT IN ('click', 'view', 'error') THEN 'unknown' WHEN name = 'click' AND (value = 'yes' OR value = '0.5') THEN 'wrong kind' WHEN name = 'view' AND value = 'yes' THEN 'wrong kind' END AS problem FROM k""")
+def typed_overrides(s, d):
+    """Overrides as texts against typed defaults."""
+    n = c("event_id") % 3
+    value = F.when(n == 0, F.get_json_object("props", "$.k")).when(n == 1, "yes").otherwise("0.5")
+    lines = table(s, d, "events").select(F.concat("event_type", F.lit("="), value).alias("line")).distinct()
+    return parameters.judged(lines, "line", Limits())

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from panelforge.operators import curves, flood, lattice, matching, optimize, registration, routes, suppression
 from panelforge.operators import events as ev
 from panelforge.plans.base import BASE, KEYS, c, day_bins, query, readings, table, unranked
+from panelforge.sources import exports, writers
 
 
 LEVELS = 10
@@ -247,6 +248,17 @@ def corrected_curves(s, d):
     return curves.through_checks(b, KEYS, "i", "length", "seen", "first", 10)
 
 
+@query("2.2-9", "SELECT entity AS grain, z.i AS bin, z.i * 300 + 150 AS frame, CAST(CAST(round(CAST((z.i * 300 + 150) * 2.5 / 60.0 AS DECIMAL(18,6)), 2) AS DECIMAL(18,2)) AS VARCHAR) AS minutes, CAST(CAST(round(CAST(length AS DECIMAL(18,6)), 2) AS DECIMAL(18,2)) AS VARCHAR) AS length_px, CAST(CAST(round(CAST(length * 0.65 AS DECIMAL(18,6)), 2) AS DECIMAL(18,2)) AS VARCHAR) AS length_um, coalesce(n, 0) AS checked_lengths FROM ("
+    + CORRECTED.replace("SELECT entity, i, round(", "SELECT entity, i, (") .replace(", 9) AS length FROM z", ") AS length FROM z") + ") z LEFT JOIN (" + BASE + " SELECT entity, count(*) AS n FROM b WHERE n >= 4 GROUP BY 1) k USING (entity)")
+def reviewed_growth_export(s, d):
+    """Corrected curves as a long table with units, written as CSV and read back."""
+    checks = day_bins(s, d).where("n >= 4").groupBy(c("entity").alias("grain")).agg(F.count("*").alias("n"))
+    rows = exports.reviewed_growth(corrected_curves(s, d).select(c("entity").alias("grain"), c("i").alias("bin"), "length"), checks, 300, 0.65, 2.5)
+    path = writers.scratch(s)
+    writers.csv(rows, path)
+    return s.read.option("header", True).schema("grain long, bin long, frame long, minutes string, length_px string, length_um string, checked_lengths long").csv(path)
+
+
 @query("2.11-9 2.12-4", BASE + ", g AS (SELECT entity, bin, v, CASE WHEN bin - lag(bin) OVER (PARTITION BY entity ORDER BY bin) > 2 THEN 1 ELSE 0 END AS cut FROM b WHERE v > 40), q AS (SELECT *, sum(cut) OVER (PARTITION BY entity ORDER BY bin ROWS UNBOUNDED PRECEDING) AS spell FROM g) SELECT entity, CAST(spell AS BIGINT) AS spell, min(bin) AS first, max(bin) AS last, count(*) AS n, round(sum(v), 6) AS grown FROM q GROUP BY 1, 2")
 def idle_reset_spells(s, d):
     w = Window.partitionBy("entity").orderBy("bin")

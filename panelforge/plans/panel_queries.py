@@ -105,6 +105,13 @@ def local_contrast(s, d):
     return panel.local_contrast(day_bins(s, d), KEYS, ["bin"], "v", 3, "high").select("entity", "bin", "high")
 
 
+@query("2.3-28", BASE + """, md AS (SELECT entity, median(v) AS level FROM b GROUP BY 1),
+g AS (SELECT a.entity, a.bin, a.v, sum(exp(-((a.i - o.i) * (a.i - o.i)) / 8.0) * o.v) / sum(exp(-((a.i - o.i) * (a.i - o.i)) / 8.0)) AS ground FROM b a JOIN b o ON a.entity = o.entity AND abs(a.i - o.i) <= 6 GROUP BY 1, 2, 3)
+SELECT g.entity, bin, round(v / greatest(ground, 1) * level, 6) AS flat FROM g JOIN md ON md.entity = g.entity""")
+def flat_field(s, d):
+    return panel.flat_field(day_bins(s, d), KEYS, "i", "v", "flat", 2.0).select("entity", "bin", F.round("flat", 6).alias("flat"))
+
+
 @query("2.7-22", BASE + f" SELECT entity, bin, round(avg(v) OVER ({WE} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) - avg(v) OVER ({WE} ROWS BETWEEN 5 PRECEDING AND 3 PRECEDING), 9) AS growth FROM b")
 def recent_window_growth(s, d):
     return panel.recent_growth(day_bins(s, d), KEYS, ["bin"], "v", 3, "growth").select("entity", "bin", "growth")
