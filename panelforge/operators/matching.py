@@ -117,7 +117,8 @@ def components(nodes: DataFrame, edges: DataFrame, id_: str = "id", most: int =
     now = nodes.select(F.col(id_).alias("id"), F.col(id_).alias("c"))
     for _ in range(most):
         seen = both.join(now, F.col("b") == F.col("id")).select(F.col("a").alias("id"), "c")
-        new = now.unionByName(seen).groupBy("id").agg(F.min("c").alias("c"))
+        # written out, so that the join below reads plain exchanges and Spark can split a label that very many share
+        new = now.unionByName(seen).groupBy("id").agg(F.min("c").alias("c")).checkpoint()
         above = new.select(F.col("id").alias("_m"), F.col("c").alias("_c"))
         hop = new.join(above, F.col("c") == F.col("_m")).select("id", F.col("_c").alias("c")).checkpoint()
         changed = hop.join(now.withColumnRenamed("c", "o"), "id").where("c <> o").limit(1).count()

@@ -51,9 +51,12 @@ def resolve_redirects(edges: DataFrame, most: int = 20) -> DataFrame:
 def save(entities: DataFrame, revisions: DataFrame, writes: DataFrame, key: str, expected: str | None = None, create_only: bool = False) -> tuple[DataFrame, DataFrame]:
     """(entities, revisions) after one atomic save: all writes or none.
 
+    The inputs are written out first, so what is checked is what is saved, whatever changes at their sources meanwhile; to
+    put the results in place is the caller's part.
     A key is written once; with ``expected`` (null: no entity yet) it must be the entity's revision; create_only refuses
     keys that exist. The new revision is one more than the largest of either table, so revisions are never used again.
     """
+    entities, revisions, writes = entities.checkpoint(), revisions.checkpoint(), writes.checkpoint()
     if writes.groupBy(key).count().where("count > 1").limit(1).count():
         raise ValueError("one write for each key")
     found = writes.join(entities.select(key, F.col("revision").alias("_now")), key, "left")

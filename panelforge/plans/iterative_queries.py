@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelforge.operators import curves, flood, lattice, matching, optimize, registration, routes, suppression
+from panelforge.operators import curves, flood, hypotheses, lattice, matching, optimize, registration, routes, suppression
 from panelforge.operators import events as ev
 from panelforge.plans.base import BASE, KEYS, c, day_bins, query, readings, table, unranked
 from panelforge.sources import exports, writers
@@ -340,6 +340,37 @@ def best_hypothesis(s, d):
     return y.groupBy("entity").agg(F.max_by("path", F.struct(c("score"), -c("path"))).alias("best"), F.max("score").alias("score"))
 
 
+#: Three paths of each entity; a path's readings are those whose number leaves its own rest by three.
+HYPOTHESES = (
+    FRONT[: FRONT.rindex("\nSELECT")].replace("user_id AS entity", "user_id * 3 + event_id % 3 AS entity").replace("PARTITION BY user_id ORDER", "PARTITION BY user_id * 3 + event_id % 3 ORDER")
+    + """,
+nr AS (SELECT entity, i, near, ridge FROM (SELECT entity, bin, avg(CASE WHEN k < 60 THEN 1.0 ELSE 0 END) AS near, row_number() OVER (PARTITION BY entity ORDER BY bin) - 1 AS i FROM r GROUP BY 1, 2)
+  JOIN (SELECT entity, avg(CASE WHEN k < 50 THEN 1.0 ELSE 0 END) AS ridge FROM r GROUP BY 1) USING (entity)),
+lf AS (SELECT entity, min(i) FILTER (front >= 3) AS l, arg_max(front, i) AS final FROM tr GROUP BY 1),
+th AS (SELECT lf.entity, l, final, coalesce(median(near) FILTER (nr.i >= greatest(0, l - 8) AND nr.i < greatest(0, l - 2)) >= 0.5, false) AS through, any_value(ridge) AS ridge FROM lf JOIN nr ON nr.entity = lf.entity GROUP BY 1, 2, 3),
+sc AS (SELECT th.entity // 3 AS entity, th.entity % 3 AS path, list_max(fin.sc) AS explained, through, final, ridge FROM th JOIN fin ON fin.entity = th.entity),
+v AS (SELECT *, CASE WHEN explained > 0 THEN explained * (0.5 + 0.5 * ridge) ELSE explained END AS raw FROM sc),
+o AS (SELECT *, CASE WHEN NOT through THEN raw WHEN raw > 0 THEN raw * 0.25 ELSE raw - 10 END AS score FROM v)
+SELECT entity, path, round(explained, 9) AS explained, through, CAST(final AS BIGINT) AS final, round(score, 9) AS score, round(score - lead(score) OVER w, 9) AS margin FROM o
+WINDOW w AS (PARTITION BY entity ORDER BY score DESC, path) QUALIFY row_number() OVER w = 1"""
+)
+
+
+@query("2.11-16", HYPOTHESES)
+def best_path_hypothesis(s, d):
+    """The best of three paths of each entity by evidence, ridge and what was there before."""
+    r = unranked(s, d).withColumn("path", c("event_id") % 3)
+    e = r.groupBy("entity", "path", "bin", F.expr("k div 10").alias("level")).agg((F.sum(F.round("value")) - 100 * F.count("*")).alias("e"))
+    rows = [F.lit(0.0)]
+    for k in range(LEVELS):
+        rows.append(rows[-1] + F.sum(F.when(c("level") == k, c("e")).otherwise(0.0)))
+    g = e.groupBy("entity", "path", "bin").agg(F.array(*rows).alias("gains"))
+    near = r.groupBy("entity", "path", "bin").agg(F.avg(F.when(c("k") < 60, 1.0).otherwise(0.0)).alias("near"))
+    ridge = r.groupBy("entity", "path").agg(F.avg(F.when(c("k") < 50, 1.0).otherwise(0.0)).alias("ridge"))
+    bins = g.join(near, ["entity", "path", "bin"]).join(ridge, ["entity", "path"])
+    return hypotheses.best(hypotheses.scored(bins, KEYS, "path", "bin"), KEYS, "path").drop("beyond")
+
+
 @query("2.11-18", "SELECT e AS entity, t, sum(CASE WHEN t < 5 + e % 9 OR (t - e) % 6 = 0 OR t > 40 THEN 0 ELSE 1 + e % 4 END) OVER (PARTITION BY e ORDER BY t ROWS UNBOUNDED PRECEDING) AS length FROM range(50) a(e), range(48) b(t)")
 def synthetic_growth(s, d):
     """Seeded schedules of onset, rate, pauses and stop for 50 entities of 48 bins."""

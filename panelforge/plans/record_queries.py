@@ -83,10 +83,10 @@ def table_digest(s, d):
     return review.ordered_digest(t, ["kind"], [c("conv_id").cast("string"), c("turn").cast("string"), c("text")])
 
 
-@query("2.2-16 2.12-5", BASE + " SELECT entity, max(event_id) AS last_id, arg_max(value, ts) AS value, count(*) AS n FROM r WHERE event_type IN ('click', 'view') GROUP BY 1")
+@query("2.2-16 2.12-5", BASE + " SELECT entity, max(event_id) AS last_id, arg_max(value, struct_pack(t := ts, e := event_id)) AS value, count(*) AS n FROM r WHERE event_type IN ('click', 'view') GROUP BY 1")
 def journal_replay(s, d):
     r = unranked(s, d).where(c("event_type").isin("click", "view"))
-    return r.groupBy("entity").agg(F.max("event_id").alias("last_id"), F.max_by("value", "ts").alias("value"), F.count("*").alias("n"))
+    return r.groupBy("entity").agg(F.max("event_id").alias("last_id"), F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.count("*").alias("n"))
 
 
 @query("2.4-1 2.4-3", "SELECT c_custkey, c_nationkey FROM customer WHERE coalesce(CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_acctbal > 0 END, true) AND c_mktsegment <> 'HOUSEHOLD'")
