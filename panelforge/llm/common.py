@@ -37,6 +37,15 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A table of so few narrow rows, some tens of megabytes, may go to every executor.
+FEW_ROWS = 500_000
+
+
+def broadcast_if_small(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """df (narrow rows, written out) to be broadcast if it has ``most`` rows at most, else as it is, to be shuffled."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def input_buckets(df: DataFrame, per_partition: int = 2, least: int = 8) -> int:
     """Number of hash buckets in proportion to the input: a fixed number for each input split."""
     return max(least, per_partition * df.rdd.getNumPartitions())

@@ -23,7 +23,8 @@
    members or ``BLOCK_SHINGLES`` shingles is cut into blocks: first each block is
    verified together with the family's least set, its centre; members that no
    chain of links ties to the centre inside their block are then verified
-   against all blocks. A task stays bounded, and a group of near copies of one
+   against the other blocks, two blocks a task, once for each two that a group with
+   such a member spans. A task stays bounded, and a group of near copies of one
    text takes one comparison for each member. A task returns the links that it
    found merged into stars round the least document of each component.
 4. Components of the links give the result.
@@ -46,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm import blobs
-from panelforge.llm.common import input_buckets, materialized, smallest
+from panelforge.llm.common import broadcast_if_small, input_buckets, materialized, smallest
 from panelforge.llm.graph import connected_components
 from panelforge.llm.textnum import Words, chunks, distinct, mix
 
@@ -285,8 +286,9 @@ def links(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> tupl
         return materialized(sizes.select("family", "members", blocks().alias(name)))
 
     sizes = counted(named, "blocks").where("members > 1").drop("members")
-    placed = named.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    texts = docs.join(placed, F.col("doc_id") == F.col("rep")).select("rep", "text", "n", "family", "centre", "blocks", "block")
+    placed = materialized(named.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
+    # texts of members alone, written once: whatever needs them later reads these and does not join all texts again
+    texts = materialized(docs.join(broadcast_if_small(placed), F.col("doc_id") == F.col("rep")).select("rep", "text", "n", "family", "centre", "blocks", "block"))
     # the centre stands in every block of its family
     every = F.when(F.col("centre"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     tasks = texts.select("rep", "text", "family", "centre", "blocks", F.explode(every).alias("block"))
@@ -317,22 +319,25 @@ def links(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> tupl
     seen = materialized(tasks.repartition(2 * buckets, "family", "block").groupBy("family", "block").applyInPandas(verify, "a long, b long"))
     edges, left = seen.where("b IS NOT NULL"), seen.where("b IS NULL").select(F.col("a").alias("rep")).distinct()
     if left.limit(1).count():
-        left = materialized(left.join(placed, "rep").select("rep", "family", "n"))
-        counts = counted(left, "parts").drop("members")
-        left = left.join(counts, "family").select("rep", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("i"))
-        members = materialized(texts.join(counts.select("family"), "family", "left_semi"))
-        # Part i of the open ones and block j meet where a group has members in both, and of both only the members of such groups.
-        # Most groups have one member and ask nothing: they go before anything wider than a key moves.
+        left = materialized(left)
+        own = materialized(placed.join(broadcast_if_small(left.withColumnRenamed("rep", "_open")), F.col("rep") == F.col("_open"), "left").select("rep", "family", "block", F.col("_open").isNotNull().alias("open")))
+        cut = own.where("open").select("family").distinct()
+        members = texts.join(cut, "family", "left_semi")
+        # Two blocks meet where a group has an open member in one of them and any member in the other, and of both only the
+        # members of such groups; a block by itself has been verified. Groups without an open member, and groups of one,
+        # ask nothing: they go before anything wider than a key moves.
         alone = materialized(_group_keys(members, width, percent, common))
-        shared = alone.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("key")
-        keys = alone.join(shared, "key", "left_semi").distinct().join(members.select("rep", "family", "block").distinct(), "rep")
-        keys = materialized(keys.select("family", "block", "rep", "key"))
-        asks = materialized(keys.join(left, "rep").select("family", "key", "rep", "i"))
-        pairs = materialized(asks.select("family", "key", "i").distinct().join(keys.select("family", "key", F.col("block").alias("j")).distinct(), ["family", "key"]))
-        sides = asks.join(pairs, ["family", "key", "i"]).select("family", "rep", "i", "j"), keys.withColumn("j", F.col("block")).join(pairs, ["family", "key", "j"]).select("family", "rep", "i", "j")
-        both = sides[0].union(sides[1]).distinct()
-        both = both.join(left.select("rep", F.lit(True).alias("open")), "rep", "left").join(members.select("rep", "text"), "rep")
-        both = both.select("family", "i", "j", "rep", "text", F.coalesce("open", F.lit(False)).alias("open")).repartition(2 * buckets, "family", "i", "j")
+        asked = alone.join(broadcast_if_small(left), "rep", "left_semi").select("key").distinct()
+        near = alone.join(asked, "key", "left_semi")
+        shared = near.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("key")
+        keys = materialized(near.join(shared, "key", "left_semi").join(broadcast_if_small(own), "rep").select("family", "key", "block", "rep", "open"))
+        asks = keys.where("open").select("family", "key", F.col("block").alias("i")).distinct()
+        meet = asks.join(keys.select("family", "key", F.col("block").alias("j")).distinct(), ["family", "key"]).where("i <> j")
+        pairs = materialized(meet.select("family", "key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct())
+        at = pairs.select("family", "key", "i", "j", F.explode(F.array("i", "j")).alias("block"))
+        both = materialized(keys.join(at, ["family", "key", "block"]).select("family", "i", "j", "rep", "open").distinct())
+        both = texts.select(F.col("rep").alias("_rep"), "text").join(broadcast_if_small(both), F.col("rep") == F.col("_rep"))
+        both = both.select("family", "i", "j", "rep", "text", "open").repartition(2 * buckets, "family", "i", "j")
         edges = edges.unionByName(both.groupBy("family", "i", "j").applyInPandas(verify_open, "a long, b long"))
     return sets, classes, edges
 

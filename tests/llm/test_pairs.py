@@ -13,14 +13,14 @@ from panelforge.session import ship
 from tests.llm.fixtures import frame, lower, split, texts, words
 
 
-def shingles(text):
+def shingles(text, width=3):
     w = split(lower(text))
-    return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} or ({tuple(w)} if w else set())
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
 
 
-def brute_components(rows):
+def brute_components(rows, width=3, percent=90):
     """By exact sets: (doc_id, set size, least doc_id reachable); rows of one doc_id hang together."""
-    sets = [shingles(t) for _, t in rows]
+    sets = [shingles(t, width) for _, t in rows]
     parent = {}
 
     def root(x):
@@ -32,7 +32,7 @@ def brute_components(rows):
     for n, a in enumerate(live):
         for b in live[:n]:
             both = len(sets[a] & sets[b])
-            if 100 * both >= 90 * (len(sets[a]) + len(sets[b]) - both):
+            if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = sorted((root(rows[a][0]), root(rows[b][0])))
                 parent[y] = x
     return sorted(((i, len(s), None if i is None else i if not s else root(i)) for (i, _), s in zip(rows, sets)), key=str)
@@ -62,6 +62,39 @@ def test_one_group_of_near_copies_and_one_long_chain(spark):
     assert len(got) == 8000 and all(c == (0 if i < 5000 else 10_000) for i, c in got.items())
 
 
+@pytest.mark.parametrize("blocks", [(1000, 1_000_000), (3, 400), (7, 3000)])
+def test_components_at_five_words_and_80_percent(spark, monkeypatch, blocks):
+    """Also where passages tie texts of many clusters into families of many blocks."""
+    ship(spark)
+    monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", blocks[0])
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", blocks[1])
+    rng, rows = random.Random(4), texts(4)
+    shared = [words(rng, 90, 5000) for _ in range(3)]
+    for cluster in range(25):
+        own = words(rng, rng.randrange(20, 70), 5000)
+        for copy in range(rng.randrange(1, 7)):
+            text = [*own[:10], *shared[cluster % 3], *own[10:]]
+            for _ in range(rng.randrange(0, 3)):
+                text[rng.randrange(len(text))] = f"c{cluster}k{copy}n{rng.randrange(99)}"
+            rows.append((1000 + 10 * cluster + copy, " ".join(text)))
+    rng.shuffle(rows)
+    got = sorted((tuple(r) for r in ngram_join.jaccard_components(frame(spark, rows), width=5, percent=80).collect()), key=str)
+    assert got == brute_components(rows, 5, 80)
+
+
+def test_near_copies_and_a_long_chain_at_five_words_and_80_percent(spark):
+    ship(spark)
+    rng = random.Random(8)
+    base = words(rng, 200, 5000)
+    rows = [(k, " ".join(base[:100] + [f"x{k}"] + base[101:])) for k in range(4000)]
+    step = words(rng, 120, 5000)
+    for k in range(3000):
+        step[(7 * k) % 120] = f"step{k}"
+        rows.append((10_000 + k, " ".join(step)))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(frame(spark, rows), width=5, percent=80).collect()}
+    assert len(got) == 7000 and all(c == (0 if i < 5000 else 10_000) for i, c in got.items())
+
+
 def test_components_of_empty_table(spark):
     ship(spark)
     assert ngram_join.jaccard_components(frame(spark, texts()).where("false")).count() == 0
