@@ -75,14 +75,14 @@ def trajectories(candidates: DataFrame, keys: list[str], w: Trajectory = Traject
         pdf = pdf.sort_values(["bin", "id"])
         bins, length = pdf["bin"].to_numpy(np.int64), pdf["length"].to_numpy(float)
         total, path = best_trajectory(bins, length, *(pdf[c].to_numpy(float) for c in ("x", "y", "cost")), int(bins[-1]), w)
-        out = pd.DataFrame({"bin": np.arange(bins[0], bins[-1] + 1)})
-        read = pd.DataFrame({"bin": bins[path], "id": pdf["id"].to_numpy()[path], "length": length[path]})
-        out = out.merge(read, on="bin", how="left")
-        out["state"] = np.where(out["id"].notna(), "read", np.where(out["length"].ffill().notna(), "held", "none"))
-        out["length"] = out["length"].ffill()
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out.assign(id=out["id"].astype("Int64"), length=out["length"].astype(object).where(out["length"].notna(), None), total=total)[[*keys, "bin", "state", "id", "length", "total"]]
+        n = int(bins[-1] - bins[0]) + 1
+        read = np.full(n, -1)
+        read[bins[path] - bins[0]] = path
+        since = np.maximum.accumulate(np.where(read >= 0, np.arange(n), -1))  # the bin last read, for each bin
+        state = np.where(read >= 0, "read", np.where(since >= 0, "held", "none"))
+        ids, held = pdf["id"].to_numpy(np.int64)[read], length[read[since]]
+        columns = {"bin": bins[0] + np.arange(n), "state": state, "id": pd.arrays.IntegerArray(ids, read < 0), "length": pd.arrays.FloatingArray(held, since < 0), "total": total}
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, **columns})
 
     return candidates.groupBy(*keys).applyInPandas(run, f"{kinds}, bin long, state string, id long, length double, total double")
 
