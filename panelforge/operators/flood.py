@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from panelforge.operators import matching
+
 AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
 
 
@@ -152,4 +154,4 @@ def flood(cells: DataFrame, keys: list[str], bins: int, w: Rules = Rules()) -> D
             out.insert(0, k, pdf[k].iloc[0])
         return out.assign(emerged=pd.Series([emerged] * bins, dtype="Int64"))
 
-    return cells.groupBy(*keys).applyInPandas(run, f"{kinds}, bin long, length double, emerged long")
+    return matching.dealt(cells, keys).groupBy(*keys).applyInPandas(run, f"{kinds}, bin long, length double, emerged long")

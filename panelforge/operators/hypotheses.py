@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.operators import optimize
+from panelforge.operators import matching, optimize
 
 
 @dataclass(frozen=True)
@@ -51,7 +51,7 @@ def scored(bins: DataFrame, keys: list[str], path: str, at: str, w: Weights = We
         got = score(np.stack(pdf["gains"].to_numpy()), pdf["near"].to_numpy(float), float(pdf["ridge"].iloc[0]), w)
         return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in [*keys, path]}, **got}])
 
-    return bins.groupBy(*keys, path).applyInPandas(run, f"{kinds}, explained double, beyond double, through boolean, final long, score double")
+    return matching.dealt(bins, [*keys, path]).groupBy(*keys, path).applyInPandas(run, f"{kinds}, explained double, beyond double, through boolean, final long, score double")
 
 
 def best(scored: DataFrame, keys: list[str], path: str) -> DataFrame:

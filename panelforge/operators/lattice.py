@@ -84,7 +84,7 @@ def trajectories(candidates: DataFrame, keys: list[str], w: Trajectory = Traject
         columns = {"bin": bins[0] + np.arange(n), "state": state, "id": pd.arrays.IntegerArray(ids, read < 0), "length": pd.arrays.FloatingArray(held, since < 0), "total": total}
         return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, **columns})
 
-    return candidates.groupBy(*keys).applyInPandas(run, f"{kinds}, bin long, state string, id long, length double, total double")
+    return matching.dealt(candidates, keys).groupBy(*keys).applyInPandas(run, f"{kinds}, bin long, state string, id long, length double, total double")
 
 
 @dataclass(frozen=True)
@@ -165,7 +165,7 @@ def joint(options: DataFrame, w: Joint = Joint()) -> DataFrame:
         out = [(pdf["component"].iloc[0], owner, frame, cap, score, cut) for (owner, frame), cap in sorted(chosen.items())]
         return pd.DataFrame(out, columns=["component", "owner", "frame", "cap", "score", "cut"]).astype({"cap": "Int64"})
 
-    return options.join(owners, "owner").groupBy("component").applyInPandas(run, "component long, owner long, frame long, cap long, score double, cut long")
+    return matching.dealt(options.join(owners, "owner"), ["component"]).groupBy("component").applyInPandas(run, "component long, owner long, frame long, cap long, score double, cut long")
 
 
 def anchored(score: np.ndarray, penalty: float, most: int, pins: dict[int, int]) -> np.ndarray:

@@ -58,6 +58,12 @@ def pairs_within(left: DataFrame, right: DataFrame, keys: list[str], radius: flo
 PAIRS_A_TASK = 200_000
 
 
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df over as many partitions as the session's shuffles have: groups whose work is much larger than their bytes are not
+    put together in few tasks by their bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def in_parts(pairs: DataFrame, keys: list[str], most: int = PAIRS_A_TASK) -> DataFrame:
     """Candidate pairs (a, b, distance) with ``_part``: beyond ``most`` pairs, connected ones share a part and the others
     spread over parts, so that no task holds a whole key; matches of different parts never compete."""

@@ -73,7 +73,7 @@ def assigned(pairs: DataFrame, keys: list[str], most: int = matching.PAIRS_A_TAS
         taken, _ = assignment.matched(pdf, alone, alone - pdf["least"].to_numpy())
         return pdf.iloc[np.sort(taken)][[*keys, "a", "b", "distance"]]
 
-    return matching.in_parts(pairs, keys, most).groupBy(*keys, "_part").applyInPandas(solve, f"{kinds}, a long, b long, distance double")
+    return matching.dealt(matching.in_parts(pairs, keys, most), [*keys, "_part"]).groupBy(*keys, "_part").applyInPandas(solve, f"{kinds}, a long, b long, distance double")
 
 
 def frame_links(points: DataFrame, keys: list[str], frame: str, metric: Metric, size: float = 100.0) -> DataFrame:
