@@ -11,8 +11,8 @@ def suppressed(points: DataFrame, keys: list[str], factor: float, most: int = 10
     or more from all that stay before it. points: keys, id, x, y, r (greater than zero), score.
 
     Points of one grid cell always suppress each other (its diagonal is shorter than the least reach), so only a cell's
-    best live point can stay in a round, and cells compare their best alone: those that no better one near suppresses stay,
-    and what they suppress goes. No round lists the pairs of a crowded place, and few points stay near any place.
+    best live point can stay in a round: it stays if no better live point lies in reach, and what it suppresses goes. Live
+    points meet the best of the cells round them alone, so no round lists the pairs of a crowded place.
     """
     live = points.select(*keys, "id", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "r")], "score").checkpoint()
     low, high = live.agg(F.min("r"), F.max("r")).first()
@@ -40,7 +40,8 @@ def suppressed(points: DataFrame, keys: list[str], factor: float, most: int = 10
         best = live.groupBy(*cell).agg(F.max_by(F.struct("id", "x", "y", "r", "score"), rank).alias("p")).select(*cell, "p.*").checkpoint()
         if not best.limit(1).count():
             return kept if kept is not None else live.select(*keys, "id")
-        beaten = near(best, best).where(F.col("_o.rank") > rank).select(*keys, "id").distinct()
+        # any better live point may stay and suppress a cell's best, not another cell's best alone
+        beaten = near(live, best).where(rank > F.col("_o.rank")).select(*keys, F.col("_o.id").alias("id")).distinct()
         stay = best.join(beaten, [*keys, "id"], "left_anti").checkpoint()
         gone = near(live, stay).select(*keys, "id").union(stay.select(*keys, "id")).distinct()
         live = live.join(gone, [*keys, "id"], "left_anti").checkpoint()
