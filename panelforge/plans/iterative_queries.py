@@ -287,8 +287,7 @@ def lost_after_misses(s, d):
 @query("2.11-11 2.5-5", "WITH RECURSIVE p AS (SELECT c_nationkey AS movie, c_custkey AS id, c_acctbal / 10 AS x, CAST(c_custkey * 37 % 1000 AS DOUBLE) AS y FROM customer), e AS (SELECT a.id AS a, o.id AS b FROM p a JOIN p o ON a.movie = o.movie AND a.id <> o.id AND sqrt(pow(a.x - o.x, 2) + pow(a.y - o.y, 2)) <= 100), w AS (SELECT id, id AS c FROM p UNION SELECT e.b, w.c FROM w JOIN e ON e.a = w.id), m AS (SELECT id, min(c) AS component FROM w GROUP BY 1) SELECT id, component, count(*) OVER (PARTITION BY component) AS clump_size FROM m")
 def clumps(s, d):
     p = table(s, d, "customer").select(c("c_nationkey").alias("movie"), c("c_custkey").alias("id"), (c("c_acctbal") / 10).alias("x"), (c("c_custkey") * 37 % 1000).cast("double").alias("y"))
-    pairs = matching.pairs_within(p, p, ["movie"], 100.0).where("a <> b")
-    got = matching.components(p.select("id"), pairs.select("a", "b"))
+    got = matching.clusters(p, ["movie"], 100.0).select("id", "component").checkpoint()
     return got.join(got.groupBy("component").agg(F.count("*").alias("clump_size")), "component").select("id", "component", "clump_size")
 
 
