@@ -37,6 +37,24 @@ def at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column
     return out
 
 
+def at_share(df: DataFrame, keys: list[str], value: str, weight: str, share: float, name: str, cells: int = 1024) -> DataFrame:
+    """keys, n, least, and the value at rank floor((n - 1) * share) of values that each stand ``weight`` times (n in all).
+
+    Values are counted in cells of equal width between the least and the largest; only the distinct ones of the cell that
+    holds the rank are put in order.
+    """
+    x = df.select(*keys, F.col(value).cast("double").alias("_x"), F.col(weight).cast("long").alias("_w"))
+    span = x.groupBy(*keys).agg(F.sum("_w").alias("n"), F.min("_x").alias("least"), F.max("_x").alias("_most"))
+    span = span.withColumn("_rank", F.floor((F.col("n") - 1) * share))
+    cell = F.when(F.col("_most") > F.col("least"), F.floor((F.col("_x") - F.col("least")) / (F.col("_most") - F.col("least")) * (cells - 1))).otherwise(F.lit(0).cast("long"))
+    x = x.join(span, keys).withColumn("_c", cell)
+    upto = lambda by: F.sum("_w").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+    counted = x.groupBy(*keys, "n", "least", "_rank", "_c").agg(F.sum("_w").alias("_w")).withColumn("_upto", upto("_c"))
+    at = counted.where("_upto > _rank AND _upto - _w <= _rank").select(*keys, "_c", (F.col("_upto") - F.col("_w")).alias("_below"))
+    inside = x.join(at, [*keys, "_c"]).groupBy(*keys, "n", "least", "_rank", "_below", "_x").agg(F.sum("_w").alias("_w"))
+    return inside.withColumn("_upto", F.col("_below") + upto("_x")).where("_upto > _rank").groupBy(*keys, "n", "least").agg(F.min("_x").alias(name))
+
+
 def median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
     """keys, n, the mean of the two middle values."""
     low, high = F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import geometry
-from panelforge.operators import assignment, matching, ranks
+from panelforge.operators import assignment, matching, nearness, ranks
 
 FACTOR, SHARE = 1.05, 0.9
 
@@ -57,41 +57,67 @@ def candidates(left: DataFrame, right: DataFrame, keys: list[str], metric: Metri
     return near.select(*keys, "a", "b", metric.cost(F.col("abox"), F.col("bbox")).alias("distance")).where(F.col("distance") <= metric.cutoff)
 
 
+def weighed(left: DataFrame, right: DataFrame, keys: list[str], metric: Metric, size: float) -> DataFrame:
+    """``candidates`` of copied rows (id, box, n), with na and nb, how many rows their a and b stand for."""
+    pairs = candidates(left, right, keys, metric, size)
+    for x, df in (("a", left), ("b", right)):
+        pairs = pairs.join(df.select(*keys, F.col("id").alias(x), F.col("n").alias(f"n{x}")), [*keys, x])
+    return pairs.select(*keys, "a", "b", "distance", "na", "nb")
+
+
+def weight(pairs: DataFrame) -> Column:
+    return F.col("na") * F.col("nb") if "na" in pairs.columns else F.lit(1)
+
+
 def priced(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """pairs with ``alone``, the price of an end without a link, and ``least``, what a link pays on top."""
-    lone = ranks.at_ranks(pairs, keys, "distance", {"_q": F.floor((F.col("n") - 1) * SHARE)})
+    lone = ranks.at_share(pairs.withColumn("_n", weight(pairs)), keys, "distance", "_n", SHARE, "_q")
     return pairs.join(lone.select(*keys, (F.col("_q") * FACTOR).alias("alone"), "least"), keys)
 
 
 def assigned(pairs: DataFrame, keys: list[str], most: int = matching.PAIRS_A_TASK) -> DataFrame:
-    """keys, a, b, distance of the cheapest one-to-one links of priced candidates."""
+    """keys, a, b, distance of the cheapest one-to-one links of priced candidates, and ``units``, how many links of copies each
+    stands for."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields if f.name in keys)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["a", "b"])
         alone = pdf["alone"].to_numpy()
-        taken, _ = assignment.matched(pdf, alone, alone - pdf["least"].to_numpy())
-        return pdf.iloc[np.sort(taken)][[*keys, "a", "b", "distance"]]
+        taken, _, units = assignment.matched_units(pdf, alone, alone - pdf["least"].to_numpy())
+        by = np.argsort(taken)
+        return pdf.iloc[taken[by]][[*keys, "a", "b", "distance"]].assign(units=units[by])
+
+    return matching.dealt(matching.in_parts(pairs, keys, most), [*keys, "_part"]).groupBy(*keys, "_part").applyInPandas(solve, f"{kinds}, a long, b long, distance double, units long")
+
 
-    return matching.dealt(matching.in_parts(pairs, keys, most), [*keys, "_part"]).groupBy(*keys, "_part").applyInPandas(solve, f"{kinds}, a long, b long, distance double")
+def copied(points: DataFrame, keys: list[str], frame: str) -> tuple[DataFrame, DataFrame]:
+    """Equal boxes of a frame as one row with a number of copies: those of the frame, and those of the next one under its number."""
+    own = nearness.copies(points.select(*keys, frame, "id", "box"), [*keys, frame], "box").checkpoint()
+    return own, own.withColumn(frame, F.col(frame) - 1)
 
 
 def frame_links(points: DataFrame, keys: list[str], frame: str, metric: Metric, size: float = 100.0) -> DataFrame:
     """keys, frame (of a), a, b, distance: links of detections (id, box) to those of the next frame."""
-    ahead = points.withColumn(frame, F.col(frame) - 1)
     at = [*keys, frame]
-    return assigned(priced(candidates(points, ahead, at, metric, size), at), at)
+    own, ahead = copied(points, keys, frame)
+    flows = assigned(priced(weighed(own, ahead, at, metric, size).checkpoint(), at), at).checkpoint()
+    ids = nearness.members(points, own, at, "box")
+    return nearness.unfolded(flows, ids, ids.withColumn(frame, F.col(frame) - 1), at)
 
 
 def gap_links(tracks: DataFrame, keys: list[str], frame: str, gap_frames: int, gap_distance: float) -> DataFrame:
     """keys, a, b, distance: links of tracks' last detections (a) to later tracks' first ones (b), ``gap_frames`` missing at most."""
     ends = tracks.groupBy(*keys, "track").agg(
         F.min(frame).alias("first"), F.max(frame).alias("last"), F.min_by(F.struct("id", "box"), frame).alias("start"), F.max_by(F.struct("id", "box"), frame).alias("end")
-    )
-    left = ends.select(*keys, F.explode(F.sequence(F.col("last") + 1, F.col("last") + gap_frames + 1)).alias(frame), F.col("end.id").alias("id"), F.col("end.box").alias("box"))
-    right = ends.select(*keys, F.col("first").alias(frame), F.col("start.id").alias("id"), F.col("start.box").alias("box"))
-    pairs = candidates(left, right, [*keys, frame], squared_distance(gap_distance), gap_distance).drop(frame)
-    return assigned(priced(pairs, keys), keys)
+    ).checkpoint()
+    side = lambda at, which: ends.select(*keys, at, F.col(f"{which}.id").alias("id"), F.col(f"{which}.box").alias("box"))
+    one = {which: nearness.copies(side(at, which), [*keys, at], "box").checkpoint() for at, which in (("last", "end"), ("first", "start"))}
+    left = one["end"].select(*keys, F.explode(F.sequence(F.col("last") + 1, F.col("last") + gap_frames + 1)).alias(frame), "id", "box", "n")
+    right = one["start"].withColumnRenamed("first", frame)
+    pairs = weighed(left, right, [*keys, frame], squared_distance(gap_distance), gap_distance).drop(frame).checkpoint()
+    flows = assigned(priced(pairs, keys), keys).checkpoint()
+    ids = [nearness.members(side(at, which), one[which], [*keys, at], "box").drop(at) for at, which in (("last", "end"), ("first", "start"))]
+    return nearness.unfolded(flows, *ids, keys)
 
 
 def track(points: DataFrame, keys: list[str], frame: str, metric: Metric, gap_frames: int = 0, gap_distance: float | None = None, size: float = 100.0) -> DataFrame:
@@ -102,7 +128,7 @@ def track(points: DataFrame, keys: list[str], frame: str, metric: Metric, gap_fr
     links = frame_links(points, keys, frame, metric, size).select("a", "b").checkpoint()
     tracks = points.join(matching.components(nodes, links).withColumnRenamed("component", "track"), "id")
     if gap_frames:
-        links = links.union(gap_links(tracks, keys, frame, gap_frames, gap_distance or metric.reach).select("a", "b"))
+        links = links.union(gap_links(tracks.checkpoint(), keys, frame, gap_frames, gap_distance or metric.reach).select("a", "b"))
         tracks = points.join(matching.components(nodes, links).withColumnRenamed("component", "track"), "id")
     return tracks.select(*points.columns, "track")
 

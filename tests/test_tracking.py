@@ -177,3 +177,32 @@ def test_union_area_of_many_boxes_of_one_key(spark):
     start = time.time()
     area = matching.union_area(df, ["m"]).first()["area"]
     assert 0.98 * 1005 * 105 < area <= 1005 * 105 and time.time() - start < 90
+
+
+def test_copies_share_one_solution(spark):
+    """Matches of rows with copies cost what they cost with all copies listed, and each row is linked once."""
+    ship(spark)
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        n, m = rng.integers(1, 4, 2)
+        edges = [(a, 10 + b, float(rng.integers(0, 8))) for a in range(n) for b in range(m) if rng.random() < 0.8]
+        if not edges:
+            continue
+        na, nb = rng.integers(1, 4, n), rng.integers(1, 4, m)
+        pairs = pd.DataFrame([(a, b, x, na[a], nb[b - 10]) for a, b, x in edges], columns=["a", "b", "distance", "na", "nb"])
+        taken, gaps, units = assignment.matched_units(pairs, np.full(len(pairs), 4.0), margins=True)
+        listed = [(100 * a + i, 100 * b + j, x) for a, b, x in edges for i in range(na[a]) for j in range(nb[b - 10])]
+        alone = {a for a, *_ in listed}
+        one, margins = assignment.matched(pd.DataFrame(listed, columns=["a", "b", "distance"]), np.full(len(listed), 4.0), margins=True)
+        cost = lambda rows, k: sum(x * w for x, w in zip(rows, k)) + 4.0 * (len(alone) - sum(k))
+        assert abs(cost(pairs["distance"].to_numpy()[taken], units) - cost([listed[k][2] for k in one], [1] * len(one))) < 1e-9
+        assert all(g == 0 for g, k in zip(gaps, taken) if pairs["na"][k] > 1 or pairs["nb"][k] > 1)
+
+
+def test_frames_of_very_many_copies(spark):
+    """3000 copies of each of two detections in two frames: 1.8 * 10^7 pairs may link, and 6000 do."""
+    ship(spark)
+    rows = [(0, f, 10_000 * f + k, (4.0 * (k % 2) + f, 0.0, 4.0 * (k % 2) + f + 2, 2.0)) for f in (0, 1) for k in range(6000)]
+    links = tracking.frame_links(spark.createDataFrame(rows, BOX), ["m"], "frame", tracking.squared_distance(5)).collect()
+    assert len({r["a"] for r in links}) == len({r["b"] for r in links}) == len(links) == 6000
+    assert all(r["distance"] == 1.0 and r["a"] % 2 == r["b"] % 2 for r in links)
