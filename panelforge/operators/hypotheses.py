@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -46,12 +48,27 @@ def scored(bins: DataFrame, keys: list[str], path: str, at: str, w: Weights = We
     """keys, path, explained, beyond, through, final, score. bins: keys, path, at, gains, near, ridge (the same in all bins of a path)."""
     kinds = ", ".join(f"`{k}` {bins.schema[k].dataType.simpleString()}" for k in [*keys, path])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(at)
-        got = score(np.stack(pdf["gains"].to_numpy()), pdf["near"].to_numpy(float), float(pdf["ridge"].iloc[0]), w)
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in [*keys, path]}, **got}])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One result for each run of rows of a path; the last run of a batch waits for the next batch."""
+        rest = None
+        for pdf in chain(batches, [None]):
+            last = pdf is None
+            pdf = rest if last else pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if pdf is None or not len(pdf):
+                continue
+            of = pdf.groupby([*keys, path], dropna=False, sort=False).ngroup().to_numpy()
+            first = np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(of))
+            if not last:
+                rest = pdf.iloc[first[-2] :]
+                first = first[:-1]
+            if len(first) < 2:
+                continue
+            gains, near, ridge = pdf["gains"].to_numpy(), pdf["near"].to_numpy(float), pdf["ridge"].to_numpy(float)
+            got = pd.DataFrame([score(np.stack(gains[i:j]), near[i:j], float(ridge[i]), w) for i, j in zip(first[:-1], first[1:])])
+            yield pd.concat([pdf[[*keys, path]].iloc[first[:-1]].reset_index(drop=True), got], axis=1)
 
-    return matching.dealt(bins, [*keys, path]).groupBy(*keys, path).applyInPandas(run, f"{kinds}, explained double, beyond double, through boolean, final long, score double")
+    rows = matching.dealt(bins, [*keys, path]).sortWithinPartitions(*keys, path, at)
+    return rows.mapInPandas(run, f"{kinds}, explained double, beyond double, through boolean, final long, score double")
 
 
 def best(scored: DataFrame, keys: list[str], path: str) -> DataFrame:

@@ -48,9 +48,10 @@ def monotone_front(gains: np.ndarray, most: int) -> np.ndarray:
     """The front itself, from (steps, levels + 1) gains; ties take the lowest predecessor and the lowest last level."""
     n = gains.shape[1]
     score, back = np.zeros(n), []
+    before = np.arange(n)[:, None] + np.arange(-most, 1)
+    none, own = before < 0, np.arange(n)
     for row in gains:
-        windows = [score[max(0, f - most) : f + 1] for f in range(n)]
-        best = np.array([max(0, f - most) + int(w.argmax()) for f, w in enumerate(windows)])
+        best = before[own, np.where(none, -np.inf, score[before]).argmax(axis=1)]
         back.append(best)
         score = row + score[best]
     at, out = int(score.argmax()), []

@@ -82,3 +82,24 @@ def test_change_points_over_zero(spark):
     df = spark.createDataFrame([(0, k, v) for k, v in enumerate([0.0, 0.0, 1.0, 1.0, 8.0, 8.0])], "m long, t long, v double")
     got = events.change_points(df, ["m"], "t", "v", 2, 1.5).collect()
     assert [(r["t"], r["change"]) for r in got] == [(3, math.log(9.0))]
+
+
+def test_paths_are_scored_across_batches(spark):
+    """Each path once, though its rows are cut by the end of a batch."""
+    from panelforge.operators import hypotheses
+    from panelforge.session import ship
+
+    ship(spark)
+    rng = np.random.default_rng(6)
+    rows = [(e, p, t, [0.0, *map(float, rng.integers(-5, 9, 5))], float(rng.random()), 0.5) for e in range(6) for p in range(3) for t in range(int(rng.integers(1, 9)))]
+    df = spark.createDataFrame(rows, "e long, p long, t long, gains array<double>, near double, ridge double")
+    want = {}
+    for e, p in {r[:2] for r in rows}:
+        own = [r for r in rows if r[:2] == (e, p)]
+        want[e, p] = hypotheses.score(np.array([r[3] for r in own]), np.array([r[4] for r in own]), 0.5)["score"]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = hypotheses.scored(df, ["e"], "p", "t").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(want) and {(r["e"], r["p"]): r["score"] for r in got} == want
