@@ -10,8 +10,9 @@
    one group. An empty prefix says nothing and forms a group only for the rare
    sets with more than m of them, so that linked sets always meet. Below
    ``PERCENT`` segments are short, and one may hold nothing but a common line: there
-   m is larger, and a prefix of shingles that a bounded sample shows to be common
-   says nothing either. A chunk of
+   m is larger, a prefix of shingles that a bounded sample shows to be common
+   says nothing either, and two segments of a block of some five make a prefix (more
+   identical segments than blocks leave two in one block). A chunk of
    texts ties its members of a group to their least one and sends only that on;
    the least ones meet in hash buckets, whose number follows the input, as packs
    of a few bytes, and are tied to the least of all. So m members give m ties,
@@ -54,6 +55,8 @@ from panelforge.llm.textnum import Words, chunks, distinct, mix
 SHINGLE, PERCENT = 3, 90
 BLOCK_MEMBERS, BLOCK_SHINGLES = 1000, 1_000_000
 SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_SEEN = 2048, 8192, 3
+#: From so many segments on a key is made of two of them.
+PAIRS_FROM = 6
 
 
 def shingle_sets(col: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -117,11 +120,35 @@ def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
     return values[seen >= SAMPLE_SEEN]
 
 
+def pair_parts(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segments, silent ones allowed, blocks) of the keys made of two segments for K.
+
+    K + m segments leave m + 1 identical ones; without the silent ones these are more than there are blocks, so that a block holds two."""
+    few = 1 + (7 * parts) // 10
+    silent = 1 + 19 * (parts + few) // 100
+    return parts + few, silent, few - silent
+
+
+def _totals(h: np.ndarray, row: np.ndarray, tokens: np.ndarray, rare: np.ndarray, k: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(salted sum of each segment of each set, whether it has a rare shingle, number of the segment in its set)."""
+    base = np.cumsum(parts) - parts
+    place = base[row] + ((h >> np.uint64(11)) % parts[row].astype(np.uint64)).astype(np.int64)
+    total = np.zeros(int(parts.sum()), np.uint64)
+    np.add.at(total, place, tokens)
+    filled = np.bincount(place[rare], minlength=len(total)) > 0
+    segment = np.arange(len(total)) - np.repeat(base, parts)
+    return total ^ mix((np.repeat(k, parts) << 32 | segment).astype(np.uint64)), filled, segment
+
+
 def prefix_keys(h: np.ndarray, n: np.ndarray, percent: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of every grouped prefix. Sets so small that only equal ones can link have none.
 
     Linked sets have m + 1 identical segments at least. A set with m silent ones (empty, or all of ``common`` shingles)
     or fewer speaks by the others; one with more speaks by all, so that two such sets meet too.
+
+    Below PERCENT, from ``PAIRS_FROM`` segments on, two speaking segments of a block make a key: texts that share no more
+    than a few shingles would meet by one short segment, and their number grows as the square of the texts. Sets with more
+    silent segments than ``pair_parts`` allows meet each other by single segments besides.
     """
     rows = np.flatnonzero(100 * n >= percent * (n + 1))
     own = np.repeat(np.isin(np.arange(len(n)), rows), n)
@@ -129,22 +156,37 @@ def prefix_keys(h: np.ndarray, n: np.ndarray, percent: int, common: np.ndarray |
     row, tokens = np.repeat(np.arange(len(rows)), size), mix(h)
     rare = np.ones(len(h), bool) if common is None or not len(common) else common[np.minimum(np.searchsorted(common, h), len(common) - 1)] != h
     out_rows, out_keys = [], []
+
+    def some(chosen: np.ndarray) -> tuple:
+        """What _totals takes first, of the chosen sets alone."""
+        of = chosen[row]
+        return h[of], (np.cumsum(chosen) - 1)[row[of]], tokens[of], rare[of]
+
     for step in (0, 1):
         k = size_class(size, percent) - step
         parts = segments(k, percent)
-        few = spare(parts, percent)
-        parts = parts + few
-        base = np.cumsum(parts) - parts
-        place = base[row] + ((h >> np.uint64(11)) % parts[row].astype(np.uint64)).astype(np.int64)
-        total = np.zeros(int(parts.sum()), np.uint64)
-        np.add.at(total, place, tokens)
-        filled = np.bincount(place[rare], minlength=len(total)) > 0
-        use = filled | np.repeat(parts - np.add.reduceat(filled, base, dtype=np.int64) > few, parts) if len(base) else filled
-        segment = np.arange(len(total)) - np.repeat(base, parts)
-        salt = mix((np.repeat(k, parts) << 32 | segment).astype(np.uint64))
-        out_rows.append(np.repeat(rows, parts)[use])
-        out_keys.append(mix(total ^ salt)[use])
-    return np.concatenate(out_rows), np.concatenate(out_keys)
+        paired = (parts >= PAIRS_FROM) & (percent < PERCENT)
+        single = ~paired
+        if paired.any():
+            count, silent, blocks = pair_parts(parts[paired])
+            total, filled, segment = _totals(*some(paired), k[paired], count)
+            base = np.cumsum(count) - count
+            single[paired] = count - np.add.reduceat(filled, base, dtype=np.int64) > silent
+            total, apart, whole, named = mix(total), np.repeat(blocks, count), np.repeat(count, count), np.repeat(rows[paired], count)
+            for d in range(1, int(-(-count // blocks).max())):
+                one = np.flatnonzero(filled & (segment + d * apart < whole))
+                two = one + d * apart[one]
+                one, two = one[filled[two]], two[filled[two]]
+                out_rows.append(named[one])
+                out_keys.append(mix(total[one] + (total[two] << np.uint64(1))))
+        if single.any():
+            few = spare(parts[single], percent)
+            count = parts[single] + few
+            total, filled, _ = _totals(*some(single), k[single], count)
+            use = filled | np.repeat(count - np.add.reduceat(filled, np.cumsum(count) - count, dtype=np.int64) > few, count)
+            out_rows.append(np.repeat(rows[single], count)[use])
+            out_keys.append(mix(total)[use])
+    return np.concatenate([np.empty(0, np.int64), *out_rows]), np.concatenate([np.empty(0, np.uint64), *out_keys])
 
 
 def _ties(docs: DataFrame, width: int, percent: int, buckets: int, common: np.ndarray | None) -> DataFrame:

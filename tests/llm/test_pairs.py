@@ -142,6 +142,36 @@ def test_a_common_line_ties_few_texts_at_80_percent():
     assert len(set().union(*[x for x in rows_of.values() if len(x) > 1])) < 10
 
 
+def test_texts_with_a_few_shingles_in_common_do_not_meet():
+    """Every two of 300 sets share eight of 2000 shingles, each by another choice: not one pair in a hundred may have a key in common."""
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 2**63, 4000, dtype=np.int64).astype(np.uint64) << np.uint64(1)
+    sets = [np.unique(np.concatenate([rng.integers(0, 2**64, 1820, dtype=np.uint64), rng.choice(pool, 180, replace=False)])) for _ in range(300)]
+    row, key = ngram_join.prefix_keys(np.concatenate(sets), np.array([len(x) for x in sets]), 80)
+    met = defaultdict(set)
+    for r, k in zip(row.tolist(), key.tolist()):
+        met[k].add(r)
+    pairs = {(a, b) for x in met.values() if len(x) > 1 for a in x for b in x if a < b}
+    assert len(pairs) < 300 * 299 / 2 / 100
+
+
+@pytest.mark.parametrize("size", [12, 24, 36, 60, 150, 400, 1500])
+def test_linked_sets_share_a_key(size):
+    """Pairs at the threshold, of equal and of unequal sizes, some with many shingles that the sample knows."""
+    rng = np.random.default_rng(size)
+    common = np.unique(rng.integers(0, 2**64, 400, dtype=np.uint64))
+    for known in (0, size // 10, size // 2):
+        for _ in range(60):
+            both = np.concatenate([rng.integers(0, 2**64, size - known, dtype=np.uint64), rng.choice(common, min(known, 400), replace=False)])
+            more = len(both) * 20 // 80
+            left = int(rng.integers(0, more + 1))
+            extra = rng.integers(0, 2**64, more, dtype=np.uint64)
+            pair = [np.unique(np.concatenate([both, x])) for x in (extra[:left], extra[left:])]
+            assert 100 * len(both) >= 80 * len(np.union1d(*pair))
+            one, two = (set(ngram_join.prefix_keys(x, np.array([len(x)]), 80, common)[1].tolist()) for x in pair)
+            assert one & two
+
+
 def brute_dedup(rows, window=50):
     first = defaultdict(lambda: float("inf"))
     for i, t in rows:
