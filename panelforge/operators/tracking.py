@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import geometry
 from panelforge.operators import assignment, matching, nearness, ranks
+from panelforge.session import written
 
 FACTOR, SHARE = 1.05, 0.9
 
@@ -92,7 +93,7 @@ def assigned(pairs: DataFrame, keys: list[str], most: int = matching.PAIRS_A_TAS
 
 def copied(points: DataFrame, keys: list[str], frame: str) -> tuple[DataFrame, DataFrame]:
     """Equal boxes of a frame as one row with a number of copies: those of the frame, and those of the next one under its number."""
-    own = nearness.copies(points.select(*keys, frame, "id", "box"), [*keys, frame], "box").checkpoint()
+    own = written(nearness.copies(points.select(*keys, frame, "id", "box"), [*keys, frame], "box"))
     return own, own.withColumn(frame, F.col(frame) - 1)
 
 
@@ -100,22 +101,22 @@ def frame_links(points: DataFrame, keys: list[str], frame: str, metric: Metric,
     """keys, frame (of a), a, b, distance: links of detections (id, box) to those of the next frame."""
     at = [*keys, frame]
     own, ahead = copied(points, keys, frame)
-    flows = assigned(priced(weighed(own, ahead, at, metric, size).checkpoint(), at), at).checkpoint()
+    flows = written(assigned(priced(written(weighed(own, ahead, at, metric, size)), at), at))
     ids = nearness.members(points, own, at, "box")
     return nearness.unfolded(flows, ids, ids.withColumn(frame, F.col(frame) - 1), at)
 
 
 def gap_links(tracks: DataFrame, keys: list[str], frame: str, gap_frames: int, gap_distance: float) -> DataFrame:
     """keys, a, b, distance: links of tracks' last detections (a) to later tracks' first ones (b), ``gap_frames`` missing at most."""
-    ends = tracks.groupBy(*keys, "track").agg(
+    ends = written(tracks.groupBy(*keys, "track").agg(
         F.min(frame).alias("first"), F.max(frame).alias("last"), F.min_by(F.struct("id", "box"), frame).alias("start"), F.max_by(F.struct("id", "box"), frame).alias("end")
-    ).checkpoint()
+    ))
     side = lambda at, which: ends.select(*keys, at, F.col(f"{which}.id").alias("id"), F.col(f"{which}.box").alias("box"))
-    one = {which: nearness.copies(side(at, which), [*keys, at], "box").checkpoint() for at, which in (("last", "end"), ("first", "start"))}
+    one = {which: written(nearness.copies(side(at, which), [*keys, at], "box")) for at, which in (("last", "end"), ("first", "start"))}
     left = one["end"].select(*keys, F.explode(F.sequence(F.col("last") + 1, F.col("last") + gap_frames + 1)).alias(frame), "id", "box", "n")
     right = one["start"].withColumnRenamed("first", frame)
-    pairs = weighed(left, right, [*keys, frame], squared_distance(gap_distance), gap_distance).drop(frame).checkpoint()
-    flows = assigned(priced(pairs, keys), keys).checkpoint()
+    pairs = written(weighed(left, right, [*keys, frame], squared_distance(gap_distance), gap_distance).drop(frame))
+    flows = written(assigned(priced(pairs, keys), keys))
     ids = [nearness.members(side(at, which), one[which], [*keys, at], "box").drop(at) for at, which in (("last", "end"), ("first", "start"))]
     return nearness.unfolded(flows, *ids, keys)
 
@@ -125,10 +126,10 @@ def track(points: DataFrame, keys: list[str], frame: str, metric: Metric, gap_fr
     if gap_frames and not (gap_distance or metric.reach):
         raise ValueError("closing gaps needs a distance greater than zero")
     nodes = points.select("id")
-    links = frame_links(points, keys, frame, metric, size).select("a", "b").checkpoint()
+    links = written(frame_links(points, keys, frame, metric, size).select("a", "b"))
     tracks = points.join(matching.components(nodes, links).withColumnRenamed("component", "track"), "id")
     if gap_frames:
-        links = links.union(gap_links(tracks.checkpoint(), keys, frame, gap_frames, gap_distance or metric.reach).select("a", "b"))
+        links = links.union(gap_links(written(tracks), keys, frame, gap_frames, gap_distance or metric.reach).select("a", "b"))
         tracks = points.join(matching.components(nodes, links).withColumnRenamed("component", "track"), "id")
     return tracks.select(*points.columns, "track")
 

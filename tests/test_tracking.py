@@ -97,6 +97,20 @@ def test_empty_frames_and_bad_parameters(spark):
             bad()
 
 
+def test_size_estimates_do_not_multiply_over_rounds(spark):
+    """Each round of components joins its labels twice: as products of products, Spark's estimates took more and more digits."""
+    from panelforge.operators import matching
+
+    ship(spark)
+    estimate = lambda df: len(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    nodes = spark.range(300)
+    edges = nodes.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).where("b < 300")
+    got = matching.components(nodes, edges)
+    assert got.where("component = 0").count() == 300 and estimate(got) < 30
+    tracks = tracking.track(detections(spark, [[0], [2], [], [4]]), ["m"], "frame", tracking.squared_distance(5), 2, 5.0)
+    assert tracks.count() == 3 and estimate(tracks) < 60
+
+
 def test_only_missing_places_are_marked(spark):
     ship(spark)
     got = tracking.filled(tracking.track(detections(spark, [[0], [], [4]]), ["m"], "frame", tracking.squared_distance(5), 1), ["m"], "frame").orderBy("frame").collect()
