@@ -132,7 +132,7 @@ def joint_cap_states(s, d):
     own = e.select(c("entity").alias("owner"), "frame", "cap", "x", "y", (c("y") / 64).alias("score"))
     other = e.where("cap % 3 = 0").select((2 * pair + 1 - c("entity")).alias("owner"), "frame", "cap", "x", "y", (c("y") / 96).alias("score"))
     both = own.unionByName(other)
-    frames = both.select((F.floor(c("owner") / 2) * 2).alias("pair"), "frame").distinct()
+    frames = e.select(pair.alias("pair"), "frame").distinct()
     none = frames.select(F.explode(F.array("pair", c("pair") + 1)).alias("owner"), "frame", F.lit(None).cast("long").alias("cap"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("score"))
     return lattice.joint(both.unionByName(none), lattice.Joint(beam=1024))
 
