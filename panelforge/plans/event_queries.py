@@ -74,7 +74,7 @@ x AS (SELECT *, CASE WHEN ch > ln(1.5) THEN 1 WHEN ch < -ln(1.5) THEN -1 ELSE 0
 z AS (SELECT *, sum(nw) OVER ({WE} ROWS UNBOUNDED PRECEDING) AS g FROM y), q AS (SELECT *, row_number() OVER (PARTITION BY entity, g ORDER BY abs(ch) DESC, bin) AS rn FROM z WHERE sg <> 0)
 SELECT entity, bin, round(ch, 9) AS change FROM q WHERE rn = 1""")
 def change_points(s, d):
-    return ev.change_points(day_bins(s, d), KEYS, "bin", "v", 3, 1.5)
+    return ev.change_points(day_bins(s, d), KEYS, "bin", "v", 3, 1.5, endless=True)
 
 
 STALL = BASE + f", a AS (SELECT *, length - lag(length) OVER ({WE}) AS dl FROM b), t AS (SELECT entity, max(CASE WHEN dl > 0.25 THEN bin END) AS g, max(bin) AS e, arg_max(length, bin) AS l FROM a GROUP BY 1), st AS (SELECT entity, CASE WHEN e - g >= 5 AND l >= 8 THEN g END AS stall FROM t)"

@@ -84,6 +84,22 @@ def test_change_points_over_zero(spark):
     assert [(r["t"], r["change"]) for r in got] == [(3, math.log(9.0))]
 
 
+def test_change_points_over_zero_equal_sql(spark, tmp_path):
+    """Single readings of zero at the start, at the end and in a row: the query's changes are infinite or NaN as in its SQL."""
+    import datetime
+
+    import __spark_entry__ as entry
+    from tests.oracle import run_sql, same_kind
+
+    series = [[0.0, 5.0, 5.0, 5.0, 9.0], [7.0, 7.0, 7.0, 0.0], [0.0, 0.0, 0.0, 0.0, 0.0, 3.0, 3.0, 3.0], [4.0, 4.0, 4.0, 0.0, 0.0, 0.0, 0.0, 0.0, 9.0, 9.0], [-2.0, 4.0, 4.0, 4.0]]
+    rows = [(100 * u + k, datetime.datetime(2024, 1, 1 + k, 12), u, "view", v, '{"k": 1}') for u, vs in enumerate(series) for k, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    columns, want = run_sql(entry.oracle_sql()["change_points"].replace("FROM events", f"FROM read_parquet('{tmp_path}/events.parquet/*.parquet')"))
+    assert {r[columns.index("change")] for r in want} >= {math.inf, -math.inf}
+    same_kind(entry.queries()["change_points"](spark, str(tmp_path)), columns, want)
+
+
 def test_paths_are_scored_across_batches(spark):
     """Each path once, though its rows are cut by the end of a batch."""
     from panelforge.operators import hypotheses
