@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,19 +17,38 @@ def box_intersection(a: Column, b: Column) -> Column:
     return F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))
 
 
+#: Sides and centres of boxes are taken to so many places: those of equal boxes are equal wherever the boxes stand.
+PLACES = 9
+
+
 def iou_distance(a: Column, b: Column) -> Column:
     """1 - intersection over union; 1 if the union is empty."""
     both = box_intersection(a, b)
-    union = box_area(a) + box_area(b) - both
+    area = lambda x: F.round(x["x1"] - x["x0"], PLACES) * F.round(x["y1"] - x["y0"], PLACES)
+    union = area(a) + area(b) - both
     return F.when(union > 0, 1 - both / union).otherwise(F.lit(1.0))
 
 
 def centre_distance_squared(a: Column, b: Column) -> Column:
-    dx = (a["x0"] + a["x1"] - b["x0"] - b["x1"]) / 2
-    dy = (a["y0"] + a["y1"] - b["y0"] - b["y1"]) / 2
+    dx, dy = (F.round((a[f"{c}0"] + a[f"{c}1"]) / 2, PLACES) - F.round((b[f"{c}0"] + b[f"{c}1"]) / 2, PLACES) for c in "xy")
     return dx * dx + dy * dy
 
 
+def centre_distances_squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``centre_distance_squared`` of all boxes a and all b (rows of x0, y0, x1, y1)."""
+    dx, dy = (np.round((a[:, k] + a[:, k + 2]) / 2, PLACES)[:, None] - np.round((b[:, k] + b[:, k + 2]) / 2, PLACES) for k in (0, 1))
+    return dx * dx + dy * dy
+
+
+def iou_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``iou_distance`` of all boxes a and all b (rows of x0, y0, x1, y1)."""
+    w, h = (np.maximum(np.minimum(a[:, k + 2][:, None], b[:, k + 2]) - np.maximum(a[:, k][:, None], b[:, k]), 0.0) for k in (0, 1))
+    area = [np.round(x[:, 2] - x[:, 0], PLACES) * np.round(x[:, 3] - x[:, 1], PLACES) for x in (a, b)]
+    both = w * h
+    union = area[0][:, None] + area[1] - both
+    return np.where(union > 0, 1 - both / np.where(union > 0, union, 1.0), 1.0)
+
+
 def overlap_fraction(a: Column, b: Column) -> Column:
     """Intersection over a's area; 1 if either holds the other, 0 if they are apart."""
     inside = lambda p, q: (p["x0"] >= q["x0"]) & (p["x1"] <= q["x1"]) & (p["y0"] >= q["y0"]) & (p["y1"] <= q["y1"])

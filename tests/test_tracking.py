@@ -220,3 +220,50 @@ def test_frames_of_very_many_copies(spark):
     links = tracking.frame_links(spark.createDataFrame(rows, BOX), ["m"], "frame", tracking.squared_distance(5)).collect()
     assert len({r["a"] for r in links}) == len({r["b"] for r in links}) == len(links) == 6000
     assert all(r["distance"] == 1.0 and r["a"] % 2 == r["b"] % 2 for r in links)
+
+
+def test_the_cheapest_matching_without_a_list_of_pairs():
+    """Few of the pairs in reach are listed, and the result costs what it costs over all of them."""
+    from panelforge.operators import nearness
+
+    rng = np.random.default_rng(4)
+    for n, m, side, alone, copies in ((300, 290, 40.0, 30.0, 1), (60, 200, 20.0, 2.0, 1), (80, 70, 30.0, 9.0, 3)):
+        (ax, ay), (bx, by) = (rng.random((2, k)) * side for k in (n, m))
+        na, nb = rng.integers(1, copies + 1, n), rng.integers(1, copies + 1, m)
+        d = np.sqrt((ax[:, None] - bx) ** 2 + (ay[:, None] - by) ** 2)
+        d[d > 15] = np.inf
+        near = lambda turned: nearness.blocks(bx, by, ax, ay, 15.0) if turned else nearness.blocks(ax, ay, bx, by, 15.0)
+        got = assignment.solved_near(n, m, lambda i, j: d[np.ix_(i, j)], near, alone, 1.0, na, nb)
+        i, j = np.nonzero(d < np.inf)
+        whole = assignment.Assignment(i, j, d[i, j] - 1.0, np.full(n, alone), na, nb)
+        cost = lambda s: sum((d[r, c] - 1.0) * k for r, held in enumerate(s.held[0]) for c, k in held.items()) + alone * sum(s.lone[0])
+        assert abs(cost(got) - cost(whole)) < 1e-6
+        assert n < 300 or sum(map(len, got.edges[0])) < len(i) / 2
+
+
+@pytest.mark.parametrize("metric", [tracking.squared_distance(6), tracking.box_overlap(0.3)])
+def test_prices_and_single_pairs_without_a_list(spark, metric):
+    """The price of each key is that of the listed candidates, and so are the pairs that have no other candidate."""
+    ship(spark)
+    rng = np.random.default_rng(3)
+    rows = [[(m, 100 * s + k, (x, y, x + w, y + w), int(c)) for m, n, side in ((0, 40, 20.0), (1, 60, 90.0)) for k, (x, y, w, c) in enumerate(zip(*(rng.random((2, n)) * side).round(2).tolist(), rng.integers(4, 7, n).tolist(), 1 + (rng.random(n) < 0.2)))] for s in (0, 1)]
+    left, right = (spark.createDataFrame(r, "m long, id long, box struct<x0: double, y0: double, x1: double, y1: double>, n long") for r in rows)
+    for most in (10, 10**6):
+        met = tracking.meeting(left, right, ["m"], metric, most)
+        pairs = tracking.weighed(left, right, ["m"], metric, 10.0)
+        want = {(r["m"], r["alone"], r["least"]) for r in tracking.priced(pairs, ["m"]).select("m", "alone", "least").distinct().collect()}
+        assert {(r["m"], r["alone"], r["least"]) for r in tracking.priced_meeting(met).collect()} == want
+        listed = [(r["m"], r["a"], r["b"], r["na"], r["nb"]) for r in pairs.collect()]
+        single = {p[:3] for p in listed if sum(q[4] for q in listed if q[:2] == p[:2]) == 1 and sum(q[3] for q in listed if (q[0], q[2]) == (p[0], p[2])) == 1}
+        assert single and {(r["m"], r["a"], r["b"]) for r in tracking.single_pairs(met).collect()} == single
+
+
+def test_long_chains_settle_in_few_rounds(spark):
+    """Labels in no order along a chain: a label takes over what any of its members meets."""
+    from panelforge.operators import matching
+
+    ship(spark)
+    order = np.random.default_rng(1).permutation(2_000).tolist()
+    edges = spark.createDataFrame(pd.DataFrame({"a": order[:-1], "b": order[1:]}))
+    got = matching.components(spark.range(2_000), edges)
+    assert got.where("component = 0").count() == 2_000
