@@ -119,3 +119,18 @@ def test_paths_are_scored_across_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(got) == len(want) and {(r["e"], r["p"]): r["score"] for r in got} == want
+
+
+def test_optimal_matches_without_a_list_of_pairs(spark, monkeypatch):
+    """Matches and margins are those over all listed pairs, and no pair of points is joined."""
+    from panelforge.session import ship
+
+    ship(spark)
+    left, right = some(7, 90), some(8, 40, 1000)
+    pairs = spark.createDataFrame([(next(r[0] for r in left if r[1] == a), a, b, d) for a, v in reach(left, right, 12.0).items() for d, b in v], "m long, a long, b long, distance double")
+    rows = lambda df: {(r["m"], r["a"], r["b"], round(r["distance"], 9), round(r["margin"], 6)) for r in df.collect()}
+    want = rows(matching.optimal_match(pairs, ["m"], 15.0, 0.5))
+    monkeypatch.setattr(matching, "pairs_within", None)
+    for most in (10**6, 10):
+        got = rows(matching.optimal_near(points(spark, left), points(spark, right), ["m"], 12.0, 15.0, 0.5, most))
+        assert len(got) > 5 and got == want
